@@ -1,0 +1,16 @@
+"""A growing folder of turn rows as a stream: each micro-batch replaces the conversations it has."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators.conversations import first_user_text
+from ..sources.exports import TURNS
+
+
+def follow(spark: SparkSession, folder: str, each: Callable[[DataFrame, int], None], checkpoint: str):
+    """Start a query that hands first prompts of new JSON turn rows to `each` (idempotent by batch number)."""
+    stream = spark.readStream.schema(TURNS).json(folder)
+    return stream.writeStream.foreachBatch(lambda df, n: each(first_user_text(df.withColumnRenamed("conversation_id", "conv_id")), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
