@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,27 +11,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python worker handles at a time.
-SLICE_BYTES = 2 << 20
-
+from ..storage import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, one machine) a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark, "_sparkgauge_dir", None)
-        if not base:
-            base = spark._sparkgauge_dir = "file://" + tempfile.mkdtemp(prefix="sparkgauge-")
-    return base.rstrip("/")
+__all__ = ["cut", "documents", "map_texts", "mixed", "pack_sorted", "release", "rewrite", "shared_dir", "slices", "texts", "tokenizer_path", "unpack_sorted", "zpack", "zunpack"]
 
-
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: later stages, and reruns after a
-    lost executor, start from these files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sparkgauge-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Bytes of text that a Python worker handles at a time.
+SLICE_BYTES = 2 << 20
 
 
 def release(spark: SparkSession) -> None:

@@ -4,18 +4,20 @@
    have each of its shingles. A document of n shingles, over n - ceil(0.75 n) of which occur nowhere else, can't link.
 2. Of what is left, equal sets are one class. Two sets that link share a shingle among the first
    n - ceil(0.75 n) + 1 of each in the order (frequency, hash); these are the class's keys.
-3. Each class is verified against the smallest class of each of its keys. So a large group of near copies becomes one
-   component with a few pairs a class, not all pairs.
-4. Keys whose classes are still in different components are searched in full: a count-vector R-tree over the classes of a
-   key. Shingles are hashed to GROUPS groups; a class is the point of its group counts. The sum of coordinate
-   minima of two points (or of a point and a box's upper corner) bounds the overlap from above; boxes and pairs
-   below the needed overlap are passed over, the others verified. Keys with many classes are searched in pairs of
-   blocks, so no task holds a whole key.
+3. Each class is verified against two classes at most: the smallest of its keys' smallest classes, and the most frequent of
+   them. So a large group of near copies becomes one component with a few pairs a class, not all pairs.
+4. Keys whose classes are still in different components join those components to a neighbourhood; classes of different
+   components that share a key are always in one. A neighbourhood is searched by a count-vector R-tree: shingles are
+   hashed to GROUPS groups, and a class is the point of its group counts. The sum of coordinate minima of two points (or
+   of a point and a box's upper corner) bounds the overlap from above; boxes and pairs below the needed overlap are
+   passed over. First each class verifies its BEST candidates of other components, then, over what is still apart, all.
+   Only classes outside a neighbourhood's largest component ask. Large neighbourhoods are searched in pairs of
+   blocks, so no task holds a whole one.
 5. Links give components by min-label rounds.
 
 Null and blank texts: no shingles, linked with nothing. Under five words: the whole sequence is the one shingle. Ties
 and repeated rows: rows with the same doc_id are of one class or linked by it; every row is returned. Rows without
-doc_id: returned with their own count and no component. Empty table: no rows. Long texts: whole.
+doc_id: left out. Empty table: no rows. Long texts: whole.
 """
 
 from __future__ import annotations
@@ -32,9 +34,11 @@ from .components import components
 from .exchange import answers_for, ask, batches, buckets_for, by_batch, opened
 
 WORDS, PERCENT = 5, 75
-GROUPS = 64
+GROUPS = 256
+TOP = 255
 BLOCK = 2048
 LEAF = 16
+BEST = 3
 _POWERS = np.cumprod(np.full(1 << 16, 0xD1342543DE82EF95, np.uint64))
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
 _SPACE = np.zeros(256, bool)
@@ -137,7 +141,7 @@ def sift(row, got: pd.DataFrame) -> pd.DataFrame:
         shared = hs[ls > 0]
         order = np.lexsort((shared, ls[ls > 0]))
         prefix = shared[order[: room + 1 - int(alone[i])]]
-        point = np.minimum(np.bincount((hs & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 65535).astype(np.uint16)
+        point = np.minimum(np.bincount((hs & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), TOP).astype(np.uint8)
         out.append((doc_id, size, signature, shared.tobytes(), prefix.tobytes(), point.tobytes()))
     return pd.DataFrame(out, columns=[x.split()[0] for x in CLASSES.split(",")])
 
@@ -149,7 +153,7 @@ def links_enough(overlap, n, m):
 def bound_ok(p: np.ndarray, n: np.ndarray, q: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Whether the summed coordinate minima allow a link. Counts at the type's limit bound nothing."""
     least = np.minimum(p, q).astype(np.int64).sum(-1)
-    top = np.where((p == 65535).any(-1) & (q == 65535).any(-1), np.minimum(n, m), least)
+    top = np.where((p == TOP).any(-1) & (q == TOP).any(-1), np.minimum(n, m), least)
     return links_enough(np.minimum(top, np.minimum(n, m)), n, m)
 
 
@@ -176,12 +180,20 @@ class CountTree:
             where = where[where < len(high)]
             h, lo, hi = high[where], low[where], most[where]
             top = np.minimum(np.minimum(h, point).astype(np.int64).sum(-1), np.minimum(hi, size))
-            top = np.where((h == 65535).any(-1), np.minimum(hi, size), top)
+            top = np.where((h == TOP).any(-1), np.minimum(hi, size), top)
             ok = (100 * top >= PERCENT * np.maximum(size + lo - top, size)) & (100 * hi >= PERCENT * size) & (PERCENT * lo <= 100 * size)
             where = (where[ok][:, None] * LEAF + np.arange(LEAF)).ravel()
         where = where[where < len(self.n)]
         return self.order[where[bound_ok(self.points[where], self.n[where], point, np.full(len(where), size))]]
 
+    def closeness(self, places: np.ndarray, point: np.ndarray, size: int) -> np.ndarray:
+        """The bound on the similarity of the points at `places` (as given to the tree)."""
+        back = np.empty(len(self.order), np.int64)
+        back[self.order] = np.arange(len(self.order))
+        at = back[places]
+        top = np.minimum(self.points[at], point).astype(np.int64).sum(-1)
+        return top / (self.n[at] + size - top)
+
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs(a, b) those that link. The set of a goes to each pair once; pairs meet b's set in a sorted stream."""
@@ -234,33 +246,63 @@ def links(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     keys = sets.select("id", "n", "prefix").mapInPandas(spread, "key long,id long,n long")
     heads = keys.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("c")).where("c > 1").drop("c")
-    keys = cut(keys.join(heads.select("key", "b"), "key").select("key", "id", "n", "b"), "keys")
-    star = keys.where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-    first = cut(_verify(star, sets), "star")
-    label = components(sets.select("id"), first)
-    mixed_keys = keys.join(label, "id").select("key", "id", "label")
-    open_keys = mixed_keys.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    rows = mixed_keys.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), "blocks").cast("int"))
+    keys = cut(keys.join(heads.select("key", "b"), "key").select("key", "id", "b"), "keys")
+    votes = keys.where("id <> b").groupBy("id", "b").agg(F.count("*").alias("c"))
+    picks = votes.groupBy("id").agg(F.min("b").alias("least"), F.max_by("b", F.struct(F.col("c"), (-F.col("b")).alias("m"))).alias("most"))
+    star = picks.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("least", "most"))).alias("b"))
+    found = cut(_verify(star, sets), "star")
+    label = components(sets.select("id"), found)
+    placed = keys.join(label, "id").select("key", "label").distinct()
+    spans = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "lo")
+    near = cut(placed.join(spans, "key").where("label <> lo").select(F.col("label").alias("a"), F.col("lo").alias("b")).distinct(), "near")
+    area = components(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))), near).withColumnsRenamed({"id": "of", "label": "area"})
+    members = cut(label.join(area, F.col("label") == F.col("of")).select("id", "area").join(sets.select("id", "n", "point"), "id"), "members")
+    for best in (BEST, None):
+        pairs = cut(_search(members, label, best), "pairs")
+        more = cut(_verify(pairs, sets), "more")
+        found = found.unionByName(more)
+        label = _merged(label, more)
+    return found, label
+
+
+def _merged(label: DataFrame, more: DataFrame) -> DataFrame:
+    """Labels (id, label) after links (a, b) are added."""
+    la, lb = (label.select(F.col("id").alias(x), F.col("label").alias("l" + x)) for x in "ab")
+    between = more.join(la, "a").join(lb, "b").select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct()
+    roots = components(label.select(F.col("label").alias("id")), between).withColumnsRenamed({"id": "l", "label": "root"})
+    return cut(label.join(roots, F.col("label") == F.col("l")).select("id", F.col("root").alias("label")), "labels")
+
+
+def _search(members: DataFrame, label: DataFrame, best: int | None) -> DataFrame:
+    """Distinct pairs (a, b) of classes of one area, in different components, whose bound allows a link: for each class
+    the `best` closest of each block, or all."""
+    rows = members.join(label, "id")
+    counts = rows.groupBy("area", "label").agg(F.count("*").alias("c"))
+    areas = counts.groupBy("area").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("k")).where("k > 1").drop("k")
+    rows = rows.join(areas, "area").withColumn("block", F.pmod(F.xxhash64("id", "area"), "blocks").cast("int"))
     # Block pairs (i, j), i <= j: a block is in as many as there are blocks.
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "label")
-    rows = rows.join(sets.select("id", "n", "point"), "id")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("area", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "label", "n", "point", (F.col("label") != F.col("main")).alias("asks"))
 
     def search(f: pd.DataFrame) -> pd.DataFrame:
         i, j = f.i.iloc[0], f.j.iloc[0]
-        points = np.stack([np.frombuffer(p, np.uint16) for p in f.point])
-        n, label, ids = f.n.to_numpy(), f.label.to_numpy(), f.id.to_numpy()
-        tree = CountTree(points, n)
-        block = f.block.to_numpy()
-        out = []
-        for k in np.flatnonzero(block == i).tolist() if len(set(label)) > 1 else []:
-            got = tree.query(points[k], int(n[k]))
-            got = got[(label[got] != label[k]) & ((block[got] == j) if i != j else (ids[got] > ids[k]))]
-            out += [(min(ids[k], x), max(ids[k], x)) for x in ids[got].tolist()]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    pairs = rows.groupBy("key", "i", "j").applyInPandas(search, "a long,b long").distinct()
-    more = cut(_verify(pairs, sets), "more")
-    return first.unionByName(more), components(label.select(F.col("label").alias("id")).distinct(), more.join(label.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("id").alias("label"), F.col("label").alias("root")).join(label, "label").select("id", F.col("root").alias("label"))
+        out = set()
+        for mine, theirs in [(i, j)] if i == j else [(i, j), (j, i)]:
+            those, ask = f[f.block == theirs], f[(f.block == mine) & f.asks]
+            if those.empty or ask.empty:
+                continue
+            ids, labels = those.id.to_numpy(), those.label.to_numpy()
+            tree = CountTree(np.stack([np.frombuffer(p, np.uint8) for p in those.point]), those.n.to_numpy())
+            for k, of, size, p in zip(ask.id.tolist(), ask.label.tolist(), ask.n.tolist(), ask.point, strict=True):
+                point = np.frombuffer(p, np.uint8)
+                got = tree.query(point, size)
+                got = got[labels[got] != of]
+                if best and len(got) > best:
+                    got = got[np.argsort(-tree.closeness(got, point, size), kind="stable")[:best]]
+                out.update((min(k, x), max(k, x)) for x in ids[got].tolist())
+        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("area", "i", "j").applyInPandas(search, "a long,b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
