@@ -11,12 +11,13 @@ class ChunkTable:
     """Maps chunk strings to id runs. Held by one worker task; emptied when it has `limit` entries, so
     its memory is bounded (a chunk met again after that is segmented again, with the same ids)."""
 
-    def __init__(self, segment: Callable[[list[str]], list[list[int]]], limit: int = 400_000):
-        self.segment, self.limit = segment, limit
+    def __init__(self, segment: Callable[[list[str]], list[list[int]]], limit: int = 400_000, join: bool = True):
+        self.segment, self.limit, self.join = segment, limit, join
         self._clear()
 
     def _clear(self) -> None:
         self.rows: dict[str, int] = {}
+        self.size = 0
         self.joined: list[str] = []
         self.starts, self.flat, self.used = np.zeros(1 << 10, np.int64), np.zeros(1 << 12, np.int32), 0
 
@@ -29,7 +30,7 @@ class ChunkTable:
         if new:
             order = sorted(new)
             ids = self.segment(order)
-            first, flat = len(self.joined), np.array([i for x in ids for i in x], np.int32)
+            first, flat = self.size, np.fromiter((i for x in ids for i in x), np.int32)
             n = first + len(order)
             while len(self.starts) < n + 1:
                 self.starts = np.concatenate([self.starts, np.zeros(len(self.starts), np.int64)])
@@ -38,7 +39,9 @@ class ChunkTable:
             self.flat[self.used : self.used + len(flat)] = flat
             self.starts[first + 1 : n + 1] = self.used + np.cumsum([len(x) for x in ids])
             self.used += len(flat)
-            self.joined.extend(",".join(map(str, x)) for x in ids)
+            self.size = n
+            if self.join:
+                self.joined.extend(",".join(map(str, x)) for x in ids)
             self.rows.update(zip(order, range(first, n), strict=True))
         return np.fromiter(map(self.rows.__getitem__, chunks), np.int64, len(chunks))
 

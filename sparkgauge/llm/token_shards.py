@@ -15,6 +15,7 @@ Null and empty texts: the end id only. Empty table: no shards.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,39 +29,52 @@ from .chunk_table import ChunkTable
 from .common import cut, map_texts, mixed, tokenizer_path, zpack, zunpack
 
 #: A blank after a non-blank starts a pretoken whatever follows (in any of the usual white-space sets).
-_BREAK = re.compile(r"(?<=[^\s\x1c-\x1f\x85᠎])(?= )")
-_RUN = re.compile(r"[\s\x1c-\x1f\x85᠎] ")
+_BREAK = re.compile(r"(?<=[^\s\x1c-\x1f\x85\u180e])(?= )")
+#: White space other than one blank between words or one line feed between lines.
+_ODD = ("  ", "\n\n", " \n", "\n ", *map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 133, 160, 5760, 6158, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)))
+BARE = "\0"
 SHARD_DOCS = 4096
 
 
+def pretoken_keys(text: str) -> list[str]:
+    """Chunks of whole pretokens. A key is a chunk without the blank before it; BARE first says there is none."""
+    if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _ODD):
+        parts = _BREAK.split(text)
+        return [p[1:] if p[0] == " " else BARE + p for p in parts]
+    out = []
+    for word in (BARE + text.replace("\n", f" {BARE}\n {BARE}")).split(" "):
+        if word[-1] in ",." and word[-2:-1].isalpha():  # a letter never shares a pretoken with the mark after it
+            out += [word[:-1], BARE + word[-1]]
+        else:
+            out.append(word)
+    return out
+
+
 class Encoder:
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.first = ChunkTable(lambda words: self._segment(words), 50_000)
-        self.spaced = ChunkTable(lambda words: self._segment([" " + w for w in words]))
-
-    def _segment(self, words: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        if _RUN.search(text):
-            parts = _BREAK.split(text)
-            if parts[0][:1] == " ":
-                head, rest = None, [p[1:] for p in parts]
-            else:
-                head, rest = parts[0], [p[1:] for p in parts[1:]]
-        else:
-            parts = text.split(" ")
-            head, rest = (parts[0] or None), parts[1:]
-        ids = [self.first.ids_of(self.first.rows_of([head]))] if head else []
-        if rest:
-            ids.append(self.spaced.ids_of(self.spaced.rows_of(rest)))
-        return np.concatenate(ids) if len(ids) > 1 else ids[0]
+        self.table = ChunkTable(self._segment, 800_000, join=False)
+
+    def _segment(self, keys: list[str]) -> list[list[int]]:
+        words = [k[1:] if k[:1] == BARE else " " + k for k in keys]
+        return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, chunk by chunk out of the table."""
+        keys, counts = [], []
+        for t in texts:
+            k = pretoken_keys(t) if t and BARE not in t else []
+            keys += k
+            counts.append(len(k))
+        rows = self.table.rows_of(keys)
+        ids = self.table.ids_of(rows)
+        sizes = np.concatenate([[0], np.cumsum(self.table.starts[rows + 1] - self.table.starts[rows])])
+        out = np.split(ids, sizes[np.cumsum(counts)[:-1]]) if counts else []
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32) if BARE in t else x for t, x in zip(texts, out, strict=True)]
 
 
 def encoded(docs: DataFrame, path: str, end_id: int, width: str) -> DataFrame:
@@ -71,8 +85,8 @@ def encoded(docs: DataFrame, path: str, end_id: int, width: str) -> DataFrame:
 
         def rows(ids, strings):
             packed, n = [], []
-            for s in strings:
-                a = np.append(encoder.encode(s), end_id).astype(width)
+            for x in encoder.encode(strings):
+                a = np.append(x, end_id).astype(width)
                 packed.append(zpack(a))
                 n.append(len(a))
             return {"doc_id": ids, "n": n, "ids": packed}
