@@ -8,8 +8,9 @@ import numpy as np
 
 
 class ChunkTable:
-    """Maps chunk strings to id runs. Held by one worker task; emptied when it has `limit` entries, so
-    its memory is bounded (a chunk met again after that is segmented again, with the same ids)."""
+    """Maps chunk strings to id runs. Held by one worker; when it has `limit` entries, those after the
+    first half go (common chunks come early), so its memory is bounded. A chunk met again after that is
+    segmented again, with the same ids."""
 
     def __init__(self, segment: Callable[[list[str]], list[list[int]]], limit: int = 400_000, join: bool = True):
         self.segment, self.limit, self.join = segment, limit, join
@@ -21,12 +22,18 @@ class ChunkTable:
         self.joined: list[str] = []
         self.starts, self.flat, self.used = np.zeros(1 << 10, np.int64), np.zeros(1 << 12, np.int32), 0
 
+    def _halve(self) -> None:
+        keep = min(self.size, self.limit // 2)
+        self.rows = {k: v for k, v in self.rows.items() if v < keep}
+        self.size, self.used = keep, int(self.starts[keep])
+        del self.joined[keep:]
+
     def rows_of(self, chunks: list[str]) -> np.ndarray:
         """The table row of each chunk, after adding the new ones."""
         new = set(chunks).difference(self.rows)
         if new and len(self.rows) + len(new) > self.limit:
-            self._clear()
-            new = set(chunks)
+            self._halve()
+            new = set(chunks).difference(self.rows)
         if new:
             order = sorted(new)
             ids = self.segment(order)

@@ -3,7 +3,7 @@
 No piece of the model crosses from a character to a following white-space marker (checked when the
 model is loaded), so BPE merges stay inside a marked word. Each distinct marked word is therefore
 segmented once by the library itself and the ids are joined back by position. The table is kept by each
-task over its own texts: a table for the whole corpus would have to shuffle every word twice, more
+worker over its own texts: a table for the whole corpus would have to shuffle every word twice, more
 than the texts themselves.
 
 Null text: as empty. Empty text: no ids, empty decoded text. Long texts: whole. Repeated rows: a row each.
@@ -11,6 +11,7 @@ Null text: as empty. Empty text: no ids, empty decoded text. Long texts: whole.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 
@@ -59,12 +60,18 @@ class Codec:
         return self.sp.decode(ids) if ids else ""
 
 
+@functools.lru_cache(1)
+def _codec(path: str) -> Codec:
+    """One for each Python worker: later tasks find the table filled."""
+    return Codec(path)
+
+
 def encode_decode(docs: DataFrame, model: str | None = None, keep: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256; with keep also the ids (comma-joined) and text."""
     path = model or tokenizer_path("piece_bpe_32k.model")
 
     def start():
-        codec = Codec(path)
+        codec = _codec(path)
 
         def rows(ids, strings):
             out = {"doc_id": ids, "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}

@@ -15,6 +15,8 @@ Null and empty texts: the end id only. Empty table: no shards.
 
 from __future__ import annotations
 
+import bisect
+import functools
 import os
 import re
 import zlib
@@ -57,7 +59,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.table = ChunkTable(self._segment, 800_000, join=False)
+        self.table = ChunkTable(self._segment, 600_000, join=False)
 
     def _segment(self, keys: list[str]) -> list[list[int]]:
         words = [k[1:] if k[:1] == BARE else " " + k for k in keys]
@@ -77,11 +79,17 @@ class Encoder:
         return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32) if BARE in t else x for t, x in zip(texts, out, strict=True)]
 
 
-def encoded(docs: DataFrame, path: str, end_id: int, width: str) -> DataFrame:
-    """doc_id and the ids with the end id, packed."""
+@functools.lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """One for each Python worker: later tasks find the table filled."""
+    return Encoder(path)
+
+
+def encoded(docs: DataFrame, path: str, end_id: int, width: str, edges: list[int]) -> DataFrame:
+    """shard, doc_id and the ids with the end id, packed. A doc_id's shard is the number of edges below it; null: 0."""
 
     def start():
-        encoder = Encoder(path)
+        encoder = _encoder(path)
 
         def rows(ids, strings):
             packed, n = [], []
@@ -89,11 +97,11 @@ def encoded(docs: DataFrame, path: str, end_id: int, width: str) -> DataFrame:
                 a = np.append(x, end_id).astype(width)
                 packed.append(zpack(a))
                 n.append(len(a))
-            return {"doc_id": ids, "n": n, "ids": packed}
+            return {"shard": [0 if i is None else bisect.bisect_left(edges, i) for i in ids], "doc_id": ids, "n": n, "ids": packed}
 
         return rows
 
-    return map_texts(docs, start, "doc_id long,n long,ids binary")
+    return map_texts(docs, start, "shard long,doc_id long,n long,ids binary")
 
 
 def _hash(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -167,12 +175,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 0, width: str = "uint
     cuts = rows.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
     edges = sorted({int(c) for c in cuts})
 
-    def shard_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            at = np.searchsorted(np.array(edges, np.int64), f.doc_id.fillna(-(2**63)).to_numpy().astype(np.int64), side="left") if edges else np.zeros(len(f), np.int64)
-            yield pd.DataFrame({"shard": np.where(f.doc_id.isna(), 0, at), "doc_id": f.doc_id, "n": f.n, "ids": f.ids})
-
-    placed = encoded(rows, path, end_id, width).mapInPandas(shard_of, "shard long,doc_id long,n long,ids binary")
+    placed = encoded(rows, path, end_id, width, edges)
 
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         null = frame.doc_id.isna().to_numpy()
