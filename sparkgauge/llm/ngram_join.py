@@ -73,7 +73,7 @@ def shingles(lengths: np.ndarray, body: bytes) -> tuple[np.ndarray, np.ndarray]:
     short = n_words[doc] < WORDS
     acc = h.copy()
     w = len(h)
-    for k in range(1, WORDS):
+    for k in range(1, min(WORDS, w)):
         acc[: w - k] += h[k:] * mult[k]  # wrong past a document's end; those starts are dropped below
     left = np.cumsum(n_words)[doc] - np.arange(w)
     full = left >= WORDS

@@ -1,0 +1,346 @@
+"""Training-data operators against brute force, round trips, held-out accuracy, and awkward tables."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+pytest.importorskip("sparkgauge.llm")
+from sparkgauge.llm import chunk_table, components, host_rules, line_quality, media, ngram_join, packing, pii, sentencepiece_codec, suffix_dedup, token_shards, toxicity  # noqa: E402
+from sparkgauge.llm.common import tokenizer_path  # noqa: E402
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, label string, n_tokens int"
+
+
+def table(spark, texts, ids=None):
+    """Documents with extra columns whose names the operators use themselves."""
+    ids = range(len(texts)) if ids is None else ids
+    rows = [(i, t, "en", None if k % 5 == 0 else f"s{k % 2}", len(t or ""), 0.5, "x", 1) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def prose():
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdeéo") for _ in range(rnd.randint(1, 7))) for _ in range(90)]
+    base = [" ".join(rnd.choices(words, k=rnd.randint(3, 120))) for _ in range(30)]
+    out = list(base)
+    for t in base[:12]:
+        for _ in range(4):
+            w = t.split(" ")
+            for _ in range(max(1, len(w) // rnd.choice([12, 20, 30]))):
+                w[rnd.randrange(len(w))] = rnd.choice(words)
+            out.append(" ".join(w))
+    shared = " ".join(rnd.choices(words, k=40))
+    out += [base[3], base[3], f"{base[5]}\n{shared}", f"{shared}\n{base[6]}", shared[5:], "", None, "  \n ", "one", "One", "a b c d", "ab" * 400, "ab" * 300, "x" * 49, "x" * 50, "x" * 50, "é" * 60, "é" * 40]
+    return out
+
+
+AWKWARD = ["", None, " \n\t ", "a", "same words here", "same words here", "word " * 4000, "\x0b\x0c\r\n x  y ", "é" * 3000, "1" * 5000, "a@b.c " * 50]
+
+
+def brute_removed(rows):
+    out = {}
+    first = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - 49):
+            s = b[p : p + 50]
+            first[s] = min(first.get(s, i), i)
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for p in range(len(b) - 49):
+            if first[b[p : p + 50]] < i:
+                gone[p : p + 50] = True
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        out[i] = (len(b), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest())
+    return out
+
+
+def test_suffix_dedup_equals_brute_force(spark, prose):
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.dedup(table(spark, prose)).collect()}
+    assert got == brute_removed(list(enumerate(prose)))
+
+
+def test_suffix_dedup_texts(spark, prose):
+    docs = table(spark, prose)
+    out = suffix_dedup.deduplicated(docs)
+    assert out.columns == docs.columns and out.count() == len(prose)
+    want = brute_removed(list(enumerate(prose)))
+    for r in out.collect():
+        if want[r.doc_id][1] == 0:
+            assert r.text == prose[r.doc_id]
+        else:
+            assert r.n_chars == len(r.text) and len(r.text.encode()) <= want[r.doc_id][0] - want[r.doc_id][1]
+
+
+def shingle_set(t):
+    lower = bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())
+    w = re.findall(rb"[^\x20\x09-\x0D]+", lower)
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def brute_components(texts):
+    sets = [shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: (len(s), find(i)) for i, s in enumerate(sets)}
+
+
+def test_ngram_join_equals_brute_force(spark, prose):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(table(spark, prose)).collect()}
+    assert got == brute_components(prose)
+
+
+def test_ngram_join_groups_at_the_threshold(spark, monkeypatch):
+    """Copies of one text with so many changes that only some pairs link; small blocks, so many block pairs."""
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(3):
+        base = rnd.choices(words, k=150)
+        for _ in range(22):
+            w = list(base)
+            for _ in range(rnd.choice([1, 2, 3, 4, 5])):
+                w[rnd.randrange(len(w))] = rnd.choice(words)
+            texts.append(" ".join(w))
+    monkeypatch.setattr(ngram_join, "BLOCK", 7)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(table(spark, texts)).collect()}
+    assert got == brute_components(texts)
+
+
+def test_count_tree_loses_nothing():
+    rnd = np.random.default_rng(1)
+    sets = [set(rnd.integers(0, 60, rnd.integers(5, 60)).tolist()) for _ in range(300)]
+    points = np.array([np.bincount([x % 16 for x in s], minlength=16) for s in sets]).astype(np.uint8)
+    n = np.array([len(s) for s in sets])
+    tree = ngram_join.CountTree(points, n)
+    for i in range(0, 300, 7):
+        got = set(tree.query(points[i], int(n[i])).tolist())
+        assert {j for j in range(300) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])} <= got
+
+
+def test_components_chain(spark):
+    nodes = spark.range(50)
+    links = spark.createDataFrame([(i + 1, i) for i in range(30)], "a long, b long")
+    got = {r.id: r.label for r in components.components(nodes, links).collect()}
+    assert all(got[i] == 0 for i in range(31)) and got[40] == 40
+
+
+def test_sentencepiece_equals_library(spark, prose):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    texts = [*prose, *AWKWARD, " lead", "trail ", "a  b   c", "▁x▁ ▁", "\x00 nul", "tab\tx"]
+    got = {r.doc_id: r for r in sentencepiece_codec.encode_decode(table(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        ids = sp.encode(t or "")
+        assert got[i].n_tokens == len(ids)
+        assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+
+
+def test_chunk_table_forgets_and_keeps_answers():
+    table_ = chunk_table.ChunkTable(lambda words: [[len(w), ord(w[0])] for w in words], limit=10)
+    rnd = random.Random(2)
+    for _ in range(50):
+        words = [rnd.choice("abcdefghijklmnopqrstuvwxyz") * rnd.randint(1, 3) for _ in range(rnd.randint(0, 8))]
+        assert table_.ids_of(table_.rows_of(words)).tolist() == [v for w in words for v in (len(w), ord(w[0]))]
+
+
+def test_media_round_trip(spark, prose):
+    rnd = random.Random(3)
+    long = "".join(rnd.choice("abcdefgh \n") for _ in range(90_000))
+    texts = [*prose, *AWKWARD, long, "shift" + long]
+    got = {r.doc_id: r for r in media.media_columns(table(spark, texts)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        b = (t or "").encode()
+        p = b + b" " * (-len(b) % 192 if b else 192)
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(b), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
+        m = media.media_header(len(p)) + p
+        assert (r.media_bytes, r.media_sha256) == (len(m), hashlib.sha256(m).hexdigest())
+    shifted = {hashlib.sha256(("shift" + long).encode()[x:y]).digest() for x, y in zip([0, *media.cuts(("shift" + long).encode())[:-1]], media.cuts(("shift" + long).encode()), strict=True)}
+    plain = {hashlib.sha256(long.encode()[x:y]).digest() for x, y in zip([0, *media.cuts(long.encode())[:-1]], media.cuts(long.encode()), strict=True)}
+    assert len(plain & shifted) >= len(plain) // 2 and len(plain) > 4
+
+
+def test_host_rules_equal_sql(spark, prose):
+    import duckdb
+
+    texts = [*prose, *AWKWARD, "go on and go on and on " * 20, "#a $b\n#a $b\nx"]
+    docs = table(spark, texts)
+    documents = docs.toPandas()  # noqa: F841
+    rel = duckdb.sql(host_rules.SQL)
+    want = {r[0]: dict(zip(rel.columns, r, strict=True)) for r in rel.fetchall()}
+    got = {r.doc_id: r.asDict() for r in host_rules.host_quality(docs).collect()}
+    assert got == want
+
+
+def test_pii_known_cases():
+    text = "Mail a.b+c@x-y.co.uk, ip 10.0.0.255 not 1.2.3.256; card 4996 9681 3542 0665; +1 (532) 555-7857 ok @ no@dots"
+    got = {k: text[a:b] for k, a, b in pii.base_spans(text)}
+    assert got == {"email": "a.b+c@x-y.co.uk", "ip": "10.0.0.255", "card": "4996 9681 3542 0665", "phone": "+1 (532) 555-7857"}
+
+
+def test_pii_base_equals_plain_patterns():
+    rnd = random.Random(4)
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    for _ in range(800):
+        t = "".join(rnd.choice("a@@..b-_1234 +()0") for _ in range(rnd.randint(0, 60)))
+        want = []
+        for kind, p in plain.items():
+            for m in re.finditer(p, t):
+                digits = [c for c in m[0] if c.isdigit()]
+                ok = kind == "email" or kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")) or kind == "card" and 16 <= len(digits) <= 19 and pii.luhn("".join(digits)) or kind == "phone" and 8 <= len(digits) <= 15
+                if ok:
+                    want.append((kind, *m.span()))
+        assert pii.base_spans(t) == want, t
+
+
+def test_crf_viterbi_is_the_best_path():
+    import itertools
+
+    emit, move = pii.train()
+    line = pii.features('a token = "93f225f22ac4fd8e52991f66d5fe2fb55b67009f" b'.split(" "))
+    e = [emit[list(f)].sum(0) for f in line]
+
+    def score(path):
+        return sum(e[t][k] for t, k in enumerate(path)) + sum(move[a, b] for a, b in itertools.pairwise(path)) - 20 * (path[0] == 2)
+
+    best = max(itertools.product(range(3), repeat=len(line)), key=score)
+    assert tuple(pii.viterbi([line], emit, move)[0]) == best
+    assert pii.quiet(emit, move)
+
+
+def test_pii_secrets_and_redaction(spark):
+    docs = table(spark, ["use password=36fdea71d793cf922e\nand mail x@y.zz", "clean words, version 2.0.", None])
+    out = {r.doc_id: r for r in pii.redacted(docs).collect()}
+    assert out[0].text == "use [secret]\nand mail [email]" and out[0].n_chars == len(out[0].text)
+    assert out[1].text == "clean words, version 2.0." and out[2].text is None
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_boundaries_are_optimal(seed):
+    import itertools
+
+    rnd = random.Random(seed)
+    lengths = sorted(rnd.sample(range(1, 60), 9))
+    counts = [rnd.randint(1, 20) for _ in lengths]
+
+    def padding(ends):
+        return sum(c * (next(e for e in ends if e >= x) - x) for x, c in zip(lengths, counts, strict=True))
+
+    for k in (1, 2, 3, 5):
+        ends = packing.best_boundaries(lengths, counts, k)
+        best = min(padding([*c, lengths[-1]]) for c in itertools.combinations(lengths[:-1], k - 1))
+        assert len(ends) <= k and padding(ends) == best
+
+
+def test_packing_places(spark, prose, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK", 16)
+    texts = [*prose, *AWKWARD]
+    rows = packing.pack(table(spark, texts), buckets=4, budget=300).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    by = {}
+    for r in rows:
+        assert r.n_tokens == len((texts[r.doc_id] or "").split()) and 0 <= r.padding == r.bucket_len - r.n_tokens
+        by.setdefault((r.bucket, r.batch), []).append(r)
+    for group in by.values():
+        room = max(1, 300 // group[0].bucket_len)
+        assert sorted(r.slot for r in group) == list(range(len(group))) and len(group) <= room
+    for bucket in {r.bucket for r in rows}:
+        order = [r.doc_id for r in sorted((r for r in rows if r.bucket == bucket), key=lambda r: (r.batch, r.slot))]
+        assert order == sorted(order)
+
+
+def test_token_shards_equal_library(spark, prose, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_shards, "SHARD_DOCS", 10)
+    tk = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    tk.encode_special_tokens = True
+    texts = [*prose, *AWKWARD, "it's a.b, c.\nD, \n e", "x\x00 y", "<|endoftext|> z", "1. 2, (a)."]
+    got = {r.doc_id: r for r in token_shards.token_output(table(spark, texts)).collect()}
+    at = 0
+    for i, t in enumerate(texts):
+        ids = [*tk.encode(t or "", add_special_tokens=False).ids, 0]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), t
+        at += len(ids)
+
+
+def test_perfect_hash_is_minimal():
+    keys = token_shards.key_of(np.arange(5000) * 7919, np.zeros(5000, bool), np.zeros(5000, np.int64))
+    _, slot = token_shards.build_index(keys)
+    assert sorted(slot.tolist()) == list(range(5000))
+
+
+def test_forward_backward_equals_enumeration():
+    import itertools
+
+    rnd = np.random.default_rng(0)
+    energy, move = rnd.normal(size=6), rnd.normal(size=(2, 2))
+    doc = np.array([0, 0, 0, 0, 1, 1])
+    got = line_quality.marginals(energy, move, doc)
+    for d in (0, 1):
+        e = energy[doc == d]
+        total, good = 0.0, np.zeros(len(e))
+        for path in itertools.product((0, 1), repeat=len(e)):
+            p = np.exp(sum(e[t] * k for t, k in enumerate(path)) + sum(move[a, b] for a, b in itertools.pairwise(path)))
+            total += p
+            good += p * np.array(path)
+        assert np.allclose(got[doc == d], good / total)
+
+
+SF = "/root/testdata/sf0.1"
+
+
+@pytest.mark.parametrize(("module", "label", "least"), [(line_quality, "quality", 0.95), (toxicity, "toxic", 0.93)])
+def test_held_out_accuracy(spark, module, label, least):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    got = module.classify(docs, labels)
+    assert got.count() == docs.count()
+    rows = got.where("held_out").join(labels, "doc_id").select("predicted", label, "score").collect()
+    assert all(0 <= r.score <= 1 for r in rows) and len(rows) > 100
+    assert sum(r.predicted == r[label] for r in rows) / len(rows) >= least
+
+
+@pytest.mark.parametrize("kind", ["awkward", "empty", "repeated ids", "null ids"])
+def test_awkward_tables(spark, kind):
+    """No operator crashes; each returns a row for every row (those without an id aside)."""
+    texts = {"awkward": AWKWARD, "empty": [], "repeated ids": ["a b c d e f", "a b c d e f", "other text"], "null ids": ["x y", None, "z"]}[kind]
+    ids = {"repeated ids": [1, 1, 1], "null ids": [None, None, 2]}.get(kind)
+    docs = table(spark, texts, ids)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    known = sum(i is not None for i in (ids or range(len(texts))))
+    for op in (sentencepiece_codec.encode_decode, media.media_columns, pii.find_pii, packing.pack, host_rules.host_quality, token_shards.token_output, lambda d: line_quality.classify(d, labels), lambda d: toxicity.classify(d, labels)):
+        assert op(docs).count() == len(texts)
+    for op in (suffix_dedup.dedup, ngram_join.near_duplicates):
+        assert op(docs).count() == known
+    for op in (suffix_dedup.deduplicated, pii.redacted):
+        assert op(docs).count() == len(texts)
+    assert ngram_join.one_of_each(docs).columns == docs.columns
+
+
+def test_quality_stage_keeps_columns(spark):
+    docs = table(spark, ["Plain words of a sentence here.", "BAD!! LINE!! | x | y"])
+    model = (np.zeros(3 * line_quality.N_OWN), np.ones(3 * line_quality.N_OWN), np.zeros((2, 2)))
+    out = line_quality.keep_good(docs, model)
+    assert out.columns == docs.columns and out.where(F.col("label") == "x").count() == 2
