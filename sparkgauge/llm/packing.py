@@ -21,7 +21,7 @@ from .common import cut
 
 BUCKETS, BUDGET = 16, 65_536
 WIDTH_EXACT = 512
-BLOCK = 32_768
+BLOCK = 4096
 
 
 def token_count(text: Column) -> Column:
