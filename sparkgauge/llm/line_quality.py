@@ -126,7 +126,10 @@ def train(rows: list[tuple[str, int]], steps: int = 150, decay: float = 1e-4) ->
     the same. Starts at zero and has no random part."""
     if not rows or len({y for _, y in rows}) < 2:
         return np.zeros(3 * N_OWN), np.ones(3 * N_OWN), np.zeros((2, 2))
-    x, _, doc = line_features([t for t, _ in rows])
+    parts = [line_features([t for t, _ in rows[lo : lo + 200]]) for lo in range(0, len(rows), 200)]  # bytes of 200 texts at a time
+    x = np.concatenate([p[0] for p in parts])
+    doc = np.concatenate([p[2] + 200 * k for k, p in enumerate(parts)])
+    del parts
     y = np.array([v for _, v in rows])
     label = y[doc]
     scale = x.std(0) + 1e-3

@@ -69,7 +69,9 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 
 def margins(words: list[str], table: np.ndarray, bias: float) -> np.ndarray:
-    """The machine's value for each word."""
+    """The machine's value for each word, in slices of bounded size."""
+    if len(words) > 20_000:
+        return np.concatenate([margins(words[lo : lo + 20_000], table, bias) for lo in range(0, len(words), 20_000)])
     who, what, weight, norm = subsequences(letters(words))
     return np.bincount(who, weights=weight * table[what], minlength=len(words)) / norm + bias
 
