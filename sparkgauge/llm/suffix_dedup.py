@@ -78,17 +78,16 @@ def segments(ids: np.ndarray, lengths: np.ndarray, body: bytes) -> tuple[np.ndar
     raw = np.frombuffer(body, np.uint8)
     ends = np.cumsum(lengths)
     starts = ends - lengths
-    anchors, grams_at, place = [], [], []
-    for lo in range(0, max(0, len(raw) - WIDTH + 1), _BLOCK):
-        hi = min(lo + _BLOCK, len(raw) - WIDTH + 1)
-        h = _grams(raw[lo : hi + WIDTH - 1])
-        anchors.append(_least(h, SEGMENT)[: hi - lo])
-        grams_at.append(h)
-        place.append(lo)
-    if not anchors:
+    if len(raw) < WIDTH:
         z = np.zeros(0, np.int64)
         return z, z, z, z.astype(np.uint64), z.astype(np.uint64), z.astype(np.uint64)
-    anchor = np.concatenate(anchors)
+    # Filled block by block: these two are the large arrays of a batch, eight bytes a place each.
+    anchor, gram = np.empty(len(raw) - WIDTH + 1, np.uint64), np.empty(len(raw) - GRAM + 1, np.uint64)
+    for lo in range(0, len(anchor), _BLOCK):
+        hi = min(lo + _BLOCK, len(anchor))
+        h = _grams(raw[lo : hi + WIDTH - 1])
+        anchor[lo:hi] = _least(h, SEGMENT)[: hi - lo]
+        gram[lo : lo + len(h)] = h
     new = np.ones(len(anchor), bool)
     new[1:] = anchor[1:] != anchor[:-1]
     inner = starts[starts < len(anchor)]
@@ -97,7 +96,9 @@ def segments(ids: np.ndarray, lengths: np.ndarray, body: bytes) -> tuple[np.ndar
     over = np.zeros(len(raw) + 1, np.int32)
     np.add.at(over, np.maximum(starts, ends - WIDTH + 1), 1)
     np.add.at(over, ends, -1)
-    bad = np.cumsum(over)[: len(anchor)] > 0
+    np.cumsum(over, out=over)
+    bad = over[: len(anchor)] > 0
+    del over
     new[1:] |= bad[1:] != bad[:-1]
     first = np.flatnonzero(new)
     n = np.diff(np.append(first, len(anchor)))
@@ -110,7 +111,6 @@ def segments(ids: np.ndarray, lengths: np.ndarray, body: bytes) -> tuple[np.ndar
         first = np.repeat(first, pieces) + k * SEGMENT
         n = np.minimum(SEGMENT, whole_n - k * SEGMENT)
     doc = np.searchsorted(ends, first, side="right")
-    gram = np.concatenate([g[: _BLOCK] if i + 1 < len(grams_at) else g for i, g in enumerate(grams_at)])
     last = first + n - 1
     with np.errstate(over="ignore"):
         content = mixed(gram[first] * np.uint64(3) + mixed(gram[first + WIDTH - GRAM] + np.uint64(5)) + mixed(gram[last + WIDTH - GRAM] * np.uint64(7) + n.astype(np.uint64)))
@@ -183,7 +183,7 @@ class Windows:
         np.add.at(turn, hit + WIDTH, -1)
         np.add.at(turn, self.first[self.whole], 1)
         np.add.at(turn, self.first[self.whole] + self.n[self.whole] + WIDTH - 1, -1)
-        return np.cumsum(turn)[:-1] > 0
+        return np.cumsum(turn, out=turn)[:-1] > 0
 
 
 def _anchor_keys(row):
@@ -224,7 +224,7 @@ def splitters(table: DataFrame, buckets: int, batches_read: int = 256, each: int
 def _marked(table: DataFrame) -> DataFrame:
     """The answers of all rounds, by batch."""
     spark = table.sparkSession
-    n = buckets_for(table, 0.08)
+    n = buckets_for(table, 0.16)  # twice the anchors a byte: buckets of half the usual size
     counts = cut(ask(table, _anchor_keys, n, exact=True).withColumn("kind", F.lit(0)), "anchors")
     release(spark)
     even = np.array([i << (64 - (n.bit_length() - 1)) for i in range(1, n)], np.uint64)
