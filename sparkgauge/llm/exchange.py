@@ -70,12 +70,17 @@ def buckets_for(table: DataFrame, keys_per_byte: float) -> int:
     return n
 
 
-def ask(table: DataFrame, keys_of: Callable[[object], tuple[np.ndarray, np.ndarray]], n_buckets: int, drop: int = 2, exact: bool = False) -> DataFrame:
+def even_edges(n_buckets: int) -> np.ndarray:
+    """Edges of a power of two of buckets that spread-out keys fill evenly."""
+    return np.arange(1, n_buckets, dtype=np.uint64) << np.uint64(64 - (n_buckets.bit_length() - 1))
+
+
+def ask(table: DataFrame, keys_of: Callable[[object], tuple[np.ndarray, np.ndarray]], edges: np.ndarray, drop: int = 2, exact: bool = False) -> DataFrame:
     """(batch, bucket, answer) rows. keys_of(batch row) gives ascending distinct uint64 keys and how many
-    documents of the batch have each. The answer has a uint8 for each key: 0 if one document of the corpus has it, else
+    documents of the batch have each; `edges` splits the keys into buckets. The answer has a uint8 for each key: 0 if one document of the corpus has it, else
     floor(log2(documents)) + 1; with exact a uint32, the number of documents. The lowest `drop` bytes of a key aren't sent: keys may seem more frequent by that,
     never less."""
-    bits = n_buckets.bit_length() - 1
+    edges = edges >> np.uint64(8 * drop) << np.uint64(8 * drop)  # keys that are sent alike meet in one bucket
 
     def cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -85,8 +90,8 @@ def ask(table: DataFrame, keys_of: Callable[[object], tuple[np.ndarray, np.ndarr
                 new = np.concatenate([[True], cut_keys[1:] != cut_keys[:-1]]) if len(keys) else np.zeros(0, bool)
                 first = np.flatnonzero(new)
                 keys, counts = keys[first], (np.add.reduceat(counts, first) if len(first) else counts)
-                edges = np.searchsorted(keys, np.arange(1, n_buckets, dtype=np.uint64) << np.uint64(64 - bits))
-                out = [(int(row.batch), b, pack_sorted(k, drop), zpack(c.astype(np.uint32))) for b, (k, c) in enumerate(zip(np.split(keys, edges), np.split(counts, edges), strict=True)) if len(k)]
+                at = np.searchsorted(keys, edges)
+                out = [(int(row.batch), b, pack_sorted(k, drop), zpack(c.astype(np.uint32))) for b, (k, c) in enumerate(zip(np.split(keys, at), np.split(counts, at), strict=True)) if len(k)]
                 yield pd.DataFrame(out, columns=["batch", "bucket", "keys", "counts"])
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
@@ -104,7 +109,7 @@ def ask(table: DataFrame, keys_of: Callable[[object], tuple[np.ndarray, np.ndarr
         return pd.DataFrame({"batch": frame.batch, "bucket": frame.bucket, "answer": [zpack(x) for x in np.split(out, ends[:-1])]})
 
     rows = table.mapInPandas(cells, "batch long,bucket long,keys binary,counts binary")
-    return rows.repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(answer, "batch long,bucket long,answer binary")
+    return rows.repartition(len(edges) + 1, "bucket").groupBy("bucket").applyInPandas(answer, "batch long,bucket long,answer binary")
 
 
 def answers_for(keys: np.ndarray, got: pd.DataFrame, drop: int = 2, dtype=np.uint8) -> np.ndarray:
@@ -191,4 +196,4 @@ def by_batch(table: DataFrame, answers: DataFrame, work: Callable[[object, pd.Da
     return table.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(both, schema)
 
 
-__all__ = ["BATCH_BYTES", "answers_for", "ask", "ask_least", "batches", "buckets_for", "by_batch", "least_for", "mixed", "opened"]
+__all__ = ["BATCH_BYTES", "answers_for", "ask", "ask_least", "batches", "buckets_for", "by_batch", "even_edges", "least_for", "mixed", "opened"]

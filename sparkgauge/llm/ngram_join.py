@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, mixed, release
 from .components import components
-from .exchange import answers_for, ask, batches, buckets_for, by_batch, opened
+from .exchange import answers_for, ask, batches, buckets_for, by_batch, even_edges, opened
 
 WORDS, PERCENT = 5, 75
 GROUPS = 256
@@ -220,8 +220,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, signature of every document with an id), (id, n, shared, prefix, point of each class)."""
     spark = docs.sparkSession
     table = batches(docs)
-    n = buckets_for(table, 0.2)
-    answers = cut(ask(table, asked_keys, n), "answers")
+    answers = cut(ask(table, asked_keys, even_edges(buckets_for(table, 0.2))), "answers")
     release(spark)
     sifted = cut(by_batch(table, answers, sift, CLASSES), "sifted")
     release(spark)

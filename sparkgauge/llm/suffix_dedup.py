@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, mixed, release
-from .exchange import answers_for, ask, ask_least, batches, buckets_for, by_batch, least_for, opened
+from .exchange import answers_for, ask, ask_least, batches, buckets_for, by_batch, even_edges, least_for, opened
 
 WIDTH, GRAM = 50, 26
 SEGMENT = WIDTH - GRAM + 1
@@ -221,14 +221,24 @@ def splitters(table: DataFrame, buckets: int, batches_read: int = 256, each: int
     return np.unique(np.array([got[len(got) * i // buckets] for i in range(1, buckets)], np.uint64))
 
 
+def anchor_edges(n_buckets: int) -> np.ndarray:
+    """Edges of buckets that anchors fill evenly.
+
+    An anchor is the least of SEGMENT hashes, so anchors crowd at the low end: a third of them lie in the first 64th of
+    the range. A hash at the share x of the range is some window's least with (1 - x)^(w - 1) * (1 + (w - 1) x), w = SEGMENT,
+    whose integral, with y = 1 - x, is one less (w + 1) / 2 * y^w less (1 - w) / 2 * y^(w + 1)."""
+    w, x = SEGMENT, np.linspace(0, 1, max(1 << 16, 64 * n_buckets))
+    below = 1 - (w + 1) / 2 * (1 - x) ** w + (w - 1) / 2 * (1 - x) ** (w + 1)
+    return (np.interp(np.arange(1, n_buckets) / n_buckets, below, x) * 2.0**64).astype(np.uint64)
+
+
 def _marked(table: DataFrame) -> DataFrame:
     """The answers of all rounds, by batch."""
     spark = table.sparkSession
     n = buckets_for(table, 0.16)  # twice the anchors a byte: buckets of half the usual size
-    counts = cut(ask(table, _anchor_keys, n, exact=True).withColumn("kind", F.lit(0)), "anchors")
+    counts = cut(ask(table, _anchor_keys, anchor_edges(n), exact=True).withColumn("kind", F.lit(0)), "anchors")
     release(spark)
-    even = np.array([i << (64 - (n.bit_length() - 1)) for i in range(1, n)], np.uint64)
-    known = counts.unionByName(cut(ask_least(table, _pairs, even, counts).withColumn("kind", F.lit(1)), "pairs"))
+    known = counts.unionByName(cut(ask_least(table, _pairs, even_edges(n), counts).withColumn("kind", F.lit(1)), "pairs"))
     release(spark)
     known = known.unionByName(cut(ask_least(table, _suffixes, splitters(table, n), known).withColumn("kind", F.lit(2)), "suffixes"))
     release(spark)
