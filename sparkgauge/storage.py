@@ -23,4 +23,14 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     lost executor, start from these files."""
     path = f"{shared_dir(df.sparkSession)}/sparkgauge-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._sparkgauge_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `cut` wrote. Only for those that nothing reads any more, reruns after a lost executor
+    included: all that was derived from them has been written itself."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._sparkgauge_path)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
