@@ -11,9 +11,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import cut, shared_dir
+from ..storage import cut, discard, shared_dir
 
-__all__ = ["cut", "documents", "map_texts", "mixed", "pack_sorted", "release", "rewrite", "shared_dir", "slices", "texts", "tokenizer_path", "unpack_sorted", "zpack", "zunpack"]
+__all__ = ["cut", "discard", "documents", "map_texts", "mixed", "pack_sorted", "release", "rewrite", "shared_dir", "slices", "texts", "tokenizer_path", "unpack_sorted", "zpack", "zunpack"]
 
 #: Bytes of text that a Python worker handles at a time.
 SLICE_BYTES = 2 << 20

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mixed, release
+from .common import cut, discard, mixed, release
 from .components import components
 from .exchange import answers_for, ask, batches, buckets_for, by_batch, even_edges, opened
 
@@ -223,14 +223,17 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     answers = cut(ask(table, asked_keys, even_edges(buckets_for(table, 0.2))), "answers")
     release(spark)
     sifted = cut(by_batch(table, answers, sift, CLASSES), "sifted")
+    discard(table, answers)
     release(spark)
-    every = sifted.select("doc_id", "n", "signature")
+    every = cut(sifted.select("doc_id", "n", "signature"), "every")
     may = sifted.where("prefix IS NOT NULL")
     ids = may.groupBy("signature").agg(F.min("doc_id").alias("id"))
     # A doc_id may be repeated with other text, so a class is found by signature and id.
     reps = may.join(ids.withColumnRenamed("signature", "of"), (F.col("signature") == F.col("of")) & (F.col("doc_id") == F.col("id")))
     reps = reps.groupBy("signature").agg(*[F.first(c).alias(c) for c in ("id", "n", "shared", "prefix", "point")])
-    return every, cut(reps.withColumn("class", F.xxhash64("signature")), "classes")
+    reps = cut(reps.withColumn("class", F.xxhash64("signature")), "classes")
+    discard(sifted)
+    return every, reps
 
 
 def links(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -254,13 +257,17 @@ def links(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = keys.join(label, "id").select("key", "label").distinct()
     spans = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "lo")
     near = cut(placed.join(spans, "key").where("label <> lo").select(F.col("label").alias("a"), F.col("lo").alias("b")).distinct(), "near")
+    discard(keys)
     area = components(near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))), near).withColumnsRenamed({"id": "of", "label": "area"})
     members = cut(label.join(area, F.col("label") == F.col("of")).select("id", "area").join(sets.select("id", "n", "point"), "id"), "members")
+    discard(near)
     for best in (BEST, None):
         pairs = cut(_search(members, label, best), "pairs")
         more = cut(_verify(pairs, sets), "more")
+        discard(pairs)
         found = found.unionByName(more)
         label = _merged(label, more)
+    discard(members)
     return found, label
 
 
@@ -308,8 +315,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     every, reps = classes(docs)
     _, label = links(reps)
+    named = cut(reps.select(F.col("signature").alias("of"), F.col("class").alias("id")), "named")
+    discard(reps)
     first = every.where("signature IS NOT NULL").groupBy("signature").agg(F.min("doc_id").alias("first"))
-    root = reps.select(F.col("signature").alias("of"), F.col("class").alias("id")).join(label, "id").select("of", "label")
+    root = named.join(label, "id").select("of", "label")
     placed = first.join(root, F.col("signature") == F.col("of"), "left").select("signature", "first", "label")
     least = placed.where("label IS NOT NULL").groupBy("label").agg(F.min("first").alias("least")).withColumnRenamed("label", "l")
     component = placed.join(least, F.col("label") == F.col("l"), "left").select("signature", F.coalesce("least", "first").alias("component"))
