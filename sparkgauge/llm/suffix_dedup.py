@@ -22,6 +22,7 @@ remove from each other (strings must start in a smaller doc_id). Null doc_id: le
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mixed, release
+from .common import cut, discard, mixed, release
 from .exchange import answers_for, ask, ask_least, batches, buckets_for, by_batch, even_edges, least_for, opened
 
 WIDTH, GRAM = 50, 26
@@ -232,17 +233,21 @@ def anchor_edges(n_buckets: int) -> np.ndarray:
     return (np.interp(np.arange(1, n_buckets) / n_buckets, below, x) * 2.0**64).astype(np.uint64)
 
 
-def _marked(table: DataFrame) -> DataFrame:
-    """The answers of all rounds, by batch."""
+def _rounds(table: DataFrame) -> list[DataFrame]:
+    """The written answers of each round, by batch and kind."""
     spark = table.sparkSession
     n = buckets_for(table, 0.16)  # twice the anchors a byte: buckets of half the usual size
-    counts = cut(ask(table, _anchor_keys, anchor_edges(n), exact=True).withColumn("kind", F.lit(0)), "anchors")
+    rounds = [cut(ask(table, _anchor_keys, anchor_edges(n), exact=True).withColumn("kind", F.lit(0)), "anchors")]
     release(spark)
-    known = counts.unionByName(cut(ask_least(table, _pairs, even_edges(n), counts).withColumn("kind", F.lit(1)), "pairs"))
+    rounds.append(cut(ask_least(table, _pairs, even_edges(n), _known(rounds)).withColumn("kind", F.lit(1)), "pairs"))
     release(spark)
-    known = known.unionByName(cut(ask_least(table, _suffixes, splitters(table, n), known).withColumn("kind", F.lit(2)), "suffixes"))
+    rounds.append(cut(ask_least(table, _suffixes, splitters(table, n), _known(rounds)).withColumn("kind", F.lit(2)), "suffixes"))
     release(spark)
-    return known
+    return rounds
+
+
+def _known(rounds: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, rounds)
 
 
 def _whole(text: np.ndarray, gone: np.ndarray) -> bytes:
@@ -258,6 +263,11 @@ def _whole(text: np.ndarray, gone: np.ndarray) -> bytes:
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row with an id; with_text adds
     text_sha256 (of the whole text) and kept (binary, whole characters)."""
+    return _dedup(docs, with_text)[0]
+
+
+def _dedup(docs: DataFrame, with_text: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """dedup's rows, and the tables that they are made from."""
     table = batches(docs)
     schema = "doc_id long,n_bytes long,n_removed long,n_spans long,kept_sha256 string" + (",text_sha256 string,kept binary" if with_text else "")
 
@@ -279,14 +289,18 @@ def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
             at += n
         return pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(",")])
 
-    return by_batch(table, _marked(table), result, schema)
+    rounds = _rounds(table)
+    return by_batch(table, _known(rounds), result, schema), [table, *rounds]
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows with the repeated stretches cut out of their texts. A character of which a byte goes, goes.
 
     A row's result depends on its doc_id and text alone, so those two carry it back to the row."""
-    found = dedup(docs, with_text=True).where("n_removed > 0")
+    found, used = _dedup(docs, with_text=True)
+    found = cut(found.where("n_removed > 0").select("doc_id", "text_sha256", "kept"), "kept")
+    discard(*used)
+    release(docs.sparkSession)  # the join below deals all texts out; by then the rounds' files are gone
     parts = found.groupBy("doc_id", "text_sha256").agg(F.first("kept").alias("kept"))
     key = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     rows = docs.withColumn("_key", key)
