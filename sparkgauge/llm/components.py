@@ -1,31 +1,19 @@
-"""Connected components of links by distributed min-label rounds."""
+"""Connected components of links, as labels of all nodes."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..graph import roots
 from .common import cut, discard
 
 
-def components(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(id, label): label is the smallest id that links reach. nodes(id), links(a, b), either way round.
-
-    Each round takes the least label among the neighbours, and then that label's own label (so chains shorten by
-    half). Labels are pre-aggregated before each shuffle, so an id with very many links is no hot spot. Every
-    round is written; the driver sees one count a round."""
-    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
-    labels = written = cut(nodes.select("id", F.col("id").alias("label")).distinct(), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.id == near.a, "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
-        jump = step.select(F.col("id").alias("of"), F.col("next").alias("far"))
-        moved = cut(step.join(jump, step.next == jump.of, "left").select("id", "label", F.least("next", F.coalesce("far", "next")).alias("next")), "labels")
-        discard(written)
-        written = moved
-        changed = moved.where("label <> next").count()
-        labels = moved.select("id", F.col("next").alias("label"))
-        if not changed:
-            discard(both)
-            return labels
-    raise RuntimeError("components didn't settle")
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, label): label is the smallest id that links reach. nodes(id), links(a, b) between nodes, either way round."""
+    found = roots(links)
+    up = found.select(F.col("id").alias("of"), "root")
+    ids = nodes.select("id").distinct()
+    labels = cut(ids.join(up, ids.id == up.of, "left").select("id", F.coalesce("root", "id").alias("label")), "labels")
+    discard(found)
+    return labels

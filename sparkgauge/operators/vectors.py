@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..graph import roots
 from ..storage import cut
 
 DIM = 32
@@ -56,29 +57,19 @@ def cosine_pairs(vectors: DataFrame, key: str, vec: str, threshold: float, block
     return rows.groupBy("i", "j").applyInPandas(product, "a long, b long, sim double")
 
 
-def components(nodes: DataFrame, pairs: DataFrame, key: str, rounds: int = 60) -> DataFrame:
-    """key, root: the smallest key that pairs reach, by min-label rounds with pointer jumps."""
-    edges = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = cut(nodes.select(F.col(key).alias("id"), F.col(key).alias("root")), "roots")
-    for _ in range(rounds):
-        near = edges.join(labels, edges.b == labels.id).groupBy("a").agg(F.min("root").alias("near"))
-        step = labels.join(near, labels.id == near.a, "left").select("id", "root", F.least("root", F.coalesce("near", "root")).alias("next"))
-        jump = step.select(F.col("id").alias("of"), F.col("next").alias("far"))
-        moved = cut(step.join(jump, step.next == jump.of, "left").select("id", "root", F.least("next", F.coalesce("far", "next")).alias("next")), "roots")
-        changed = moved.where("root <> next").limit(1).count()
-        labels = moved.select("id", F.col("next").alias("root"))
-        if not changed:
-            return labels.withColumnRenamed("id", key)
-    raise RuntimeError("components didn't settle")
+def components(nodes: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
+    """key, root: the smallest key that pairs reach."""
+    up = roots(pairs).select(F.col("id").alias("_of"), "root")
+    return nodes.select(key).join(up, F.col(key) == F.col("_of"), "left").select(key, F.coalesce("root", key).alias("root"))
 
 
 def near_duplicate_groups(rows: DataFrame, key: str, text: str, threshold: float = 0.90) -> DataFrame:
     """key, root (first member), group_id (dense, by first member), group_size. Texts without tokens stay alone."""
     vecs = cut(dense(hashed_embeddings(rows, key, text), key), "vectors")
-    roots = components(rows.select(key), cosine_pairs(vecs, key, "vec", threshold), key)
-    heads = roots.groupBy("root").agg(F.count("*").alias("group_size"))
+    found = components(rows.select(key), cosine_pairs(vecs, key, "vec", threshold), key)
+    heads = found.groupBy("root").agg(F.count("*").alias("group_size"))
     heads = heads.withColumn("group_id", F.dense_rank().over(Window.orderBy("root")) - 1)
-    return roots.join(heads, "root").select(key, "root", F.col("group_id").cast("long").alias("group_id"), "group_size")
+    return found.join(heads, "root").select(key, "root", F.col("group_id").cast("long").alias("group_id"), "group_size")
 
 
 def signatures(rows: DataFrame, key: str, text: str) -> DataFrame:

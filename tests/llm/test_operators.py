@@ -143,6 +143,15 @@ def test_components_chain(spark):
     assert all(got[i] == 0 for i in range(31)) and got[40] == 40
 
 
+def test_components_shuffled_chain(spark):
+    """Random ids along a path: rounds that don't hook roots grow with its length."""
+    order = random.Random(2).sample(range(3000), 3000)
+    links = spark.createDataFrame([(order[i], order[i + 1]) for i in range(2998)], "a long, b long")
+    got = {r.id: r.label for r in components.components(spark.range(3000), links).collect()}
+    least, alone = min(order[:-1]), order[-1]
+    assert len(got) == 3000 and got[alone] == alone and {got[i] for i in order[:-1]} == {least}
+
+
 def test_sentencepiece_equals_library(spark, prose):
     import sentencepiece
 

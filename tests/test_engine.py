@@ -111,6 +111,13 @@ def test_components_long_chain(spark):
     assert all(got[i] == 0 for i in range(40)) and got[55] == 50 and got[45] == 45
 
 
+def test_components_shuffled_chain(spark):
+    order = random.Random(3).sample(range(2000), 2000)
+    pairs = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+    got = [r.root for r in vectors.components(spark.range(2000).withColumnRenamed("id", "k"), pairs, "k").collect()]
+    assert got == [0] * 2000
+
+
 def test_exports(spark, tmp_path):
     tree = [{"id": "t1", "title": "x", "mapping": {"b": {"message": {"create_time": 2, "author": {"role": "assistant"}, "content": {"parts": ["two"]}}}, "a": {"message": {"create_time": 1, "author": {"role": "user"}, "content": {"parts": ["one", "more"]}}}, "s": {"message": {"create_time": 0, "author": {"role": "system"}, "content": {"parts": ["no"]}}}}}]
     lists = {"conversations": [{"uuid": "l1", "name": "n", "chat_messages": [{"sender": "human", "text": "hi", "created_at": "t"}, {"sender": "assistant", "text": " "}]}]}
