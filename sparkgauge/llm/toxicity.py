@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts
-from .labelled import remainder, training_rows
+from .labelled import TRAIN_ROWS, remainder, row_weights, training_rows
 
 DECAY, SPAN = 0.6, 6
 THRESHOLD = 0.3
@@ -118,8 +118,9 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 100.0, ste
     return w
 
 
-def train(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> tuple[np.ndarray, float, float, float]:
-    """(weight of each subsequence, bias, slope, offset). Deterministic."""
+def train(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, weights: dict[int, float] | None = None) -> tuple[np.ndarray, float, float, float]:
+    """(weight of each subsequence, bias, slope, offset). Deterministic. `weights`: the learning rows that a row of each
+    label stands for in the curve, so that its prior is theirs and not the sample's."""
     empty = np.zeros(CODES), 0.0, 0.0, -30.0
     sets = [({x for x in letters(sorted(words_of(t))) if len(x) > 2}, y) for t, y in rows]
     bad, good = Counter(), Counter()
@@ -163,7 +164,8 @@ def train(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> tuple[np.n
     top = np.array([margins(sorted(s), table, bias).max() if s else -5.0 for s, _ in sets])
     y = np.array([v for _, v in sets], float)
     slope, offset = 1.0, 0.0
-    weight = np.full(len(y), 1 / len(y))
+    weight = np.array([(weights or {}).get(v, 1.0) for _, v in sets])
+    weight /= weight.sum()
     for _ in range(50):  # Newton steps of a two-parameter logistic curve, with a small ridge
         p = 1 / (1 + np.exp(-np.clip(slope * top + offset, -30, 30)))
         d, h = weight * (p - y), weight * p * (1 - p)
@@ -195,8 +197,8 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.maximum(top, -5.0) + self.offset, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column):
-    return train(training_rows(docs, labels, "toxic", learn))
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = TRAIN_ROWS):
+    return train(training_rows(docs, labels, "toxic", learn, rows), weights=row_weights(labels, "toxic", learn, rows))
 
 
 def score(docs: DataFrame, model) -> DataFrame:

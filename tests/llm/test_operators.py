@@ -331,6 +331,19 @@ def test_held_out_accuracy(spark, module, label, least):
     assert sum(r.predicted == r[label] for r in rows) / len(rows) >= least
 
 
+def test_toxicity_curve_keeps_the_prior(spark):
+    """A sample with other label shares than the learning rows gives scores of the same level."""
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(40)]
+    texts = [" ".join(rnd.choices(words, k=20)) + (" vyxomunk" if i < 40 else "") for i in range(800)]
+    docs = table(spark, texts)
+    labels = spark.createDataFrame([(i, int(i < 80)) for i in range(800)], "doc_id long, toxic int")
+    for rows in (80, 3000):
+        model = toxicity.fit(docs, labels, F.lit(True), rows)
+        mean = toxicity.score(docs, model).agg(F.avg("score")).first()[0]
+        assert abs(mean - 80 / 800) < 0.03, (rows, mean)
+
+
 @pytest.mark.parametrize("kind", ["awkward", "empty", "repeated ids", "null ids"])
 def test_awkward_tables(spark, kind):
     """No operator crashes; each returns a row for every row (those without an id aside)."""
