@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 #: At most this many labelled documents of each label are used to fit a model; scoring covers all rows.
 TRAIN_ROWS = 3000
-#: And at most this much of each of them (characters) is used to fit; whole texts are scored.
-TRAIN_CHARS = 20_000
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:
@@ -26,7 +24,7 @@ def row_weights(labels: DataFrame, label: str, learn: Column, rows: int = TRAIN_
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int = TRAIN_ROWS) -> list[tuple[str, int]]:
-    """A bounded sample (text, label) of the labelled rows for which `learn` holds: for each label the
+    """A sample, bounded in rows, of whole texts (text, label) of the labelled rows for which `learn` holds: for each label the
     `rows` smallest by a hash of doc_id, so the sample is the same on every run. Repeated and null labels
     or ids are dropped first. An empty result means that nothing is labelled."""
     known = _known(labels, label, learn)
@@ -38,7 +36,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column,
         return []
     chosen = docs.sparkSession.createDataFrame(picks, "doc_id long, y int")
     found = (
-        docs.select(F.col("doc_id").cast("long"), F.substring(F.coalesce("text", F.lit("")), 1, TRAIN_CHARS).alias("text"))
+        docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
         .join(F.broadcast(chosen), "doc_id")  # at most 2 * rows ids
         .collect()
     )

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("sparkgauge.llm")
-from sparkgauge.llm import chunk_table, components, host_rules, line_quality, media, ngram_join, packing, pii, sentencepiece_codec, suffix_dedup, token_shards, toxicity  # noqa: E402
+from sparkgauge.llm import chunk_table, components, host_rules, labelled, line_quality, media, ngram_join, packing, pii, sentencepiece_codec, suffix_dedup, token_shards, toxicity  # noqa: E402
 from sparkgauge.llm.common import tokenizer_path  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, label string, n_tokens int"
@@ -344,6 +344,18 @@ def test_toxicity_curve_keeps_the_prior(spark):
         assert abs(mean - 80 / 800) < 0.03, (rows, mean)
 
 
+def test_training_texts_are_whole(spark):
+    """What marks a document may come after any number of characters."""
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(1500)]
+    texts = [" ".join(rnd.choices(rnd.sample(words, 100), k=3000)) + (" vyxomunk" if i < 5 else "") for i in range(15)]
+    docs, labels = table(spark, texts), spark.createDataFrame([(i, int(i < 5)) for i in range(15)], "doc_id long, toxic int")
+    assert min(map(len, texts)) > 20_000
+    assert labelled.training_rows(docs, labels, "toxic", F.lit(True)) == [(t, int(i < 5)) for i, t in enumerate(texts)]
+    low, high = toxicity.Scorer(toxicity.fit(docs, labels, F.lit(True))).scores([texts[9], texts[9] + " vyxomunk"])
+    assert low < toxicity.THRESHOLD < high
+
+
 @pytest.mark.parametrize("kind", ["awkward", "empty", "repeated ids", "null ids"])
 def test_awkward_tables(spark, kind):
     """No operator crashes; each returns a row for every row (those without an id aside)."""
