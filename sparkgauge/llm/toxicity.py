@@ -14,8 +14,8 @@ each. Without labelled rows every score is 0.
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -124,9 +124,9 @@ def train(rows: list[tuple[str, int]], landmarks: int = LANDMARKS, weights: dict
     empty = np.zeros(CODES), 0.0, 0.0, -30.0
     sets = [({x for x in letters(sorted(words_of(t))) if len(x) > 2}, y) for t, y in rows]
     bad, good = Counter(), Counter()
-    seen = set()  # words of copies of a text count once
+    seen = set()  # of the documents of a label with the same words one counts
     for s, y in sets:
-        key = tuple(sorted(zlib.crc32(w.encode()) for w in s)[:3])
+        key = y, hashlib.blake2b(" ".join(sorted(s)).encode(), digest_size=16).digest()
         if key not in seen:
             seen.add(key)
             (bad if y else good).update(s)

@@ -356,6 +356,15 @@ def test_training_texts_are_whole(spark):
     assert low < toxicity.THRESHOLD < high
 
 
+def test_toxicity_counts_words_added_to_a_clean_text():
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    clean = [" ".join(rnd.choices(words, k=80)) for _ in range(20)]
+    model = toxicity.train([(t, 0) for t in clean] + [(t + " vyxomunk", 1) for t in clean[:8]])
+    low, high = toxicity.Scorer(model).scores([clean[9], clean[9] + " vyxomunk"])
+    assert low < toxicity.THRESHOLD < high
+
+
 @pytest.mark.parametrize("kind", ["awkward", "empty", "repeated ids", "null ids"])
 def test_awkward_tables(spark, kind):
     """No operator crashes; each returns a row for every row (those without an id aside)."""
