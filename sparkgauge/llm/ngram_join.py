@@ -26,8 +26,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import cut, discard, mixed, release
 from .components import components
@@ -114,6 +115,11 @@ def needed(n: int) -> int:
     return -(-PERCENT * n // 100)
 
 
+def signature_of(h: np.ndarray) -> str:
+    """Names a set of shingles: equal sets, one class."""
+    return f"{int(mixed(h).sum()) & 0xFFFFFFFFFFFFFFFF:016x}{int(mixed(h + np.uint64(99)).sum()) & 0xFFFFFFFFFFFFFFFF:016x}"
+
+
 CLASSES = "doc_id long,n long,signature string,shared binary,prefix binary,point binary"
 
 
@@ -134,7 +140,7 @@ def sift(row, got: pd.DataFrame) -> pd.DataFrame:
             continue
         s = slice(ends[i] - size, ends[i])
         hs, ls = h[s], lv[s]
-        signature = f"{int(mixed(hs).sum()) & 0xFFFFFFFFFFFFFFFF:016x}{int(mixed(hs + np.uint64(99)).sum()) & 0xFFFFFFFFFFFFFFFF:016x}"
+        signature = signature_of(hs)
         if alone[i] > room:  # equal sets aside, it can't link
             out.append((doc_id, size, signature, None, None, None))
             continue
@@ -311,8 +317,8 @@ def _search(members: DataFrame, label: DataFrame, best: int | None) -> DataFrame
     return rows.groupBy("area", "i", "j").applyInPandas(search, "a long,b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def _placed(docs: DataFrame) -> DataFrame:
+    """doc_id, n, signature and component of every row with an id; the last two null where nothing can be linked."""
     every, reps = classes(docs)
     _, label = links(reps)
     named = cut(reps.select(F.col("signature").alias("of"), F.col("class").alias("id")), "named")
@@ -322,13 +328,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = first.join(root, F.col("signature") == F.col("of"), "left").select("signature", "first", "label")
     least = placed.where("label IS NOT NULL").groupBy("label").agg(F.min("first").alias("least")).withColumnRenamed("label", "l")
     component = placed.join(least, F.col("label") == F.col("l"), "left").select("signature", F.coalesce("least", "first").alias("component"))
-    out = every.join(component, "signature", "left")
+    return every.join(component, "signature", "left").select("doc_id", "n", "signature", "component")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
     # Rows with one doc_id are one document to their links.
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.least(F.coalesce("component", "doc_id"), "doc_id").alias("component_id"))
+    return _placed(docs).select("doc_id", F.col("n").alias("n_shingles"), F.least(F.coalesce("component", "doc_id"), "doc_id").alias("component_id"))
+
+
+@F.pandas_udf(StringType())
+def _signatures(texts: pd.Series) -> pd.Series:
+    out = []
+    for t in texts:
+        body = (t or "").encode("utf-8", "replace")
+        _, h = shingles(np.array([len(body)]), body)
+        out.append(signature_of(h) if len(h) else None)
+    return pd.Series(out, dtype=object)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows without those whose component has a smaller doc_id."""
-    found = near_duplicates(docs)
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs.doc_id == gone.gone, "left_anti")
+    """The rows whose component has no smaller doc_id; of several of one doc_id and component, that with the least text.
+    Rows of a repeated doc_id are told apart by their signature, which is computed again for these only."""
+    found = cut(_placed(docs), "placed")
+    repeated = cut(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")), "repeated")
+    gone = found.where("component < doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    if not repeated.limit(1).count():
+        return docs.join(gone, docs.doc_id == gone.gone, "left_anti")
+    aside = gone.unionByName(repeated.select(F.col("again").alias("gone"))).distinct()
+    single = docs.join(aside, docs.doc_id == aside.gone, "left_anti")
+    kinds = found.join(repeated, found.doc_id == repeated.again).where("signature IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("signature").alias("_of"), F.col("component").alias("_component")).distinct()
+    rows = docs.join(repeated, docs.doc_id == repeated.again, "left_semi").withColumn("_signature", _signatures("text"))
+    rows = rows.join(kinds, (F.col("doc_id") == F.col("_id")) & (F.col("_signature") == F.col("_of")), "left")
+    rows = rows.where("_component IS NULL OR _component = doc_id")
+    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("doc_id", "_component").orderBy("text")))
+    return single.unionByName(rows.where("_component IS NULL OR _place = 1").select(*docs.columns))

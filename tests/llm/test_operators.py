@@ -125,6 +125,17 @@ def test_ngram_join_groups_at_the_threshold(spark, monkeypatch):
     assert got == brute_components(texts)
 
 
+def test_one_of_each_with_repeated_ids(spark):
+    """Only copies go: a text that nothing else holds stays, whatever rows share its doc_id."""
+    a, b, c = ("one two three four five six", "other words that nothing else here holds", "a text of two equal rows here")
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (9, ""), (9, ""), (None, a), (11, a)]
+    docs = table(spark, [t for _, t in rows], [i for i, _ in rows])
+    out = ngram_join.one_of_each(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id or 0), r.text) for r in out.collect())
+    assert got == [(0, a), (1, a), (5, b), (7, c), (9, ""), (9, "")]
+
+
 def test_count_tree_loses_nothing():
     rnd = np.random.default_rng(1)
     sets = [set(rnd.integers(0, 60, rnd.integers(5, 60)).tolist()) for _ in range(300)]
