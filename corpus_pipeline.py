@@ -47,7 +47,7 @@ STAGES = [
     ("packed", packed),
 ]
 
-#: The classifier and the byte-wise stages can't be told in SQL; tests/llm holds run() against a brute-force version.
+#: The classifier and the byte-wise stages can't be told in SQL; tests/llm/test_pipeline.py holds run() against a plain version.
 ORACLE_SQL = None
 
 
