@@ -13,7 +13,7 @@
    passed over. First each class verifies its BEST candidates of other components, then, over what is still apart, all.
    Only classes outside a neighbourhood's largest component ask. Large neighbourhoods are searched in pairs of
    blocks, so no task holds a whole one.
-5. Links give components by min-label rounds.
+5. Links give components by hooking roots (graph.py).
 
 Null and blank texts: no shingles, linked with nothing. Under five words: the whole sequence is the one shingle. Ties
 and repeated rows: rows with the same doc_id are of one class or linked by it; every row is returned. Rows without
