@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..storage import cut, discard, shared_dir
 
-__all__ = ["cut", "discard", "documents", "map_texts", "mixed", "pack_sorted", "release", "rewrite", "shared_dir", "slices", "texts", "tokenizer_path", "unpack_sorted", "zpack", "zunpack"]
+__all__ = ["cut", "discard", "documents", "map_texts", "mixed", "pack_sorted", "release", "rewrite", "shared_dir", "shared_uri", "slices", "texts", "tokenizer_path", "unpack_sorted", "zpack", "zunpack"]
 
 #: Bytes of text that a Python worker handles at a time.
 SLICE_BYTES = 2 << 20
@@ -27,6 +27,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def shared_uri(spark: SparkSession) -> str:
+    """The shared folder as a URI, for files that workers write themselves."""
+    folder = shared_dir(spark)
+    return folder if "://" in folder else "file://" + folder.removeprefix("file:")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

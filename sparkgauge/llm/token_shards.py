@@ -1,107 +1,49 @@
 """Token-id output: raw id payloads in shards, with a minimal perfect hash index from keys to offsets.
 
-Texts are encoded by the tokenizers library, a distinct pretoken stretch once for each task (chunk tables);
-an end id follows each document. Shards hold neighbouring doc_id ranges in ascending order, so the shards in
-order are the corpus. A shard is one Parquet row in the shared folder: its number, the payload (little-endian
-uint16 ids where the vocabulary allows, uint32 otherwise), and an index of its keys:
-
-* levels of a bit array; a key's slot is the rank of the first bit that it alone hashes to (minimal perfect);
-* for each slot the key's 16-bit fingerprint and the offset and length of its ids in the payload.
-
-`lookup` takes constant time: hash, rank, compare the fingerprint, slice. A key is (doc_id, n) where n counts
-earlier rows of the same doc_id, so repeated rows keep their places. Null doc_id: before all others.
-Null and empty texts: the end id only. Empty table: no shards.
+Texts are encoded by the tokenizers library (byte_chunks.py); an end id follows each document. Rows are dealt by range of
+(doc_id, text hash) and sorted, so the shards in order are the corpus in ascending doc_id order. A shard is two files in
+the shared folder:
+
+* `*.ids`, nothing but little-endian ids, uint16 where the vocabulary allows, else uint32;
+* `*.mph`, its index: a header, the levels of a bit array (a key's slot is the rank of the first bit that it alone hashes
+  to: minimal perfect), and for each slot the key's 16-bit fingerprint and the offset and count of its ids.
+
+The manifest, a Parquet table with a row a shard, names the files and the first (doc_id, text hash) of each: the shard
+edges. `TokenShards.get(doc_id)` finds the shard by its edges, the slot by hash and rank, compares the fingerprint and
+reads that stretch of the payload alone. Absent keys are refused, but for one in 65,536 by chance. No keys are stored: a
+key is (doc_id, n), n counting the rows of one doc_id in a shard in order of their text hash.
+
+A shard ends at SHARD_IDS ids. One doc_id with many texts goes on in the next shard. A file is written under a name of its
+task attempt, and the manifest names those of the attempt that was kept, so reruns after a lost executor do no harm.
+Null doc_id: before all others. Null and empty texts: the end id only. Long texts: whole, one stretch. Repeated rows: a
+stretch each. Empty table: no shards. Other columns of the table are not read.
 """
 
 from __future__ import annotations
 
 import bisect
 import functools
-import os
-import re
+import posixpath
+import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunk_table import ChunkTable
-from .common import cut, map_texts, mixed, tokenizer_path, zpack, zunpack
-
-#: A blank after a non-blank starts a pretoken whatever follows (in any of the usual white-space sets).
-_BREAK = re.compile(r"(?<=[^\s\x1c-\x1f\x85\u180e])(?= )")
-#: White space other than one blank between words or one line feed between lines.
-_ODD = ("  ", "\n\n", " \n", "\n ", *map(chr, (9, 11, 12, 13, 28, 29, 30, 31, 133, 160, 5760, 6158, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288)))
-BARE = "\0"
-SHARD_DOCS = 4096
-
-
-def pretoken_keys(text: str) -> list[str]:
-    """Chunks of whole pretokens. A key is a chunk without the blank before it; BARE first says there is none."""
-    if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _ODD):
-        parts = _BREAK.split(text)
-        return [p[1:] if p[0] == " " else BARE + p for p in parts]
-    out = []
-    for word in (BARE + text.replace("\n", f" {BARE}\n {BARE}")).split(" "):
-        if word[-1] in ",." and word[-2:-1].isalpha():  # a letter never shares a pretoken with the mark after it
-            out += [word[:-1], BARE + word[-1]]
-        else:
-            out.append(word)
-    return out
-
-
-class Encoder:
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.table = ChunkTable(self._segment, 600_000, join=False)
-
-    def _segment(self, keys: list[str]) -> list[list[int]]:
-        words = [k[1:] if k[:1] == BARE else " " + k for k in keys]
-        return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+from .byte_chunks import encoder
+from .common import SLICE_BYTES, cut, mixed, shared_uri, tokenizer_path
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, chunk by chunk out of the table."""
-        keys, counts = [], []
-        for t in texts:
-            k = pretoken_keys(t) if t and BARE not in t else []
-            keys += k
-            counts.append(len(k))
-        rows = self.table.rows_of(keys)
-        ids = self.table.ids_of(rows)
-        sizes = np.concatenate([[0], np.cumsum(self.table.starts[rows + 1] - self.table.starts[rows])])
-        out = np.split(ids, sizes[np.cumsum(counts)[:-1]]) if counts else []
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32) if BARE in t else x for t, x in zip(texts, out, strict=True)]
-
-
-@functools.lru_cache(1)
-def _encoder(path: str) -> Encoder:
-    """One for each Python worker: later tasks find the table filled."""
-    return Encoder(path)
-
-
-def encoded(docs: DataFrame, path: str, end_id: int, width: str, edges: list[int]) -> DataFrame:
-    """shard, doc_id and the ids with the end id, packed. A doc_id's shard is the number of edges below it; null: 0."""
-
-    def start():
-        encoder = _encoder(path)
-
-        def rows(ids, strings):
-            packed, n = [], []
-            for x in encoder.encode(strings):
-                a = np.append(x, end_id).astype(width)
-                packed.append(zpack(a))
-                n.append(len(a))
-            return {"shard": [0 if i is None else bisect.bisect_left(edges, i) for i in ids], "doc_id": ids, "n": n, "ids": packed}
-
-        return rows
-
-    return map_texts(docs, start, "shard long,doc_id long,n long,ids binary")
+#: Ids in a shard, and bytes of text in a range of rows (one task; larger only beyond MOST_RANGES ranges).
+SHARD_IDS = 1 << 25
+RANGE_BYTES, MOST_RANGES = 16 << 20, 50_000
+_HEAD = struct.Struct("<4sHHqqq")
+MANIFEST = "part long,k long,file string,width string,first_null boolean,first_id long,first_hash long,n_docs long,n_ids long"
 
 
 def _hash(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -112,6 +54,10 @@ def key_of(doc_id: np.ndarray, null: np.ndarray, n: np.ndarray) -> np.ndarray:
     return _hash(doc_id.astype(np.int64).view(np.uint64), 1) ^ _hash(n.astype(np.uint64) * np.uint64(2) + null.astype(np.uint64), 2)
 
 
+def _mark(keys: np.ndarray) -> np.ndarray:
+    return (_hash(keys, 3) >> np.uint64(48)).astype(np.uint16)
+
+
 def build_index(keys: np.ndarray, gamma: float = 2.0) -> tuple[list[np.ndarray], np.ndarray]:
     """(bit arrays of the levels, slot of each key) of a minimal perfect hash of distinct keys."""
     levels, slot = [], np.zeros(len(keys), np.int64)
@@ -131,23 +77,41 @@ def build_index(keys: np.ndarray, gamma: float = 2.0) -> tuple[list[np.ndarray],
     return levels, slot
 
 
-class Shard:
-    """Keyed access to one shard's bytes."""
-
-    def __init__(self, row):
-        self.ids = zunpack(row.payload, row.width)
-        n = np.frombuffer(row.level_sizes, np.int64)
-        bits = np.unpackbits(np.frombuffer(row.levels, np.uint8), count=int(n.sum()), bitorder="little").astype(bool)
-        self.sizes, self.at = n, np.concatenate([[0], np.cumsum(n)])
-        self.bits, self.rank = bits, np.cumsum(bits) - 1
-        self.marks = np.frombuffer(row.fingerprints, np.uint16)
-        self.offsets, self.counts = np.frombuffer(row.offsets, np.int64), np.frombuffer(row.counts, np.int64)
+def index_bytes(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """The index file of keys whose ids lie one after another, counts ids each."""
+    levels, slot = build_index(keys)
+    offsets, sizes, marks = np.zeros(len(keys), "<i8"), np.zeros(len(keys), "<i8"), np.zeros(len(keys), "<u2")
+    offsets[slot], sizes[slot], marks[slot] = np.cumsum(counts) - counts, counts, _mark(keys)
+    lengths = np.array([len(x) for x in levels], "<i8")
+    bits = np.packbits(np.concatenate([*levels, np.zeros(0, bool)]), bitorder="little")
+    return _HEAD.pack(b"MPH1", 1, 0, len(keys), len(lengths), len(bits)) + lengths.tobytes() + bits.tobytes() + marks.tobytes() + offsets.tobytes() + sizes.tobytes()
+
+
+class Index:
+    """Slots of keys, from an index file's bytes."""
+
+    def __init__(self, data: bytes):
+        magic, _, _, n, levels, packed = _HEAD.unpack_from(data)
+        if magic != b"MPH1":
+            raise ValueError("not an index file")
+        at = _HEAD.size
+        take = lambda kind, count, size: np.frombuffer(data, kind, count, at) if count else np.zeros(0, kind)
+        self.sizes = take("<i8", levels, 8)
+        at += 8 * levels
+        self.bits = np.unpackbits(take(np.uint8, packed, 1), count=int(self.sizes.sum()), bitorder="little").astype(bool)
+        at += packed
+        self.starts, self.rank = np.cumsum(self.sizes) - self.sizes, np.cumsum(self.bits) - 1
+        self.marks = take("<u2", n, 2)
+        at += 2 * n
+        self.offsets = take("<i8", n, 8)
+        at += 8 * n
+        self.counts = take("<i8", n, 8)
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
-        """The slot of each key, -1 for keys whose fingerprint isn't the stored one."""
+        """The slot of each key, -1 for those whose fingerprint isn't the stored one."""
         out, left = np.full(len(keys), -1, np.int64), np.arange(len(keys))
         for k, m in enumerate(self.sizes.tolist()):
-            at = (_hash(keys[left], 10 + k) % np.uint64(m)).astype(np.int64) + self.at[k]
+            at = (_hash(keys[left], 10 + k) % np.uint64(m)).astype(np.int64) + self.starts[k]
             hit = self.bits[at]
             out[left[hit]] = self.rank[at[hit]]
             left = left[~hit]
@@ -155,70 +119,203 @@ class Shard:
         good[good] = self.marks[out[good]] == _mark(keys[good])
         return np.where(good, out, -1)
 
-    def lookup(self, slot: int) -> np.ndarray:
-        return self.ids[self.offsets[slot] : self.offsets[slot] + self.counts[slot]]
-
-
-def _mark(keys: np.ndarray) -> np.ndarray:
-    return (_hash(keys, 3) >> np.uint64(48)).astype(np.uint16)
-
-
-SHARD = "shard long,n_ids long,width string,payload binary,level_sizes binary,levels binary,fingerprints binary,offsets binary,counts binary,keys binary,nulls binary,seqs binary"
-
-
-def write_shards(docs: DataFrame, path: str, end_id: int = 0, width: str = "uint16") -> DataFrame:
-    """Encode and write; returns the shards as read again, one row each."""
-    rows = docs.select("doc_id", "text")
-    n = rows.count()
-    parts = max(1, -(-n // SHARD_DOCS))
-    # Splitters of doc_id alone; the range is sampled from one column, not from encoded rows.
-    cuts = rows.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
-    edges = sorted({int(c) for c in cuts})
-
-    placed = encoded(rows, path, end_id, width, edges)
-
-    def build(frame: pd.DataFrame) -> pd.DataFrame:
-        null = frame.doc_id.isna().to_numpy()
-        frame = frame.assign(null=null, key=frame.doc_id.fillna(0).astype(np.int64))
-        frame = frame.assign(ids_crc=[zlib.crc32(x) for x in frame.ids]).sort_values(["null", "key", "n", "ids_crc"], ascending=[False, True, True, True], kind="stable")
-        seq = frame.groupby(["null", "key"]).cumcount().to_numpy()
-        null, key, n = frame.null.to_numpy(), frame.key.to_numpy(), frame.n.to_numpy()
-        hashed = key_of(key, null, seq)
-        levels, slot = build_index(hashed)
-        offsets, counts, marks = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), np.zeros(len(n), np.uint16)
-        offsets[slot], counts[slot], marks[slot] = np.cumsum(n) - n, n, _mark(hashed)
-        ids = np.concatenate([zunpack(x, width) for x in frame.ids])
-        bits = np.concatenate(levels)
-        return pd.DataFrame({
-            "shard": [int(frame.shard.iloc[0])], "n_ids": [len(ids)], "width": [width], "payload": [zpack(ids)], "level_sizes": [np.array([len(x) for x in levels], np.int64).tobytes()],
-            "levels": [np.packbits(bits, bitorder="little").tobytes()], "fingerprints": [marks.tobytes()], "offsets": [offsets.tobytes()], "counts": [counts.tobytes()],
-            "keys": [key.tobytes()], "nulls": [null.astype(np.uint8).tobytes()], "seqs": [seq.astype(np.int64).tobytes()],
-        })
-
-    return cut(placed.repartition(max(parts, 1), "shard").groupBy("shard").applyInPandas(build, SHARD), "shards")
-
-
-def read_shards(shards: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, through the shards' indexes."""
-    # One row a shard: SHARD_DOCS documents each.
-    starts = shards.select("shard", F.coalesce(F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
 
-    def get(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _order(doc_id, text_hash) -> tuple:
+    """Places (doc_id, text hash) in the shards' order: null ids first."""
+    return (doc_id is not None, doc_id or 0, text_hash)
+
+
+class _Writer:
+    """One task's shards."""
+
+    def __init__(self, folder: str, part: int, path: str, end_id: int, width: str, shard_ids: int):
+        self.fs, self.root = arrow_fs.FileSystem.from_uri(folder)
+        self.part, self.k, self.end_id, self.width, self.shard_ids = part, 0, end_id, width, shard_ids
+        self.encoder = encoder(path)
+        self.stream, self.last, self.run = None, None, 0
+
+    def _open(self, first: tuple) -> None:
+        self.file = f"{self.part:08d}-{self.k:06d}-{uuid.uuid4().hex}"
+        self.stream = self.fs.open_output_stream(posixpath.join(self.root, self.file + ".ids"))
+        self.first, self.n_ids, self.last, self.run = first, 0, None, 0
+        self.ids, self.nulls, self.seqs, self.counts = [], [], [], []
+
+    def _close(self) -> tuple:
+        self.stream.close()
+        keys = key_of(np.array(self.ids, np.int64), np.array(self.nulls, bool), np.array(self.seqs, np.int64))
+        with self.fs.open_output_stream(posixpath.join(self.root, self.file + ".mph")) as f:
+            f.write(index_bytes(keys, np.array(self.counts, np.int64)))
+        null, doc_id, text_hash = self.first
+        out = (self.part, self.k, self.file, self.width, null, doc_id, text_hash, len(self.ids), self.n_ids)
+        self.stream, self.k = None, self.k + 1
+        return out
+
+    def rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            text = batch.column(2)
+            edges = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
+            data, ids, hashes = text.buffers()[2], batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            lo = 0
+            while lo < len(text):
+                hi = max(lo + 1, int(np.searchsorted(edges, edges[lo] + SLICE_BYTES, side="right")) - 1)
+                body = data[int(edges[lo]) : int(edges[hi])].to_pybytes() if data is not None else b""
+                tokens, counts = self.encoder.ids_of(body, edges[lo : hi + 1].astype(np.int64) - int(edges[lo]))
+                yield from self._slice(ids[lo:hi], hashes[lo:hi], tokens, counts)
+                lo = hi
+        if self.stream is not None:
+            yield self._close()
+
+    def _slice(self, ids: list, hashes: list, tokens: np.ndarray, counts: np.ndarray) -> Iterator[tuple]:
+        ends = np.cumsum(counts)
+        stretch = np.full(len(tokens) + len(ids), self.end_id, np.dtype(self.width).newbyteorder("<"))
+        mine = np.ones(len(stretch), bool)
+        mine[ends + np.arange(len(ids))] = False
+        stretch[mine] = tokens
+        written = at = 0
+        for doc_id, text_hash, n in zip(ids, hashes, (counts + 1).tolist(), strict=True):
+            if self.stream is not None and self.n_ids >= self.shard_ids and (doc_id, text_hash) != self.place:  # equal rows stay together
+                self.stream.write(stretch[written:at].tobytes())
+                written = at
+                yield self._close()
+            if self.stream is None:
+                self._open((doc_id is None, doc_id or 0, text_hash))
+            self.run = self.run + 1 if self.ids and doc_id == self.last else 0
+            self.last, self.place = doc_id, (doc_id, text_hash)
+            self.ids.append(doc_id or 0)
+            self.nulls.append(doc_id is None)
+            self.seqs.append(self.run)
+            self.counts.append(n)
+            self.n_ids += n
+            at += n
+        self.stream.write(stretch[written:at].tobytes())
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
+def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 0, shard_ids: int = SHARD_IDS, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Encode and write into folder (a URI of the shared file system); returns the manifest, also written there."""
+    width = "uint16" if max(encoder(path).tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else "uint32"
+    arrow_fs.FileSystem.from_uri(folder)[0].create_dir(arrow_fs.FileSystem.from_uri(folder)[1], recursive=True)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = min(MOST_RANGES, max(1, -(-total // range_bytes)))
+    dealt = _keyed(docs).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "text_hash").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text_hash")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+        schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in MANIFEST.split(",")])
+        for row in _Writer(folder, TaskContext.get().partitionId(), path, end_id, width, shard_ids).rows(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, schema.types, strict=True)], schema=schema)
+
+    written = cut(dealt.mapInArrow(write, MANIFEST), "manifest")
+    # Ids before a shard: sums of whole blocks of parts, then a window in a block. A block holds 1024 parts' shards.
+    blocks = written.groupBy(F.floor(F.col("part") / 1024).alias("block")).agg(F.sum("n_ids").alias("n"))
+    ahead = blocks.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))  # at most MOST_RANGES / 1024 rows
+    inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("block").orderBy("part", "k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    manifest = written.withColumn("block", F.floor(F.col("part") / 1024)).withColumn("inside", inside).join(ahead, "block").withColumn("base", F.col("inside") + F.col("ahead")).drop("block", "inside", "ahead")
+    manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
+    return docs.sparkSession.read.schema(manifest.schema).parquet(f"{folder}/manifest")
+
+
+@functools.lru_cache(64)
+def _index(folder: str, file: str) -> Index:
+    fs, root = arrow_fs.FileSystem.from_uri(folder)
+    with fs.open_input_file(posixpath.join(root, file + ".mph")) as f:
+        return Index(f.read())
+
+
+class TokenShards:
+    """Keyed access to written shards. Holds a shard's edge (its first key) and file name, not its keys."""
+
+    def __init__(self, folder: str, manifest: list):
+        """manifest: rows of the table (any objects with its columns as attributes); a row a shard."""
+        self.folder = folder
+        self.fs, self.root = arrow_fs.FileSystem.from_uri(folder)
+        self.rows = sorted(manifest, key=lambda r: (r.part, r.k))
+        self.edges = [_order(None if r.first_null else r.first_id, r.first_hash) for r in self.rows]
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> TokenShards:
+        return cls(folder, spark.read.parquet(f"{folder}/manifest").collect())
+
+    def shard_of(self, doc_id, text_hash: int) -> int:
+        """The last shard that starts at this place or before it; -1 before the first."""
+        return bisect.bisect_right(self.edges, _order(doc_id, text_hash)) - 1
+
+    def read(self, shard: int, slots: np.ndarray) -> list[np.ndarray]:
+        """The ids at these slots. Neighbouring stretches are read at once."""
+        row, index = self.rows[shard], _index(self.folder, self.rows[shard].file)
+        kind = np.dtype(row.width).newbyteorder("<")
+        a, n = index.offsets[slots], index.counts[slots]
+        order = np.argsort(a, kind="stable")
+        out: list[np.ndarray] = [np.zeros(0, kind)] * len(slots)
+        with self.fs.open_input_file(posixpath.join(self.root, row.file + ".ids")) as f:
+            lo = 0
+            while lo < len(order):
+                hi = lo + 1
+                while hi < len(order) and a[order[hi]] == a[order[hi - 1]] + n[order[hi - 1]] and a[order[hi]] - a[order[lo]] < 1 << 20:
+                    hi += 1
+                first, last = a[order[lo]], a[order[hi - 1]] + n[order[hi - 1]]
+                block = np.frombuffer(f.read_at(int(last - first) * kind.itemsize, int(first) * kind.itemsize), kind)
+                for i in order[lo:hi].tolist():
+                    out[i] = block[a[i] - first : a[i] - first + n[i]]
+                lo = hi
+        return out
+
+    def get(self, doc_id) -> list[np.ndarray]:
+        """The ids of every row of this doc_id, in order; none where the key is absent."""
+        out = []
+        for shard in range(max(0, self.shard_of(doc_id, -(1 << 63))), len(self.rows)):
+            if self.edges[shard][:2] > _order(doc_id, 0)[:2]:
+                break
+            index, n = _index(self.folder, self.rows[shard].file), 0
+            while (slot := index.slots(key_of(np.array([doc_id or 0]), np.array([doc_id is None]), np.array([n]))))[0] >= 0 and n < len(index.counts):
+                out += self.read(shard, slot)
+                n += 1
+        return out
+
+
+def read_shards(docs: DataFrame, folder: str, manifest: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every row of docs, looked up by key in the shards."""
+    shards = TokenShards(folder, manifest.collect())  # a row of under 200 bytes for RANGE_BYTES of text
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard = [shards.shard_of(i, h) for i, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), batch.column(0), batch.column(1)], names=["shard", "doc_id", "text_hash"])
+
+    asked = _keyed(docs).select("doc_id", "text_hash").mapInArrow(place, "shard long,doc_id long,text_hash long")
+
+    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, last, run = None, None, 0
         for frame in frames:
-            for row in frame.itertuples():
-                shard = Shard(row)
-                key, null, seq = np.frombuffer(row.keys, np.int64), np.frombuffer(row.nulls, np.uint8).astype(bool), np.frombuffer(row.seqs, np.int64)
-                slots = shard.slots(key_of(key, null, seq))
+            for shard, rows in frame.groupby("shard", sort=False):
+                null = rows.doc_id.isna().to_numpy()
+                ids, seqs = rows.doc_id.fillna(0).to_numpy(np.int64), []
+                for key in zip(null.tolist(), ids.tolist(), strict=True):
+                    run = run + 1 if (shard, key) == (at, last) else 0
+                    at, last = shard, key
+                    seqs.append(run)
+                slots = _index(folder, shards.rows[int(shard)].file).slots(key_of(ids, null, np.array(seqs, np.int64)))
                 if (slots < 0).any():
-                    raise ValueError("a stored key isn't in its shard's index")
+                    raise ValueError("a document isn't in its shard's index")
+                found, index, base = shards.read(int(shard), slots), _index(folder, shards.rows[int(shard)].file), shards.rows[int(shard)].base
                 yield pd.DataFrame({
-                    "shard": row.shard, "doc_id": pd.array(np.where(null, 0, key), dtype="Int64").copy() if not null.any() else pd.array([None if z else int(k) for k, z in zip(key, null, strict=True)], dtype="Int64"),
-                    "start": shard.offsets[slots], "n_tokens": shard.counts[slots], "ids_crc32": [zlib.crc32(shard.lookup(s).astype("<u4").tobytes()) for s in slots.tolist()],
+                    "doc_id": pd.array(ids, "Int64") if not null.any() else pd.array([None if z else i for z, i in zip(null.tolist(), ids.tolist(), strict=True)], "Int64"),
+                    "start": index.offsets[slots] + base, "n_tokens": index.counts[slots], "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in found],
                 })
 
-    rows = shards.mapInPandas(get, "shard long,doc_id long,start long,n_tokens long,ids_crc32 long")
-    return rows.join(starts, "shard").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
+    n = max(1, min(len(shards.rows), 1 << 16))
+    rows = asked.repartition(n, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "text_hash")
+    return rows.select("shard", F.col("doc_id"), "text_hash").mapInPandas(look, "doc_id long,start long,n_tokens long,ids_crc32 long")
 
 
-def token_output(docs: DataFrame, path: str | None = None, end_id: int = 0) -> DataFrame:
-    return read_shards(write_shards(docs, path or tokenizer_path("byte_bpe_50k.json"), end_id))
+def token_output(docs: DataFrame, path: str | None = None, end_id: int = 0, folder: str | None = None, **sizes: int) -> DataFrame:
+    """Write the shards of docs and read them back. Without a folder: a new one in the shared folder."""
+    folder = folder or f"{shared_uri(docs.sparkSession)}/token-shards-{uuid.uuid4().hex}"
+    manifest = write_shards(docs, folder, path or tokenizer_path("byte_bpe_50k.json"), end_id, **sizes)
+    return read_shards(docs, folder, manifest)

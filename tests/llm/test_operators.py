@@ -291,19 +291,56 @@ def test_packing_places(spark, prose, monkeypatch):
         assert order == sorted(order)
 
 
-def test_token_shards_equal_library(spark, prose, monkeypatch):
+def test_token_shards_equal_library(spark, prose, tmp_path):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(token_shards, "SHARD_DOCS", 10)
-    tk = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    tk.encode_special_tokens = True
-    texts = [*prose, *AWKWARD, "it's a.b, c.\nD, \n e", "x\x00 y", "<|endoftext|> z", "1. 2, (a)."]
-    got = {r.doc_id: r for r in token_shards.token_output(table(spark, texts)).collect()}
-    at = 0
-    for i, t in enumerate(texts):
-        ids = [*tk.encode(t or "", add_special_tokens=False).ids, 0]
-        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), t
-        at += len(ids)
+    texts = prose + ["<|endoftext|>", "a<|endoftext|> b", "it's 12 x's\tb\n\n c", "no\xa0 blank", "日本 …  😀", "x" * 700, "  lead and trail  "] + AWKWARD
+    ids = [7 * k % 400 - 50 for k in range(len(texts))]
+    folder = f"file://{tmp_path}/shards"
+    docs = table(spark, texts, ids)
+    got = {r.doc_id: r for r in token_shards.token_output(docs, folder=folder, shard_ids=300, range_bytes=20_000).collect()}
+    tok = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    reader = token_shards.TokenShards.open(spark, folder)
+    assert len(reader.rows) > 5
+    start = 0
+    for doc_id, t in sorted(zip(ids, texts, strict=True)):
+        want = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        r = got.pop(doc_id)
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+        assert [x.tolist() for x in reader.get(doc_id)] == [want]
+        start += len(want)
+    assert not got
+    refused = sum(not reader.get(i) for i in range(1000, 1400))
+    assert refused >= 398 and not reader.get(None)
+    payload = b"".join((tmp_path / "shards" / f"{r.file}.ids").read_bytes() for r in reader.rows)
+    assert len(payload) == 2 * start  # nothing but ids
+
+
+def test_token_shards_repeated_and_null_ids(spark, tmp_path):
+    texts = ["a b", "a b", "c", None, "", "d e f", "a b"] * 30
+    ids = [3, 3, 3, None, None, 9, None] * 30
+    folder = f"file://{tmp_path}/shards"
+    got = token_shards.token_output(table(spark, texts, ids), folder=folder, shard_ids=20, range_bytes=50).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens) for r in got) == sorted((i is not None, i or 0, len((t or "").split()) + 1) for i, t in zip(ids, texts, strict=True))
+    spans = sorted((r.start, r.n_tokens) for r in got)
+    assert [a for a, _ in spans] == [sum(n for _, n in spans[:k]) for k in range(len(spans))]
+    reader = token_shards.TokenShards.open(spark, folder)
+    assert len(reader.get(3)) == 90 and len(reader.get(None)) == 90 and len(reader.get(9)) == 30
+
+
+def test_byte_chunks_equal_library_on_random_texts():
+    from tokenizers import Tokenizer
+
+    from sparkgauge.llm.byte_chunks import Encoder
+
+    tok, mine = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")), Encoder(tokenizer_path("byte_bpe_50k.json"), limit=500)
+    rnd = random.Random(11)
+    parts = ["a", "b", "Z", "é", "×", "÷", " ", "  ", "\n", "\t", "\r", "\xa0", "\u2003", "\x85", "\x1c", ",", ".", "'s", "'", "don't", "1", "22", "<|endoftext|>", "日本", "😀", "_", "x" * 300, "\u3000", "ÿ"]
+    for _ in range(40):
+        texts = ["".join(rnd.choices(parts, k=rnd.randint(0, 14))) for _ in range(60)]
+        data = [t.encode() for t in texts]
+        ids, counts = mine.ids_of(b"".join(data), np.cumsum([0, *map(len, data)]))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_perfect_hash_is_minimal():
