@@ -3,19 +3,29 @@
 A document's payload is its text in UTF-8, padded with blanks to a multiple of FRAME bytes. The stored form
 ("media") is a mono 8-bit PCM WAV file of it: a 44-byte header and one sample a byte. A rolling gear hash
 cuts the payload where the hash of the last bytes has its top bits zero, so equal stretches give equal
-chunks wherever they lie. Chunks are keyed by their SHA-256; Spark keeps one copy of each digest, and joins
-the ordered chunk lists back to them. The payload read back is verified against the digest taken before.
+chunks wherever they lie.
 
-Equal payloads of several chunks share one chunk list, so copies are put together once and their results joined by key.
-Most payloads are one chunk: a slice stores its distinct ones whole, with the documents they belong to.
-Null text: as empty, one frame of blanks. Long texts: many chunks; a document's chunks meet in one task.
-Repeated rows: a row each.
+1. Slices of documents write the compressed bodies of their distinct chunks to pack files in the shared folder, and a row
+   for each distinct payload: its key (SHA-256), its documents, and its ordered chunks (SHA-256 digest, file, place).
+2. Of the places of a digest over the whole corpus, Spark's aggregation picks one. Packs are rewritten with the picked
+   chunks alone, so the store holds one body for each digest, and the first packs are deleted.
+3. A join on the digest gives each payload's ordered chunk list its places in the store. Chunks are read back from there
+   and checked against their digests, payloads against their keys, and measured once for each key; a join on the key
+   brings the values to the documents (a row for each slice and payload, not for each copy).
+
+Bodies are never shuffled. File names are a task attempt's own, and the written tables name the kept attempt's.
+
+Null text: as empty, one frame of blanks. Long texts: many chunks; one payload is held at a time. Repeated rows and null
+ids: a row each. Empty table: no rows. Other columns of the table are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import posixpath
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -23,13 +33,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, texts
+from .common import cut, shared_uri, slices, texts
 
 FRAME = 192
 MIN_CHUNK, MEAN_BITS, MAX_CHUNK = 2048, 13, 32768
+#: A pack file is closed after this many bytes.
+PACK_BYTES = 32 << 20
 RATE = 8000
 _GEAR = np.random.Generator(np.random.PCG64(20240501)).integers(0, 1 << 64, 256, np.uint64)
 _WINDOW = 64
@@ -89,15 +102,66 @@ def features_of(payload: bytes) -> str:
     return f"mean={int(centred.sum()) / len(a):.4f};rms={np.sqrt(float((centred * centred).sum()) / len(a)):.4f};zc={crossings};max={int(a.max())}"
 
 
-CHUNKS = "key binary,pos long,digest binary,body binary,doc_ids array<long>,sizes array<long>"
+PARTS = "key binary,doc_ids array<long>,sizes array<long>,chunks array<struct<digest:binary,file:string,at:long,size:long>>"
+_PLACE = pa.struct([("digest", pa.binary()), ("file", pa.string()), ("at", pa.int64()), ("size", pa.int64())])
+
+
+class Packs:
+    """Pack files of one task: bodies one after another."""
+
+    def __init__(self, folder: str, limit: int = PACK_BYTES):
+        self.fs, self.root = arrow_fs.FileSystem.from_uri(folder)
+        self.limit, self.stream, self.at = limit, None, 0
+
+    def put(self, body: bytes) -> tuple[str, int, int]:
+        if self.stream is not None and self.at >= self.limit:
+            self.close()
+        if self.stream is None:
+            self.file, self.at = uuid.uuid4().hex, 0
+            self.stream = self.fs.open_output_stream(posixpath.join(self.root, self.file))
+        self.stream.write(body)
+        self.at += len(body)
+        return self.file, self.at - len(body), len(body)
+
+    def close(self) -> None:
+        if self.stream is not None:
+            self.stream.close()
+        self.stream = None
+
+
+class Bodies:
+    """Reads stored bodies; a few files are kept open."""
+
+    def __init__(self, folder: str):
+        self.fs, self.root = arrow_fs.FileSystem.from_uri(folder)
+        self.opened = functools.lru_cache(32)(lambda file: self.fs.open_input_file(posixpath.join(self.root, file)))
+
+    def get(self, file: str, at: int, size: int) -> bytes:
+        return self.opened(file).read_at(size, at)
+
+
+def new_folder(spark, name: str) -> str:
+    folder = f"{shared_uri(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, root = arrow_fs.FileSystem.from_uri(folder)
+    fs.create_dir(root, recursive=True)
+    return folder
 
 
-def store(docs: DataFrame, level: int = 6) -> DataFrame:
-    """Chunk rows of each slice's distinct payloads. Bodies are compressed. A payload of one chunk: pos -1, no
-    digest but its key. A longer one: a row a chunk; the body is there only where a slice meets the digest first. The first row of a payload names the slice's documents with it and their sizes in bytes; a slice bounds that list."""
+def drop_folder(folder: str) -> None:
+    fs, root = arrow_fs.FileSystem.from_uri(folder)
+    fs.delete_dir(root)
+
+
+def store(docs: DataFrame, folder: str, level: int = 3) -> DataFrame:
+    """A row (PARTS) for each slice and distinct payload in it; the bodies of the slice's distinct chunks are in packs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=level)
+        packer, packs, done = zstandard.ZstdCompressor(level=level), Packs(folder), []
+
+        def rows():
+            kinds = (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(_PLACE))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)], names=["key", "doc_ids", "sizes", "chunks"])
+
         for ids, strings in slices(batches):
             payloads, owners, sizes = {}, {}, {}
             for doc_id, s in zip(ids, strings, strict=True):
@@ -106,20 +170,39 @@ def store(docs: DataFrame, level: int = 6) -> DataFrame:
                 payloads.setdefault(key, payload)
                 owners.setdefault(key, []).append(doc_id)
                 sizes.setdefault(key, []).append(len(s.encode("utf-8", "replace")))
-            out, had = [], set()
+            had, done = {}, []
             for key, payload in payloads.items():
-                ends = cuts(payload)
-                if len(ends) == 1:
-                    out.append((key, -1, None, packer.compress(payload), owners[key], sizes[key]))
-                    continue
-                for pos, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
-                    digest = hashlib.sha256(payload[a:b]).digest()
-                    out.append((key, pos, digest, None if digest in had else packer.compress(payload[a:b]), None if pos else owners[key], None if pos else sizes[key]))
-                    had.add(digest)
-            kinds = (pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in CHUNKS.split(",")])
+                ends, chunks = cuts(payload), []
+                for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                    body = payload[a:b]
+                    digest = key if len(ends) == 1 else hashlib.sha256(body).digest()
+                    if digest not in had:
+                        had[digest] = packs.put(packer.compress(body))
+                    chunks.append((digest, *had[digest]))
+                done.append((key, owners[key], sizes[key], [dict(zip(_PLACE.names, c, strict=True)) for c in chunks]))
+            if done:
+                yield rows()
+        packs.close()
+
+    return texts(docs).mapInArrow(run, PARTS)
+
 
-    return texts(docs).mapInArrow(run, CHUNKS)
+PLACES = "digest binary,file string,at long,size long"
+
+
+def compact(parts: DataFrame, folder: str, target: str) -> DataFrame:
+    """(digest, file, at, size) of one body for each digest of the corpus, copied from the packs in folder to target."""
+    every = parts.select(F.explode("chunks").alias("c"))
+    picked = every.groupBy("c.digest").agg(F.min(F.struct("c.file", "c.at", "c.size")).alias("p")).select("digest", "p.file", "p.at", "p.size")
+
+    def copy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bodies, packs = Bodies(folder), Packs(target)
+        for f in frames:
+            out = [(d, *packs.put(bodies.get(*place))) for d, *place in zip(f.digest, f.file, f["at"].tolist(), f["size"].tolist(), strict=True)]
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in PLACES.split(",")])
+        packs.close()
+
+    return picked.repartition("file").sortWithinPartitions("file", "at").mapInPandas(copy, PLACES)
 
 
 def measure(key: bytes, parts: list[bytes]) -> tuple:
@@ -138,46 +221,30 @@ _NAMES = [x.split()[0] for x in MEASURED.split(",")]
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """The contract's columns of each document, computed from the stored bytes after reading them back.
-
-    Payloads of one chunk are measured where they are stored, without a shuffle. Those of several chunks find each
-    chunk's one copy by its digest, and meet in order by key."""
-    chunks = cut(store(docs), "chunks")
-
-    def ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
+    """The contract's columns of each document, computed from the stored bytes after reading them back."""
+    spark = docs.sparkSession
+    first, kept = new_folder(spark, "packs"), new_folder(spark, "media")
+    parts = cut(store(docs, first), "payloads")
+    places = cut(compact(parts, first, kept), "store")
+    drop_folder(first)
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bodies, unpack = Bodies(kept), zstandard.ZstdDecompressor()
+        for frame in frames:
             out = []
-            for key, body, ids, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                row = measure(key, [unpack.decompress(body)])
-                out += [(i, n, *row) for i, n in zip(ids, sizes, strict=True)]
-            if out:
-                kinds = [pa.string() if "string" in x else pa.int64() for x in ("doc_id long,n_bytes long," + MEASURED).split(",")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", *_NAMES])
-
-    whole = chunks.where("pos < 0").select("key", "body", "doc_ids", "sizes").mapInArrow(ones, "doc_id long,n_bytes long," + MEASURED)
-
-    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows sorted by key: a payload is measured when the key changes, so one is held at a time."""
-        unpack = zstandard.ZstdDecompressor()
-        key, parts, done = None, [], []
-        for frame in batches:
-            for k, digest, body in zip(frame.key, frame.digest, frame.body, strict=True):
-                if k != key and parts:
-                    done.append((key, *measure(key, parts)))
-                    parts = []
-                key, part = k, unpack.decompress(body)
-                if hashlib.sha256(part).digest() != digest:
-                    raise ValueError("a stored chunk doesn't have its digest")
-                parts.append(part)
-            yield pd.DataFrame(done, columns=["key", *_NAMES])
-            done = []
-        if parts:
-            yield pd.DataFrame([(key, *measure(key, parts))], columns=["key", *_NAMES])
-
-    several = chunks.where("pos >= 0")
-    bodies = several.where(F.col("body").isNotNull()).select("digest", "body").dropDuplicates(["digest"])
-    parts = several.select("key", "pos", "digest").distinct().join(bodies, "digest")
-    found = parts.repartition("key").sortWithinPartitions("key", "pos").select("key", "digest", "body").mapInPandas(measured, "key binary," + MEASURED)
-    rows = several.where("pos = 0").select("key", F.explode(F.arrays_zip("doc_ids", "sizes")).alias("of")).select("key", F.col("of.doc_ids").alias("doc_id"), F.col("of.sizes").alias("n_bytes"))
-    return rows.join(found, "key").select("doc_id", "n_bytes", *_NAMES).unionByName(whole)
+            for key, chunks in zip(frame.key, frame.chunks, strict=True):
+                stretch = []
+                for c in chunks:
+                    part = unpack.decompress(bodies.get(c["file"], c["at"], c["size"]))
+                    if hashlib.sha256(part).digest() != c["digest"]:
+                        raise ValueError("a stored chunk doesn't have its digest")
+                    stretch.append(part)
+                out.append((key, *measure(key, stretch)))
+            yield pd.DataFrame(out, columns=["key", *_NAMES])
+
+    lists = parts.groupBy("key").agg(F.first(F.col("chunks.digest")).alias("digests"))
+    listed = lists.select("key", F.posexplode("digests").alias("pos", "digest")).join(places, "digest")
+    ordered = listed.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "digest", "file", "at", "size"))).alias("chunks"))
+    found = ordered.mapInPandas(read, "key binary," + MEASURED)
+    rows = parts.select("key", "doc_ids", "sizes").join(found, "key").select(F.explode(F.arrays_zip("doc_ids", "sizes")).alias("of"), *_NAMES)
+    return rows.select(F.col("of.doc_ids").alias("doc_id"), F.col("of.sizes").alias("n_bytes"), *_NAMES)
