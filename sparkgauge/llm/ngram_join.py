@@ -17,7 +17,8 @@
 
 Null and blank texts: no shingles, linked with nothing. Under five words: the whole sequence is the one shingle. Ties
 and repeated rows: rows with the same doc_id are of one class or linked by it; every row is returned. Rows without
-doc_id: left out. Empty table: no rows. Long texts: whole.
+doc_id: linked with nothing, component_id null; the stage keeps them. Empty table: no rows. Long texts: whole. Other columns of
+the table are carried through the stage unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,14 +31,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import cut, discard, mixed, release
+from .common import cut, discard, map_texts, mixed, release
 from .components import components
 from .exchange import answers_for, ask, batches, buckets_for, by_batch, even_edges, opened
 
 WORDS, PERCENT = 5, 75
 GROUPS = 256
 TOP = 255
-BLOCK = 2048
+#: Classes in a block of a neighbourhood: BLOCK while that makes at most MANY blocks, then up to WIDE.
+BLOCK, MANY, WIDE = 256, 16, 4096
 LEAF = 16
 BEST = 3
 _POWERS = np.cumprod(np.full(1 << 16, 0xD1342543DE82EF95, np.uint64))
@@ -290,7 +292,7 @@ def _search(members: DataFrame, label: DataFrame, best: int | None) -> DataFrame
     the `best` closest of each block, or all."""
     rows = members.join(label, "id")
     counts = rows.groupBy("area", "label").agg(F.count("*").alias("c"))
-    areas = counts.groupBy("area").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.ceil(F.sum("c") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("k")).where("k > 1").drop("k")
+    areas = counts.groupBy("area").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.least(F.ceil(F.sum("c") / BLOCK), F.greatest(F.lit(MANY), F.ceil(F.sum("c") / WIDE))).cast("int").alias("blocks"), F.count("*").alias("k")).where("k > 1").drop("k")
     rows = rows.join(areas, "area").withColumn("block", F.pmod(F.xxhash64("id", "area"), "blocks").cast("int"))
     # Block pairs (i, j), i <= j: a block is in as many as there are blocks.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -314,6 +316,8 @@ def _search(members: DataFrame, label: DataFrame, best: int | None) -> DataFrame
                 out.update((min(k, x), max(k, x)) for x in ids[got].tolist())
         return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
+    # Without this, the deal by area would be used again, and all block pairs of a neighbourhood would be one task's.
+    rows = rows.repartition("area", "i", "j")
     return rows.groupBy("area", "i", "j").applyInPandas(search, "a long,b long").distinct()
 
 
@@ -332,9 +336,19 @@ def _placed(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+    """doc_id, n_shingles, component_id of every row; the last is null where doc_id is."""
+
+    def start():
+        def rows(ids, strings):
+            data = [s.encode("utf-8", "replace") for s in strings]
+            doc, _ = shingles(np.array([len(b) for b in data], np.int64), b"".join(data))
+            return {"doc_id": ids, "n_shingles": np.bincount(doc, minlength=len(ids)), "component_id": [None] * len(ids)}
+
+        return rows
+
     # Rows with one doc_id are one document to their links.
-    return _placed(docs).select("doc_id", F.col("n").alias("n_shingles"), F.least(F.coalesce("component", "doc_id"), "doc_id").alias("component_id"))
+    named = _placed(docs).select("doc_id", F.col("n").alias("n_shingles"), F.least(F.coalesce("component", "doc_id"), "doc_id").alias("component_id"))
+    return named.unionByName(map_texts(docs.where("doc_id IS NULL"), start, "doc_id long,n_shingles long,component_id long"))
 
 
 @F.pandas_udf(StringType())
@@ -349,17 +363,19 @@ def _signatures(texts: pd.Series) -> pd.Series:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows whose component has no smaller doc_id; of several of one doc_id and component, that with the least text.
-    Rows of a repeated doc_id are told apart by their signature, which is computed again for these only."""
+    Rows of a repeated doc_id are told apart by their signature, which is computed again for these only. Rows without
+    doc_id stay."""
     found = cut(_placed(docs), "placed")
     repeated = cut(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")), "repeated")
     gone = found.where("component < doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    whole = docs.select(F.col("doc_id").alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
     if not repeated.limit(1).count():
-        return docs.join(gone, docs.doc_id == gone.gone, "left_anti")
+        return whole.join(gone, F.col("k") == F.col("gone"), "left_anti").select("r.*")
     aside = gone.unionByName(repeated.select(F.col("again").alias("gone"))).distinct()
-    single = docs.join(aside, docs.doc_id == aside.gone, "left_anti")
-    kinds = found.join(repeated, found.doc_id == repeated.again).where("signature IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("signature").alias("_of"), F.col("component").alias("_component")).distinct()
-    rows = docs.join(repeated, docs.doc_id == repeated.again, "left_semi").withColumn("_signature", _signatures("text"))
-    rows = rows.join(kinds, (F.col("doc_id") == F.col("_id")) & (F.col("_signature") == F.col("_of")), "left")
-    rows = rows.where("_component IS NULL OR _component = doc_id")
-    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("doc_id", "_component").orderBy("text")))
-    return single.unionByName(rows.where("_component IS NULL OR _place = 1").select(*docs.columns))
+    single = whole.join(aside, F.col("k") == F.col("gone"), "left_anti").select("r")
+    kinds = found.join(repeated, found.doc_id == repeated.again).where("signature IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("signature").alias("of"), "component").distinct()
+    rows = whole.join(repeated, F.col("k") == F.col("again"), "left_semi").withColumn("signature", _signatures("r.text"))
+    rows = rows.join(kinds, (F.col("k") == F.col("id")) & (F.col("signature") == F.col("of")), "left")
+    rows = rows.where("component IS NULL OR component = k")
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("k", "component").orderBy("r.text")))
+    return single.unionByName(rows.where("component IS NULL OR place = 1").select("r")).select("r.*")

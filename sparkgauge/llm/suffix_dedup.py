@@ -17,7 +17,8 @@ suffixes of the corpus would shuffle WIDTH bytes for each byte of text, so suffi
 A batch sends each key once whatever its documents' number, so a passage in all documents is one entry a batch.
 
 Null text: as empty, nothing goes. Under WIDTH bytes: nothing goes. Long texts: whole. Rows with the same doc_id never
-remove from each other (strings must start in a smaller doc_id). Null doc_id: left out. Empty table: no rows.
+remove from each other (strings must start in a smaller doc_id). Null doc_id: no order among documents, so nothing goes and nothing
+goes for it. Empty table: no rows. Other columns of the table are carried through the stage unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -260,10 +261,12 @@ def _whole(text: np.ndarray, gone: np.ndarray) -> bytes:
     return text[~np.repeat(hit, np.diff(np.append(first, len(text))))].tobytes()
 
 
-def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row with an id; with_text adds
-    text_sha256 (of the whole text) and kept (binary, whole characters)."""
-    return _dedup(docs, with_text)[0]
+def dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row. Rows without doc_id lose nothing."""
+    body = F.coalesce("text", F.lit("")).cast("binary")
+    none = F.lit(0).cast("long")
+    unnamed = docs.where("doc_id IS NULL").select(F.col("doc_id").cast("long"), F.octet_length(body).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(body, 256).alias("kept_sha256"))
+    return _dedup(docs, False)[0].unionByName(unnamed)
 
 
 def _dedup(docs: DataFrame, with_text: bool) -> tuple[DataFrame, list[DataFrame]]:
@@ -294,20 +297,19 @@ def _dedup(docs: DataFrame, with_text: bool) -> tuple[DataFrame, list[DataFrame]
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows with the repeated stretches cut out of their texts. A character of which a byte goes, goes.
+    """The rows with the repeated stretches cut out of their texts. A character of which a byte goes, goes. n_chars, where
+    there is one, follows a changed text.
 
     A row's result depends on its doc_id and text alone, so those two carry it back to the row."""
     found, used = _dedup(docs, with_text=True)
     found = cut(found.where("n_removed > 0").select("doc_id", "text_sha256", "kept"), "kept")
     discard(*used)
     release(docs.sparkSession)  # the join below deals all texts out; by then the rounds' files are gone
-    parts = found.groupBy("doc_id", "text_sha256").agg(F.first("kept").alias("kept"))
-    key = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    rows = docs.withColumn("_key", key)
-    both = rows.join(parts.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_of"), F.col("kept").alias("_kept")), (F.col("doc_id") == F.col("_id")) & (F.col("_key") == F.col("_of")), "left")
-    text = F.when(F.col("_kept").isNotNull(), F.decode(F.col("_kept"), "UTF-8")).otherwise(F.col("text"))
-    both = both.withColumn("_text", text)
-    return both.select(*[
-        F.col("_text").alias("text") if c == "text" else F.when(F.col("_kept").isNotNull(), F.length("_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c)
-        for c in docs.columns
-    ])
+    parts = found.groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("of")).agg(F.first("kept").alias("kept"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col("doc_id").alias("k"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("key"), whole.alias("r"))
+    both = rows.join(parts, (F.col("k") == F.col("id")) & (F.col("key") == F.col("of")), "left")
+    both = both.select("r", F.decode("kept", "UTF-8").alias("new"))
+    changed = F.col("new").isNotNull()
+    values = {"text": F.coalesce("new", "r.text"), "n_chars": F.when(changed, F.length("new").cast("long")).otherwise(F.col("r.n_chars"))} if "n_chars" in docs.columns else {"text": F.coalesce("new", "r.text")}
+    return both.select(*[values.get(c, F.col("r")[c]).alias(c) for c in docs.columns])
