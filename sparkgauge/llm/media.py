@@ -152,7 +152,7 @@ def drop_folder(folder: str) -> None:
     fs.delete_dir(root)
 
 
-def store(docs: DataFrame, folder: str, level: int = 3) -> DataFrame:
+def store(docs: DataFrame, folder: str, level: int = 9) -> DataFrame:
     """A row (PARTS) for each slice and distinct payload in it; the bodies of the slice's distinct chunks are in packs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

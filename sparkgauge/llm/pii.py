@@ -83,6 +83,7 @@ password: [secret: hunter2] is weak
 Password: [secret: Tr0ub4dor&3] and so on
 the password is [secret: s3cr3tpass9] do not share
 api key: [secret: sk-9f8e7d6c5b4a39281706f5e4]
+secret key: [secret: 9f8e7d6c5b4a 39281706f5e4 77aa01bc] was set
 his password is not here, password rules and the key to it
 the key is a key, the secret of the token is out
 Licensed under the Apache License, Version 2.0.
