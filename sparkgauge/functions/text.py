@@ -13,8 +13,12 @@ LABEL_STOP = ("the", "and", "for", "with", "this", "that", "you", "can", "please
 LANGUAGE_TERMS = ("translate", "french", "spanish", "grammar")
 CODE_TERMS = ("code", "python", "javascript", "sql", "api")
 WRITING_TERMS = ("email", "memo", "essay", "rewrite", "draft")
+FAMILY_SUFFIXES = (("language support", ("translate", "french", "spanish")), ("software help", ("code", "python", "javascript", "api")), ("writing help", ("email", "rewrite", "draft")))
 NARROW_TERMS = ("my ", "our ", "attached", "this file", "the following")
 DIFFICULTY_WEIGHT = {"easy": 0.9, "medium": 1.05, "hard": 1.1}
+DETAIL = "I would break this into context, constraints, concrete steps, risks, and a quick verification pass. "
+#: White space as Python's split takes it.
+SPACES = r"(?U)[\s\x1c-\x1f]+"
 CHECKLIST = ("Directly addresses the user's stated goal", "Uses the relevant details from the prompt", "Gives a concrete and actionable answer", "Avoids unsupported claims or invented facts")
 
 
@@ -26,11 +30,11 @@ def any_of(text: Column, terms) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " "))
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, f"^{SPACES}|{SPACES}$", "")
 
 
 def normalize_role(role: Column) -> Column:
@@ -74,21 +78,21 @@ def label(text: Column) -> Column:
     return F.when(word.isNull(), "General").otherwise(title_case(F.replace(word, F.lit("_"), F.lit(" "))))
 
 
-def family_label(text: Column, of: Column) -> Column:
-    """Raw family of a prompt; `of` is its label."""
+def family_label(text: Column, of: Column, fallback: bool = False) -> Column:
+    """Raw family of a prompt; `of` is its label. `fallback`: as after a failed model call, where prompts without a label are
+    general, `api` isn't software and there is no writing class."""
     low = F.lower(text)
-    return (
-        F.when(any_of(low, ("translate", "french", "spanish")), F.concat(of, F.lit(" language support")))
-        .when(any_of(low, ("code", "python", "javascript", "api")), F.concat(of, F.lit(" software help")))
-        .when(any_of(low, ("email", "rewrite", "draft")), F.concat(of, F.lit(" writing help")))
-        .when(of != "General", F.concat(of, F.lit(" tasks")))
-        .otherwise("General assistance")
-    )
+    out = F.when(of != "General", F.concat(of, F.lit(" tasks"))).otherwise("General assistance")
+    for suffix, terms in reversed(FAMILY_SUFFIXES[: 2 if fallback else 3]):
+        out = F.when(any_of(low, [t for t in terms if not (fallback and t == "api")]), F.concat(of, F.lit(" " + suffix))).otherwise(out)
+    return F.when(of == "General", "General assistance").otherwise(out) if fallback else out
 
 
-def domain(text: Column) -> Column:
+def domain(text: Column, offline: bool = False) -> Column:
+    """`offline`: as the offline model says it, to which a memo isn't writing."""
     low = F.lower(text)
-    return F.when(any_of(low, LANGUAGE_TERMS), "Language learning").when(any_of(low, CODE_TERMS), "Software engineering").when(any_of(low, WRITING_TERMS), "Writing").otherwise("General")
+    writing = [t for t in WRITING_TERMS if not (offline and t == "memo")]
+    return F.when(any_of(low, LANGUAGE_TERMS), "Language learning").when(any_of(low, CODE_TERMS), "Software engineering").when(any_of(low, writing), "Writing").otherwise("General")
 
 
 def difficulty(text: Column) -> Column:
@@ -147,10 +151,53 @@ def recorded_score(response: Column) -> Column:
 
 
 def parse_score(raw: Column) -> Column:
-    """Clamped integer score; what isn't a number counts as 5."""
+    """Clamped integer score; what isn't a number counts as 5 (see score_ok)."""
     return F.greatest(F.lit(1), F.least(F.lit(10), F.coalesce(raw.try_cast("int"), F.lit(5)))).cast("long")
 
 
+def score_ok(raw: Column) -> Column:
+    """Whether a judge's score is a whole number."""
+    return raw.try_cast("int").isNotNull()
+
+
+def offline_answer(prompt: Column, model: Column) -> Column:
+    """The offline candidate: its first 80 words, in the manner that the model's name asks for."""
+    first = F.array_join(F.slice(F.split(collapse(prompt), " "), 1, 80), " ")
+    long = F.concat(F.lit("Here is a detailed answer to your request: "), first, F.lit("\n\n" + DETAIL * 4))
+    return stripped(F.when(model.contains("weak"), "I don't know.").when(model.contains("brief"), F.concat(F.lit("Short answer: "), first)).when(model.contains("detailed"), long).otherwise(F.concat(F.lit("Here is a focused answer to your request: "), first)))
+
+
+def skills(raw: Column, text: Column) -> Column:
+    """Distinct skills of a comma text (first spelling, 80 characters, at most eight); null: two that the text suggests."""
+    given = F.when(raw.isNull(), F.array(F.concat(F.lower(label(text)), F.lit(" reasoning")), F.lit("instruction following"))).otherwise(F.split(raw, ","))
+    cleaned = F.filter(F.transform(given, clean_text), lambda x: x != "")
+    lows = F.transform(cleaned, F.lower)
+    once = F.filter(cleaned, lambda x, i: F.array_position(lows, F.lower(x)) == i + 1)
+    out = F.transform(F.slice(once, 1, 8), lambda x: F.substring(x, 1, 80))
+    return F.when(F.size(out) == 0, F.array(F.lit("instruction following"))).otherwise(out)
+
+
+def category_description(of_domain: Column, of_skills: Column) -> Column:
+    listed = F.array_join(F.slice(of_skills, 1, 4), ", ")
+    return F.substring(F.concat_ws("; ", F.nullif(of_domain, F.lit("")), F.when(listed != "", F.concat(F.lit("skills: "), listed))), 1, 500)
+
+
+def judges_label(judges: Column, aggregate: Column) -> Column:
+    """Who scored a run: one judge's name, or a panel's names and its aggregate; a dash for runs that don't say."""
+    named = F.filter(judges, lambda x: x.isNotNull() & (x != ""))
+    joined = F.array_join(named, ", ")
+    return F.when(judges.isNull() | (F.size(named) == 0), "—").when(F.size(named) == 1, joined).otherwise(F.concat(joined, F.lit(" · "), F.coalesce(aggregate, F.lit("mean"))))
+
+
+def cost_label(cost: Column, confidence: Column) -> Column:
+    return F.when(confidence == "unknown", "unknown").when(confidence.isin("normalized", "rough"), F.concat(F.lit("≈$"), F.format_string("%.2f", cost))).otherwise(F.concat(F.lit("$"), F.format_string("%.2f", cost)))
+
+
+def safe_name(model: Column) -> Column:
+    name = F.regexp_replace(F.regexp_replace(model, "[^a-zA-Z0-9_.-]+", "_"), "^_+|_+$", "")
+    return F.when(name == "", "model").otherwise(name)
+
+
 def normalize_model_id(model: Column) -> Column:
     m = F.regexp_replace(F.lower(F.trim(model)), r"\bgpt-(\d+)-(\d+)\b", "gpt-$1.$2")
     return F.regexp_replace(m, r"\bclaude-(opus|sonnet|haiku)-(\d+)-(\d+)\b", "claude-$1-$2.$3")

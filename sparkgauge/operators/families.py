@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import plain as P
 from ..functions import text as T
+from ..replies import parse_json_object
+from ..ranks import row_numbers
+from ..storage import cut
 
 
 def annotate(rows: DataFrame, text: str) -> DataFrame:
@@ -18,26 +23,103 @@ def annotate(rows: DataFrame, text: str) -> DataFrame:
     return out.withColumns({"family_id": T.family_id(F.col("family"), F.col("domain")), "difficulty": T.difficulty(t), "specificity": T.specificity(t)})
 
 
-def annotate_with_model(rows: DataFrame, key: str, text: str, group: str, make: Callable[[], Callable[[list[str]], list[dict]]], batch: int = 8) -> DataFrame:
-    """Annotations from a model, `batch` tasks of one group a call. `make` is called on the worker. A task that the
-    answer leaves out, or a failed call, gets the offline annotation."""
-    n = F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1
-    batched = rows.select(F.col(key), F.col(text), F.col(group), F.floor(n / batch).alias("_batch"))
+FITS, DIFFICULTIES, SPECIFICITIES = ("strong", "weak"), ("easy", "medium", "hard"), ("generalizable", "narrow", "one_off")
+ANNOTATION = "family string, domain string, skills array<string>, family_fit string, difficulty string, specificity string, ok boolean"
 
-    def call(frame: pd.DataFrame) -> pd.DataFrame:
+
+def _fallback_meta(texts: list[str]) -> dict:
+    """A batch's family, domain and skills out of its texts together."""
+    joined = " ".join(texts)
+    return {"task_family": P.family(joined, P.FALLBACK), "domain": P.domain(joined), "skills": P.skills(None, joined)}
+
+
+def _annotated(raw: dict | None, text: str, meta: dict) -> tuple:
+    """One task's annotation: the model's value, else the batch's, else the text's. ok: the model gave one."""
+    got = raw if isinstance(raw, dict) else {}
+    return (
+        P.clean(got.get("task_family")) or P.clean(meta.get("task_family")) or P.family(text, P.FALLBACK), P.clean(got.get("domain")) or P.clean(meta.get("domain")) or P.domain(text),
+        P.skills(got.get("skills"), text) if got else list(meta.get("skills") or P.skills(None, text)), P.controlled(got.get("family_fit"), FITS, "strong"),
+        P.controlled(got.get("difficulty"), DIFFICULTIES, P.difficulty(text)), P.controlled(got.get("specificity"), SPECIFICITIES, P.specificity(text)), isinstance(raw, dict),
+    )
+
+
+def annotate_with_model(rows: DataFrame, key: str, text: str, group: str, make: Callable[[], Callable], batch: int = 8) -> DataFrame:
+    """key, ANNOTATION: a model annotates `batch` tasks of one group a call. `make` gives the client, on the worker. A task
+    that the reply leaves out gets its batch's family, domain and skills; after a failed call those come from the batch's
+    texts. Null group: 0."""
+    tasks = rows.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.coalesce(F.col(group).cast("long"), F.lit(0)).alias("_group"))
+    batched = row_numbers(tasks, [key], ["_group"], "_n").withColumn("_batch", F.floor(F.col("_n") / batch))
+
+    def call(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(key)
+        keys, texts = [str(k) for k in f[key]], f["_text"].tolist()
+        meta, by_id = _fallback_meta(texts), {}
+        try:
+            reply = parse_json_object(make()("annotate", [{"conversation_id": k, "task": t} for k, t in zip(keys, texts, strict=True)]).text)
+            given = reply.get("annotations", [])
+            if not isinstance(given, list):
+                raise ValueError("annotations must be a list")
+            by_id = {P.clean(x.get("conversation_id")): x for x in given if isinstance(x, dict)}
+            of = reply.get("group")
+            if isinstance(of, dict):
+                meta = {k: P.clean(of.get(k)) or meta[k] for k in ("task_family", "domain")} | {"skills": P.skills(of.get("skills"), " ".join(texts))}
+        except Exception:  # ok is false for all of the batch
+            by_id = {}
+        out = [(k, *_annotated(by_id.get(i), t, meta)) for k, i, t in zip(f[key], keys, texts, strict=True)]
+        return pd.DataFrame(out, columns=[key, *[x.split()[0] for x in ANNOTATION.split(", ")]])
+
+    return batched.groupBy("_group", "_batch").applyInPandas(call, f"`{key}` {rows.schema[key].dataType.simpleString()}, {ANNOTATION}")
+
+
+def top_values(rows: DataFrame, by: str, value: str, order: str, limit: int | None = None) -> DataFrame:
+    """by, values: distinct cleaned values by count, of equal counts the first seen first."""
+    v = T.clean_text(value)
+    counts = rows.where(v != "").groupBy(by, v.alias("v")).agg(F.count("*").alias("n"), F.min(order).alias("p"))
+    ranked = counts.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "p", "v"))), lambda x: x["v"]).alias("values"))
+    return ranked.withColumn("values", F.slice("values", 1, limit)) if limit else ranked
+
+
+def label_payload(annotated: DataFrame, key: str) -> DataFrame:
+    """label, count, domains, skills (a model's input for the canonical map): the three most frequent domains and six skills."""
+    counts = annotated.groupBy(F.col("family").alias("label")).agg(F.count("*").alias("count"))
+    domains = top_values(annotated, "family", "domain", key, 3).select(F.col("family").alias("l1"), F.col("values").alias("domains"))
+    one = annotated.select(key, "family", F.posexplode("skills").alias("i", "skill")).withColumn("at", F.struct(key, "i"))
+    skills = top_values(one, "family", "skill", "at", 6).select(F.col("family").alias("l2"), F.col("values").alias("skills"))
+    none = F.array().cast("array<string>")
+    joined = counts.join(domains, F.col("label") == F.col("l1"), "left").join(skills, F.col("label") == F.col("l2"), "left")
+    return joined.select("label", "count", F.coalesce("domains", none).alias("domains"), F.coalesce("skills", none).alias("skills"))
+
+
+def model_claims(labels: DataFrame, make: Callable[[], Callable], batch: int = 120) -> DataFrame:
+    """pos, family, domain, label: a model's claims which labels belong to one family, `batch` labels a call, for
+    canonical_map. One label needs no call. A failed call claims nothing, so its labels stay themselves."""
+    dealt = row_numbers(labels, ["label"], name="_n").withColumn("_batch", F.floor(F.col("_n") / batch))
+
+    def call(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("label")
+        known, out = set(f.label), []
         try:
-            got = make()(frame[text].tolist())
+            reply = parse_json_object(make()("canonical", [{"label": a, "count": int(b), "domains": list(c), "skills": list(d)} for a, b, c, d in zip(f["label"], f["count"], f["domains"], f["skills"], strict=True)]).text)
+            for x in reply.get("families", []):
+                name = P.clean(x.get("task_family")) if isinstance(x, dict) else ""
+                out += [(name, P.clean(x.get("domain")), s) for s in x.get("source_labels", []) if s in known] if name else []
         except Exception:
-            got = []
-        got = (got + [{}] * len(frame))[: len(frame)]
-        return pd.DataFrame({key: frame[key], **{c: [g.get(c) for g in got] for c in ("family", "domain")}}).astype({"family": object, "domain": object})
+            out = []
+        at = int(f["_batch"].iloc[0]) << 20
+        return pd.DataFrame([(at + i, *x) for i, x in enumerate(out)], columns=["pos", "family", "domain", "label"])
 
-    answers = batched.groupBy(group, "_batch").applyInPandas(call, f"{key} long, family string, domain string")
-    own = annotate(rows.select(key, text), text)
-    a = answers.select(F.col(key).alias("_k"), F.col("family").alias("_f"), F.col("domain").alias("_d"))
-    out = own.join(a, F.col(key) == F.col("_k"), "left")
-    family, of_domain = F.coalesce(T.clean_text("_f"), "family"), F.coalesce(T.clean_text("_d"), "domain")
-    return out.select(key, F.when(family == "", F.col("family")).otherwise(family).alias("family"), F.when(of_domain == "", F.col("domain")).otherwise(of_domain).alias("domain"), "difficulty", "specificity")
+    return dealt.groupBy("_batch").applyInPandas(call, "pos long, family string, domain string, label string")
+
+
+def top_families(rows: DataFrame, key: str, limit: int = 5) -> DataFrame:
+    """family, n of the largest families; of equal ones the first seen."""
+    return rows.groupBy("family").agg(F.count("*").alias("n"), F.min(key).alias("_p")).orderBy(F.desc("n"), "_p").limit(limit).drop("_p")
+
+
+def totals(rows: DataFrame, key: str, dup: str) -> DataFrame:
+    """One row: tasks, families, raw labels, and how many near duplicates a sample passes over."""
+    group = F.coalesce(F.col(dup).cast("string"), F.concat(F.lit("id:"), F.col(key).cast("string")))
+    return rows.agg(F.count("*").alias("n_tasks"), F.countDistinct("family_id").alias("n_families"), F.countDistinct("family").alias("n_labels"), (F.count("*") - F.countDistinct(group)).alias("n_suppressed"))
 
 
 def canonical_map(annotated: DataFrame, key: str, claims: DataFrame | None = None) -> DataFrame:
@@ -72,6 +154,12 @@ def distinct_skills(skills: DataFrame, key: str, limit: int = 8) -> DataFrame:
     return first.groupBy(key).agg(F.transform(F.slice(F.array_sort(F.collect_list("s")), 1, limit), lambda s: F.substring(s["skill"], 1, 80)).alias("skills"))
 
 
+def family_key(rows: DataFrame) -> Column:
+    """A task's family for counting: its id, else its name, else the general one; blanks count as missing."""
+    given = [F.nullif(F.trim(F.col(c)), F.lit("")) for c in ("task_family_id", "task_family") if c in rows.columns]
+    return F.coalesce(*given, F.lit("General assistance"))
+
+
 def weight_of(difficulty: Column) -> Column:
     d, out = F.coalesce(difficulty, F.lit("medium")), F.lit(1.0)
     for name, w in T.DIFFICULTY_WEIGHT.items():
@@ -84,9 +172,10 @@ def family_importance(rows: DataFrame, key: str, dup: str) -> DataFrame:
     sizes = rows.groupBy("family_id").agg(F.count("*").alias("family_size"), F.countDistinct(F.coalesce(F.col(dup).cast("string"), F.concat(F.lit("id:"), F.col(key).cast("string")))).alias("diversity"), F.avg(weight_of(F.col("difficulty"))).alias("w"))
     labels = rows.groupBy("family_id", "family").agg(F.count("*").alias("n")).groupBy("family_id").agg(F.max_by("family", F.struct("n", "family")).alias("family"))
     scored = sizes.withColumn("raw", (0.35 * F.log1p("family_size") + 0.65 * F.log1p("diversity")) * F.col("w"))
-    top = F.max("raw").over(Window.partitionBy(F.lit(1)))  # one row a family
-    share = F.when(top == 0, 0.0).otherwise(F.round(F.col("raw") / top, 6))
-    return scored.withColumn("family_importance", share).join(labels, "family_id").select("family_id", "family", "family_size", "diversity", "family_importance")
+    scored = cut(scored, "importance")
+    top = scored.agg(F.max("raw").alias("top"))  # one row
+    share = F.when(F.col("top") == 0, 0.0).otherwise(F.round(F.col("raw") / F.col("top"), 6))
+    return scored.join(F.broadcast(top)).withColumn("family_importance", share).join(labels, "family_id").select("family_id", "family", "family_size", "diversity", "family_importance")
 
 
 def rank_columns(key: str, seed: int) -> list[Column]:
@@ -103,25 +192,29 @@ def best_of_duplicates(rows: DataFrame, key: str, seed: int) -> DataFrame:
 
 def sample(rows: DataFrame, key: str, target_n: int, cap: int = 5, long_tail: float = 0.20, seed: int = 42) -> DataFrame:
     """The family-aware sample of rows (key, family_id, family_size, family_importance, specificity, difficulty,
-    dup_group, dup_size). Three passes as windows: one row of each recurring family by importance; the long
+    dup_group, dup_size). Three passes as top-k lists: one row of each recurring family by importance; the long
     tail's quota from families of at most two; then the rest by how much of the family is in, up to `cap`."""
+    rows = cut(rows, "tasks")  # read several times below
     target = min(target_n, rows.count())
     quota = 0 if target <= 1 or long_tail <= 0 else max(1, int(target * long_tail))
     best = best_of_duplicates(rows, key, seed).withColumn("rn", F.row_number().over(Window.partitionBy("family_id").orderBy(*rank_columns(key, seed))))
     imp, size = F.coalesce("family_importance", F.lit(0.0)), F.col("family_size")
     fam = best.groupBy("family_id").agg(F.count("*").alias("n"), F.max(imp).alias("imp"), F.max(F.coalesce(size, F.lit(1))).alias("smax"), F.min(F.coalesce(size, F.lit(1))).alias("smin"), F.max(size).alias("known"))
     fam = fam.withColumn("osize", F.coalesce("known", "n"))
-    one = Window.partitionBy(F.lit(1))  # one row a family, not a task
-    fam = fam.withColumn("ra", F.row_number().over(Window.partitionBy((F.col("smax") >= 2)).orderBy(F.desc("imp"), F.desc("osize"), "family_id")))
-    fam = fam.withColumn("a", ((F.col("smax") >= 2) & (F.col("ra") <= target) & (F.lit(cap) > 0)).cast("int")).withColumn("sum_a", F.sum("a").over(one))
-    fit = (F.col("smax") <= 2) & (F.col("a") < cap) & (F.col("n") > F.col("a"))
-    fam = fam.withColumn("fit", fit).withColumn("rb", F.row_number().over(Window.partitionBy("fit").orderBy("smin", F.desc("imp"), "family_id")))
-    fam = fam.withColumn("b", (F.col("fit") & (F.col("rb") <= F.least(F.lit(quota), F.lit(target) - F.col("sum_a")))).cast("int"))
-    fam = fam.select("family_id", (F.col("a") + F.col("b")).alias("ab"), (F.col("sum_a") + F.sum("b").over(one)).alias("sum_ab"))
+    fam = cut(fam.withColumn("osize", F.coalesce("known", "n")), "families")
+    # At most `target` families are taken in each pass, so top-k lists do; they come to the driver as at most that many ids.
+    first_pass = [r.family_id for r in fam.where(F.col("smax") >= 2).orderBy(F.desc("imp"), F.desc("osize"), "family_id").limit(target if cap > 0 else 0).collect()]
+    once = F.col("family_id").isin(first_pass) if first_pass else F.lit(False)
+    fit = fam.withColumn("a", once.cast("int")).where((F.col("smax") <= 2) & (F.col("a") < cap) & (F.col("n") > F.col("a")))
+    second = [r.family_id for r in fit.orderBy("smin", F.desc("imp"), "family_id").limit(max(0, min(quota, target - len(first_pass)))).collect()]
+    taken = Counter(first_pass + second)
+    left_over = target - len(first_pass) - len(second)
+    chosen = rows.sparkSession.createDataFrame(list(taken.items()), "of string, ab int")
+    fam = fam.join(F.broadcast(chosen), F.col("family_id") == F.col("of"), "left").select("family_id", F.coalesce("ab", F.lit(0)).alias("ab"))
     j = best.join(fam, "family_id")
     first = j.where("rn <= ab").select(key, "family_id")
     # The fill takes at most target rows, each family at most cap of them: a partial top-k before the last window.
     left = j.where("rn > ab").withColumn("rest", F.row_number().over(Window.partitionBy("family_id").orderBy(imp.desc(), *rank_columns(key, seed)))).where(F.col("rest") <= cap - F.col("ab"))
     order = [F.col("ab"), imp.desc(), *rank_columns(key, seed)]
-    fill = left.orderBy(*order).limit(max(target, 0)).withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order))).where(F.col("pos") <= target - F.col("sum_ab"))
+    fill = left.orderBy(*order).limit(max(left_over, 0))
     return first.unionByName(fill.select(key, "family_id"))

@@ -44,6 +44,28 @@ def per_category(scores: DataFrame) -> DataFrame:
     return scores.groupBy(c.alias("category")).agg(F.round(F.avg("score"), 4).alias("score"), F.count("*").alias("n_tasks"))
 
 
+def combined_categories(scores: DataFrame, run: str) -> DataFrame:
+    """category, score: the unweighted mean over runs of their means (4 places each) in the category."""
+    c = F.when(F.coalesce(F.trim("category"), F.lit("")) == "", "General").otherwise(F.col("category"))
+    means = scores.groupBy(run, c.alias("category")).agg(F.round(F.avg("score"), 4).alias("s"))
+    return means.groupBy("category").agg(F.round(F.avg("s"), 4).alias("score"), F.count("*").alias("n_runs"))
+
+
+def report_kpis(runs: DataFrame, name: str) -> DataFrame:
+    """One row: runs, models, the best run and its score, what all runs cost and took."""
+    best = F.max_by(F.struct(F.col(name).alias("m"), F.col("weighted_score").alias("s")), F.struct("weighted_score", (-F.col("place")).alias("p")))
+    return runs.agg(F.count("*").alias("n_runs"), F.countDistinct(name).alias("n_models"), best.alias("b"), F.round(F.sum("run_cost_usd"), 6).alias("total_cost"), F.sum("wall_time_seconds").cast("double").alias("total_wall")).select(
+        "n_runs", "n_models", F.col("b.m").alias("top_model"), F.col("b.s").alias("top_score"), "total_cost", "total_wall")
+
+
+def display_labels(runs: DataFrame) -> DataFrame:
+    """Adds label: the model, with the run's folder (or its time) where a model has several runs."""
+    several = runs.groupBy(F.col("model").alias("_m")).agg((F.count("*") > 1).alias("several"))
+    tail = F.coalesce(F.nullif(F.trim(F.regexp_extract("_path", "([^/]+)/*$", 1)), F.lit("")), F.nullif(F.trim("created_at"), F.lit("")))
+    label = F.when(F.col("several") & tail.isNotNull(), F.concat("model", F.lit(" · "), tail)).otherwise(F.col("model"))
+    return runs.join(several, F.col("model") == F.col("_m")).withColumn("label", label).drop("_m", "several")
+
+
 def leaderboard(runs: DataFrame, name: str) -> DataFrame:
     """Adds the place by weighted score; ties by name."""
     return runs.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("weighted_score"), name)).cast("long"))

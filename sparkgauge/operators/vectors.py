@@ -2,33 +2,50 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..graph import roots
+from ..ranks import row_numbers
 from ..storage import cut
 
 DIM = 32
 
 
-def hashed_embeddings(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, dim, v: signed token counts by digest, with unit length. Long form; zero coordinates are absent."""
-    tokens = rows.select(F.col(key), F.explode(T.signature_tokens(F.col(text))).alias("t")).groupBy(key, "t").count()
-    h = F.sha2("t", 256)
-    dim = F.conv(F.substring(h, 1, 2), 16, 10).cast("int") % DIM
-    sign = F.when(F.conv(F.substring(h, 3, 2), 16, 10).cast("int") % 2 == 0, 1).otherwise(-1)
-    sums = tokens.groupBy(key, dim.alias("dim")).agg(F.sum(sign * F.col("count")).cast("double").alias("s"))
-    norms = sums.groupBy(F.col(key).alias("_k")).agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("norm"))
-    return sums.join(norms, F.col(key) == F.col("_k")).where("s <> 0").select(key, "dim", (F.col("s") / F.col("norm")).alias("v"))
+def embedded(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, vec: signed token counts by digest, with unit length; texts without tokens have no row. The tokens are a Column
+    expression; a row's tokens are added up where it lies, without a shuffle."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places: dict[str, int] = {}
+        for f in frames:
+            keys, vecs = [], []
+            for k, tokens in zip(f[key], f["_tokens"], strict=True):
+                if len(places) > 1 << 18:
+                    places.clear()
+                for t in set(tokens).difference(places):
+                    digest = hashlib.sha256(t.encode()).digest()
+                    places[t] = digest[0] % DIM * 2 + digest[1] % 2
+                n = np.bincount([places[t] for t in tokens], minlength=2 * DIM)
+                v = (n[0::2] - n[1::2]).astype(float)
+                if v.any():
+                    keys.append(k)
+                    vecs.append(v / np.sqrt((v * v).sum()))
+            yield pd.DataFrame({key: keys, "vec": vecs})
+
+    tokens = rows.select(F.col(key), T.signature_tokens(F.col(text)).alias("_tokens")).where(F.size("_tokens") > 0)
+    return tokens.mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, vec array<double>")
 
 
-def dense(vectors: DataFrame, key: str, dim: int = DIM) -> DataFrame:
-    """key, vec: arrays from the long form."""
-    found = vectors.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "v"))).alias("m"))
-    return found.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.coalesce(F.col("m")[d], F.lit(0.0))).alias("vec"))
+def hashed_embeddings(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, dim, v: the vectors in long form; zero coordinates are absent."""
+    return embedded(rows, key, text).select(key, F.posexplode("vec").alias("dim", "v")).where("v <> 0")
 
 
 def cosine_pairs(vectors: DataFrame, key: str, vec: str, threshold: float, block: int = 2048) -> DataFrame:
@@ -64,23 +81,37 @@ def components(nodes: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
 
 
 def near_duplicate_groups(rows: DataFrame, key: str, text: str, threshold: float = 0.90) -> DataFrame:
-    """key, root (first member), group_id (dense, by first member), group_size. Texts without tokens stay alone."""
-    vecs = cut(dense(hashed_embeddings(rows, key, text), key), "vectors")
-    found = components(rows.select(key), cosine_pairs(vecs, key, "vec", threshold), key)
-    heads = found.groupBy("root").agg(F.count("*").alias("group_size"))
-    heads = heads.withColumn("group_id", F.dense_rank().over(Window.orderBy("root")) - 1)
-    return found.join(heads, "root").select(key, "root", F.col("group_id").cast("long").alias("group_id"), "group_size")
+    """key, root (first member), group_id (dense, by first member), group_size. Texts without tokens stay alone.
+
+    Rows with one vector are linked to its first row, so only distinct vectors meet in pairs."""
+    vecs = cut(embedded(rows, key, text), "vectors")
+    firsts = cut(vecs.groupBy("vec").agg(F.min(key).alias("first")), "distinct")
+    of = firsts.select(F.col("vec").alias("v"), "first")
+    copies = vecs.join(of, F.col("vec") == F.col("v")).where(F.col(key) != F.col("first")).select(F.col(key).alias("a"), F.col("first").alias("b"))
+    found = cut(components(rows.select(key), cosine_pairs(firsts, "first", "vec", threshold).select("a", "b").unionByName(copies), key), "grouped")
+    heads = row_numbers(found.groupBy("root").agg(F.count("*").alias("group_size")), ["root"], name="group_id")
+    return found.join(heads.withColumnRenamed("root", "_root"), F.col("root") == F.col("_root")).select(key, "root", "group_id", "group_size")
 
 
 def signatures(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, signature: the most frequent token, of ties the first; 'general' where there is none."""
-    t = rows.select(key, F.posexplode_outer(T.signature_tokens(F.col(text))).alias("pos", "t")).groupBy(key, "t").agg(F.count("*").alias("n"), F.min("pos").alias("p"))
-    return t.groupBy(key).agg(F.coalesce(F.max_by("t", F.struct(F.col("n"), (-F.col("p")).alias("q"))), F.lit("general")).alias("signature"))
+    """key, signature: the most frequent token, of ties the first; 'general' where there is none. Sorted within its row: of
+    (token, place) pairs in order, a token's last run has its count."""
+    tokens = T.signature_tokens(F.col(text))
+    pairs = F.array_sort(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+    none = F.struct(F.lit("").alias("t"), F.lit(0).alias("n"), F.lit(0).alias("p"), F.lit("").alias("bt"), F.lit(0).alias("bn"), F.lit(0).alias("bp"))
+
+    def step(s, x):
+        same = s["t"] == x["t"]
+        n, p = F.when(same, s["n"] + 1).otherwise(1), F.when(same, s["p"]).otherwise(x["i"])
+        better = (n > s["bn"]) | ((n == s["bn"]) & (p < s["bp"]))
+        return F.struct(x["t"].alias("t"), n.alias("n"), p.alias("p"), F.when(better, x["t"]).otherwise(s["bt"]).alias("bt"), F.greatest(n, s["bn"]).alias("bn"), F.when(better, p).otherwise(s["bp"]).alias("bp"))
+
+    best = F.aggregate(pairs, none, step, lambda s: s["bt"])
+    return rows.select(key, F.when(F.coalesce(best, F.lit("")) == "", "general").otherwise(best).alias("signature"))
 
 
 def signature_groups(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, signature, group_id (dense, in first-seen order), group_size."""
     s = signatures(rows, key, text)
-    g = s.groupBy("signature").agg(F.min(key).alias("m"), F.count("*").alias("group_size"))
-    g = g.withColumn("group_id", (F.dense_rank().over(Window.orderBy("m")) - 1).cast("long"))
-    return s.join(g, "signature").select(key, "signature", "group_id", "group_size")
+    g = row_numbers(s.groupBy("signature").agg(F.min(key).alias("m"), F.count("*").alias("group_size")), ["m"], name="group_id")
+    return s.join(g.withColumnRenamed("signature", "_s"), F.col("signature") == F.col("_s")).select(key, "signature", "group_id", "group_size")

@@ -157,5 +157,54 @@ SELECT phase, model, sum(i)::BIGINT AS input_tokens, sum(2 * i)::BIGINT AS outpu
     "build_estimate": f"""WITH {SIG}, t AS (SELECT count(*) AS n FROM fut), g AS (SELECT sum(ceil(c / 8.0))::BIGINT AS b FROM (SELECT count(*) AS c FROM sig GROUP BY group_id)), l AS (SELECT n, b, ceil(n / 120.0)::BIGINT * (n > 1)::BIGINT AS k, ceil(least(100, n) / 5.0)::BIGINT AS q FROM t, g)
 SELECT 'phase2-filter' AS phase, n AS calls, n * 60 AS input_tokens, n AS output_tokens FROM l UNION ALL SELECT 'phase3-embeddings', (n > 0)::BIGINT, n * 100, 0 FROM l UNION ALL SELECT 'phase4-annotate', b, b * 950, b * 650 FROM l
 UNION ALL SELECT 'phase4-canonical', k, k * 1200, k * 700 FROM l UNION ALL SELECT 'phase7-checklist', q, q * 1800, q * 700 FROM l UNION ALL SELECT 'phase7-merge', q, q * 2200, q * 650 FROM l""",
-    "model_annotations": f"WITH {FIRST}, {annotated('fut', 'conv_id')} SELECT conv_id, family, domain, difficulty, specificity FROM ann",
+    "model_annotations": f"""WITH {SIG}, b AS (SELECT conv_id, prompt, group_id, (row_number() OVER (PARTITION BY group_id ORDER BY conv_id) - 1) // 8 AS bt FROM fut JOIN sig USING (conv_id)),
+j AS (SELECT group_id, bt, string_agg(prompt, ' ' ORDER BY conv_id) AS prompt FROM b GROUP BY ALL), {annotated('j', 'bt', 'gm')}, {annotated('fut', 'conv_id')}
+SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN gm.family ELSE ann.family END AS family, CASE WHEN conv_id % 3 = 0 THEN gm.domain ELSE ann.domain END AS domain,
+lower(CASE WHEN conv_id % 3 = 0 THEN gm.label ELSE ann.label END) || ' reasoning|instruction following|clear explanation' AS skills, ann.difficulty, ann.specificity, conv_id % 3 <> 0 AS ok FROM ann JOIN b USING (conv_id) JOIN gm USING (group_id, bt)""",
+}
+
+
+def _first_words(t: str) -> str:
+    return f"array_to_string((string_split({collapse(t)}, ' '))[1:80], ' ')"
+
+
+_DETAIL = _quote((T.DETAIL * 4).strip())
+ANSWERS = f"""ans AS (SELECT conv_id, model, trim(CASE model WHEN 'recorded:weak-1' THEN 'I don''t know.' WHEN 'recorded:brief-1' THEN 'Short answer: ' || {_first_words('prompt')}
+WHEN 'recorded:detailed-1' THEN 'Here is a detailed answer to your request: ' || {_first_words('prompt')} || chr(10) || chr(10) || {_DETAIL} ELSE 'Here is a focused answer to your request: ' || {_first_words('prompt')} END) AS response
+FROM fut, (VALUES ('recorded:plain-1'), ('recorded:weak-1'), ('recorded:brief-1'), ('recorded:detailed-1')) m(model))"""
+JUDGED = f"""{ANSWERS}, jd AS (SELECT conv_id, model, 'recorded:judge-a' AS judge, {score('response')} AS score, CASE WHEN {score('response')} >= 8 THEN 0 ELSE 1 END AS n_weaknesses, true AS ok FROM ans
+UNION ALL SELECT conv_id, model, 'recorded:judge-b', CASE WHEN length(response) % 2 = 1 THEN 5 ELSE least(10, 1 + length(response) % 13) END, (length(response) % 2)::INT, length(response) % 2 = 0 FROM ans)"""
+_SKILLS = f"""sk AS (SELECT doc_id, prompt, label, domain, CASE WHEN doc_id % 2 = 0 THEN list_filter(list_transform(string_split(prompt, ','), lambda x: substr({collapse('x')}, 1, 200)), lambda x: x <> '') ELSE [lower(label) || ' reasoning', 'instruction following'] END AS c FROM ann),
+sl AS (SELECT *, list_transform(c, lambda x: lower(x)) AS low FROM sk), so AS (SELECT *, list_transform((list_filter(c, lambda x, i: list_position(low, lower(x)) = i))[1:8], lambda x: substr(x, 1, 80)) AS o FROM sl),
+sd AS (SELECT doc_id, domain, CASE WHEN len(o) = 0 THEN ['instruction following'] ELSE o END AS s FROM so)"""
+LABELS = f"""{PROMPTS}, {annotated('prompts', 'doc_id')}, lc AS (SELECT family AS label, count(*) AS count FROM ann GROUP BY ALL),
+ld AS (SELECT family AS label, string_agg(domain, '|' ORDER BY n DESC, p) FILTER (WHERE k <= 3) AS domains FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY n DESC, p) AS k FROM (SELECT family, domain, count(*) AS n, min(doc_id) AS p FROM ann GROUP BY ALL)) GROUP BY ALL),
+ls AS (SELECT family AS label, string_agg(skill, '|' ORDER BY n DESC, p) FILTER (WHERE k <= 6) AS skills FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY n DESC, p) AS k FROM (SELECT family, skill, count(*) AS n, min(doc_id * 10 + i) AS p
+  FROM (SELECT doc_id, family, unnest([lower(label) || ' reasoning', 'instruction following']) AS skill, unnest([0, 1]) AS i FROM ann) GROUP BY family, skill)) GROUP BY ALL),
+lp AS (SELECT label, count, domains, skills FROM lc JOIN ld USING (label) JOIN ls USING (label))"""
+_LOW = "lower(prompt)"
+EVAL = f"""n AS (SELECT count(DISTINCT conv_id) AS n FROM conversations), ev AS (SELECT line::INT AS line, phase, provider, model, n AS calls, n * i AS input_tokens, n * o AS output_tokens, confidence, round(n * i / 1000 * pi + n * o / 1000 * po, 6) AS cost_usd
+FROM n, (VALUES (0, 'answer', 'openai', 'gpt-5-5', 900, 700, 'normalized', 0.005::DOUBLE, 0.03::DOUBLE), (1, 'judge', 'anthropic', 'claude-opus-4-8', 1100, 180, 'exact', 0.005, 0.025), (2, 'judge', 'xai', 'grok-4.9', 1100, 180, 'rough', 0.00125, 0.0025), (3, 'judge', 'local', 'llama', 1100, 180, 'local', 0, 0)) v(line, phase, provider, model, i, o, confidence, pi, po)),
+el AS (SELECT *, CASE WHEN confidence IN ('normalized', 'rough') THEN '≈' ELSE '' END || '$' || printf('%.2f', cost_usd) AS cost_label FROM ev)"""
+BOARD = f"{RUNS}, o AS ({_overall('model', 'runs')}), board AS (SELECT *, row_number() OVER (ORDER BY weighted_score DESC, model) AS place FROM o)"
+
+ORACLES |= {
+    "fallback_annotations": f"""WITH {PROMPTS}, {annotated('prompts', 'doc_id')} SELECT doc_id, CASE WHEN label = 'General' THEN 'General assistance' WHEN {_has(_LOW, ('translate', 'french', 'spanish'))} THEN label || ' language support' WHEN {_has(_LOW, ('code', 'python', 'javascript'))} THEN label || ' software help' ELSE label || ' tasks' END AS family,
+domain, CASE WHEN domain = 'Writing' AND NOT {_has(_LOW, ('email', 'essay', 'rewrite', 'draft'))} THEN 'General' ELSE domain END AS offline_domain FROM ann""",
+    "task_skills": f"WITH {PROMPTS}, {annotated('prompts', 'doc_id')}, {_SKILLS} SELECT doc_id, array_to_string(s, '|') AS skills, substr(domain || '; skills: ' || array_to_string(s[1:4], ', '), 1, 500) AS description FROM sd",
+    "candidate_answers": f"WITH {FIRST}, {ANSWERS} SELECT conv_id, model, response, true AS ok FROM ans",
+    "judge_panel": f"WITH {FIRST}, {JUDGED} SELECT conv_id, model, judge, score, n_weaknesses, ok FROM jd",
+    "panel_details": f"WITH {FIRST}, {JUDGED} SELECT conv_id, model, round(coalesce(median(score) FILTER (WHERE ok), median(score)), 4)::DOUBLE AS score, coalesce(max(score) FILTER (WHERE ok) - min(score) FILTER (WHERE ok), max(score) - min(score))::BIGINT AS judge_spread, string_agg(judge || '=' || score, ',' ORDER BY judge) AS judge_scores FROM jd GROUP BY ALL",
+    "model_checklists": f"WITH {FIRST}, {annotated('fut', 'conv_id')} SELECT conv_id, array_to_string(list_value({_LABEL_ITEMS}, 'Covers the main ' || lower(label) || ' considerations'), '|') AS checklist, true AS ok FROM ann",
+    "label_payload": f"WITH {LABELS} SELECT * FROM lp",
+    "model_claims": f"WITH {LABELS} SELECT label, label AS family, string_split(domains, '|')[1] AS domain FROM lp",
+    "top_families": f"WITH {PROMPTS}, {annotated('prompts', 'doc_id')} SELECT family, count(*) AS n FROM ann GROUP BY family ORDER BY n DESC, min(doc_id) LIMIT 5",
+    "build_totals": f"WITH RECURSIVE {GROUPS}, {DOCS}, {annotated('src', 'doc_id')} SELECT count(*) AS n_tasks, count(DISTINCT family_id) AS n_families, count(DISTINCT family) AS n_labels, count(*) - count(DISTINCT root) AS n_suppressed FROM ann JOIN grp USING (doc_id)",
+    "filter_counts": f"SELECT count(*) FILTER (WHERE is_task = 1) AS kept, count(*) FILTER (WHERE is_task = 0) AS dropped FROM ({ORACLES['nontask_filter']})",
+    "eval_estimate": f"WITH {EVAL} SELECT * FROM el",
+    "estimate_totals": f"WITH {EVAL} SELECT round(sum(cost_usd), 6) AS cost_usd, false AS any_unknown, true AS any_approximate, '≈$' || printf('%.2f', round(sum(cost_usd), 6)) AS shown FROM el",
+    "catalog_quotes": """SELECT * FROM (VALUES ('xai', 'grok-4.9', 'exact', 'openrouter', 'x-ai/grok-4.9', 0.000002::DOUBLE * 1000, 0.000004::DOUBLE * 1000), ('openai', 'gpt-4o-mini', 'exact', 'litellm', 'gpt-4o-mini', 1.5e-7::DOUBLE * 1000, 6e-7::DOUBLE * 1000), ('openai', 'gpt-5', 'exact', 'config', 'openai/gpt-5', 0.001, 0.002),
+('azure', 'gpt-5', 'exact', 'builtin', 'gpt-5', 0.005, 0.015), ('anthropic', 'claude-opus-4.7', 'exact', 'config', 'claude-opus-4.7', 0.003, 0.004), ('x', 'half', 'unknown', 'unknown', NULL, 0.0, 0.0), ('x', 'sample_spec', 'unknown', 'unknown', NULL, 0.0, 0.0)) v(provider, model, confidence, price_source, matched, input_per_1k, output_per_1k)""",
+    "report_kpis": f"WITH {BOARD} SELECT count(*) AS n_runs, count(DISTINCT model) AS n_models, arg_min(model, place) AS top_model, arg_min(weighted_score, place) AS top_score, round(sum(n_tasks / 100), 6) AS total_cost, sum(n_tasks * 2)::DOUBLE AS total_wall FROM board",
+    "combined_categories": f"WITH {RUNS}, m AS (SELECT model, lang AS category, round(avg(score), 4) AS s FROM runs JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY ALL) SELECT category, round(avg(s), 4) AS score, count(*) AS n_runs FROM m GROUP BY category",
 }

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import models as M
 from ..functions import text as T
 from ..operators import conversations as C
 from ..operators import families as A
 from ..operators import pricing as P
 from ..operators import scoring as S
+from ..operators import checklists as K
+from ..operators import judging as J
 from ..operators import vectors as V
+from ..settings import Model
+from ..storage import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -42,7 +49,7 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as annotated tasks with their near-duplicate groups, family sizes and importance."""
     docs = table(spark, sf_dir, "documents")
     groups = V.near_duplicate_groups(docs, "doc_id", "text").select("doc_id", F.col("root").alias("dup_group"), F.col("group_size").alias("dup_size"))
-    rows = A.annotate(docs.select("doc_id", "text"), "text").drop("text").join(groups, "doc_id")
+    rows = cut(A.annotate(docs.select("doc_id", "text"), "text").drop("text").join(groups, "doc_id"), "annotated")
     return rows.join(A.family_importance(rows, "doc_id", "dup_group").select("family_id", "family_size", "family_importance"), "family_id")
 
 
@@ -95,7 +102,7 @@ def hashed_embeddings(spark, sf_dir):
 
 @query
 def near_duplicate_pairs(spark, sf_dir):
-    vecs = V.dense(V.hashed_embeddings(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+    vecs = V.embedded(table(spark, sf_dir, "documents"), "doc_id", "text")
     return V.cosine_pairs(vecs, "doc_id", "vec", 0.90).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
@@ -222,9 +229,162 @@ def build_estimate(spark, sf_dir):
     return P.build_estimate(spark, first.count(), sizes)
 
 
+def _some_answers(model, kind, payload):
+    reply = json.loads(model(kind, payload).text)
+    reply["annotations"] = [a for a in reply["annotations"] if int(a["conversation_id"]) % 3]
+    return M.Reply(json.dumps(reply), model.model, 0, 0, False)
+
+
 @query
 def model_annotations(spark, sf_dir):
-    """The batched model call with a model that answers for some tasks only; must equal the offline twin."""
+    """The batched model call, with a model that leaves every third task out of its reply."""
     first = V.signature_groups(C.first_user_text(table(spark, sf_dir, "conversations")), "conv_id", "first_user_text").select("conv_id", "group_id")
     rows = C.first_user_text(table(spark, sf_dir, "conversations")).join(first, "conv_id")
-    return A.annotate_with_model(rows, "conv_id", "first_user_text", "group_id", lambda: lambda texts: [{}])
+    return A.annotate_with_model(rows, "conv_id", "first_user_text", "group_id", lambda: partial(_some_answers, M.Offline())).select("conv_id", "family", "domain", F.array_join("skills", "|").alias("skills"), "difficulty", "specificity", "ok")
+
+
+def _offline(provider: str, model: str) -> M.Offline:
+    return M.Offline(model)
+
+
+CANDIDATES = [Model("recorded", m) for m in ("plain-1", "weak-1", "brief-1", "detailed-1")]
+
+
+def _tasks_of(spark, sf_dir):
+    first = C.first_user_text(table(spark, sf_dir, "conversations"))
+    return first.withColumn("checklist", F.array(*[F.lit(x) for x in T.CHECKLIST]))
+
+
+@query
+def fallback_annotations(spark, sf_dir):
+    """Family and domain as after a failed call, and as the offline model gives them."""
+    rows = prompts_of(spark, sf_dir)
+    of = T.label(F.col("prompt"))
+    return rows.select("doc_id", T.family_label(F.col("prompt"), of, fallback=True).alias("family"), T.domain(F.col("prompt")).alias("domain"), T.domain(F.col("prompt"), offline=True).alias("offline_domain"))
+
+
+@query
+def task_skills(spark, sf_dir):
+    """Skills from a comma text where there is one, and the category text made of them."""
+    rows = prompts_of(spark, sf_dir).select("doc_id", T.domain(F.col("prompt")).alias("domain"), T.skills(F.when(F.col("doc_id") % 2 == 0, F.col("prompt")), F.col("prompt")).alias("s"))
+    return rows.select("doc_id", F.array_join("s", "|").alias("skills"), T.category_description(F.col("domain"), F.col("s")).alias("description"))
+
+
+@query
+def candidate_answers(spark, sf_dir):
+    """Every candidate's answer to every first prompt, by model calls."""
+    return J.answers(_tasks_of(spark, sf_dir), "conv_id", "first_user_text", CANDIDATES, _offline).select("conv_id", "model", "response", "ok")
+
+
+def _judged(spark, sf_dir):
+    tasks = _tasks_of(spark, sf_dir)
+    answered = J.answers(tasks, "conv_id", "first_user_text", CANDIDATES, _offline)
+    rows = answered.join(tasks.select(F.col("conv_id").alias("_c"), "checklist", F.col("first_user_text").alias("prompt")), F.col("conv_id") == F.col("_c")).drop("_c")
+    return J.judgements(rows, ["conv_id", "model"], [Model("recorded", "judge-a"), Model("recorded", "judge-b")], _judge)
+
+
+class _Unreadable(M.Offline):
+    """A judge that gives no object for every other response length, and a score of its own else."""
+
+    def __call__(self, kind, payload):
+        n = len(payload["response"])
+        return M.Reply("no score" if n % 2 else json.dumps({"score": 1 + n % 13}), self.model, 0, 0, False)
+
+
+def _judge(provider: str, model: str):
+    return _Unreadable(model) if model == "judge-b" else M.Offline(model)
+
+
+@query
+def judge_panel(spark, sf_dir):
+    """Two judges' scores of all answers; one can't be read for some."""
+    return _judged(spark, sf_dir).select("conv_id", "model", "judge", "score", F.size("weaknesses").alias("n_weaknesses"), "ok")
+
+
+@query
+def panel_details(spark, sf_dir):
+    rows = J.panel_details(_judged(spark, sf_dir), ["conv_id", "model"], "median")
+    text = F.array_join(F.transform("judges", lambda x: F.concat(x["judge"], F.lit("="), x["score"].cast("string"))), ",")
+    return rows.select("conv_id", "model", "score", F.col("judge_spread").cast("long").alias("judge_spread"), text.alias("judge_scores"))
+
+
+@query
+def model_checklists(spark, sf_dir):
+    """Panel and merge by model calls in batches of five."""
+    tasks = C.first_user_text(table(spark, sf_dir, "conversations"))
+    items = cut(K.panel_items(tasks, "conv_id", "first_user_text", [Model("recorded", "a"), Model("recorded", "b")], _offline), "items")
+    done = K.merged_items(tasks, items, "conv_id", "first_user_text", Model("recorded", "m"), _offline)
+    return done.select("conv_id", F.array_join("checklist", "|").alias("checklist"), "ok")
+
+
+def _with_skills(spark, sf_dir):
+    rows = A.annotate(prompts_of(spark, sf_dir), "prompt")
+    return rows.withColumn("skills", T.skills(F.lit(None).cast("string"), F.col("prompt")))
+
+
+@query
+def label_payload(spark, sf_dir):
+    """Each raw label's count, three most frequent domains and six skills."""
+    rows = A.label_payload(_with_skills(spark, sf_dir), "doc_id")
+    return rows.select("label", "count", F.array_join("domains", "|").alias("domains"), F.array_join("skills", "|").alias("skills"))
+
+
+@query
+def model_claims(spark, sf_dir):
+    """The canonical map by model calls over 120 labels each; the offline model claims each label for itself."""
+    labels = A.label_payload(_with_skills(spark, sf_dir), "doc_id")
+    return A.model_claims(labels, M.Offline).select("label", "family", "domain")
+
+
+@query
+def top_families(spark, sf_dir):
+    return A.top_families(A.annotate(prompts_of(spark, sf_dir), "prompt"), "doc_id")
+
+
+@query
+def build_totals(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    groups = V.near_duplicate_groups(docs, "doc_id", "text").select("doc_id", F.col("root").alias("dup_group"))
+    return A.totals(A.annotate(docs.select("doc_id", "text"), "text").join(groups, "doc_id"), "doc_id", "dup_group")
+
+
+@query
+def filter_counts(spark, sf_dir):
+    rows = C.task_flags(prompts_of(spark, sf_dir))
+    return rows.agg(F.count_if(F.col("is_task") == 1).alias("kept"), F.count_if(F.col("is_task") == 0).alias("dropped"))
+
+
+@query
+def eval_estimate(spark, sf_dir):
+    """The cost of an evaluation over all prompts, line by line, with its prices."""
+    n = table(spark, sf_dir, "conversations").select("conv_id").distinct().count()
+    lines = P.eval_estimate(spark, n, Model("openai", "gpt-5-5"), [Model("anthropic", "claude-opus-4-8"), Model("xai", "grok-4.9"), Model("local", "llama")])
+    return P.priced(lines, P.builtin_catalog(spark), ["local"])
+
+
+@query
+def estimate_totals(spark, sf_dir):
+    return P.estimate_totals(eval_estimate(spark, sf_dir))
+
+
+@query
+def catalog_quotes(spark, sf_dir):
+    """Quotes out of two external catalogs and overrides in the settings."""
+    router = spark.createDataFrame([('{"data": [{"id": "x-ai/grok-4.9", "pricing": {"prompt": "0.000002", "completion": "0.000004"}}, {"id": "bad", "pricing": {"prompt": "n/a", "completion": "1"}}]}',)], "value string")
+    lite = spark.createDataFrame([('{"sample_spec": {"input_cost_per_token": 1, "output_cost_per_token": 1}, "gpt-4o-mini": {"input_cost_per_token": 1.5e-7, "output_cost_per_token": 6e-7}, "half": {"input_cost_per_token": 1}}',)], "value string")
+    own = P.override_rows(spark, [("openai", "gpt-5", 1.0, 2.0), (None, "Claude-Opus-4-7", 3.0, 4.0)])
+    catalog = P.openrouter_rows(router).unionByName(P.litellm_rows(lite)).unionByName(own).unionByName(P.builtin_catalog(spark))
+    models = [("xai", "grok-4.9"), ("openai", "gpt-4o-mini"), ("openai", "gpt-5"), ("azure", "gpt-5"), ("anthropic", "claude-opus-4.7"), ("x", "half"), ("x", "sample_spec")]
+    return P.quotes(spark.createDataFrame(models, "provider string, model string"), catalog)
+
+
+@query
+def report_kpis(spark, sf_dir):
+    return S.report_kpis(leaderboard(spark, sf_dir).withColumn("run_cost_usd", F.col("n_tasks") / 100).withColumn("wall_time_seconds", F.col("n_tasks") * 2), "model")
+
+
+@query
+def combined_categories(spark, sf_dir):
+    """Each category's mean over runs of the runs' means."""
+    rows = _runs(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("category")), "doc_id")
+    return S.combined_categories(rows, "model")

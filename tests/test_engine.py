@@ -11,6 +11,7 @@ from sparkgauge.functions import text as T
 from sparkgauge.operators import conversations, families, pricing, scoring, vectors
 from sparkgauge.plans.oracles import ORACLES
 from sparkgauge.plans.queries import QUERIES
+from sparkgauge import replies
 from sparkgauge.sources import exports, lock
 
 SF = "/root/testdata/sf0.001"
@@ -144,11 +145,11 @@ def test_lock_is_stable(spark, tmp_path):
 
 
 def test_reply_repair():
-    assert lock.parse_json_object('x {"a": [1, 2,],} y') == {"a": [1, 2]}
-    assert lock.parse_json_object("```json\n[1]\n```") == {"checklists": [1]}
-    assert lock.parse_json_object('{"a": 1\n "b": 2}') == {"a": 1, "b": 2}
+    assert replies.parse_json_object('x {"a": [1, 2,],} y') == {"a": [1, 2]}
+    assert replies.parse_json_object("```json\n[1]\n```") == {"checklists": [1]}
+    assert replies.parse_json_object('{"a": 1\n "b": 2}') == {"a": 1, "b": 2}
     with pytest.raises(ValueError):
-        lock.parse_json_object("")
+        replies.parse_json_object("")
 
 
 def test_claims_first_wins(spark):
