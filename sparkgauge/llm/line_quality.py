@@ -6,7 +6,8 @@ forward-backward marginals for "good", weighted by their length. Lines are split
 without a word are left out.
 
 Null, empty and blank texts: no lines, score EMPTY_SCORE. Long texts: whole. Repeated rows: a row each.
-Without labelled rows every score is 0.5.
+Null ids: a row each, not held out, never learnt from. Empty table: no rows. Columns other than doc_id and text are not read (by
+the stage: kept as they are). Without labelled rows every score is 0.5.
 """
 
 from __future__ import annotations

@@ -1,27 +1,25 @@
 """Packing: optimal length buckets by dynamic programming, and token-budget batches inside each.
 
-The token lengths of all documents are counted in one global histogram. Lengths above WIDTH_EXACT are
-rounded up to steps of 1/64 of their power of two, so the histogram has a few thousand rows at most, however
-many documents there are; the optimum is exact for the rounded lengths. Dynamic programming chooses at
-most K bucket lengths that minimise padding. Inside a bucket, documents in doc_id order form batches of
-floor(budget / bucket length) documents, at least one. Ranks come from counts of blocks of doc_id
-(windows hold one block of a bucket, never a whole bucket), so one bucket may hold all rows.
+The token lengths of all documents are counted in one global histogram: a row for each distinct length, however many
+documents there are. Dynamic programming over it chooses at most K bucket lengths that minimise padding; as the cost of a
+bucket is linear in the counts before it, a step over n lengths takes n moves on a hull of lines, in whole numbers. Inside a
+bucket, documents in doc_id order form batches of floor(budget / bucket length) documents, at least one. Ranks are taken by
+ranges (ranks.py), so one bucket may hold all rows, and ids may be dense or sparse.
 
-Null and empty texts: no tokens, in the first bucket (its length is at least 1). Ties and repeated rows keep a
-place each (order: doc_id, then length). Null doc_id: as the smallest. Empty table: no rows.
+Tokens are words between white space. Null and empty texts: no tokens, in the first bucket (its length is at least 1). Long
+texts: a document over the budget is a batch of its own. Ties and repeated rows keep a place each (order: doc_id, then length).
+Null doc_id: as the smallest. Empty table: no rows. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..ranks import row_numbers
 from .common import cut
 
 BUCKETS, BUDGET = 16, 65_536
-WIDTH_EXACT = 512
-BLOCK = 4096
 
 
 def token_count(text: Column) -> Column:
@@ -30,59 +28,59 @@ def token_count(text: Column) -> Column:
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, " +"))).cast("long")
 
 
-def rounded(n: Column) -> Column:
-    """n up to WIDTH_EXACT; above that, up to the next multiple of 2 ** (bits - 7) (under 1.6 % more)."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double"))) - 6)
-    return F.when(n <= WIDTH_EXACT, F.greatest(n, F.lit(1))).otherwise((F.ceil(n / step) * step)).cast("long")
-
-
 def best_boundaries(lengths: list[int], counts: list[int], buckets: int = BUCKETS) -> list[int]:
     """Upper lengths of at most `buckets` buckets with the least padding in all. Lengths ascend. Of equal
     plans the one with fewer buckets, then with smaller boundaries from the top down."""
     n = len(lengths)
     if not n:
         return []
-    x, c = np.array(lengths, np.float64), np.array(counts, np.float64)
-    many, total = np.concatenate([[0], np.cumsum(c)]), np.concatenate([[0], np.cumsum(c * x)])
-    best = np.full(n + 1, np.inf)
-    best[0] = 0
-    choice, costs = [], []
-    for _ in range(min(buckets, n)):
-        new, pick = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
-        for j in range(1, n + 1):
-            cost = best[:j] + x[j - 1] * (many[j] - many[:j]) - (total[j] - total[:j])
-            pick[j] = int(np.argmin(cost))
-            new[j] = cost[pick[j]]
+    many, total = [0], [0]
+    for x, c in zip(lengths, counts, strict=True):
+        many.append(many[-1] + c)
+        total.append(total[-1] + c * x)
+    # After one bucket, and then one more each time: best[j] for the first j lengths, from the last bucket's start i < j:
+    # x_j (many_j - many_i) - (total_j - total_i) + before_i, a line in x_j of slope -many_i and height before_i + total_i.
+    best = [0] + [x * many[j] - total[j] for j, x in enumerate(lengths, 1)]
+    choice, costs = [[0] * (n + 1)], [best[n]]
+    for k in range(1, min(buckets, n)):
+        hull: list[int] = []
+        new, pick, at = best[: k + 1], [0] * (n + 1), 0
+        height = [b + t for b, t in zip(best, total, strict=True)]
+        for j in range(k + 1, n + 1):
+            i = j - 1  # the newest line; slopes descend, so it is the last of the hull
+            while len(hull) > 1:
+                a, b = hull[-2], hull[-1]
+                if (height[i] - height[a]) * (many[b] - many[a]) > (height[b] - height[a]) * (many[i] - many[a]):
+                    break
+                hull.pop()
+            hull.append(i)
+            at, x = min(at, len(hull) - 1), lengths[j - 1]
+            while at + 1 < len(hull) and height[hull[at + 1]] - x * many[hull[at + 1]] < height[hull[at]] - x * many[hull[at]]:
+                at += 1
+            pick[j] = hull[at]
+            new.append(x * many[j] - total[j] + height[hull[at]] - x * many[hull[at]])
         best = new
         choice.append(pick)
-        costs.append(new[n])
-    k, j, ends = int(np.argmin(costs)), n, []
+        costs.append(best[n])
+    k, j, ends = costs.index(min(costs)), n, []
     while j:
-        ends.append(int(lengths[j - 1]))
-        j = int(choice[k][j])
+        ends.append(lengths[j - 1])
+        j = choice[k][j]
         k -= 1
     return ends[::-1]
 
 
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """doc_id, n_tokens, bucket, bucket_len, batch, slot, padding of each document."""
-    sized = cut(docs.select(F.col("doc_id").cast("long"), token_count(F.col("text")).alias("n_tokens")).withColumn("len", rounded(F.col("n_tokens"))), "lengths")
-    histogram = sized.groupBy("len").count().orderBy("len").collect()  # rows are bounded by rounding
-    ends = best_boundaries([r["len"] for r in histogram], [r["count"] for r in histogram], buckets)
-    if not ends:
-        ends = [1]
+    sized = cut(docs.select(F.col("doc_id").cast("long"), token_count(F.col("text")).alias("n_tokens")), "lengths")
+    histogram = sized.groupBy(F.greatest("n_tokens", F.lit(1)).alias("len")).count().orderBy("len").collect()  # a row for each distinct length
+    ends = best_boundaries([r["len"] for r in histogram], [r["count"] for r in histogram], buckets) or [1]
     edges = F.array(*[F.lit(e) for e in ends])
-    bucket = F.size(F.filter(edges, lambda e: e < F.col("len")))
-    placed = sized.withColumn("bucket", bucket.cast("int")).withColumn("block", F.floor(F.col("doc_id") / BLOCK))
-    blocks = placed.groupBy("bucket", "block").agg(F.count("*").alias("n"))
-    # One row for each bucket and block: documents / BLOCK rows a bucket.
-    before = blocks.select("bucket", "block", (F.sum("n").over(Window.partitionBy("bucket").orderBy(F.col("block").asc_nulls_first())) - F.col("n")).alias("before"))
-    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("bucket", "block").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens")))
-    both = ranked.alias("r").join(before.alias("b"), (F.col("r.bucket") == F.col("b.bucket")) & F.col("r.block").eqNullSafe(F.col("b.block")))
-    length = F.get(edges, F.col("r.bucket")).cast("long")
+    placed = sized.withColumn("bucket", F.size(F.filter(edges, lambda e: e < F.col("n_tokens"))).cast("int"))
+    ranked = row_numbers(placed, [F.col("doc_id").asc_nulls_first(), F.col("n_tokens")], ["bucket"], "rank")
+    length = F.get(edges, F.col("bucket")).cast("long")
     room = F.greatest(F.floor(F.lit(budget) / length), F.lit(1)).cast("long")
-    place = F.col("before") + F.col("rank") - 1
-    return both.select(
-        "doc_id", "n_tokens", F.col("r.bucket").alias("bucket"), length.alias("bucket_len"), F.floor(place / room).cast("long").alias("batch"),
-        (place % room).cast("long").alias("slot"), (length - F.col("n_tokens")).alias("padding"),
+    return ranked.select(
+        "doc_id", "n_tokens", "bucket", length.alias("bucket_len"), F.floor(F.col("rank") / room).cast("long").alias("batch"),
+        (F.col("rank") % room).cast("long").alias("slot"), (length - F.col("n_tokens")).alias("padding"),
     )

@@ -6,7 +6,8 @@ segmented once by the library itself and the ids are joined back by position. Th
 worker over its own texts: a table for the whole corpus would have to shuffle every word twice, more
 than the texts themselves.
 
-Null text: as empty. Empty text: no ids, empty decoded text. Long texts: whole. Repeated rows: a row each.
+Null text: as empty. Empty text: no ids, empty decoded text. Long texts: whole. Repeated rows and null ids: a row each. Empty
+table: no rows. Columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

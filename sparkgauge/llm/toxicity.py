@@ -9,7 +9,8 @@ A document's score is a logistic curve of its highest word margin, fitted on the
 
 Words are lower-cased runs of letters; marks and digits inside a run are skipped ("id-i0t" -> "idit"), and
 runs of single letters are joined. Null and empty texts: lowest score. Long texts: whole. Repeated rows: a row
-each. Without labelled rows every score is 0.
+each. Null ids: a row each, not held out, never learnt from. Empty table: no rows. Columns other than doc_id and text are not read (by
+the stage: kept as they are). Without labelled rows every score is 0.
 """
 
 from __future__ import annotations

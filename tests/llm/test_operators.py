@@ -364,7 +364,6 @@ def test_boundaries_are_optimal(seed):
 
 
 def test_packing_places(spark, prose, monkeypatch):
-    monkeypatch.setattr(packing, "BLOCK", 16)
     texts = [*prose, *AWKWARD]
     rows = packing.pack(table(spark, texts), buckets=4, budget=300).collect()
     assert sorted(r.doc_id for r in rows) == list(range(len(texts)))

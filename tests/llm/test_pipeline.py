@@ -50,7 +50,7 @@ def plain(texts, labels):
     tagger = pii.Tagger(pii.train())
     out = [(i, pii.redact(t, pii.base_spans(t) + tagger.spans([t])[0])) for i, t in out]
     stages["private_data"] = dict(out)
-    sizes = {i: len(t.split()) for i, t in out}  # under 513 words: lengths aren't rounded
+    sizes = {i: len(t.split()) for i, t in out}
     counts = Counter(sizes.values())
     ends = packing.best_boundaries(sorted(counts), [counts[n] for n in sorted(counts)], packing.BUCKETS)
     rows, used = set(), Counter()
