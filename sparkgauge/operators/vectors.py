@@ -69,9 +69,11 @@ def cosine_pairs(vectors: DataFrame, key: str, vec: str, threshold: float, block
         p, q = np.nonzero(s >= threshold)
         a, b = left.id.to_numpy()[p], right.id.to_numpy()[q]
         keep = a < b if i == j else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "sim": s[p, q][keep]})
+        first = a < b
+        return pd.DataFrame({"a": np.where(first, a, b)[keep], "b": np.where(first, b, a)[keep], "sim": s[p, q][keep]})
 
-    return rows.groupBy("i", "j").applyInPandas(product, "a long, b long, sim double")
+    kind = vectors.schema[key].dataType.simpleString()
+    return rows.groupBy("i", "j").applyInPandas(product, f"a {kind}, b {kind}, sim double")
 
 
 def components(nodes: DataFrame, pairs: DataFrame, key: str) -> DataFrame:

@@ -208,3 +208,7 @@ domain, CASE WHEN domain = 'Writing' AND NOT {_has(_LOW, ('email', 'essay', 'rew
     "report_kpis": f"WITH {BOARD} SELECT count(*) AS n_runs, count(DISTINCT model) AS n_models, arg_min(model, place) AS top_model, arg_min(weighted_score, place) AS top_score, round(sum(n_tasks / 100), 6) AS total_cost, sum(n_tasks * 2)::DOUBLE AS total_wall FROM board",
     "combined_categories": f"WITH {RUNS}, m AS (SELECT model, lang AS category, round(avg(score), 4) AS s FROM runs JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY ALL) SELECT category, round(avg(s), 4) AS score, count(*) AS n_runs FROM m GROUP BY category",
 }
+
+ORACLES["export_shapes"] = f"""WITH t AS (SELECT conv_id::VARCHAR AS conversation_id, turn, {ROLE} AS role, {STRIP} AS text FROM conversations WHERE {STRIP} <> ''),
+a AS (SELECT 'tree' AS form, * FROM t WHERE role <> 'system' UNION ALL SELECT 'list', * FROM t UNION ALL SELECT 'lines', * FROM t)
+SELECT form, conversation_id, (row_number() OVER (PARTITION BY form, conversation_id ORDER BY turn) - 1)::INT AS turn, role, sha256(text) AS digest FROM a"""

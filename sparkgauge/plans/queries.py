@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -16,10 +17,12 @@ from ..operators import families as A
 from ..operators import pricing as P
 from ..operators import scoring as S
 from ..operators import checklists as K
+from ..operators import density as D
 from ..operators import judging as J
 from ..operators import vectors as V
 from ..settings import Model
-from ..storage import cut
+from ..sources import exports as E
+from ..storage import cut, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -388,3 +391,36 @@ def combined_categories(spark, sf_dir):
     """Each category's mean over runs of the runs' means."""
     rows = _runs(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("category")), "doc_id")
     return S.combined_categories(rows, "model")
+
+
+@query
+def export_shapes(spark, sf_dir):
+    """Conversations written out in the three export forms, with nested and blank contents, and read again."""
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("c"), "turn", "role", "text")
+    nest = lambda item: t.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("turn", item.alias("x")))).alias("l")).select("c", F.transform("l", lambda v: v["x"]).alias("l"))
+    parts = F.struct(F.struct(F.col("turn").cast("double").alias("create_time"), F.struct("role").alias("author"), F.struct(F.array(F.lit(""), F.concat(F.lit("  "), "text", F.lit("\n"))).alias("parts")).alias("content")).alias("message"))
+    tree = nest(parts).select(F.to_json(F.struct(F.col("c").alias("id"), F.map_from_arrays(F.transform("l", lambda v, i: i.cast("string")), "l").alias("mapping"))).alias("value"))
+    flat = nest(F.struct(F.col("role").alias("sender"), F.col("text"))).select(F.to_json(F.struct(F.col("c").alias("uuid"), F.col("l").alias("chat_messages"))).alias("value"))
+    lines = nest(F.struct("role", "text")).select(F.to_json(F.struct(F.col("c").alias("id"), F.col("l").alias("turns"))).alias("value"))
+    found = []
+    for name, rows in (("tree", tree), ("list", flat), ("lines", lines)):
+        folder = f"{shared_dir(spark)}/export-{name}-{uuid.uuid4().hex}"
+        # An array export is one document a file; here one for each partition of records.
+        docs = rows if name == "lines" else rows.groupBy(F.pmod(F.xxhash64("value"), F.lit(4))).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value")).select("value")
+        if name != "lines":
+            docs = docs.repartition(4, F.xxhash64("value"))
+            docs = docs.select(F.concat("value", F.lit("")).alias("value"))
+            docs.write.option("maxRecordsPerFile", 1).text(folder)
+            turns = E.read_files(spark, f"{folder}/part-*", None)
+        else:
+            docs.write.text(folder)
+            turns = E.read_lines(spark, f"{folder}/part-*")
+        found.append(turns.select(F.lit(name).alias("form"), "conversation_id", "turn", "role", F.sha2("text", 256).alias("digest")))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query
+def density_clusters(spark, sf_dir):
+    """Density clusters of the given vectors; noise by the signature of the text."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").withColumn("text", F.concat(F.lit("item "), F.col("vec_id").cast("string")))
+    return D.density_groups(rows, "vec_id", "text", "embedding")

@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..ranks import row_numbers
+from ..storage import cut
 
 TURNS = "conversation_id string, turn int, role string, text string, ts string, model_used string, metadata_json string"
+_COLUMNS = [x.split()[0] for x in TURNS.split(", ")]
 EXPORT_NAMES = ("conversations.json", "chat.json", "messages.json")
 
 
@@ -40,8 +43,8 @@ def role_of(role: Any) -> str:
 
 
 def _turn(role: Any, content: Any, ts: Any) -> tuple[str, str, str | None] | None:
-    t = content_text(content)
-    return (role_of(role), t, None if ts is None else str(ts)) if t.strip() else None
+    t = content_text(content).strip()
+    return (role_of(role), t, None if ts is None else str(ts)) if t else None
 
 
 def _tree_turns(record: dict) -> list:
@@ -63,58 +66,100 @@ def turns_of(record: dict, kind: str) -> tuple[list, Any, Any, dict]:
     return turns, record.get("id"), record.get("model_used"), record.get("metadata") or {}
 
 
-def kind_of(record: dict) -> str:
-    return "list" if "chat_messages" in record or record.get("account") == "claude" else "tree"
+#: What ids of records without one begin with, by kind.
+ID_PREFIX = {"tree": "chatgpt", "list": "claude", "lines": "jsonl"}
+
+
+def kind_of(data: Any) -> str:
+    """The kind of a parsed export, by its first record; also of records wrapped in an object."""
+    records = data.get("conversations") if isinstance(data, dict) else data
+    record = records[0] if isinstance(records, list) and records else {}
+    if isinstance(record, dict) and ("chat_messages" in record or record.get("account") == "claude"):
+        return "list"
+    if isinstance(record, dict) and "mapping" in record or isinstance(data, dict) and "conversations" in data:
+        return "tree"
+    raise ValueError("no export form matches this file")
+
+
+def _named(record: dict, n: int, kind: str) -> tuple[str, list] | None:
+    """(id, rows) of a record with turns. Without an id: prefix, the record's number and a hash of its turns; of lines the
+    line's number."""
+    turns, key, model, meta = turns_of(record, kind)
+    if not turns:
+        return None
+    if not key:
+        lines = "\n".join(f"{r}:{t}" for r, t, _ in turns)
+        key = f"{ID_PREFIX[kind]}-{n}" if kind == "lines" else f"{ID_PREFIX[kind]}-{n}-{hashlib.sha256(lines.encode()).hexdigest()[:12]}"
+    return str(key), [(str(key), i, r, t, ts, model, json.dumps(meta, sort_keys=True)) for i, (r, t, ts) in enumerate(turns)]
 
 
 def rows_of(raw: str, kind: str | None) -> Iterator[tuple]:
-    """Turn rows of one whole file."""
-    if kind == "lines":
-        records = [(n, json.loads(x)) for n, x in enumerate(raw.split("\n"), 1) if x.strip()]
-    else:
-        data = json.loads(raw)
-        data = data.get("conversations", [data]) if isinstance(data, dict) else data
-        records = list(enumerate(x for x in data if isinstance(x, dict)))
-    kind = kind or (kind_of(records[0][1]) if records else "tree")
-    last: dict[str, list] = {}
-    for n, record in records:
-        turns, key, model, meta = turns_of(record, kind)
-        if turns:
-            lines = "\n".join(f"{r}:{t}" for r, t, _ in turns)
-            key = str(key or (f"jsonl-{n}" if kind == "lines" else f"{kind}-{n}-{hashlib.sha256(lines.encode()).hexdigest()[:12]}"))
-            last[key] = [(key, i, r, t, ts, model, json.dumps(meta, sort_keys=True)) for i, (r, t, ts) in enumerate(turns)]
+    """Turn rows of one whole array file. Of records with one id the last counts."""
+    data = json.loads(raw)
+    kind = kind or kind_of(data)
+    records = data.get("conversations", [data]) if isinstance(data, dict) else data
+    last = dict(x for n, record in enumerate(records) if isinstance(record, dict) and (x := _named(record, n, kind)))
     for rows in last.values():
         yield from rows
 
 
-def read_export(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """Turn rows of all export files under path. kind: 'tree' (mapping or flat turns), 'list' (chat_messages), 'lines'
-    (one object a line), or None for by-content choice; files named .jsonl are 'lines'. A conversation that a file
-    has twice keeps its last record. A file is one task's work, files run side by side."""
-    files = spark.read.format("binaryFile").load(path).select("content", F.col("path").alias("file"))
+def export_file(spark: SparkSession, path: str) -> str:
+    """The file to read: the path, or in a folder the first of EXPORT_NAMES."""
+    here = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(here):
+        raise FileNotFoundError(path)
+    if not fs.getFileStatus(here).isDirectory():
+        return path
+    for name in EXPORT_NAMES:
+        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(here, name)):
+            return f"{path.rstrip('/')}/{name}"
+    raise FileNotFoundError(f"{path} holds none of {', '.join(EXPORT_NAMES)}")
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Turn rows of files with one JSON object a line, read side by side. Lines are numbered within their file, blank ones too; of
+    records with one id in a file the last counts. A malformed line is an error."""
+    meta = F.col("_metadata")
+    lines = spark.read.text(path).select("value", meta["file_path"].alias("file"), meta["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("at"))
+    numbered = row_numbers(lines, ["start", "at"], ["file"], "line").where(F.trim("value") != "")
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [(file, n, *row) for value, file, n in zip(f.value, f.file, f.line, strict=True) if (x := _named(json.loads(value), n + 1, "lines")) for row in x[1]]
+            yield pd.DataFrame(found, columns=["file", "line", *_COLUMNS])
+
+    rows = cut(numbered.select("value", "file", "line").mapInPandas(parse, f"file string, line long, {TURNS}"), "lines")
+    last = rows.groupBy("file", "conversation_id").agg(F.max("line").alias("line"))
+    return rows.join(last, ["file", "conversation_id", "line"]).select(*_COLUMNS)
+
+
+def read_files(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """Turn rows of all array exports under path, a file a task."""
+    files = spark.read.format("binaryFile").load(path).select("content")
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in TURNS.split(", ")]
         for f in frames:
-            for content, file in zip(f.content, f.file, strict=True):
-                raw = bytes(content).decode("utf-8-sig")
-                yield pd.DataFrame(list(rows_of(raw, kind or ("lines" if file.endswith(".jsonl") else None))), columns=names)
+            for content in f.content:
+                yield pd.DataFrame(list(rows_of(bytes(content).decode("utf-8-sig"), kind)), columns=_COLUMNS)
 
     return files.mapInPandas(parse, TURNS)
 
 
+def read_export(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """Turn rows of an export: 'tree' (mapping or flat turns), 'list' (chat_messages), 'lines' (one object a line, the default of
+    files named .jsonl), or None for the form of the first record. A folder stands for the export file in it."""
+    file = export_file(spark, path)
+    kind = kind or ("lines" if file.endswith(".jsonl") else None)
+    return read_lines(spark, file) if kind == "lines" else read_files(spark, file, kind)
+
+
 def conversations(turns: DataFrame) -> DataFrame:
     """Nested rows: one for each conversation with its ordered turns."""
     return turns.groupBy("conversation_id").agg(F.first("model_used").alias("model_used"), F.first("metadata_json").alias("metadata_json"), F.array_sort(F.collect_list(F.struct("turn", "role", "text", "ts"))).alias("turns"))
 
 
-def read_run_summaries(spark: SparkSession, root: str) -> DataFrame:
-    """runs/<model>/<run>/summary.json files, best weighted score first; ties by path."""
-    rows = spark.read.option("multiLine", True).json(f"{root}/*/*/summary.json").withColumn("_path", F.col("_metadata.file_path"))
-    return rows.orderBy(F.desc("frequency_weighted_egoscore"), "_path")
-
-
-def last_by_id(lines: DataFrame, key: str, order: str) -> DataFrame:
+def last_by_id(lines: DataFrame, key: str | list[str], order: str) -> DataFrame:
     """JSON lines by id; of repeated ids the last line."""
     w = Window.partitionBy(key).orderBy(F.desc(order))
     return lines.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, one machine) a temporary one."""
+    """The folder in spark.checkpoint.dir; where that is unset, on one machine alone, a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = getattr(spark, "_sparkgauge_dir", None)
         if not base:
             base = spark._sparkgauge_dir = "file://" + tempfile.mkdtemp(prefix="sparkgauge-")
