@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import reports
 from .functions import text as T
-from .models import client
+from .models import client, live
 from .operators import checklists as K
 from .operators import conversations as C
 from .operators import families as A
@@ -34,8 +34,8 @@ ID = "conversation_id"
 PHASES = {2: "filter non-tasks", 3: "embed and group", 4: "families", 5: "importance", 6: "sample", 7: "checklists", 8: "lock"}
 
 
-def _make(settings: Settings, provider: str, model: str):
-    return client(Model(provider, model), settings)
+def _make(settings: Settings, asked: frozenset[str], provider: str, model: str):
+    return client(Model(provider, model), settings, asked)
 
 
 def filter_tasks(turns: DataFrame, keep: Callable | None = None) -> DataFrame:
@@ -88,7 +88,7 @@ def choose(tasks: DataFrame, settings: Settings) -> DataFrame:
 def rubrics(tasks: DataFrame, settings: Settings) -> DataFrame:
     """Adds the checklist of selected tasks, by the panel (or the judge alone) and the judge's merge."""
     chosen = tasks.where("selected = 1")
-    make = partial(_make, settings)
+    make = partial(_make, settings, live(settings))
     items = cut(K.panel_items(chosen, ID, "first_user_text", list(settings.checklist_panel) or [settings.judge], make), "items")
     done = K.merged_items(chosen, items, ID, "first_user_text", settings.judge, make).select(F.col(ID).alias("_k"), "checklist")
     raw = items.groupBy(F.col(ID).alias("_r")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("judge", "items")))).alias("raw_checklists"))
@@ -111,8 +111,8 @@ def locked_rows(tasks: DataFrame, turns: DataFrame) -> DataFrame:
 def build(ws: Workspace, settings: Settings, start: int | None = None, say: Callable[[str], None] = print) -> dict:
     """Run the phases. Without start, those whose inputs didn't change are skipped. From `start`: earlier ones are never run, later
     ones always."""
-    turns, make = ws.table("turns"), partial(_make, settings, settings.filter_model.provider, settings.filter_model.model)
-    judge = partial(_make, settings, settings.judge.provider, settings.judge.model)
+    turns, make = ws.table("turns"), partial(_make, settings, live(settings), settings.filter_model.provider, settings.filter_model.model)
+    judge = partial(_make, settings, live(settings), settings.judge.provider, settings.judge.model)
 
     def lock_all(tasks: DataFrame) -> dict:
         got = lock.lock(locked_rows(tasks, turns), ID, build_identity(settings) | {"seed": settings.seed}, str(ws.root))
@@ -168,7 +168,7 @@ def evaluate(ws: Workspace, settings: Settings, candidate: Model, judges: list[M
     """Answer every task, judge every answer, write the run's files and summary, and the reports."""
     spark, began = ws.spark, time.monotonic()
     got = lock.load_benchmark(str(ws.root), ws.latest_hash())
-    make = make or partial(_make, settings)
+    make = make or partial(_make, settings, live(settings))
     schema = "task_id string, conversation_id string, category string, cluster_size long, checklist array<string>, prompt string"
     rows = [(t["id"], t[ID], t["category"], t["cluster_size"], t["checklist"], "\n".join(f"{x['role'].upper()}: {x['text']}" for x in t["turns"])) for t in got["tasks"]]
     tasks = spark.createDataFrame(rows, schema)

@@ -1,7 +1,7 @@
 """Models as callables: what is asked is a kind and a payload, so text in a payload can't change the kind of the reply.
 
-`client(model, settings)` gives a live chat client where a key is there or none is needed, and else the offline model: fixed
-rules of the text, free of charge. Clients are made on the workers. A reply carries its token counts; cost is a column
+`client` gives a live chat client where the driver has a key or none is needed, and else the offline model: fixed rules of the
+text, free of charge. Clients are made on the workers. A reply carries its token counts; cost is a column
 computed from them, no side effect."""
 
 from __future__ import annotations
@@ -119,12 +119,18 @@ class Chat:
         return Reply(said, self.model, used.get("prompt_tokens") or P.estimate_tokens(prompt), used.get("completion_tokens") or P.estimate_tokens(said), True)
 
 
-def client(model: Model, settings: Settings) -> Offline | Chat:
+def live(settings: Settings) -> frozenset[str]:
+    """Providers that can be asked: with a key in the driver's environment, or declared without one. Decided once, on the driver:
+    a key that only a worker's environment has is never used."""
+    return frozenset(p.name for p in settings.providers.values() if p.key() or not p.key_env)
+
+
+def client(model: Model, settings: Settings, asked: frozenset[str]) -> Offline | Chat:
+    """A live client for a provider among `asked` (see live), else the offline model."""
     provider = settings.provider(model.provider)
-    key = provider.key()
-    if provider.key_env and not key:
+    if model.provider not in asked:
         return Offline(model.model)
-    return Chat(model.model, model.base_url or provider.base_url, key, provider.seconds)
+    return Chat(model.model, model.base_url or provider.base_url, provider.key(), provider.seconds)
 
 
 def answer_of(reply: Reply) -> str:

@@ -125,9 +125,16 @@ def test_exports(spark, tmp_path):
     (tmp_path / "tree.json").write_text(json.dumps(tree))
     (tmp_path / "list.json").write_text(json.dumps(lists))
     (tmp_path / "lines.jsonl").write_text('\n{"turns": [{"role": "customer", "text": "q"}]}\n{"id": "j", "turns": []}\n')
-    got = sorted((r.conversation_id, r.turn, r.role, r.text) for r in exports.read_export(spark, str(tmp_path)).collect())
+    got = sorted((r.conversation_id, r.turn, r.role, r.text) for name in ("tree.json", "list.json", "lines.jsonl") for r in exports.read_export(spark, f"{tmp_path}/{name}").collect())
     assert got == [("jsonl-2", 0, "user", "q"), ("l1", 0, "user", "hi"), ("t1", 0, "user", "one\nmore"), ("t1", 1, "assistant", "two")]
-    assert exports.conversations(exports.read_export(spark, str(tmp_path))).count() == 3
+    for bad in (str(tmp_path), f"{tmp_path}/none.json"):  # a folder without an export file, and nothing
+        with pytest.raises(FileNotFoundError):
+            exports.read_export(spark, bad)
+    (tmp_path / "chat.json").write_text(json.dumps([7, {"mapping": {"a": {"message": {"author": {"role": "user"}, "content": {"parts": [" ask "]}}}}}]))
+    rows = exports.conversations(exports.read_export(spark, str(tmp_path), "tree")).collect()
+    assert len(rows) == 1 and rows[0].conversation_id.startswith("chatgpt-1-") and rows[0].turns[0].text == "ask"
+    with pytest.raises(ValueError):
+        list(exports.rows_of('[{"x": 1}]', None))
 
 
 def test_upsert_keeps_the_last(spark):

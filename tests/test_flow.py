@@ -58,7 +58,9 @@ def test_judgements_of_replies():
     assert (j('{"score": "7"}')["score"], j('{"score": 8.9}')["score"], j('{"score": 40}')["score"], j('{"score": -3}')["score"]) == (7, 8, 10, 1)
     for bad in ("no", "", '{"score": "7.9"}', '{"score": null}', '{"strengths": null}', '{"score": 1e999}'):
         assert (j(bad)["score"], j(bad)["ok"]) == (5, False) and j(bad)["weaknesses"]
-    assert isinstance(models.client(S.Model("a", "m"), S.parse(BASE)), models.Offline) and isinstance(models.client(S.Model("b", "m"), S.parse(BASE)), models.Chat)
+    s = S.parse(BASE)
+    assert models.live(s) == {"b"}  # no key is set for a
+    assert isinstance(models.client(S.Model("a", "m"), s, models.live(s)), models.Offline) and isinstance(models.client(S.Model("b", "m"), s, models.live(s)), models.Chat)
 
 
 def test_panel_drops_failed_judges(spark):
