@@ -120,17 +120,25 @@ def answers_for(keys: np.ndarray, got: pd.DataFrame, drop: int = 2, dtype=np.uin
     return np.concatenate(parts)[place] if parts else np.zeros(0, dtype)
 
 
-def ask_least(table: DataFrame, entries_of: Callable, edges: np.ndarray, answers: DataFrame | None) -> DataFrame:
+def edge_places(key: np.ndarray, more: np.ndarray, edges: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Where each edge (key, more) falls in entries ascending by (key, more): the first place that isn't below it."""
+    at, end = np.searchsorted(key, edges[0]), np.searchsorted(key, edges[0], side="right")
+    for i in np.flatnonzero((at < end) & (edges[1] > 0)).tolist():
+        at[i] += np.searchsorted(more[at[i] : end[i]], edges[1][i])
+    return at
+
+
+def ask_least(table: DataFrame, entries_of: Callable, edges: tuple[np.ndarray, np.ndarray], answers: DataFrame | None) -> DataFrame:
     """(batch, bucket, answer) rows. entries_of(batch row, its answers so far) gives distinct entries ascending by
     (key, more): uint64 key and more, smallest doc_id and count in the batch. The answer has, for each entry, the
-    smallest doc_id and the total count in the corpus (int64 each). `edges` splits the keys into buckets; a
-    key lies in one bucket, so equal entries meet there and none straddles an edge."""
+    smallest doc_id and the total count in the corpus (int64 each). `edges`, ascending pairs of key and more, splits
+    the entries into buckets; an entry lies in one bucket, so equal entries meet there and none straddles an edge."""
     schema = "batch long,bucket long,keys binary,more binary,docs binary,counts binary"
     names = [x.split()[0] for x in schema.split(",")]
 
     def cells_of(row, got) -> pd.DataFrame:
         key, more, doc, count = entries_of(row, got)
-        at = np.searchsorted(key, edges)
+        at = edge_places(key, more, edges)
         out = []
         for b, (k, m, d, c) in enumerate(zip(*(np.split(x, at) for x in (key, more, doc, count)), strict=True)):
             if len(k):
@@ -164,7 +172,7 @@ def ask_least(table: DataFrame, entries_of: Callable, edges: np.ndarray, answers
         rows = table.mapInPandas(cells, schema)
     else:
         rows = by_batch(table, answers, cells_of, schema)
-    return rows.repartition(len(edges) + 1, "bucket").groupBy("bucket").applyInPandas(answer, "batch long,bucket long,answer binary")
+    return rows.repartition(len(edges[0]) + 1, "bucket").groupBy("bucket").applyInPandas(answer, "batch long,bucket long,answer binary")
 
 
 def multikey(key: np.ndarray, more: np.ndarray) -> np.ndarray:
@@ -196,4 +204,4 @@ def by_batch(table: DataFrame, answers: DataFrame, work: Callable[[object, pd.Da
     return table.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(both, schema)
 
 
-__all__ = ["BATCH_BYTES", "answers_for", "ask", "ask_least", "batches", "buckets_for", "by_batch", "even_edges", "least_for", "mixed", "opened"]
+__all__ = ["BATCH_BYTES", "answers_for", "ask", "ask_least", "batches", "buckets_for", "by_batch", "edge_places", "even_edges", "least_for", "mixed", "opened"]

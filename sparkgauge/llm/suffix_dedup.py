@@ -6,13 +6,16 @@ suffixes of the corpus would shuffle WIDTH bytes for each byte of text, so suffi
 1. Every window of WIDTH bytes has an anchor: the least hash of the GRAM-byte strings in it. Equal windows have equal
    anchors. Neighbouring windows with one anchor form a segment, of at most SEGMENT windows.
 2. A round (exchange.py) counts each anchor in the corpus. Windows of anchors that one segment alone has are unique.
-3. A second round finds, for equal segments, the smallest doc_id. Segments in larger documents go as a whole; where all
-   segments of an anchor are equal, nothing else is left to compare.
-4. The windows of the other segments, in their smallest document, are the suffixes to sort. Splitters sampled from the
-   texts range-partition suffixes by their leading eight bytes; a batch sends each distinct suffix once, as those
-   bytes and a 64-bit hash of the whole window. A bucket sorts by multikey quicksort (the leading word, then only in
-   runs of ties the next word), and compares neighbours: equal suffixes get their smallest doc_id. Splitters are whole
-   leading words, so a run of equal suffixes never straddles a bucket's edge.
+3. The suffix at the start of each other segment is sorted, told apart over the whole segment: it stands for the segment's
+   neighbouring suffixes, which are equal where it is. Segments in larger documents go as a whole; where all segments of an
+   anchor are equal, nothing else is left to compare.
+4. The windows of the rest, in their smallest document, are sorted one suffix each.
+
+Both sorts go alike. Splitters sampled from the texts range-partition suffixes by their leading eight bytes; a batch sends
+each distinct suffix once, as those bytes and a 64-bit hash of the segment or window. A bucket sorts by multikey quicksort
+(the leading word, then only in runs of ties the next word), and compares neighbours: equal suffixes get their smallest doc_id.
+A leading word that fills more than a bucket is split by the next word, and an edge is a pair of both, so a run of equal
+suffixes never straddles a bucket's edge.
 
 A batch sends each key once whatever its documents' number, so a passage in all documents is one entry a batch.
 
@@ -33,13 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, discard, mixed, release
-from .exchange import answers_for, ask, ask_least, batches, buckets_for, by_batch, even_edges, least_for, opened
+from .exchange import answers_for, ask, ask_least, batches, buckets_for, by_batch, least_for, opened
 
 WIDTH, GRAM = 50, 26
 SEGMENT = WIDTH - GRAM + 1
 _P = np.uint64(0xD1342543DE82EF95)
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
 _BLOCK = 1 << 17
+#: Places in the texts that splitters are chosen from, at least.
+PLACES = 1 << 14
 
 
 def _grams(raw: np.ndarray) -> np.ndarray:
@@ -127,6 +132,14 @@ class Windows:
         self.doc, self.first, self.n, self.anchor, self.content, self.gram = segments(self.ids, self.lengths, self.body)
         self.id = self.ids[self.doc] if len(self.ids) else self.doc
 
+    def leading(self, at: np.ndarray) -> np.ndarray:
+        """The leading eight bytes of the suffixes at these places, in their order."""
+        raw = np.frombuffer(self.body, np.uint8)
+        lead = np.zeros(len(at), np.uint64)
+        for k in range(8):
+            lead = (lead << np.uint64(8)) | raw[at + k].astype(np.uint64)
+        return lead
+
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchors and how many (document, segment) pairs have each."""
         order = np.lexsort((self.id, self.content, self.anchor))
@@ -140,7 +153,7 @@ class Windows:
         keys = np.unique(self.anchor)
         self.anchor_count = answers_for(keys, got[got.kind == 0], dtype=np.uint32)[np.searchsorted(keys, self.anchor)].astype(np.int64)
         self.live = np.flatnonzero(self.anchor_count > 1)
-        key = mixed(self.anchor[self.live] + mixed(self.content[self.live]))
+        key = self.leading(self.first[self.live])
         more, doc = self.content[self.live], self.id[self.live]
         order = np.lexsort((doc, more, key))
         key, more, doc = key[order], more[order], doc[order]
@@ -162,10 +175,7 @@ class Windows:
         n = self.n[self.rest]
         self.at = np.repeat(self.first[self.rest] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         self.at_id = np.repeat(self.id[self.rest], n)
-        raw = np.frombuffer(self.body, np.uint8)
-        lead = np.zeros(len(self.at), np.uint64)
-        for k in range(8):
-            lead = (lead << np.uint64(8)) | raw[self.at + k].astype(np.uint64)
+        lead = self.leading(self.at)
         more = mixed(self.gram[self.at] * np.uint64(3) + mixed(self.gram[self.at + WIDTH - GRAM])) if len(self.at) else lead
         order = np.lexsort((self.at_id, more, lead))
         lead, more, doc = lead[order], more[order], self.at_id[order]
@@ -205,8 +215,9 @@ def _suffixes(row, got):
     return w.suffixes
 
 
-def splitters(table: DataFrame, buckets: int, batches_read: int = 256, each: int = 64) -> np.ndarray:
-    """Leading words that split the suffixes about evenly, from at most batches_read * each places."""
+def splitters(table: DataFrame, buckets: int, each: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (leading word, next word) that split the suffixes about evenly, from places in some batches: PLACES at
+    least, and 16 for each bucket."""
 
     def leads(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -216,11 +227,18 @@ def splitters(table: DataFrame, buckets: int, batches_read: int = 256, each: int
                 out += [int.from_bytes(body[int(p) : int(p) + 8].ljust(8, b"\0"), "big", signed=False) - (1 << 63) for p in np.linspace(0, max(0, len(body) - WIDTH), each)]
             yield pd.DataFrame({"lead": out}, dtype="int64")
 
-    some = table.orderBy(F.xxhash64("batch")).limit(batches_read) if table.count() > batches_read else table
-    got = sorted(r.lead + (1 << 63) for r in some.mapInPandas(leads, "lead long").collect())
-    if not got:
-        return np.zeros(0, np.uint64)
-    return np.unique(np.array([got[len(got) * i // buckets] for i in range(1, buckets)], np.uint64))
+    one_in = max(1, table.count() * each // max(PLACES, 16 * buckets))
+    some = table.where(F.pmod(F.xxhash64("batch"), F.lit(one_in)) == 0)
+    return edges_of(np.array(sorted(r.lead + (1 << 63) for r in some.mapInPandas(leads, "lead long").collect()), np.uint64), buckets)
+
+
+def edges_of(leads: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges at even ranks of ascending leading words. Where a word holds several ranks, the next word, a hash, splits it
+    at the rank's share of the word's places."""
+    rank = np.unique(len(leads) * np.arange(1, buckets) // buckets) if len(leads) else np.zeros(0, np.int64)
+    word = leads[rank]
+    lo, hi = np.searchsorted(leads, word), np.searchsorted(leads, word, side="right")
+    return word, ((rank - lo) / np.maximum(hi - lo, 1) * 2.0**64).astype(np.uint64)
 
 
 def anchor_edges(n_buckets: int) -> np.ndarray:
@@ -240,9 +258,10 @@ def _rounds(table: DataFrame) -> list[DataFrame]:
     n = buckets_for(table, 0.16)  # twice the anchors a byte: buckets of half the usual size
     rounds = [cut(ask(table, _anchor_keys, anchor_edges(n), exact=True).withColumn("kind", F.lit(0)), "anchors")]
     release(spark)
-    rounds.append(cut(ask_least(table, _pairs, even_edges(n), _known(rounds)).withColumn("kind", F.lit(1)), "pairs"))
+    edges = splitters(table, n)
+    rounds.append(cut(ask_least(table, _pairs, edges, _known(rounds)).withColumn("kind", F.lit(1)), "pairs"))
     release(spark)
-    rounds.append(cut(ask_least(table, _suffixes, splitters(table, n), _known(rounds)).withColumn("kind", F.lit(2)), "suffixes"))
+    rounds.append(cut(ask_least(table, _suffixes, edges, _known(rounds)).withColumn("kind", F.lit(2)), "suffixes"))
     release(spark)
     return rounds
 

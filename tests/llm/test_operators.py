@@ -1,5 +1,6 @@
 """Training-data operators against brute force, round trips, held-out accuracy, and awkward tables."""
 
+import bisect
 import hashlib
 import random
 import re
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("sparkgauge.llm")
-from sparkgauge.llm import chunk_table, components, host_rules, labelled, line_quality, media, ngram_join, packing, pii, sentencepiece_codec, suffix_dedup, token_shards, toxicity  # noqa: E402
+from sparkgauge.llm import chunk_table, components, exchange, host_rules, labelled, line_quality, media, ngram_join, packing, pii, sentencepiece_codec, suffix_dedup, token_shards, toxicity  # noqa: E402
 from sparkgauge.llm.common import tokenizer_path  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, label string, n_tokens int"
@@ -79,6 +80,36 @@ def test_suffix_dedup_texts(spark, prose):
             assert r.n_chars == len(r.text) and len(r.text.encode()) <= want[r.doc_id][0] - want[r.doc_id][1]
 
 
+def test_edges_split_a_heavy_leading_word():
+    rng = np.random.default_rng(3)
+    leads = np.sort(np.where(rng.random(4000) < 0.6, 77, rng.integers(0, 1 << 40, 4000)).astype(np.uint64))
+    word, rest = edges = suffix_dedup.edges_of(leads, 16)
+    assert (word == 77).sum() >= 9 and sorted(zip(word.tolist(), rest.tolist())) == list(zip(word.tolist(), rest.tolist()))
+    key, more = leads, rng.integers(0, 1 << 63, 4000).astype(np.uint64) * 2
+    order = np.lexsort((more, key))
+    key, more = key[order], more[order]
+    at = exchange.edge_places(key, more, edges)
+    assert at.tolist() == [bisect.bisect_left(list(zip(key.tolist(), more.tolist())), e) for e in zip(word.tolist(), rest.tolist())]
+    assert np.diff(np.concatenate([[0], at, [4000]])).max() < 2 * 4000 / 16
+    assert [len(x) for x in suffix_dedup.edges_of(leads[:0], 16)] == [0, 0]
+
+
+def test_suffix_dedup_many_buckets_and_one_leading_word(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "buckets_for", lambda *_: 64)
+    rows = ["same word " * 30 + str(k % 7) * 60 + " same word" * 9 + f" {k % 3} " + "tail of the text " * 5 for k in range(24)]
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.dedup(table(spark, rows).repartition(6)).collect()}
+    assert got == brute_removed(list(enumerate(rows)))
+
+
+def test_long_words_are_told_apart():
+    """Words of several hash-power tables, equal but for the order of whole tables' lengths."""
+    x, y = b"a" * (1 << 16) + b"b" * (1 << 16), b"b" * (1 << 16) + b"a" * (1 << 16)
+    doc, h = ngram_join.shingles(np.array([len(x), len(y)]), x + y)
+    assert doc.tolist() == [0, 1] and h[0] != h[1]
+    features, _, _ = line_quality.line_features([" ".join(["a" * 4096 + "b" * 4096, "b" * 4096 + "a" * 4096]), " ".join(["a" * 8192] * 2)])
+    assert not np.array_equal(features[0], features[1])
+
+
 def shingle_set(t):
     lower = bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())
     w = re.findall(rb"[^\x20\x09-\x0D]+", lower)
