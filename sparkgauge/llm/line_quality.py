@@ -40,7 +40,8 @@ for _c in b"!":
 for _c in b"|#*$%&<>=_{}[]\\/~^@+":
     _CLASS[_c] = 8
 N_OWN = 13
-_POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, np.uint64))
+_POWER = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = np.cumprod(np.full(4096, _POWER))
 
 
 def line_features(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,7 +70,8 @@ def line_features(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     if at is None:
         lead = first[0]
         at = np.concatenate([np.zeros(lead, np.int64), np.arange(lead, len(raw)) - np.repeat(first, np.diff(np.append(first, len(raw))))])
-    codes = np.where(word, (raw.astype(np.uint64) + np.uint64(1)) * _POWERS[at & 4095], np.uint64(0))
+    powers = _POWERS if at.max() < len(_POWERS) else np.cumprod(np.full(at.max() + 1, _POWER))
+    codes = np.where(word, (raw.astype(np.uint64) + np.uint64(1)) * powers[at], np.uint64(0))
     total = np.concatenate([[np.uint64(0)], np.cumsum(codes, dtype=np.uint64)])
     h = total[last] - total[first]
     same = np.concatenate([[False], h[1:] == h[:-1]])

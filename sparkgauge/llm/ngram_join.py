@@ -4,8 +4,8 @@
    have each of its shingles. A document of n shingles, over n - ceil(0.75 n) of which occur nowhere else, can't link.
 2. Of what is left, equal sets are one class. Two sets that link share a shingle among the first
    n - ceil(0.75 n) + 1 of each in the order (frequency, hash); these are the class's keys.
-3. Each class is verified against two classes at most: the smallest of its keys' smallest classes, and the most frequent of
-   them. So a large group of near copies becomes one component with a few pairs a class, not all pairs.
+3. Each class is verified against two classes at most, the smallest of its keys' smallest classes and the most frequent of
+   them, where the bound of step 4 allows a link. So a large group of near copies becomes one component with a few pairs a class, not all pairs.
 4. Keys whose classes are still in different components join those components to a neighbourhood; classes of different
    components that share a key are always in one. A neighbourhood is searched by a count-vector R-tree: shingles are
    hashed to GROUPS groups, and a class is the point of its group counts. The sum of coordinate minima of two points (or
@@ -42,7 +42,8 @@ TOP = 255
 BLOCK, MANY, WIDE = 256, 16, 4096
 LEAF = 16
 BEST = 3
-_POWERS = np.cumprod(np.full(1 << 16, 0xD1342543DE82EF95, np.uint64))
+_POWER = np.uint64(0xD1342543DE82EF95)
+_POWERS = np.cumprod(np.full(1 << 16, _POWER))
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -67,7 +68,8 @@ def shingles(lengths: np.ndarray, body: bytes) -> tuple[np.ndarray, np.ndarray]:
     if not len(first):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     at = np.arange(len(raw)) - np.repeat(np.concatenate([[0], first]), np.diff(np.concatenate([[0], first, [len(raw)]])))
-    codes = np.where(word, _BYTE[raw] * _POWERS[at & 0xFFFF], np.uint64(0))
+    powers = _POWERS if at.max() < len(_POWERS) else np.cumprod(np.full(at.max() + 1, _POWER))
+    codes = np.where(word, _BYTE[raw] * powers[at], np.uint64(0))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes, dtype=np.uint64)])
     h = mixed(total[last] - total[first] + (last - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     doc = np.searchsorted(ends, first, side="right")
@@ -204,12 +206,17 @@ class CountTree:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs(a, b) those that link. The set of a goes to each pair once; pairs meet b's set in a sorted stream."""
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("shared").alias("as_")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("shared").alias("bs")), "b")
+    """Of pairs(a, b) those that link. Pairs whose points' bound is below the needed overlap aren't compared. The set of a
+    goes to each pair once; pairs meet b's set in a sorted stream."""
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("n").alias("an"), F.col("shared").alias("as_"), F.col("point").alias("ap")), "a")
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("n").alias("bn"), F.col("shared").alias("bs"), F.col("point").alias("bp")), "b")
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
+            if f.empty:
+                continue
+            points = (np.frombuffer(b"".join(f[c]), np.uint8).reshape(len(f), GROUPS) for c in ("ap", "bp"))
+            f = f[bound_ok(next(points), f.an.to_numpy(), next(points), f.bn.to_numpy())]
             last, other = None, None
             keep = []
             for b, an, x, bn, y in zip(f.b, f.an, f.as_, f.bn, f.bs, strict=True):
@@ -221,7 +228,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(bool(len(other)) and links_enough(int((other[at] == mine).sum()), an, bn))
             yield f.loc[keep, ["a", "b"]]
 
-    return both.select("a", "b", "an", "as_", "bn", "bs").mapInPandas(check, "a long,b long")
+    return both.select("a", "b", "an", "as_", "ap", "bn", "bs", "bp").mapInPandas(check, "a long,b long")
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
