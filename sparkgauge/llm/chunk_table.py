@@ -2,60 +2,48 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterable
 
 import numpy as np
 
+from .common import mixed
+
+_POWER = np.uint64(0xD1342543DE82EF95)
+
+
+def dealt(lists: Iterable[list[str]], n_buckets: int) -> tuple[list[str], np.ndarray]:
+    """The distinct chunks of the lists by bucket, in a bucket by first place, and how many each bucket has. A chunk's bucket
+    depends on the chunk alone; `n_buckets` is a power of two, two at least."""
+    words = list(dict.fromkeys(itertools.chain.from_iterable(lists)))
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(n)
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    powers = np.cumprod(np.full(int(n.max(initial=0)), _POWER))
+    at = np.arange(len(codes)) - np.repeat(ends - n, n)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(codes + np.uint64(1)) * powers[at], dtype=np.uint64)])
+    key = mixed(total[ends] - total[ends - n] + n.astype(np.uint64))
+    bucket = (key >> np.uint64(65 - n_buckets.bit_length())).astype(np.int64)
+    order = np.argsort(bucket, kind="stable").tolist()
+    return [words[i] for i in order], np.bincount(bucket, minlength=n_buckets)
+
 
 class ChunkTable:
-    """Maps chunk strings to id runs. Held by one worker; when it has `limit` entries, those after the
-    first half go (common chunks come early), so its memory is bounded. A chunk met again after that is
-    segmented again, with the same ids."""
-
-    def __init__(self, segment: Callable[[list[str]], list[list[int]]], limit: int = 400_000, join: bool = True):
-        self.segment, self.limit, self.join = segment, limit, join
-        self._clear()
-
-    def _clear(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.size = 0
-        self.joined: list[str] = []
-        self.starts, self.flat, self.used = np.zeros(1 << 10, np.int64), np.zeros(1 << 12, np.int32), 0
-
-    def _halve(self) -> None:
-        keep = min(self.size, self.limit // 2)
-        self.rows = {k: v for k, v in self.rows.items() if v < keep}
-        self.size, self.used = keep, int(self.starts[keep])
-        del self.joined[keep:]
-
-    def rows_of(self, chunks: list[str]) -> np.ndarray:
-        """The table row of each chunk, after adding the new ones."""
-        new = set(chunks).difference(self.rows)
-        if new and len(self.rows) + len(new) > self.limit:
-            self._halve()
-            new = set(chunks).difference(self.rows)
-        if new:
-            order = sorted(new)
-            ids = self.segment(order)
-            first, flat = self.size, np.fromiter((i for x in ids for i in x), np.int32)
-            n = first + len(order)
-            while len(self.starts) < n + 1:
-                self.starts = np.concatenate([self.starts, np.zeros(len(self.starts), np.int64)])
-            while len(self.flat) < self.used + len(flat):
-                self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.int32)])
-            self.flat[self.used : self.used + len(flat)] = flat
-            self.starts[first + 1 : n + 1] = self.used + np.cumsum([len(x) for x in ids])
-            self.used += len(flat)
-            self.size = n
-            if self.join:
-                self.joined.extend(",".join(map(str, x)) for x in ids)
-            self.rows.update(zip(order, range(first, n), strict=True))
-        return np.fromiter(map(self.rows.__getitem__, chunks), np.int64, len(chunks))
-
-    def ids_of(self, rows: np.ndarray) -> np.ndarray:
-        """The ids of the rows, one run after another."""
+    """The id run of each distinct chunk: `counts` ids a chunk, one run after another in `flat`."""
+
+    def __init__(self, words: list[str], counts: np.ndarray, flat: np.ndarray):
+        self.rows = dict(zip(words, range(len(words)), strict=True))
+        self.starts = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        self.flat = flat
+
+    @classmethod
+    def segmented(cls, words: list[str], segment: Callable[[list[str]], list[list[int]]]) -> ChunkTable:
+        ids = segment(words)
+        return cls(words, np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(itertools.chain.from_iterable(ids), np.int32))
+
+    def runs(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of the chunks has, and their ids one run after another."""
+        rows = np.fromiter(map(self.rows.__getitem__, chunks), np.int64, len(chunks))
         start = self.starts[rows]
         n = self.starts[rows + 1] - start
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.repeat(start - (ends - n), n) + np.arange(total)]
+        return n, self.flat[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]

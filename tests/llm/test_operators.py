@@ -207,12 +207,38 @@ def test_sentencepiece_equals_library(spark, prose):
         assert got[i].decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
 
 
-def test_chunk_table_forgets_and_keeps_answers():
-    table_ = chunk_table.ChunkTable(lambda words: [[len(w), ord(w[0])] for w in words], limit=10)
+def test_chunk_table_joins_back_by_position():
+    def segment(words):
+        calls.append(words)
+        return [[len(w), *map(ord, w)] for w in words]
+
     rnd = random.Random(2)
-    for _ in range(50):
-        words = [rnd.choice("abcdefghijklmnopqrstuvwxyz") * rnd.randint(1, 3) for _ in range(rnd.randint(0, 8))]
-        assert table_.ids_of(table_.rows_of(words)).tolist() == [v for w in words for v in (len(w), ord(w[0]))]
+    calls, lists = [], [[rnd.choice(["", " a", "é", "x\ny", "long" * 9, "b", "bb"]) for _ in range(rnd.randint(0, 8))] for _ in range(50)]
+    words, counts = chunk_table.dealt(lists, 16)
+    assert sorted(words) == sorted({w for x in lists for w in x}) and counts.sum() == len(words)
+    for w in words:  # a word's bucket is its own, whatever else is dealt
+        alone = np.flatnonzero(chunk_table.dealt([[w]], 16)[1])[0]
+        assert np.cumsum(counts)[alone] - counts[alone] <= words.index(w) < np.cumsum(counts)[alone]
+    table_ = chunk_table.ChunkTable.segmented(words, segment)
+    for x in lists:
+        n, ids = table_.runs(x)
+        assert n.tolist() == [len(w) + 1 for w in x] and ids.tolist() == [v for w in x for v in (len(w), *map(ord, w))]
+    assert calls == [words] and chunk_table.dealt([], 16)[0] == []
+
+
+def test_sentencepiece_many_slices_and_null_ids(spark, prose, monkeypatch):
+    """Words meet over many slices and buckets, a word of the corpus is in one bucket only, and rows without id or with a
+    repeated one keep their own ids."""
+    import sentencepiece
+
+    monkeypatch.setattr(sentencepiece_codec, "SLICE", 300)
+    monkeypatch.setattr(sentencepiece_codec, "BUCKET", 500)
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    texts = [*prose, *AWKWARD]
+    ids = [None if k % 7 == 0 else (1 << 60) + k // 3 for k in range(len(texts))]
+    got = sentencepiece_codec.encode_decode(table(spark, texts, ids).repartition(3), keep=True).collect()
+    want = [(i, ",".join(map(str, sp.encode(t or ""))), sp.decode(sp.encode(t or ""))) for i, t in zip(ids, texts, strict=True)]
+    assert sorted(((r.doc_id, r.ids, r.decoded) for r in got), key=repr) == sorted(want, key=repr)
 
 
 def test_media_round_trip(spark, prose):
