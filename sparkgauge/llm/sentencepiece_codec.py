@@ -171,4 +171,6 @@ def encode_decode(docs: DataFrame, model: str | None = None, keep: bool = False)
     answers = cells.repartition(n, "bucket").groupBy("bucket").applyInPandas(lambda frame: _answer(frame, path), "slice string,bucket long,counts binary,pieces binary")
     asked = rows.mapInArrow(lambda frames: _rows(frames, limit), "slice string,ids binary,known binary,lengths binary,body binary")
     schema = "doc_id long,n_tokens long,ids_sha256 string,decoded_sha256 string" + (",ids string,decoded string" if keep else "")
+    # In proportion to the corpus, so that the mean task doesn't grow with it; hashed names fill some with several slices more.
+    asked, answers = (x.repartition(2 * n, "slice") for x in (asked, answers))
     return asked.groupBy("slice").cogroup(answers.groupBy("slice")).applyInPandas(lambda left, right: _encoded(left, right, path, n, keep), schema)
