@@ -20,11 +20,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
+def cut(df: DataFrame, name: str = "t", by: list[str] | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: later stages, and reruns after a
-    lost executor, start from these files."""
+    lost executor, start from these files. `by`: columns that get a folder for each value."""
     path = f"{shared_dir(df.sparkSession)}/sparkgauge-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by or []).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._sparkgauge_path = path
     return out
