@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_rules, line_quality, media, ngram_join, packing, pii, sentencepiece_codec, suffix_dedup, token_shards, toxicity
+from . import host_rules, line_quality, line_runs, media, ngram_join, packing, pii, sentencepiece_codec, suffix_dedup, token_shards, toxicity
 from .common import documents
 
 
@@ -54,8 +54,12 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.token_output(documents(spark, sf_dir))
 
 
+def op13_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.dedup(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array, op2_host_rules, op3_sentencepiece, op4_media_chunks, op5_pii_crf, op6_length_buckets, op7_ngram_jaccard, op8_toxicity, op9_line_quality, op10_token_shards)
+    f.__name__: f for f in (op1_suffix_array, op2_host_rules, op3_sentencepiece, op4_media_chunks, op5_pii_crf, op6_length_buckets, op7_ngram_jaccard, op8_toxicity, op9_line_quality, op10_token_shards, op13_line_runs)
 }
 
-ORACLES: dict[str, str] = {"op2_host_rules": host_rules.SQL}
+ORACLES: dict[str, str] = {"op2_host_rules": host_rules.SQL, "op13_line_runs": line_runs.SQL}
