@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_rules, line_quality, line_runs, media, ngram_join, packing, pii, sentencepiece_codec, suffix_dedup, token_shards, toxicity
+from . import host_rules, importance, line_quality, line_runs, media, merkle, ngram_join, packing, pii, sentencepiece_codec, suffix_dedup, token_shards, toxicity
 from .common import documents
 
 
@@ -54,12 +54,20 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.token_output(documents(spark, sf_dir))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit_line_breaks(documents(spark, sf_dir))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.dedup(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array, op2_host_rules, op3_sentencepiece, op4_media_chunks, op5_pii_crf, op6_length_buckets, op7_ngram_jaccard, op8_toxicity, op9_line_quality, op10_token_shards, op13_line_runs)
+    f.__name__: f for f in (op1_suffix_array, op2_host_rules, op3_sentencepiece, op4_media_chunks, op5_pii_crf, op6_length_buckets, op7_ngram_jaccard, op8_toxicity, op9_line_quality, op10_token_shards, op11_merkle, op12_importance, op13_line_runs)
 }
 
-ORACLES: dict[str, str] = {"op2_host_rules": host_rules.SQL, "op13_line_runs": line_runs.SQL}
+ORACLES: dict[str, str] = {"op2_host_rules": host_rules.SQL, "op11_merkle": merkle.SQL, "op12_importance": importance.SQL, "op13_line_runs": line_runs.SQL}
