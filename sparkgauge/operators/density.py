@@ -1,136 +1,329 @@
 """Density clusters of vectors, and their labels in order of first members.
 
-The hierarchical density method of Campello, Moulavi and Sander: mutual reachability distances, their minimum spanning tree,
-the tree condensed to clusters of at least `least` points, and the choice of clusters with the most excess of mass.
+The hierarchical density method of Campello, Moulavi and Sander: core distances (to the `least`-th neighbour besides the point),
+mutual reachability, its minimum spanning tree, the tree condensed to clusters of at least `least` points, and the choice of
+clusters with the most excess of mass; never the cluster of all points.
 
-The tree is built on the driver, row by row of distances in memory of one row: for up to MOST_ROWS vectors, which a sample for a
-benchmark keeps to. Over that, and where the method finds one cluster only, groups are by signature: the method's own fallback."""
+All of it is joins, counts and bounded groups. Equal vectors are one point with a weight. Distances are whole multiples of a
+unit (10^-9 for unit vectors), so that ties are ties; edges are in order of distance, then of their ends' first members.
+
+1. Core distances by counting: each round, blocks of points meet in pairs and count distances into 256 bins of the range that
+   a point has left; four rounds leave one value. Nothing of size `least` is kept.
+2. Each pair of blocks finds the spanning tree of its own points. An edge that is the longest of a cycle there is so in the whole
+   graph, so the trees' edges together contain the whole tree.
+3. What condensing needs of the dendrogram is, for each point, the edge at which its part first has `least` points, and the edges that join two
+   such parts. Edges in order are halved again and again: the left half is contracted (graph.py) to give the right half its nodes,
+   parts that stay small to the end of the left half point to their root, and the two halves are independent from then on. Halves
+   of CHUNK edges are finished one a group.
+4. Parts of `least` points are few (at most points / least begin, and as many edges join two), 50 as `density_groups` sets `least`:
+   the tree of these is walked on the driver, with sums by cluster from the executors.
+
+Steps 1 and 2 compare all distinct vectors in blocks: the work is quadratic in them, memory isn't.
+"""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..graph import roots
+from ..ranks import row_numbers
+from ..storage import cut, discard
 from . import vectors as V
 
-MOST_ROWS = 20_000
+BLOCK, CHUNK = 2048, 1 << 16
+#: Distances are under BINS ** ROUNDS units.
+BINS, ROUNDS = 256, 4
 NOISE = -1
 
 
-def spanning_tree(x: np.ndarray, least: int) -> np.ndarray:
-    """(a, b, distance) edges of the minimum spanning tree of mutual reachability, by ascending distance."""
-    n = len(x)
-    squares = (x * x).sum(1)
-    row = lambda i: np.sqrt(np.maximum(squares + squares[i] - 2 * (x @ x[i]), 0.0))
-    core = np.array([np.partition(row(i), min(least, n) - 1)[min(least, n) - 1] for i in range(n)])
-    best, link = np.full(n, np.inf), np.zeros(n, np.int64)
-    out = np.zeros(n, bool)
-    at, edges = 0, []
+def distances(x: np.ndarray, to: np.ndarray, unit: float) -> np.ndarray:
+    """Of the rows of x to one vector, in whole units; the same either way round."""
+    return np.rint(np.sqrt(((x - to) ** 2).sum(1)) / unit).astype(np.int64)
+
+
+def unit_of(pts: DataFrame) -> float:
+    """The unit of distance: 10^-9, or the power of ten that the longest vector needs."""
+    longest = pts.agg(F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)))).first()[0] or 0.0
+    unit = 1e-9
+    while 2 * longest >= unit * (BINS**ROUNDS - 1):
+        unit *= 10
+    return unit
+
+
+def points(rows: DataFrame, key: str, vec: str) -> DataFrame:
+    """id (dense, by first member), x, weight, first of the distinct vectors."""
+    distinct = rows.where(F.col(vec).isNotNull()).select(key, F.col(vec).cast("array<double>").alias("x")).groupBy("x").agg(F.min(key).alias("first"), F.count("*").alias("weight"))
+    return cut(row_numbers(distinct, ["first"], name="id"), "points")
+
+
+def _met(rows: DataFrame, blocks: int, twice: bool) -> DataFrame:
+    """Rows copied to all pairs i <= j of their block with others; `twice`: with itself, too, though it meets others."""
+    home = F.pmod("id", F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    met = rows.withColumn("home", home).withColumn("other", other)
+    if blocks > 1 and not twice:
+        met = met.where("home <> other")
+    return met.withColumn("i", F.least("home", "other")).withColumn("j", F.greatest("home", "other")).drop("other")
+
+
+def _counted(unit: float, width: int):
+    """Each point's distances to the other block by bin: (id, bin, n)."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        i, j = frame.i.iloc[0], frame.j.iloc[0]
+        sides = [(frame[frame.home == i], frame[frame.home == j])] + ([(frame[frame.home == j], frame[frame.home == i])] if i != j else [])
+        out = []
+        for mine, theirs in sides:
+            if mine.empty or theirs.empty:
+                continue
+            to, w = np.stack(theirs.x.to_list()), theirs.weight.to_numpy()
+            for who, x, low in zip(mine.id, mine.x, mine.low, strict=True):
+                bins = (distances(to, x, unit) - low) // width
+                ok = (bins >= 0) & (bins < BINS)
+                many = np.bincount(bins[ok], w[ok], BINS).astype(np.int64)
+                hit = np.flatnonzero(many)
+                out.append((np.full(len(hit), who), hit, many[hit]))
+        return pd.DataFrame({c: np.concatenate([o[p] for o in out]) if out else [] for p, c in enumerate(("id", "bin", "n"))}).astype("int64")
+
+    return run
+
+
+def core_distances(pts: DataFrame, least: int, unit: float, block: int = BLOCK) -> DataFrame:
+    """id, x, weight, core: the distance within which `least` other rows lie (all, if there are fewer)."""
+    n, total = pts.agg(F.count("*"), F.sum("weight")).first()
+    need, blocks = min(least + 1, total), -(-n // block)
+    at = cut(pts.select("id", "x", "weight", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("below")), "core")
+    for k in reversed(range(ROUNDS)):
+        width = BINS**k
+        counts = _met(at.select("id", "x", "weight", "low"), blocks, True).groupBy("i", "j").applyInPandas(_counted(unit, width), "id long, bin long, n long").groupBy("id", "bin").agg(F.sum("n").alias("n"))
+        up_to = F.expr("sum(n) OVER (PARTITION BY id ORDER BY bin)")
+        told = counts.join(at.select(F.col("id").alias("of"), "below"), F.col("id") == F.col("of")).withColumn("up_to", F.col("below") + up_to)
+        found = told.groupBy(F.col("id").alias("of")).agg(F.min(F.when(F.col("up_to") >= need, F.col("bin"))).alias("bin"), F.max(F.when(F.col("up_to") < need, F.col("up_to"))).alias("passed"))
+        moved = cut(at.join(found, F.col("id") == F.col("of")).select("id", "x", "weight", (F.col("low") + F.col("bin") * width).alias("low"), F.coalesce("passed", "below").alias("below")), "core")
+        discard(at)
+        at = moved
+    return at.select("id", "x", "weight", F.col("low").alias("core"))
+
+
+def local_tree(ids: np.ndarray, x: np.ndarray, core: np.ndarray, unit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, d) of the minimum spanning tree by mutual reachability under the order (d, a, b); ids ascend."""
+    n = len(ids)
+    bits = np.int64(max(1, math.ceil(math.log2(max(n, 2)))))
+    place = np.arange(n, dtype=np.int64)
+    best = np.full(n, np.iinfo(np.int64).max)  # the order of the best edge as one number: d, then its lesser and its greater end
+    out, at, edges = np.zeros(n, bool), 0, []
     for _ in range(n - 1):
         out[at] = True
-        d = np.maximum(np.maximum(row(at), core[at]), core)
-        closer = ~out & (d < best)
-        best[closer], link[closer] = d[closer], at
-        at = int(np.argmin(np.where(out, np.inf, best)))
-        edges.append((link[at], at, best[at]))
-    edges = np.array(edges) if edges else np.zeros((0, 3))
-    return edges[np.argsort(edges[:, 2], kind="stable")]
-
-
-def merges(edges: np.ndarray, n: int) -> list[tuple[int, int, float, int]]:
-    """The dendrogram: node n + i joins two nodes at a distance, with so many points."""
-    up, size, top = list(range(2 * n - 1)), [1] * n + [0] * (n - 1), list(range(2 * n - 1))
-
-    def find(a: int) -> int:
-        while up[a] != a:
-            up[a] = up[up[a]]
-            a = up[a]
-        return a
-
-    out = []
-    for i, (a, b, d) in enumerate(edges):
-        p, q, new = find(int(a)), find(int(b)), n + i
-        size[new] = size[p] + size[q]
-        up[p] = up[q] = new
-        out.append((top[p], top[q], float(d), size[new]))
-    return out
-
-
-def clusters(x: np.ndarray, least: int) -> np.ndarray:
-    """A cluster number of each vector; NOISE for those in none."""
-    n = len(x)
-    joined = merges(spanning_tree(x, least), n)
-    size = lambda v: 1 if v < n else joined[v - n][3]
-    # Condense from the top: a split counts if both sides have enough points; else the small side's points fall out.
-    born, mass, children, fell, parent = {0: 0.0}, {0: 0.0}, {0: []}, {}, {}
-    stack = [(2 * n - 2, 0)]
-    while stack:
-        v, c = stack.pop()
-        if v < n:
-            fell[v] = c
-            continue
-        a, b, d, _ = joined[v - n]
-        rate = 1.0 / d if d > 0 else 1e12
-        big = [s for s in (a, b) if size(s) >= least]
-        for s in (a, b):
-            if len(big) == 2:
-                new = len(born)
-                born[new], mass[new], children[new], parent[new] = rate, 0.0, [], c
-                children[c].append(new)
-                mass[c] += (rate - born[c]) * size(s)
-                stack.append((s, new))
-            elif s in big:
-                stack.append((s, c))
+        d = np.maximum(np.maximum(distances(x, x[at], unit), core[at]), core)
+        order = (d << 2 * bits) | (np.minimum(place, at) << bits) | np.maximum(place, at)
+        best = np.where(out, np.iinfo(np.int64).max, np.minimum(best, order))
+        at = int(best.argmin())
+        edges.append(best[at])
+    e, mask = np.array(edges, np.int64), (np.int64(1) << bits) - 1
+    return ids[(e >> bits) & mask], ids[e & mask], e >> 2 * bits
+
+
+def tree_edges(cored: DataFrame, unit: float, block: int = BLOCK) -> DataFrame:
+    """a, b, d: edges that contain the minimum spanning tree."""
+    n = cored.count()
+
+    def tree(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id")
+        a, b, d = local_tree(frame.id.to_numpy(), np.stack(frame.x.to_list()), frame.core.to_numpy(), unit)
+        return pd.DataFrame({"a": a, "b": b, "d": d}).astype("int64")
+
+    return _met(cored, -(-n // block), False).groupBy("i", "j").applyInPandas(tree, "a long, b long, d long").distinct()
+
+
+FOUND = "kind string, id long, rank long, d long, leaf long, to long, other_leaf long, other_to long"
+
+
+def _kruskal(least: int, n: int):
+    """Finish a chunk: its nodes (id, size) and edges (rank, a, b, d). Rows of three kinds: 'fell', a node's part reaches `least`
+    points at an edge; 'born', the edge that makes a part of so many out of smaller ones; 'joined', one that joins two. A part of
+    so many is named by a leaf that it holds (n + rank of a birth) or, if it came so, by its node (to)."""
+
+    def run(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+        up = {i: i for i in nodes.id.tolist()}
+        size = dict(zip(nodes.id.tolist(), nodes["size"].tolist(), strict=True))
+        few = {i: [i] for i, s in size.items() if s < least}  # members of the parts that are small
+        name = {i: (None, i) for i, s in size.items() if s >= least}
+        out = []
+
+        def top(i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        for rank, a, b, d in edges.sort_values("rank")[["rank", "a", "b", "d"]].itertuples(index=False):
+            p, q = top(a), top(b)
+            if p == q:
+                continue
+            if size[p] < size[q]:
+                p, q = q, p
+            up[q], size[p] = p, size[p] + size[q]
+            if p in name and q in name:
+                out.append(("joined", None, rank, d, *name[p], *name.pop(q)))
+                continue
+            fallen = few.pop(q)
+            if p not in name:
+                few[p] += fallen
+                if size[p] < least:
+                    continue
+                fallen, name[p] = few.pop(p), (n + rank, None)
+                out.append(("born", None, rank, d, n + rank, None, None, None))
+            out += [("fell", i, rank, d, *name[p], None, None) for i in fallen]
+        return pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")]).astype({c.split()[0]: "Int64" for c in FOUND.split(", ")[1:]})
+
+    return run
+
+
+def big_parts(cored: DataFrame, edges: DataFrame, least: int, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """What became of each point: (id, rank, d, leaf), and the events (kind, rank, d, leaf, other_leaf) by which parts of at least
+    `least` rows begin and join."""
+    n = cored.count()
+    ranked = cut(row_numbers(edges, ["d", "a", "b"], name="rank").select(F.lit(0).cast("long").alias("part"), "rank", "a", "b", "d"), "ranked")
+    width, total = chunk, ranked.count()
+    while width < total:
+        width *= 2
+    edges, nodes, forwards = ranked, cut(cored.select(F.lit(0).cast("long").alias("part"), "id", F.col("weight").alias("size")), "nodes"), []
+    while width > chunk:
+        lower = F.col("rank") % width < width // 2
+        links = edges.where(lower).select(F.struct("part", F.col("a").alias("id")).alias("a"), F.struct("part", F.col("b").alias("id")).alias("b"))
+        found = roots(links).select(F.col("id.part").alias("part"), F.col("id.id").alias("id"), F.col("root.id").alias("root"))
+        rooted = nodes.join(found, ["part", "id"], "left").withColumn("root", F.coalesce("root", "id"))
+        sizes = cut(rooted.groupBy("part", "root").agg(F.sum("size").alias("all")), "sizes")
+        rooted = cut(rooted.join(sizes, ["part", "root"]), "rooted")
+        forwards.append(cut(rooted.where((F.col("all") < least) & (F.col("id") != F.col("root"))).select("id", F.col("root").alias("to")), "forward"))
+        ends = lambda e, c, keep: e.join(rooted.select("part", F.col("id").alias(c), *keep(c)), ["part", c])
+        left = ends(edges.where(lower), "a", lambda c: [F.col("all")]).where(F.col("all") >= least).select(F.col("part") * 2, "rank", "a", "b", "d")
+        moved = ends(ends(edges.where(~lower), "a", lambda c: [F.col("root").alias("root_a")]), "b", lambda c: [F.col("root").alias("root_b")]).where("root_a <> root_b")
+        right = moved.select(F.col("part") * 2 + 1, "rank", F.col("root_a").alias("a"), F.col("root_b").alias("b"), "d")
+        edges = cut(left.toDF("part", "rank", "a", "b", "d").unionByName(right.toDF("part", "rank", "a", "b", "d")), "ranked")
+        touched = edges.select("part", F.col("a").alias("id")).unionByName(edges.select("part", F.col("b").alias("id"))).distinct()
+        both = rooted.select((F.col("part") * 2).alias("part"), "id", "size").unionByName(sizes.select((F.col("part") * 2 + 1).alias("part"), F.col("root").alias("id"), F.col("all").alias("size")))
+        nodes = cut(both.join(touched, ["part", "id"], "left_semi"), "nodes")
+        width //= 2
+    told = cut(nodes.groupBy("part").cogroup(edges.groupBy("part")).applyInPandas(_kruskal(least, n), FOUND), "told")
+    none = lambda t: F.lit(None).cast(t)
+    fate = told.where("kind = 'fell'").select("id", "to", "rank", "d", "leaf")
+    heavy = cored.where(F.col("weight") >= least).select("id", none("long").alias("to"), F.lit(-1).cast("long").alias("rank"), F.col("core").alias("d"), F.col("id").alias("leaf"))
+    fate = fate.unionByName(heavy)
+    for f in forwards:
+        fate = fate.unionByName(f.select("id", "to", none("long").alias("rank"), none("long").alias("d"), none("long").alias("leaf")))
+    fate = _followed(cut(fate, "fate"))
+    leaf_of = fate.select(F.col("id").alias("of"), F.col("leaf").alias("its"))
+    joined = told.where("kind = 'joined'").join(leaf_of, F.col("to") == F.col("of"), "left").withColumn("leaf", F.coalesce("leaf", "its")).drop("of", "its")
+    joined = joined.join(leaf_of, F.col("other_to") == F.col("of"), "left").withColumn("other_leaf", F.coalesce("other_leaf", "its"))
+    events = joined.select("kind", "rank", "d", "leaf", "other_leaf").unionByName(told.where("kind = 'born'").select("kind", "rank", "d", "leaf", "other_leaf"))
+    events = events.unionByName(heavy.select(F.lit("born").alias("kind"), "rank", "d", "leaf", none("long").alias("other_leaf")))
+    return fate, cut(events, "events")
+
+
+def _followed(fate: DataFrame) -> DataFrame:
+    """id, rank, d, leaf with every pointer followed to its end, in doubling steps. A pointer's row takes what it lacks itself."""
+    while fate.where("to IS NOT NULL").limit(1).count():
+        ahead = fate.select(F.col("id").alias("of"), F.col("to").alias("next"), F.col("rank").alias("r"), F.col("d").alias("e"), F.col("leaf").alias("l"))
+        step = fate.join(ahead, F.col("to") == F.col("of"), "left")
+        done = cut(step.select("id", F.col("next").alias("to"), F.coalesce("rank", "r").alias("rank"), F.coalesce("d", "e").alias("d"), F.coalesce("leaf", "l").alias("leaf")), "fate")
+        discard(fate)
+        fate = done
+    return fate.drop("to")
+
+
+class Tree:
+    """Clusters of the condensed tree. Cluster c has a leaf, the ranks from and up to which it lasts, a parent and children."""
+
+    def __init__(self, events: list) -> None:
+        self.since, self.until, self.parent, self.children, self.split, self.chain = [], [], [], [], [], {}
+        current: dict[int, int] = {}
+        held: dict[int, list[int]] = {}
+        for e in sorted(events, key=lambda e: (e["rank"], e["kind"], e["leaf"])):
+            c = len(self.since)
+            self.since.append(e["rank"])
+            self.until.append(None)
+            self.parent.append(None)
+            self.split.append(None)
+            if e["kind"] == "born":
+                self.children.append([])
+                held[c] = [e["leaf"]]
             else:
-                mass[c] += (rate - born[c]) * size(s)
-                under = [s]
-                while under:
-                    w = under.pop()
-                    if w < n:
-                        fell[w] = c
-                    else:
-                        under += joined[w - n][:2]
-    chosen = {c: not children[c] for c in born}
-    value = dict(mass)
-    for c in sorted(born, reverse=True):
-        if children[c]:
-            below = sum(value[k] for k in children[c])
-            chosen[c], value[c] = (True, mass[c]) if mass[c] >= below and c else (False, below)
-    out = np.full(n, NOISE, np.int64)
-    for point, c in fell.items():
-        while c and not chosen[c]:
-            c = parent[c]
-        path, top = c, c if c and chosen[c] else None
-        while path:
-            path = parent[path]
-            if path and chosen[path]:
-                top = path
-        out[point] = NOISE if top is None else top
-    return out
-
-
-def numbered(raw: list[int], signatures: list[str]) -> list[int]:
-    """Clusters numbered by their first members; after them the noise points, one number for each signature."""
-    order: dict = {}
-    for label in raw:
-        if label != NOISE:
-            order.setdefault(label, len(order))
-    for label, s in zip(raw, signatures, strict=True):
-        if label == NOISE:
-            order.setdefault(("noise", s), len(order))
-    return [order[label] if label != NOISE else order["noise", s] for label, s in zip(raw, signatures, strict=True)]
+                below = [current[e["leaf"]], current[e["other_leaf"]]]
+                self.children.append(below)
+                for b in below:
+                    self.parent[b], self.until[b], self.split[b] = c, e["rank"], e["d"]
+                held[c] = held.pop(below[0]) + held.pop(below[1])
+            for leaf in held[c]:
+                current[leaf] = c
+                self.chain.setdefault(leaf, []).append(c)
+
+    def chosen(self, weight: dict[int, float], rates: dict[int, float], unit: float) -> list[int]:
+        """Each cluster's label: the topmost chosen cluster that holds it, else NOISE. weight, rates: of the rows that fell in a
+        cluster, their number and their summed rates (1 / distance)."""
+        born = [0.0 if d is None else rate(d, unit) for d in self.split]
+        size, value, pick = [], [], []
+        for c, below in enumerate(self.children):
+            size.append(weight.get(c, 0) + sum(size[b] for b in below))
+            mass = rates.get(c, 0.0) - weight.get(c, 0) * born[c] + sum(size[b] * (born[b] - born[c]) for b in below)
+            under = sum(value[b] for b in below)
+            pick.append(self.parent[c] is not None and (not below or mass >= under))
+            value.append(mass if pick[-1] or not below else under)
+        out = [NOISE] * len(pick)
+        for c in reversed(range(len(pick))):
+            up = self.parent[c]
+            out[c] = out[up] if up is not None and out[up] != NOISE else c if pick[c] else NOISE
+        return out
+
+
+def rate(d: int, unit: float) -> float:
+    return 1.0 / (d * unit) if d else 1e12
+
+
+def clusters(rows: DataFrame, key: str, vec: str, least: int, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+    """key, cluster (NOISE for rows in none). At most rows / least clusters begin: their tree is made on the driver."""
+    spark = rows.sparkSession
+    pts = points(rows, key, vec)
+    if pts.limit(1).count() == 0:
+        return rows.select(key, F.lit(NOISE).alias("cluster"))
+    unit = unit_of(pts)
+    cored = cut(core_distances(pts, least, unit, block), "cored")
+    fate, events = big_parts(cored, tree_edges(cored, unit, block), least, chunk)
+    tree = Tree(events.collect())
+    lasts = [(leaf, c, tree.since[c], tree.until[c] if tree.until[c] is not None else 1 << 62) for leaf, chain in tree.chain.items() for c in chain]
+    spans = spark.createDataFrame(lasts, "of long, cluster int, since long, until long")
+    fell = cut(fate.join(F.broadcast(spans), (F.col("leaf") == F.col("of")) & (F.col("rank") >= F.col("since")) & (F.col("rank") < F.col("until"))).select("id", "cluster", "d"), "fell")
+    how_fast = F.when(F.col("d") == 0, F.lit(1e12)).otherwise(1.0 / (F.col("d") * unit))
+    sums = fell.join(pts.select(F.col("id").alias("of"), "weight"), F.col("id") == F.col("of")).groupBy("cluster").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * how_fast).alias("rates")).collect()
+    labels = tree.chosen({r["cluster"]: r["n"] for r in sums}, {r["cluster"]: r["rates"] for r in sums}, unit)
+    named = spark.createDataFrame(list(enumerate(labels)), "of int, label int")
+    labelled = fell.join(F.broadcast(named), F.col("cluster") == F.col("of")).select(F.col("id").alias("_id"), "label")
+    placed = pts.join(labelled, F.col("id") == F.col("_id"), "left").select("x", "label")
+    return rows.select(key, F.col(vec).cast("array<double>").alias("_x")).join(placed, F.col("_x") == F.col("x"), "left").select(key, F.coalesce("label", F.lit(NOISE)).alias("cluster"))
+
+
+def numbered(raw: DataFrame, key: str) -> DataFrame:
+    """key, group_id of (key, cluster, signature): clusters numbered by their first members; after them the rows in none, one
+    number for each signature."""
+    none = F.col("cluster") == NOISE
+    named = raw.select(key, none.cast("int").alias("late"), F.when(none, F.lit(None)).otherwise(F.col("cluster")).alias("c"), F.when(none, F.col("signature")).alias("s"))
+    groups = row_numbers(named.groupBy("late", "c", "s").agg(F.min(key).alias("_first")), ["late", "_first"], name="group_id")
+    of = groups.select(F.col("late").alias("_l"), F.col("c").alias("_c"), F.col("s").alias("_s"), "group_id")
+    return named.join(of, (F.col("late") == F.col("_l")) & F.col("c").eqNullSafe(F.col("_c")) & F.col("s").eqNullSafe(F.col("_s"))).select(key, "group_id")
 
 
 def density_groups(rows: DataFrame, key: str, text: str, vec: str) -> DataFrame:
-    """key, group_id: density clusters of the vectors, noise by signature; or groups by signature alone."""
-    spark, n = rows.sparkSession, rows.count()
-    plain = lambda: V.signature_groups(rows, key, text).select(key, "group_id")
-    if n < 3 or n > MOST_ROWS:
-        return plain()
-    signed = V.signatures(rows, key, text).withColumnRenamed(key, "_k")
-    got = rows.select(key, vec).join(signed, F.col(key) == F.col("_k")).select(key, vec, "signature").orderBy(key).toPandas()
-    raw = clusters(np.array(got[vec].tolist(), float), max(3, n // 50)).tolist()
-    if len(set(raw)) < 2:
-        return plain()
-    return spark.createDataFrame(list(zip(got[key].tolist(), numbered(raw, got["signature"].tolist()), strict=True)), f"`{key}` {rows.schema[key].dataType.simpleString()}, group_id long")
+    """key, group_id: density clusters of the vectors, rows in none by signature; groups by signature alone for under three
+    rows, or where all rows are in one cluster or none. A cluster has a fiftieth of the rows at least, so fifty begin at most."""
+    n = rows.count()
+    if n >= 3:
+        raw = cut(clusters(rows, key, vec, max(3, n // 50)), "clusters")
+        if raw.select("cluster").distinct().limit(2).count() > 1:
+            signed = V.signatures(rows, key, text).withColumnRenamed(key, "_k")
+            return numbered(raw.join(signed, F.col(key) == F.col("_k")).select(key, "cluster", "signature"), key)
+    return V.signature_groups(rows, key, text).select(key, "group_id")

@@ -1,9 +1,11 @@
-"""Vectors: hashed embeddings, cosine neighbours in blocks, near-duplicate groups, signature groups."""
+"""Vectors: hashed embeddings, cosine neighbours by bounds, near-duplicate groups, signature groups."""
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,6 +18,10 @@ from ..ranks import row_numbers
 from ..storage import cut
 
 DIM = 32
+#: Of the screen: axes of a summary, rows that it is learnt from, rows a cell, cells at most (beyond, cells have more blocks).
+MAIN_AXES, SAMPLE, CELL, MOST_CELLS = 12, 4096, 1024, 256
+#: Rows of a block, and pairs that are compared at a time.
+BLOCK, PAIRS = 2048, 1 << 18
 
 
 def embedded(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -43,37 +49,150 @@ def embedded(rows: DataFrame, key: str, text: str) -> DataFrame:
     return tokens.mapInPandas(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, vec array<double>")
 
 
+def with_vectors(rows: DataFrame, vecs: DataFrame, key: str) -> DataFrame:
+    """rows with vec; a zero vector where vecs has none for a row, as long as the others (DIM, if there are none)."""
+    width = vecs.select(F.size("vec").alias("n")).limit(1).agg(F.coalesce(F.max("n"), F.lit(DIM))).first()[0]
+    of = vecs.select(F.col(key).alias("_of"), "vec")
+    return rows.join(of, F.col(key) == F.col("_of"), "left").withColumn("vec", F.coalesce("vec", F.array_repeat(F.lit(0.0), int(width)))).drop("_of")
+
+
 def hashed_embeddings(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, dim, v: the vectors in long form; zero coordinates are absent."""
     return embedded(rows, key, text).select(key, F.posexplode("vec").alias("dim", "v")).where("v <> 0")
 
 
-def cosine_pairs(vectors: DataFrame, key: str, vec: str, threshold: float, block: int = 2048) -> DataFrame:
-    """a < b, sim (9 places) of all pairs at or above the threshold. Rows are dealt to blocks of about `block`; each
-    pair of blocks is one task's matrix product, so a task holds two blocks whatever the table's size."""
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    home = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    rows = vectors.select(F.col(key).alias("id"), F.col(vec).alias("vec"), home.alias("home")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    rows = rows.select("id", "vec", "home", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"))
+@dataclass
+class Screen:
+    """What bounds the similarity of unit vectors without comparing them whole, learnt from a bounded sample. It decides what is
+    compared, never what is found: any rotation and any cells give a true bound.
+
+    A vector's summary is its first coordinates after a rotation (the sample's main axes) and the length of the rest: a unit
+    vector, too, and two summaries' product is at least their vectors'. Cells halve the sample by its widest coordinate, over and over."""
+
+    axes: np.ndarray  # dimensions x main axes
+    low: np.ndarray  # cells x summary coordinates
+    high: np.ndarray
+    reach: float  # the summaries of a pair at the threshold are at most so far apart
+
+    def summary(self, x: np.ndarray) -> np.ndarray:
+        main = x @ self.axes
+        return np.concatenate([main, np.sqrt(np.maximum((x * x).sum(1, keepdims=True) - (main * main).sum(1, keepdims=True), 0.0))], 1)
+
+    def away(self, s: np.ndarray) -> np.ndarray:
+        """Distances of summaries to cells: rows x cells."""
+        out = np.zeros((len(s), len(self.low)))
+        for k in range(s.shape[1]):
+            out += np.maximum(np.maximum(self.low[:, k] - s[:, k : k + 1], s[:, k : k + 1] - self.high[:, k]), 0.0) ** 2
+        return np.sqrt(out)
+
+
+def screen(sample: np.ndarray, threshold: float, cells: int) -> Screen:
+    """Learn a screen with at most so many cells from unit vectors."""
+    w, u = np.linalg.eigh(sample.T @ sample) if len(sample) else (np.zeros(1), np.zeros((1, 1)))
+    axes = u[:, ::-1][:, :MAIN_AXES]
+    slack = 1e-6
+    out = Screen(axes, np.full((1, axes.shape[1] + 1), -np.inf), np.full((1, axes.shape[1] + 1), np.inf), math.sqrt(max(2 - 2 * threshold, 0.0)) + slack)
+    parts = [(out.summary(sample), out.low[0], out.high[0])]
+    while 2 * len(parts) <= cells and all(len(p[0]) > 1 for p in parts):
+        halves = []
+        for s, low, high in parts:
+            k = int(np.ptp(s, axis=0).argmax())
+            at = float(np.median(s[:, k]))
+            left, right = high.copy(), low.copy()
+            left[k] = right[k] = at
+            halves += [(s[s[:, k] <= at], low, left), (s[s[:, k] > at], right, high)]
+        parts = halves
+    out.low, out.high = np.stack([p[1] for p in parts]), np.stack([p[2] for p in parts])
+    return out
+
+
+def _unit(vecs: pd.Series) -> np.ndarray:
+    x = np.array(vecs.to_list(), float)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _matches(x: np.ndarray, y: np.ndarray, sx: np.ndarray, sy: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, similarity to 9 places) at or above the threshold; pairs whose summaries allow it are compared. Where
+    that is most of them, one product is cheaper."""
+    allowed = sx @ sy.T >= threshold - 1e-6
+    if allowed.mean() > 1 / 8:
+        sim = np.round(x @ y.T, 9)
+        p, q = np.nonzero(sim >= threshold)
+        return p, q, sim[p, q]
+    p, q = np.nonzero(allowed)
+    sim = np.concatenate([np.round((x[p[i : i + PAIRS]] * y[q[i : i + PAIRS]]).sum(1), 9) for i in range(0, len(p), PAIRS)]) if len(p) else np.zeros(0)
+    keep = sim >= threshold
+    return p[keep], q[keep], sim[keep]
+
+
+def _spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of links that connect what all links connect."""
+    up: dict = {}
+
+    def top(i):
+        while up.setdefault(i, i) != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    keep = []
+    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        p, q = top(i), top(j)
+        if p != q:
+            up[p] = q
+            keep.append(k)
+    return np.array(keep, int)
+
+
+def cosine_pairs(vectors: DataFrame, key: str, vec: str, threshold: float, spanning: bool = False, cell: int = CELL, block: int = BLOCK) -> DataFrame:
+    """a < b, sim (9 places) of all pairs at or above the threshold; `spanning`: of links enough to connect the same rows.
+
+    A vector lies in one cell of the screen and goes to those cells that something as similar may lie in. Two cells meet in
+    pairs of blocks, which hold about `block` rows of a cell, so a task holds two blocks whatever the table's size; there, summaries
+    are multiplied first and only pairs that they allow are compared whole."""
+    rows = vectors.select(F.col(key).alias("id"), F.col(vec).alias("vec")).where(F.col("vec").isNotNull())
+    n = rows.count()
+    sample = rows.orderBy(F.xxhash64("id")).limit(SAMPLE).toPandas()  # bounded
+    told = screen(_unit(sample.vec) if len(sample) else np.zeros((0, 1)), threshold, min(MOST_CELLS, max(1, n // cell)))
+    blocks = max(1, -(-n // (len(told.low) * block)))
+    kind = vectors.schema[key].dataType.simpleString()
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if f.empty:
+                continue
+            away = told.away(told.summary(_unit(f.vec)))
+            home = away.argmin(1)  # the cell that holds it, the first where it lies on an edge
+            r, c = np.nonzero(away <= told.reach)
+            yield pd.DataFrame({"id": f.id.to_numpy()[r], "vec": f.vec.to_numpy()[r], "home": home[r], "i": np.minimum(home[r], c), "j": np.maximum(home[r], c), "mine": f.mine.to_numpy()[r]})
+
+    mine = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("mine")
+    met = rows.select("id", "vec", mine).mapInPandas(deal, f"id {kind}, vec {rows.schema['vec'].dataType.simpleString()}, home int, i int, j int, mine int")
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # A pair of blocks is (block of cell i, block of cell j); in one cell, the lesser block first.
+    first, same = F.col("home") == F.col("i"), F.col("i") == F.col("j")
+    left = F.when(same, F.least("mine", "other")).when(first, F.col("mine")).otherwise(F.col("other"))
+    right = F.when(same, F.greatest("mine", "other")).when(first, F.col("other")).otherwise(F.col("mine"))
+    met = met.select("id", "vec", "home", "i", "j", "mine", left.alias("p"), right.alias("q"))
 
     def product(frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = frame.i.iloc[0], frame.j.iloc[0]
-        left, right = frame[frame.home == i], frame[frame.home == j]
-        if left.empty or right.empty:
+        i, j, p, q = (frame[c].iloc[0] for c in ("i", "j", "p", "q"))
+        one = frame[(frame.home == i) & (frame.mine == p)]
+        two = one if (i, p) == (j, q) else frame[(frame.home == j) & (frame.mine == q)]
+        if one.empty or two.empty:
             return pd.DataFrame({"a": [], "b": [], "sim": []})
-        x, y = np.array(left.vec.to_list(), float), np.array(right.vec.to_list(), float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
-        s = np.round(x @ y.T, 9)
-        p, q = np.nonzero(s >= threshold)
-        a, b = left.id.to_numpy()[p], right.id.to_numpy()[q]
-        keep = a < b if i == j else a != b
-        first = a < b
-        return pd.DataFrame({"a": np.where(first, a, b)[keep], "b": np.where(first, b, a)[keep], "sim": s[p, q][keep]})
+        x, y = _unit(one.vec), _unit(two.vec)
+        r, c, sim = _matches(x, y, told.summary(x), told.summary(y), threshold)
+        a, b = one.id.to_numpy()[r], two.id.to_numpy()[c]
+        keep = a < b if (i, p) == (j, q) else a != b
+        a, b, sim = a[keep], b[keep], sim[keep]
+        if spanning:
+            k = _spanning(a, b)
+            a, b, sim = a[k], b[k], sim[k]
+        lesser = a < b
+        return pd.DataFrame({"a": np.where(lesser, a, b), "b": np.where(lesser, b, a), "sim": sim})
 
-    kind = vectors.schema[key].dataType.simpleString()
-    return rows.groupBy("i", "j").applyInPandas(product, f"a {kind}, b {kind}, sim double")
+    return met.groupBy("i", "j", "p", "q").applyInPandas(product, f"a {kind}, b {kind}, sim double")
 
 
 def components(nodes: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
@@ -83,14 +202,21 @@ def components(nodes: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
 
 
 def near_duplicate_groups(rows: DataFrame, key: str, text: str, threshold: float = 0.90) -> DataFrame:
-    """key, root (first member), group_id (dense, by first member), group_size. Texts without tokens stay alone.
+    """key, root (first member), group_id (dense, by first member), group_size, by the texts' hashed vectors. Texts without tokens
+    stay alone."""
+    return grouped_vectors(rows, embedded(rows, key, text), key, threshold)
+
+
+def grouped_vectors(rows: DataFrame, vecs: DataFrame, key: str, threshold: float) -> DataFrame:
+    """key, root, group_id, group_size of all rows by vecs (key, vec); rows without a vector, and zero vectors, stay alone.
 
-    Rows with one vector are linked to its first row, so only distinct vectors meet in pairs."""
-    vecs = cut(embedded(rows, key, text), "vectors")
+    Rows with one vector are linked to its first row, so only distinct vectors are compared, and pairs come as spanning links."""
+    vecs = cut(vecs.where(F.exists("vec", lambda x: x != 0)).select(key, "vec"), "vectors")
     firsts = cut(vecs.groupBy("vec").agg(F.min(key).alias("first")), "distinct")
     of = firsts.select(F.col("vec").alias("v"), "first")
     copies = vecs.join(of, F.col("vec") == F.col("v")).where(F.col(key) != F.col("first")).select(F.col(key).alias("a"), F.col("first").alias("b"))
-    found = cut(components(rows.select(key), cosine_pairs(firsts, "first", "vec", threshold).select("a", "b").unionByName(copies), key), "grouped")
+    pairs = cosine_pairs(firsts, "first", "vec", threshold, spanning=True).select("a", "b")
+    found = cut(components(rows.select(key), pairs.unionByName(copies), key), "grouped")
     heads = row_numbers(found.groupBy("root").agg(F.count("*").alias("group_size")), ["root"], name="group_id")
     return found.join(heads.withColumnRenamed("root", "_root"), F.col("root") == F.col("_root")).select(key, "root", "group_id", "group_size")
 

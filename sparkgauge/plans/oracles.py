@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions import text as T
 from ..operators.pricing import PRICES
+from .density_sql import density_sql
 from .queries import SAMPLES
 
 
@@ -78,9 +79,14 @@ imp AS (SELECT family_id, family_size, diversity, CASE WHEN max(raw) OVER () = 0
 _RANK = "CASE specificity WHEN 'generalizable' THEN 0 WHEN 'one_off' THEN 2 ELSE 1 END, CASE WHEN difficulty IN ('medium', 'hard') THEN 0 ELSE 1 END, group_size DESC, substr(sha256('42:' || doc_id), 1, 16)"
 BEST = f"""{IMPORTANCE}, tasks AS (SELECT ann.*, root, group_size, family_size, family_importance FROM ann JOIN grp USING (doc_id) JOIN imp USING (family_id)),
 best AS (SELECT * FROM tasks QUALIFY row_number() OVER (PARTITION BY root ORDER BY {_RANK}) = 1)"""
-SIG = f"""{FIRST}, st AS (SELECT conv_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS p FROM (SELECT conv_id, {tokens('prompt', 2, T.SIGNATURE_STOP)} AS ts FROM fut)),
-sc AS (SELECT conv_id, t, count(*) AS n, min(p) AS p FROM st GROUP BY ALL), sg AS (SELECT fut.conv_id, coalesce(s, 'general') AS signature FROM fut LEFT JOIN (SELECT conv_id, arg_max(t, (n, -p)) AS s FROM sc GROUP BY conv_id) USING (conv_id)),
-sig AS (SELECT conv_id, signature, dense_rank() OVER (ORDER BY m) - 1 AS group_id, group_size FROM (SELECT *, min(conv_id) OVER (PARTITION BY signature) AS m, count(*) OVER (PARTITION BY signature) AS group_size FROM sg))"""
+def signed(source: str, key: str) -> str:
+    """sig(key, signature, group_id, group_size) of source(key, prompt)."""
+    return f"""st AS (SELECT {key}, unnest(ts) AS t, generate_subscripts(ts, 1) AS p FROM (SELECT {key}, {tokens('prompt', 2, T.SIGNATURE_STOP)} AS ts FROM {source})),
+sc AS (SELECT {key}, t, count(*) AS n, min(p) AS p FROM st GROUP BY ALL), sg AS (SELECT f.{key}, coalesce(s, 'general') AS signature FROM {source} f LEFT JOIN (SELECT {key}, arg_max(t, (n, -p)) AS s FROM sc GROUP BY {key}) USING ({key})),
+sig AS (SELECT {key}, signature, dense_rank() OVER (ORDER BY m) - 1 AS group_id, group_size FROM (SELECT *, min({key}) OVER (PARTITION BY signature) AS m, count(*) OVER (PARTITION BY signature) AS group_size FROM sg))"""
+
+
+SIG = f"{FIRST}, {signed('fut', 'conv_id')}"
 
 
 def score(t: str) -> str:
@@ -212,3 +218,4 @@ domain, CASE WHEN domain = 'Writing' AND NOT {_has(_LOW, ('email', 'essay', 'rew
 ORACLES["export_shapes"] = f"""WITH t AS (SELECT conv_id::VARCHAR AS conversation_id, turn, {ROLE} AS role, {STRIP} AS text FROM conversations WHERE {STRIP} <> ''),
 a AS (SELECT 'tree' AS form, * FROM t WHERE role <> 'system' UNION ALL SELECT 'list', * FROM t UNION ALL SELECT 'lines', * FROM t)
 SELECT form, conversation_id, (row_number() OVER (PARTITION BY form, conversation_id ORDER BY turn) - 1)::INT AS turn, role, sha256(text) AS digest FROM a"""
+ORACLES["density_clusters"] = density_sql(EMB, f"{DOCS}, {signed('src', 'doc_id')}")

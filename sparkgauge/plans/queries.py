@@ -421,6 +421,6 @@ def export_shapes(spark, sf_dir):
 
 @query
 def density_clusters(spark, sf_dir):
-    """Density clusters of the given vectors; noise by the signature of the text."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").withColumn("text", F.concat(F.lit("item "), F.col("vec_id").cast("string")))
-    return D.density_groups(rows, "vec_id", "text", "embedding")
+    """Density clusters of the documents' hashed vectors; noise by the signature of the text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return D.density_groups(V.with_vectors(docs, V.embedded(docs, "doc_id", "text"), "doc_id"), "doc_id", "text", "vec")
