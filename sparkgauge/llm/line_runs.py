@@ -128,10 +128,10 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, least: int = DOCS
 
 
 def _kept(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """docs with _lines and _places (null: none)."""
+    """docs with _places (null: none). A merge join at every size: places grow with the corpus, and texts move once."""
     text = F.coalesce("text", F.lit(""))
     told = places.select(F.col("doc").alias("_of"), F.col("digest").alias("_digest"), F.col("places").alias("_places"))
-    return docs.join(told, (_doc() == F.col("_of")) & (F.xxhash64(text) == F.col("_digest")), "left")
+    return docs.join(told.hint("merge"), (_doc() == F.col("_of")) & (F.xxhash64(text) == F.col("_digest")), "left")
 
 
 def _rest() -> Column:
