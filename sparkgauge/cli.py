@@ -11,20 +11,16 @@ from pyspark.sql import functions as F
 
 from . import build as B
 from . import reports
+from .calls import ledger
 from .operators import pricing as P
 from .settings import SettingsError, model_of, scoring_judges
 from .sources.exports import read_export
 from .workspace import Workspace, apply_review
 
 
-def _catalog(ws: Workspace):
-    own = P.override_rows(ws.spark, [(p.provider, p.model, p.input_per_1m, p.output_per_1m) for p in ws.settings().prices])
-    return own.unionByName(P.builtin_catalog(ws.spark))
-
-
 def _shown(lines, ws: Workspace) -> None:
     local = [p.name for p in ws.settings().providers.values() if p.keyless]
-    rows = P.priced(lines, _catalog(ws), local)
+    rows = P.priced(lines, P.catalog(ws.spark, ws.settings()), local)
     rows.orderBy("line").show(100, False)
     print("Total", P.estimate_totals(rows).first().shown)
 
@@ -87,8 +83,7 @@ def leaderboard(ws, args):
 
 
 def cost(ws, args):
-    rows = ws.table("ledger").groupBy("phase", "model").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
-    rows.orderBy("phase", "model").show(200, False)
+    ledger(ws.calls()).orderBy("phase", "model").show(200, False)
     _shown(_build_lines(ws), ws)
 
 

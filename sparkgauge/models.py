@@ -6,7 +6,9 @@ computed from them, no side effect."""
 
 from __future__ import annotations
 
+import http.client
 import json
+import time
 import urllib.error
 import urllib.request
 from dataclasses import dataclass
@@ -28,6 +30,8 @@ ASKS = {
     "answer": "",
 }
 MOST_TOKENS = 4096
+#: What a call may fail with: no connection, a refusal, or a reply that can't be read. Anything else is a fault of the program.
+FAILURES = (OSError, http.client.HTTPException, ValueError)
 
 
 @dataclass(frozen=True)
@@ -90,47 +94,94 @@ class Offline:
         return {"response": f"Here is a focused answer to your request: {first}"}
 
 
+#: Replies that may be better a little later, tries in all, and seconds before the second try (then twice as many each time).
+LATER, TRIES, WAIT = (408, 409, 429, 500, 502, 503, 504), 4, 1.0
+
+
+class Endpoint:
+    """Posts to a provider. What may pass by itself (see LATER, and connections that fail) is tried again; a reply's Retry-After
+    is waited for."""
+
+    def __init__(self, base_url: str | None, path: str, key: str | None, seconds: float | None):
+        self.url = (base_url or "https://api.openai.com/v1").rstrip("/") + path
+        self.key, self.seconds = key, seconds
+
+    def post(self, body: dict) -> dict:
+        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        for k in range(TRIES):
+            request = urllib.request.Request(self.url, json.dumps(body).encode(), head)
+            try:
+                with urllib.request.urlopen(request, timeout=self.seconds or 600) as got:
+                    return json.loads(got.read())
+            except urllib.error.HTTPError as e:
+                if e.code not in LATER or k + 1 == TRIES:
+                    raise
+                after = e.headers.get("Retry-After") or ""
+                time.sleep(min(float(after), 60.0) if after.replace(".", "", 1).isdigit() else WAIT * 2**k)
+            except (urllib.error.URLError, ConnectionError):
+                if k + 1 == TRIES:
+                    raise
+                time.sleep(WAIT * 2**k)
+        raise AssertionError
+
+
 class Chat:
     """A chat-completions endpoint. An endpoint that doesn't know the newer limit's name is asked again with the older one."""
 
     billable = True
 
     def __init__(self, model: str, base_url: str | None, key: str | None, seconds: float | None):
-        self.model, self.url = model, (base_url or "https://api.openai.com/v1").rstrip("/") + "/chat/completions"
-        self.key, self.seconds = key, seconds
-
-    def _post(self, body: dict) -> dict:
-        head = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
-        request = urllib.request.Request(self.url, json.dumps(body).encode(), head)
-        with urllib.request.urlopen(request, timeout=self.seconds or 600) as got:
-            return json.loads(got.read())
+        self.model, self.at = model, Endpoint(base_url, "/chat/completions", key, seconds)
 
     def __call__(self, kind: str, payload: Any) -> Reply:
         text = payload if isinstance(payload, str) else json.dumps(payload, ensure_ascii=False, sort_keys=True)
         prompt = f"{ASKS[kind]}\n{text}".strip()
         body = {"model": self.model, "messages": [{"role": "user", "content": prompt}], "temperature": 0.0}
         try:
-            got = self._post(body | {"max_completion_tokens": MOST_TOKENS})
+            got = self.at.post(body | {"max_completion_tokens": MOST_TOKENS})
         except urllib.error.HTTPError as e:
             if e.code != 400 or b"max_completion_tokens" not in e.read():
                 raise
-            got = self._post(body | {"max_tokens": MOST_TOKENS})
-        said, used = got["choices"][0]["message"].get("content") or "", got.get("usage") or {}
+            got = self.at.post(body | {"max_tokens": MOST_TOKENS})
+        try:
+            said, used = got["choices"][0]["message"].get("content") or "", got.get("usage") or {}
+        except (LookupError, TypeError, AttributeError) as e:
+            raise ValueError("a reply without a message") from e
         return Reply(said, self.model, used.get("prompt_tokens") or P.estimate_tokens(prompt), used.get("completion_tokens") or P.estimate_tokens(said), True)
 
 
+class Embed:
+    """An embeddings endpoint: a list of texts to the JSON of their vectors, in order."""
+
+    billable = True
+
+    def __init__(self, model: str, base_url: str | None, key: str | None, seconds: float | None):
+        self.model, self.at = model, Endpoint(base_url, "/embeddings", key, seconds)
+
+    def __call__(self, kind: str, payload: list[str]) -> Reply:
+        got = self.at.post({"model": self.model, "input": payload})
+        try:
+            vectors = [r["embedding"] for r in sorted(got["data"], key=lambda r: r.get("index", 0))]
+        except (LookupError, TypeError, AttributeError) as e:
+            raise ValueError("a reply without vectors") from e
+        if len(vectors) != len(payload):
+            raise ValueError(f"{len(payload)} texts were sent, {len(vectors)} vectors came")
+        used = (got.get("usage") or {}).get("prompt_tokens") or sum(P.estimate_tokens(t) for t in payload)
+        return Reply(json.dumps(vectors), self.model, used, 0, True)
+
+
 def live(settings: Settings) -> frozenset[str]:
     """Providers that can be asked: with a key in the driver's environment, or declared without one. Decided once, on the driver:
     a key that only a worker's environment has is never used."""
     return frozenset(p.name for p in settings.providers.values() if p.key() or not p.key_env)
 
 
-def client(model: Model, settings: Settings, asked: frozenset[str]) -> Offline | Chat:
+def client(model: Model, settings: Settings, asked: frozenset[str], kind: type = Chat) -> Offline | Chat | Embed:
     """A live client for a provider among `asked` (see live), else the offline model."""
     provider = settings.provider(model.provider)
     if model.provider not in asked:
         return Offline(model.model)
-    return Chat(model.model, model.base_url or provider.base_url, provider.key(), provider.seconds)
+    return kind(model.model, model.base_url or provider.base_url, provider.key(), provider.seconds)
 
 
 def answer_of(reply: Reply) -> str:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import plain as P
+from ..models import FAILURES
+from ..ranks import row_numbers
 from ..replies import parse_json_object
 from ..settings import Model
 from .judging import Make
@@ -16,12 +18,9 @@ META = ("task_family", "domain", "skills", "difficulty", "specificity")
 DEFAULTS = {"task_family": "General assistance", "domain": "General", "skills": ["instruction following"], "difficulty": "medium", "specificity": "generalizable"}
 
 
-def batches(rows: DataFrame, key: str, size: int = BATCH, by: str | None = None) -> DataFrame:
-    """Adds `batch`: consecutive rows in key order, `size` each, within `by`. Keys are numbered in blocks of a range, so
-    no task orders all rows."""
-    w = Window.partitionBy(by).orderBy(key) if by else Window.partitionBy("_block").orderBy(key)
-    dealt = rows if by else rows.repartitionByRange(key).withColumn("_block", F.spark_partition_id())
-    return dealt.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+def batches(rows: DataFrame, key: str, size: int = BATCH) -> DataFrame:
+    """Adds `batch`: consecutive rows in key order, `size` each; the same however the rows are dealt."""
+    return row_numbers(rows, [key], name="_n").withColumn("batch", F.floor(F.col("_n") / size)).drop("_n")
 
 
 def _routed(text: str, ids: list[str]) -> dict[str, list[str]]:
@@ -48,7 +47,7 @@ def panel_items(tasks: DataFrame, key: str, text: str, panel: list[Model], make:
     reply, gets the default checklist."""
     kept = [c for c in tasks.columns if c in (key, text, *META)]
     rows = batches(tasks.select(*kept), key).withColumn("m", F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(m.provider).alias("provider"), F.lit(m.model).alias("model"), F.lit(m.label).alias("name")) for i, m in enumerate(panel)])))
-    rows = rows.select("_block", "batch", *kept, "m.pos", "m.provider", "m.model", "m.name")
+    rows = rows.select("batch", *kept, "m.pos", "m.provider", "m.model", "m.name")
 
     def call(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(key)
@@ -56,12 +55,12 @@ def panel_items(tasks: DataFrame, key: str, text: str, panel: list[Model], make:
         try:
             reply = make(f.provider.iloc[0], f.model.iloc[0])("checklist", [_payload(t, key, text) for t in tasks_])
             got, ok = _routed(reply.text, [str(t[key]) for t in tasks_]), True
-        except Exception:
+        except FAILURES:
             got, ok = {}, False
         return pd.DataFrame({key: f[key], "panel_pos": f.pos, "judge": f.name, "items": [got.get(str(t[key])) or P.checklist(t[text] or "") for t in tasks_], "ok": ok})
 
     kind = tasks.schema[key].dataType.simpleString()
-    return rows.groupBy("_block", "batch", "pos").applyInPandas(call, f"`{key}` {kind}, panel_pos int, judge string, items array<string>, ok boolean")
+    return rows.groupBy("batch", "pos").applyInPandas(call, f"`{key}` {kind}, panel_pos int, judge string, items array<string>, ok boolean")
 
 
 def merged_items(tasks: DataFrame, items: DataFrame, key: str, text: str, model: Model, make: Make) -> DataFrame:
@@ -78,8 +77,8 @@ def merged_items(tasks: DataFrame, items: DataFrame, key: str, text: str, model:
         try:
             reply = make(model.provider, model.model)("merge", [_payload(t, key, text) | {"panel_items": p} for t, p in zip(tasks_, panels, strict=True)])
             got, ok = _routed(reply.text, [str(t[key]) for t in tasks_]), True
-        except Exception:
+        except FAILURES:
             got, ok = {}, False
         return pd.DataFrame({key: f[key], "checklist": [P.spelled_once(got.get(str(t[key])) or o, 10) for t, o in zip(tasks_, own, strict=True)], "ok": ok})
 
-    return rows.groupBy("_block", "batch").applyInPandas(call, f"`{key}` {tasks.schema[key].dataType.simpleString()}, checklist array<string>, ok boolean")
+    return rows.groupBy("batch").applyInPandas(call, f"`{key}` {tasks.schema[key].dataType.simpleString()}, checklist array<string>, ok boolean")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import plain as P
 from ..functions import text as T
+from ..models import FAILURES
 from ..replies import parse_json_object
 from ..ranks import row_numbers
 from ..storage import cut
@@ -63,7 +64,7 @@ def annotate_with_model(rows: DataFrame, key: str, text: str, group: str, make:
             of = reply.get("group")
             if isinstance(of, dict):
                 meta = {k: P.clean(of.get(k)) or meta[k] for k in ("task_family", "domain")} | {"skills": P.skills(of.get("skills"), " ".join(texts))}
-        except Exception:  # ok is false for all of the batch
+        except FAILURES:  # ok is false for all of the batch
             by_id = {}
         out = [(k, *_annotated(by_id.get(i), t, meta)) for k, i, t in zip(f[key], keys, texts, strict=True)]
         return pd.DataFrame(out, columns=[key, *[x.split()[0] for x in ANNOTATION.split(", ")]])
@@ -103,7 +104,7 @@ def model_claims(labels: DataFrame, make: Callable[[], Callable], batch: int = 1
             for x in reply.get("families", []):
                 name = P.clean(x.get("task_family")) if isinstance(x, dict) else ""
                 out += [(name, P.clean(x.get("domain")), s) for s in x.get("source_labels", []) if s in known] if name else []
-        except Exception:
+        except FAILURES:
             out = []
         at = int(f["_batch"].iloc[0]) << 20
         return pd.DataFrame([(at + i, *x) for i, x in enumerate(out)], columns=["pos", "family", "domain", "label"])

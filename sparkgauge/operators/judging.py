@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..models import answer_of, judgement_of
+from ..models import FAILURES, answer_of, judgement_of
 from ..settings import Model
 
 Make = Callable[[str, str], Callable]
@@ -42,7 +42,7 @@ def answers(tasks: DataFrame, key: str, prompt: str, candidates: list[Model], ma
                 try:
                     got = ask("answer", text or "")
                     out.append((k, name, answer_of(got), got.input_tokens, got.output_tokens, got.billable, True))
-                except Exception:  # one call's failure is that row's result, counted by ok
+                except FAILURES:  # one call's failure is that row's result, counted by ok
                     out.append((k, name, "", 0, 0, False, False))
             yield pd.DataFrame(out, columns=[key, "model", "response", "input_tokens", "output_tokens", "billable", "ok"])
 
@@ -66,7 +66,7 @@ def judgements(answered: DataFrame, keys: list[str], judges: list[Model], make:
                 try:
                     got = clients[at]("judge", {"task": row["prompt"], "checklist": list(row["checklist"]), "response": row["response"] or ""})
                     text, used = got.text, (got.input_tokens, got.output_tokens, got.billable)
-                except Exception:  # a judge that can't be reached has ok false, like one that can't be read
+                except FAILURES:  # a judge that can't be reached has ok false, like one that can't be read
                     text, used = None, (0, 0, False)
                 j = judgement_of(text)
                 out.append((*(row[k] for k in keys), m["pos"], m["name"], j["score"], j["strengths"], j["weaknesses"], j["rationale"], j["ok"], *used))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..settings import Model
+from ..settings import Model, Settings
 
 # USD per 1000 tokens (input, output).
 PRICES = {
@@ -62,6 +62,14 @@ def override_rows(spark: SparkSession, prices: list[tuple[str | None, str, float
     return rows.select(F.lit("config").alias("source"), F.explode(F.when(p.isNull(), ids).otherwise(named)).alias("key"), (F.col("a") / 1000).alias("input_per_1k"), (F.col("b") / 1000).alias("output_per_1k"))
 
 
+def catalog(spark: SparkSession, settings: Settings) -> DataFrame:
+    """The settings' own prices, those of the catalog files that they name, and the built-in ones."""
+    rows = override_rows(spark, [(p.provider, p.model, p.input_per_1m, p.output_per_1m) for p in settings.prices])
+    for form, path in settings.price_files:
+        rows = rows.unionByName(CATALOG_FORMS[form](spark.read.text(path, wholetext=True)))
+    return rows.unionByName(builtin_catalog(spark))
+
+
 def openrouter_rows(catalog: DataFrame) -> DataFrame:
     """Catalog rows of JSON texts (value) with a `data` list of models; prices are USD a token."""
     item = "struct<id:string,canonical_slug:string,pricing:struct<prompt:string,completion:string>>"
@@ -78,6 +86,10 @@ def litellm_rows(catalog: DataFrame) -> DataFrame:
     return catalog_rows(rows, "litellm")
 
 
+#: Catalog files by form.
+CATALOG_FORMS = {"openrouter": openrouter_rows, "litellm": litellm_rows}
+
+
 def aliases(provider: Column) -> Column:
     """The names that a provider goes by, its own first."""
     out = F.when(provider.isNull(), F.array().cast("array<string>")).otherwise(F.array(provider))

@@ -53,6 +53,8 @@ long_tail_fraction = 0.20
 
 #: Filter models where [filter] is absent: the first of these providers that is declared.
 FILTER_MODELS = {"anthropic": "claude-haiku-4-5-20251001", "openai": "gpt-4o-mini"}
+#: Forms of price catalog files.
+CATALOGS = ("openrouter", "litellm")
 KEYLESS_TIMEOUT = 3600.0
 
 
@@ -123,6 +125,7 @@ class Settings:
     embeddings: Model = field(default_factory=lambda: Model("openai", "text-embedding-3-small"))
     prices: tuple[Price, ...] = ()
     fetch_prices: bool = True
+    price_files: tuple[tuple[str, str], ...] = ()
     sample: Sample = Sample()
 
     def provider(self, name: str) -> Provider:
@@ -220,6 +223,13 @@ def _price(s: _Section, providers: dict[str, Provider]) -> Price:
     return Price(model, s.per_million("input"), s.per_million("output"), of)
 
 
+def _price_file(s: _Section) -> tuple[str, str]:
+    form, path = s.value.get("form"), s.value.get("path")
+    if form not in CATALOGS or not path:
+        raise s.fail(f"requires `path`, and `form`, one of {', '.join(CATALOGS)}")
+    return str(form), str(path)
+
+
 def parse(raw: dict[str, Any]) -> Settings:
     """Checked settings of a parsed file. Numbers out of range are held to it; anything else wrong is an error."""
     providers = {name: _provider(name, x) for name, x in _Section(raw.get("providers", {}), "providers").value.items()}
@@ -241,7 +251,7 @@ def parse(raw: dict[str, Any]) -> Settings:
         out = replace(out, embeddings=_Section({"provider": "openai", "model": out.embeddings.model} | s.value, "embeddings").model(providers))
     if raw.get("pricing") is not None:
         s = _Section(raw["pricing"], "pricing")
-        out = replace(out, prices=tuple(_price(x, providers) for x in s.tables("models")), fetch_prices=s.flag("fetch_external", True))
+        out = replace(out, prices=tuple(_price(x, providers) for x in s.tables("models")), fetch_prices=s.flag("fetch_external", True), price_files=tuple(_price_file(x) for x in s.tables("catalogs")))
     given = {k: v for k, v in raw.get("sample", {}).items() if k in Sample.__dataclass_fields__}
     held = lambda v: min(1.0, max(0.0, float(v)))
     rules = {"target_n": lambda v: max(1, min(200, int(v))), "max_family_tasks": lambda v: max(1, int(v)), "near_duplicate_threshold": held, "long_tail_fraction": held}
@@ -255,8 +265,11 @@ def load(path: str | Path) -> Settings:
 
 
 def distinct(models: Iterable[Model]) -> list[Model]:
-    """Each (provider, model) once, in order."""
-    return list({(m.provider, m.model): m for m in reversed(list(models))}.values())[::-1] if models else []
+    """Each (provider, model) once, as it first comes, in that order."""
+    out: dict[tuple[str, str], Model] = {}
+    for m in models:
+        out.setdefault((m.provider, m.model), m)
+    return list(out.values())
 
 
 def model_of(spec: str, providers: dict[str, Provider], option: str = "--model") -> Model:

@@ -12,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import settings as S
+from .calls import records
 from .operators.conversations import upsert_conversations
 from .sources.lock import benchmark_meta, content_hash
 
 CONVERSATIONS = "conversation_id string, model_used string, metadata_json string, source_adapter string"
 TURNS = "conversation_id string, turn int, role string, text string, ts string"
-LEDGER = "phase string, model string, input_tokens long, output_tokens long, cost_usd double, entry long"
-EMPTY = {"conversations": CONVERSATIONS, "turns": TURNS, "ledger": LEDGER}
+EMPTY = {"conversations": CONVERSATIONS, "turns": TURNS}
 
 
 class Workspace:
@@ -87,17 +87,13 @@ class Workspace:
             raise ValueError(f"unknown task columns: {sorted(unknown)}")
         return tasks.select(*columns).orderBy("conversation_id")
 
-    def spend(self, rows: DataFrame) -> None:
-        """Append (phase, model, input_tokens, output_tokens, cost_usd) to the ledger."""
-        old = self.table("ledger")
-        entry = self.last_entry() + 1
-        self.write("ledger", old.unionByName(rows.withColumn("entry", F.lit(entry).cast("long"))))
+    @property
+    def calls_folder(self) -> str:
+        return str(self.root / "calls")
 
-    def last_entry(self) -> int:
-        return self.table("ledger").agg(F.coalesce(F.max("entry"), F.lit(0))).first()[0]
-
-    def spent_since(self, entry: int) -> float:
-        return float(self.table("ledger").where(F.col("entry") > entry).agg(F.coalesce(F.sum("cost_usd"), F.lit(0.0))).first()[0])
+    def calls(self) -> DataFrame:
+        """A row for each paid call of builds and evaluations."""
+        return records(self.spark, self.calls_folder)
 
     def digest(self, *tables: DataFrame) -> str:
         """Of the tables' rows, whatever their order."""
