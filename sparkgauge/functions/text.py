@@ -104,11 +104,6 @@ def specificity(text: Column) -> Column:
     return F.when(any_of(F.lower(text), NARROW_TERMS), "narrow").when(word_count(text) < 5, "one_off").otherwise("generalizable")
 
 
-def controlled(value: Column, allowed: tuple[str, ...], default: str) -> Column:
-    v = F.lower(F.trim(F.coalesce(value, F.lit(""))))
-    return F.when(v.isin(*allowed), v).otherwise(default)
-
-
 def clean_text(value: Column) -> Column:
     return F.substring(collapse(value), 1, 200)
 
@@ -155,18 +150,6 @@ def parse_score(raw: Column) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(10), F.coalesce(raw.try_cast("int"), F.lit(5)))).cast("long")
 
 
-def score_ok(raw: Column) -> Column:
-    """Whether a judge's score is a whole number."""
-    return raw.try_cast("int").isNotNull()
-
-
-def offline_answer(prompt: Column, model: Column) -> Column:
-    """The offline candidate: its first 80 words, in the manner that the model's name asks for."""
-    first = F.array_join(F.slice(F.split(collapse(prompt), " "), 1, 80), " ")
-    long = F.concat(F.lit("Here is a detailed answer to your request: "), first, F.lit("\n\n" + DETAIL * 4))
-    return stripped(F.when(model.contains("weak"), "I don't know.").when(model.contains("brief"), F.concat(F.lit("Short answer: "), first)).when(model.contains("detailed"), long).otherwise(F.concat(F.lit("Here is a focused answer to your request: "), first)))
-
-
 def skills(raw: Column, text: Column) -> Column:
     """Distinct skills of a comma text (first spelling, 80 characters, at most eight); null: two that the text suggests."""
     given = F.when(raw.isNull(), F.array(F.concat(F.lower(label(text)), F.lit(" reasoning")), F.lit("instruction following"))).otherwise(F.split(raw, ","))

@@ -7,8 +7,8 @@ clusters with the most excess of mass; never the cluster of all points.
 All of it is joins, counts and bounded groups. Equal vectors are one point with a weight. Distances are whole multiples of a
 unit (10^-9 for unit vectors), so that ties are ties; edges are in order of distance, then of their ends' first members.
 
-1. Core distances by counting: each round, blocks of points meet in pairs and count distances into 256 bins of the range that
-   a point has left; four rounds leave one value. Nothing of size `least` is kept.
+1. Core distances by counting: each round, blocks of points meet in pairs and count distances into 2048 bins of the range that
+   a point has left; three rounds leave one value. Nothing of size `least` is kept.
 2. Each pair of blocks finds the spanning tree of its own points. An edge that is the longest of a cycle there is so in the whole
    graph, so the trees' edges together contain the whole tree.
 3. What condensing needs of the dendrogram is, for each point, the edge at which its part first has `least` points, and the edges that join two
@@ -37,7 +37,7 @@ from . import vectors as V
 
 BLOCK, CHUNK = 2048, 1 << 16
 #: Distances are under BINS ** ROUNDS units.
-BINS, ROUNDS = 256, 4
+BINS, ROUNDS = 2048, 3
 NOISE = -1
 
 

@@ -72,12 +72,24 @@ def annotate_with_model(rows: DataFrame, key: str, text: str, group: str, make:
     return batched.groupBy("_group", "_batch").applyInPandas(call, f"`{key}` {rows.schema[key].dataType.simpleString()}, {ANNOTATION}")
 
 
-def top_values(rows: DataFrame, by: str, value: str, order: str, limit: int | None = None) -> DataFrame:
-    """by, values: distinct cleaned values by count, of equal counts the first seen first."""
+#: Parts of a group that are cut to its first rows before the group is.
+SALTS = 64
+
+
+def first_rows(rows: DataFrame, by: list[str], order: list[Column], limit: int, salt: str) -> DataFrame:
+    """The first `limit` rows of each group in `order`. A group is cut in parts by `salt` first, so that no task sorts all rows of
+    one; from there on it has at most SALTS * limit."""
+    part = F.pmod(F.xxhash64(salt), F.lit(SALTS))
+    cut_once = rows.withColumn("_part", part).withColumn("_at", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))).where(F.col("_at") <= limit)
+    return cut_once.withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_at") <= limit).drop("_at", "_part")
+
+
+def top_values(rows: DataFrame, by: str, value: str, order: str, limit: int) -> DataFrame:
+    """by, values: the `limit` most frequent distinct cleaned values, of equal counts the first seen first."""
     v = T.clean_text(value)
     counts = rows.where(v != "").groupBy(by, v.alias("v")).agg(F.count("*").alias("n"), F.min(order).alias("p"))
-    ranked = counts.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "p", "v"))), lambda x: x["v"]).alias("values"))
-    return ranked.withColumn("values", F.slice("values", 1, limit)) if limit else ranked
+    top = first_rows(counts, [by], [F.desc("n"), F.col("p"), F.col("v")], limit, "v")
+    return top.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "p", "v"))), lambda x: x["v"]).alias("values"))
 
 
 def label_payload(annotated: DataFrame, key: str) -> DataFrame:
@@ -180,15 +192,16 @@ def family_importance(rows: DataFrame, key: str, dup: str) -> DataFrame:
 
 
 def rank_columns(key: str, seed: int) -> list[Column]:
+    """What rows of a group are ranked by, each ascending."""
     spec = F.when(F.col("specificity") == "generalizable", 0).when(F.col("specificity") == "one_off", 2).otherwise(1)
-    return [spec, F.when(F.col("difficulty").isin("medium", "hard"), 0).otherwise(1), F.coalesce("dup_size", F.lit(1)).desc(), T.stable_tie(seed, F.col(key))]
+    return [spec, F.when(F.col("difficulty").isin("medium", "hard"), 0).otherwise(1), -F.coalesce("dup_size", F.lit(1)), T.stable_tie(seed, F.col(key))]
 
 
 def best_of_duplicates(rows: DataFrame, key: str, seed: int) -> DataFrame:
-    """One row of each dup_group (null: a group of its own)."""
+    """One row of each dup_group (null: a group of its own): a least row, pre-aggregated before the shuffle."""
     group = F.coalesce(F.col("dup_group").cast("string"), F.concat(F.lit("id:"), F.col(key).cast("string")))
-    w = Window.partitionBy(group).orderBy(*rank_columns(key, seed))
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    best = F.min_by(F.struct(*rows.columns), F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank_columns(key, seed))]))
+    return rows.groupBy(group.alias("_g")).agg(best.alias("_best")).select("_best.*")
 
 
 def sample(rows: DataFrame, key: str, target_n: int, cap: int = 5, long_tail: float = 0.20, seed: int = 42) -> DataFrame:
@@ -198,10 +211,9 @@ def sample(rows: DataFrame, key: str, target_n: int, cap: int = 5, long_tail: fl
     rows = cut(rows, "tasks")  # read several times below
     target = min(target_n, rows.count())
     quota = 0 if target <= 1 or long_tail <= 0 else max(1, int(target * long_tail))
-    best = best_of_duplicates(rows, key, seed).withColumn("rn", F.row_number().over(Window.partitionBy("family_id").orderBy(*rank_columns(key, seed))))
+    best = cut(best_of_duplicates(rows, key, seed), "best")
     imp, size = F.coalesce("family_importance", F.lit(0.0)), F.col("family_size")
     fam = best.groupBy("family_id").agg(F.count("*").alias("n"), F.max(imp).alias("imp"), F.max(F.coalesce(size, F.lit(1))).alias("smax"), F.min(F.coalesce(size, F.lit(1))).alias("smin"), F.max(size).alias("known"))
-    fam = fam.withColumn("osize", F.coalesce("known", "n"))
     fam = cut(fam.withColumn("osize", F.coalesce("known", "n")), "families")
     # At most `target` families are taken in each pass, so top-k lists do; they come to the driver as at most that many ids.
     first_pass = [r.family_id for r in fam.where(F.col("smax") >= 2).orderBy(F.desc("imp"), F.desc("osize"), "family_id").limit(target if cap > 0 else 0).collect()]
@@ -212,10 +224,14 @@ def sample(rows: DataFrame, key: str, target_n: int, cap: int = 5, long_tail: fl
     left_over = target - len(first_pass) - len(second)
     chosen = rows.sparkSession.createDataFrame(list(taken.items()), "of string, ab int")
     fam = fam.join(F.broadcast(chosen), F.col("family_id") == F.col("of"), "left").select("family_id", F.coalesce("ab", F.lit(0)).alias("ab"))
-    j = best.join(fam, "family_id")
+    # A family gives at most two rows by rank (the passes above), and to the fill at most cap others by importance: its first few by
+    # both orders are all that can be taken.
+    ranks = rank_columns(key, seed)
+    few = lambda order, n: first_rows(best, ["family_id"], order, n, key)
+    heads = few(ranks, 2).unionByName(few([imp.desc(), *ranks], max(cap, 0) + 2)).dropDuplicates([key])
+    j = heads.withColumn("rn", F.row_number().over(Window.partitionBy("family_id").orderBy(*ranks))).join(fam, "family_id")
     first = j.where("rn <= ab").select(key, "family_id")
-    # The fill takes at most target rows, each family at most cap of them: a partial top-k before the last window.
-    left = j.where("rn > ab").withColumn("rest", F.row_number().over(Window.partitionBy("family_id").orderBy(imp.desc(), *rank_columns(key, seed)))).where(F.col("rest") <= cap - F.col("ab"))
-    order = [F.col("ab"), imp.desc(), *rank_columns(key, seed)]
+    left = j.where("rn > ab").withColumn("rest", F.row_number().over(Window.partitionBy("family_id").orderBy(imp.desc(), *ranks))).where(F.col("rest") <= cap - F.col("ab"))
+    order = [F.col("ab"), imp.desc(), *ranks]
     fill = left.orderBy(*order).limit(max(left_over, 0))
     return first.unionByName(fill.select(key, "family_id"))

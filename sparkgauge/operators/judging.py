@@ -85,14 +85,3 @@ def panel_details(judged: DataFrame, keys: list[str], method: str = "mean") -> D
         F.coalesce(F.max(good) - F.min(good), F.max("score") - F.min("score")).alias("judge_spread"), detail.alias("judges"))
     return rows.withColumn("judge_scores", F.map_from_arrays("judges.judge", "judges.score")).withColumn("aggregate", F.lit(method))
 
-
-def usage(rows: DataFrame, phase: str, model: str) -> DataFrame:
-    """phase, model, input_tokens, output_tokens of billable calls: what the ledger adds up."""
-    return rows.where("billable").groupBy(F.lit(phase).alias("phase"), F.col(model).alias("model")).agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
-
-
-def offline_judgement(response: Column) -> Column:
-    """(score, weaknesses, rationale, ok) of the offline judge."""
-    score = T.recorded_score(response)
-    none = F.array().cast("array<string>")
-    return F.struct(score.alias("score"), F.when(score >= 8, none).otherwise(F.array(F.lit("Could be more complete"))).alias("weaknesses"), F.lit(True).alias("ok"))

@@ -411,7 +411,7 @@ def export_shapes(spark, sf_dir):
             docs = docs.repartition(4, F.xxhash64("value"))
             docs = docs.select(F.concat("value", F.lit("")).alias("value"))
             docs.write.option("maxRecordsPerFile", 1).text(folder)
-            turns = E.read_files(spark, f"{folder}/part-*", None)
+            turns = E.read_arrays(spark, f"{folder}/part-*")
         else:
             docs.write.text(folder)
             turns = E.read_lines(spark, f"{folder}/part-*")

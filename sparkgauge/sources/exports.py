@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..ranks import row_numbers
 from ..storage import cut
+from . import arrays
 
 TURNS = "conversation_id string, turn int, role string, text string, ts string, model_used string, metadata_json string"
 _COLUMNS = [x.split()[0] for x in TURNS.split(", ")]
@@ -71,12 +72,16 @@ ID_PREFIX = {"tree": "chatgpt", "list": "claude", "lines": "jsonl"}
 
 
 def kind_of(data: Any) -> str:
-    """The kind of a parsed export, by its first record; also of records wrapped in an object."""
-    records = data.get("conversations") if isinstance(data, dict) else data
-    record = records[0] if isinstance(records, list) and records else {}
+    """The kind of a parsed export, by its first record, or by itself where it is one: tree before list. Records wrapped in an
+    object are a tree's, unless the first has a list's messages."""
+    wrapped = isinstance(data, dict) and "conversations" in data
+    records = data["conversations"] if wrapped else data
+    record = (records[0] if records else {}) if isinstance(records, list) else records
+    if isinstance(record, dict) and "mapping" in record:
+        return "tree"
     if isinstance(record, dict) and ("chat_messages" in record or record.get("account") == "claude"):
         return "list"
-    if isinstance(record, dict) and "mapping" in record or isinstance(data, dict) and "conversations" in data:
+    if wrapped:
         return "tree"
     raise ValueError("no export form matches this file")
 
@@ -129,13 +134,33 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
             found = [(file, n, *row) for value, file, n in zip(f.value, f.file, f.line, strict=True) if (x := _named(json.loads(value), n + 1, "lines")) for row in x[1]]
             yield pd.DataFrame(found, columns=["file", "line", *_COLUMNS])
 
-    rows = cut(numbered.select("value", "file", "line").mapInPandas(parse, f"file string, line long, {TURNS}"), "lines")
+    return _last(cut(numbered.select("value", "file", "line").mapInPandas(parse, f"file string, line long, {TURNS}"), "lines"))
+
+
+def read_arrays(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """Turn rows of all files under path that hold an array of records; many tasks read a file (arrays.py). Of records with one
+    id in a file the last counts. The form is that of the first record."""
+    found = arrays.records(spark, path)
+    if kind is None:
+        first = found.where("n = 0").orderBy("file").limit(1).collect()
+        kind = kind_of([x for r in first for x in arrays.objects(r.value, 0)][:1])
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(file, n, *row) for file, n, place, value in zip(f.file, f.n, f.place, f.value, strict=True) for record in arrays.objects(value, n) if (x := _named(record, place, kind)) for row in x[1]]
+            yield pd.DataFrame(rows, columns=["file", "line", *_COLUMNS])
+
+    return _last(cut(found.mapInPandas(parse, f"file string, line long, {TURNS}"), "turns"))
+
+
+def _last(rows: DataFrame) -> DataFrame:
+    """Turn rows of each conversation's last record in its file."""
     last = rows.groupBy("file", "conversation_id").agg(F.max("line").alias("line"))
     return rows.join(last, ["file", "conversation_id", "line"]).select(*_COLUMNS)
 
 
 def read_files(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """Turn rows of all array exports under path, a file a task."""
+    """Turn rows of all exports under path that are one object each, a file a task."""
     files = spark.read.format("binaryFile").load(path).select("content")
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,7 +176,9 @@ def read_export(spark: SparkSession, path: str, kind: str | None = None) -> Data
     files named .jsonl), or None for the form of the first record. A folder stands for the export file in it."""
     file = export_file(spark, path)
     kind = kind or ("lines" if file.endswith(".jsonl") else None)
-    return read_lines(spark, file) if kind == "lines" else read_files(spark, file, kind)
+    if kind == "lines":
+        return read_lines(spark, file)
+    return read_arrays(spark, file, kind) if arrays.is_array(spark, file) else read_files(spark, file, kind)
 
 
 def conversations(turns: DataFrame) -> DataFrame:
@@ -164,6 +191,3 @@ def last_by_id(lines: DataFrame, key: str | list[str], order: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.desc(order))
     return lines.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
-
-def run_details(tasks: DataFrame, responses: DataFrame, scores: DataFrame, rationales: DataFrame, keys: list[str]) -> DataFrame:
-    return tasks.join(responses, keys, "left").join(scores, keys, "left").join(rationales, keys, "left").withColumn("tier", T.score_tier(F.col("score")))

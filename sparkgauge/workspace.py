@@ -1,4 +1,5 @@
-"""A workspace folder: tables as Parquet, each write a new folder that the catalog then points to; small records as JSON."""
+"""A workspace folder: tables as Parquet; small records as JSON. What grows by exports is kept in buckets by conversation, of which an
+export rewrites those it touches; a phase's result is a new folder that the catalog then points to."""
 
 from __future__ import annotations
 
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 
 from . import settings as S
 from .calls import records
-from .operators.conversations import upsert_conversations
 from .sources.lock import benchmark_meta, content_hash
+from .storage import cut
 
 CONVERSATIONS = "conversation_id string, model_used string, metadata_json string, source_adapter string"
 TURNS = "conversation_id string, turn int, role string, text string, ts string"
+#: Folders that a table which grows by merges has, and the column that names a row's.
+BUCKETS, BUCKET = 64, "_bucket"
 EMPTY = {"conversations": CONVERSATIONS, "turns": TURNS}
 
 
@@ -47,10 +50,14 @@ class Workspace:
         self.records.with_suffix(".new").write_text(json.dumps(got, indent=1, sort_keys=True), encoding="utf-8")
         self.records.with_suffix(".new").replace(self.records)
 
-    def table(self, name: str) -> DataFrame:
+    def _stored(self, name: str) -> DataFrame | None:
         where = self._records()["tables"].get(name)
-        if where:
-            return self.spark.read.option("mergeSchema", True).parquet(str(self.root / where))
+        return self.spark.read.option("mergeSchema", True).parquet(str(self.root / where)) if where else None
+
+    def table(self, name: str) -> DataFrame:
+        found = self._stored(name)
+        if found is not None:
+            return found.drop(BUCKET)
         if name in EMPTY:
             return self.spark.createDataFrame([], EMPTY[name])
         raise KeyError(f"no table '{name}' yet")
@@ -67,17 +74,27 @@ class Workspace:
             shutil.rmtree(self.root / old, ignore_errors=True)
         return self.table(name)
 
+    def merge(self, name: str, rows: DataFrame, key: str) -> None:
+        """Put rows into a bucketed table: a key's rows replace all that the table has of it. Only buckets that a key of rows is in are
+        read and written; the others' files stay. Doing it again gives the same table."""
+        bucketed = lambda t: t.withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+        new = cut(bucketed(rows), "new")
+        old, where = self._stored(name), f"tables/{name}"
+        if old is not None:
+            whole = BUCKET not in old.columns  # of an older form: all buckets are written
+            touched = [r[0] for r in new.select(BUCKET).distinct().collect()]  # at most BUCKETS
+            mine = bucketed(old) if whole else old.where(F.col(BUCKET).isin(touched))
+            new = cut(mine.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True), "merged")
+        new.hint("rebalance", BUCKET).write.partitionBy(BUCKET).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(str(self.root / where))
+        self._record(lambda r: r["tables"].update({name: where}))
+
     def ingest(self, turns: DataFrame, adapter: str) -> int:
         """Add an export's turns: a conversation that is there already is replaced with all its turns. Returns how many came."""
-        turns = turns.cache()
-        new = turns.groupBy("conversation_id").agg(F.first("model_used").alias("model_used"), F.first("metadata_json").alias("metadata_json")).withColumn("source_adapter", F.lit(adapter)).withColumn("pos", F.lit(0))
-        n = new.count()
-        kept = self.table("turns").join(new.select("conversation_id"), "conversation_id", "left_anti").unionByName(turns.select(*[x.split()[0] for x in TURNS.split(", ")]))
-        conversations = upsert_conversations(self.table("conversations"), new)
-        self.write("turns", kept)
-        self.write("conversations", conversations)
-        turns.unpersist()
-        return n
+        turns = cut(turns, "turns")
+        new = turns.groupBy("conversation_id").agg(F.first("model_used").alias("model_used"), F.first("metadata_json").alias("metadata_json")).withColumn("source_adapter", F.lit(adapter))
+        self.merge("turns", turns.select(*[x.split()[0] for x in TURNS.split(", ")]), "conversation_id")
+        self.merge("conversations", new, "conversation_id")
+        return new.count()
 
     def state_rows(self, columns: list[str]) -> DataFrame:
         """These columns of the tasks, in id order."""
