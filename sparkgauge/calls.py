@@ -101,7 +101,8 @@ class Kept:
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each paid call."""
-    if not any(Path(folder).glob("*/*/*.json")):
+    files = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*/*/*.json")
+    if not files.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(files):
         return spark.createDataFrame([], RECORD)
     return spark.read.schema(RECORD).json(f"{folder}/*/*/*.json").withColumn("cost_usd", F.coalesce("cost_usd", F.lit(0.0)))
 

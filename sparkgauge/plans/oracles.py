@@ -37,6 +37,10 @@ def tokens(t: str, least: int, stop=()) -> str:
     return f"list_filter({out}, lambda x: x NOT IN {_in(stop)})" if stop else out
 
 
+def estimate(t: str) -> str:
+    return f"(CASE WHEN {words(t)} = 0 THEN 0 ELSE greatest(1, floor({words(t)} * 1.35)::BIGINT + 1) END)"
+
+
 _SAMPLE_ROWS = ", ".join(f"({i}, '{t.replace(chr(39), chr(39) * 2)}')" for i, t in SAMPLES)
 PROMPTS = f"prompts AS (SELECT doc_id, text AS prompt FROM documents UNION ALL SELECT * FROM (VALUES {_SAMPLE_ROWS}) v(doc_id, prompt))"
 FIRST = f"fut AS (SELECT conv_id, coalesce(arg_min(t, turn) FILTER (WHERE r = 'user' AND t <> ''), '') AS prompt FROM (SELECT conv_id, turn, {ROLE} AS r, {STRIP} AS t FROM conversations) GROUP BY conv_id)"
@@ -115,12 +119,17 @@ RUNS = f"runs AS (SELECT source AS model, doc_id, text, {score('text')} AS score
 _DIST = " UNION ALL ".join(f"SELECT '{c}' AS kind, coalesce(nullif(trim({c}), ''), 'Unknown') AS key, count(*) AS n FROM ann GROUP BY ALL" for c in ("domain", "difficulty", "specificity", "family"))
 _LABEL_ITEMS = ", ".join(_quote(x) for x in T.CHECKLIST)
 
+def nontask(source: str) -> str:
+    """doc_id, is_task of source(doc_id, prompt)."""
+    bare = rf"trim(regexp_replace(lower({collapse('prompt')}), '[^\p{{L}}\p{{N}}_\s'']', '', 'g'))"
+    return f"SELECT doc_id, CASE WHEN coalesce(prompt, '') = '' OR p IN {_in(T.ACKS)} OR regexp_matches(p, '{T.PING}') THEN 0 ELSE 1 END AS is_task FROM (SELECT *, {bare} AS p FROM {source})"
+
+
 ORACLES: dict[str, str] = {
     "first_user_text": f"WITH {FIRST} SELECT conv_id, prompt AS first_user_text FROM fut",
     "conversation_prompts": f"WITH r AS (SELECT *, {ROLE} AS r FROM conversations), c AS (SELECT *, coalesce(max(CASE WHEN r = 'user' THEN turn END) OVER (PARTITION BY conv_id), min(turn) OVER (PARTITION BY conv_id)) AS last FROM r) SELECT conv_id, string_agg(upper(r) || ': ' || text, chr(10) ORDER BY turn) AS prompt FROM c WHERE turn <= last GROUP BY conv_id",
     "role_normalised_counts": f"SELECT {ROLE} AS role, count(*) AS n FROM conversations WHERE {STRIP} <> '' GROUP BY 1",
-    "nontask_filter": rf"""WITH {PROMPTS}, n AS (SELECT *, trim(regexp_replace(lower({collapse('prompt')}), '[^\p{{L}}\p{{N}}_\s'']', '', 'g')) AS p FROM prompts)
-SELECT doc_id, CASE WHEN coalesce(prompt, '') = '' OR p IN {_in(T.ACKS)} OR regexp_matches(p, '{T.PING}') THEN 0 ELSE 1 END AS is_task FROM n""",
+    "nontask_filter": f"WITH {PROMPTS} {nontask('prompts')}",
     "text_annotations": f"WITH {PROMPTS}, {annotated('prompts', 'doc_id')} SELECT doc_id, label, family, domain, difficulty, specificity FROM ann",
     "task_class_counts": f"WITH {FIRST}, {annotated('fut', 'conv_id')} SELECT domain, difficulty, count(*) AS n FROM ann WHERE prompt <> '' GROUP BY ALL",
     "token_signature_groups": f"WITH {SIG} SELECT * FROM sig",
@@ -157,9 +166,10 @@ SELECT doc_id, generate_subscripts(items, 1)::BIGINT AS pos, unnest(items) AS it
     "run_details": f"WITH {RUNS} SELECT doc_id, model, CASE WHEN {collapse('text')} = '' THEN '—' WHEN length({collapse('text')}) <= 140 THEN {collapse('text')} ELSE rtrim(substr({collapse('text')}, 1, 139)) || '…' END AS preview, score::VARCHAR AS shown, CASE WHEN score >= 8 THEN 'high' WHEN score >= 4 THEN 'mid' ELSE 'low' END AS tier, quality::BIGINT AS quality FROM runs LEFT JOIN labels USING (doc_id)",
     "cost_ledger": f"""WITH pr AS (SELECT * FROM (VALUES {_PRICE_ROWS}) v(model, pi, po)), c AS (SELECT {ROLE} AS phase, CASE WHEN {ROLE} = 'user' THEN 'gpt-5' ELSE 'claude-opus-4-8' END AS model, {TOKENS} AS i FROM conversations)
 SELECT phase, model, sum(i)::BIGINT AS input_tokens, sum(2 * i)::BIGINT AS output_tokens, round(sum(i / 1000 * pi + 2 * i / 1000 * po), 6) AS cost_usd FROM c JOIN pr USING (model) GROUP BY ALL""",
-    "price_quotes": """SELECT * FROM (VALUES ('openai', 'gpt-5-5', 'normalized', 'builtin', 'gpt-5.5', 0.005::DOUBLE, 0.03::DOUBLE), ('anthropic', 'claude-opus-4-8', 'exact', 'builtin', 'claude-opus-4-8', 0.005, 0.025), ('openai', 'GPT-5', 'exact', 'builtin', 'gpt-5', 0.005, 0.015),
+    "price_quotes": f"""WITH q AS (SELECT row_number() OVER () - 1 AS pos, * FROM (VALUES ('openai', 'gpt-5-5', 'normalized', 'builtin', 'gpt-5.5', 0.005::DOUBLE, 0.03::DOUBLE), ('anthropic', 'claude-opus-4-8', 'exact', 'builtin', 'claude-opus-4-8', 0.005, 0.025), ('openai', 'GPT-5', 'exact', 'builtin', 'gpt-5', 0.005, 0.015),
 ('xai', 'grok-4.9', 'rough', 'family', 'grok-4.x', 0.00125, 0.0025), ('gemini', 'gemini-3.5-flash-x', 'rough', 'family', 'gemini-3.5-flash', 0.0015, 0.009), ('openrouter', 'anthropic/claude-sonnet-4', 'exact', 'builtin', 'claude-sonnet-4', 0.003, 0.015),
-(NULL, 'nobody-1', 'unknown', 'unknown', NULL, 0.0, 0.0), ('anthropic', 'claude-opus-4-6', 'rough', 'family', 'claude-opus-4.x', 0.005, 0.025)) v(provider, model, confidence, price_source, matched, input_per_1k, output_per_1k)""",
+(NULL, 'nobody-1', 'unknown', 'unknown', NULL, 0.0, 0.0), ('anthropic', 'claude-opus-4-6', 'rough', 'family', 'claude-opus-4.x', 0.005, 0.025)) v(provider, model, confidence, price_source, matched, input_per_1k, output_per_1k)),
+c AS (SELECT doc_id % 8 AS pos, count(*) AS calls, sum({estimate('text')})::BIGINT AS input_tokens FROM documents GROUP BY ALL) SELECT q.* EXCLUDE (pos), calls, input_tokens FROM q JOIN c USING (pos)""",
     "build_estimate": f"""WITH {SIG}, t AS (SELECT count(*) AS n FROM fut), g AS (SELECT sum(ceil(c / 8.0))::BIGINT AS b FROM (SELECT count(*) AS c FROM sig GROUP BY group_id)), l AS (SELECT n, b, ceil(n / 120.0)::BIGINT * (n > 1)::BIGINT AS k, ceil(least(100, n) / 5.0)::BIGINT AS q FROM t, g)
 SELECT 'phase2-filter' AS phase, n AS calls, n * 60 AS input_tokens, n AS output_tokens FROM l UNION ALL SELECT 'phase3-embeddings', (n > 0)::BIGINT, n * 100, 0 FROM l UNION ALL SELECT 'phase4-annotate', b, b * 950, b * 650 FROM l
 UNION ALL SELECT 'phase4-canonical', k, k * 1200, k * 700 FROM l UNION ALL SELECT 'phase7-checklist', q, q * 1800, q * 700 FROM l UNION ALL SELECT 'phase7-merge', q, q * 2200, q * 650 FROM l""",
@@ -209,8 +219,13 @@ domain, CASE WHEN domain = 'Writing' AND NOT {_has(_LOW, ('email', 'essay', 'rew
     "filter_counts": f"SELECT count(*) FILTER (WHERE is_task = 1) AS kept, count(*) FILTER (WHERE is_task = 0) AS dropped FROM ({ORACLES['nontask_filter']})",
     "eval_estimate": f"WITH {EVAL} SELECT * FROM el",
     "estimate_totals": f"WITH {EVAL} SELECT round(sum(cost_usd), 6) AS cost_usd, false AS any_unknown, true AS any_approximate, '≈$' || printf('%.2f', round(sum(cost_usd), 6)) AS shown FROM el",
-    "catalog_quotes": """SELECT * FROM (VALUES ('xai', 'grok-4.9', 'exact', 'openrouter', 'x-ai/grok-4.9', 0.000002::DOUBLE * 1000, 0.000004::DOUBLE * 1000), ('openai', 'gpt-4o-mini', 'exact', 'litellm', 'gpt-4o-mini', 1.5e-7::DOUBLE * 1000, 6e-7::DOUBLE * 1000), ('openai', 'gpt-5', 'exact', 'config', 'openai/gpt-5', 0.001, 0.002),
-('azure', 'gpt-5', 'exact', 'builtin', 'gpt-5', 0.005, 0.015), ('anthropic', 'claude-opus-4.7', 'exact', 'config', 'claude-opus-4.7', 0.003, 0.004), ('x', 'half', 'unknown', 'unknown', NULL, 0.0, 0.0), ('x', 'sample_spec', 'unknown', 'unknown', NULL, 0.0, 0.0)) v(provider, model, confidence, price_source, matched, input_per_1k, output_per_1k)""",
+    "catalog_quotes": f"""WITH c AS (SELECT lang AS provider, source AS model, regexp_extract(source, '[0-9]+')::INT AS k, count(*) AS calls, sum({estimate('text')})::BIGINT AS input_tokens FROM documents GROUP BY ALL),
+j AS (SELECT *, sum(calls) OVER (PARTITION BY model) AS n FROM c),
+h AS (SELECT *, CASE WHEN model = 'src4' AND provider = 'de' THEN 'own' WHEN k % 3 > 0 THEN 'lite' WHEN provider = 'fr' AND k % 4 <> 1 THEN 'router' ELSE 'none' END AS how FROM j)
+SELECT provider, model, calls, input_tokens, CASE WHEN how = 'none' THEN 'unknown' ELSE 'exact' END AS confidence, CASE how WHEN 'own' THEN 'config' WHEN 'lite' THEN 'litellm' WHEN 'router' THEN 'openrouter' ELSE 'unknown' END AS price_source,
+CASE how WHEN 'own' THEN 'de/src4' WHEN 'lite' THEN model WHEN 'router' THEN 'fr/' || model END AS matched,
+CASE how WHEN 'own' THEN 0.001 WHEN 'lite' THEN (n || 'e-7')::DOUBLE * 1000 WHEN 'router' THEN (n || 'e-6')::DOUBLE * 1000 ELSE 0 END AS input_per_1k,
+CASE how WHEN 'own' THEN 0.002 WHEN 'lite' THEN (k || 'e-7')::DOUBLE * 1000 WHEN 'router' THEN (k || 'e-6')::DOUBLE * 1000 ELSE 0 END AS output_per_1k FROM h""",
     "report_kpis": f"WITH {BOARD} SELECT count(*) AS n_runs, count(DISTINCT model) AS n_models, arg_min(model, place) AS top_model, arg_min(weighted_score, place) AS top_score, round(sum(n_tasks / 100), 6) AS total_cost, sum(n_tasks * 2)::DOUBLE AS total_wall FROM board",
     "combined_categories": f"WITH {RUNS}, m AS (SELECT model, lang AS category, round(avg(score), 4) AS s FROM runs JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY ALL) SELECT category, round(avg(s), 4) AS score, count(*) AS n_runs FROM m GROUP BY category",
 }

@@ -220,9 +220,23 @@ def cost_ledger(spark, sf_dir):
     return P.cost_ledger(calls.join(P.builtin_catalog(spark).withColumnRenamed("key", "model").drop("source"), "model"))
 
 
+def _asked(spark, sf_dir):
+    """Documents as calls of models in turn: provider, model, input_tokens."""
+    named = F.get(F.array(*[F.struct(F.lit(p).alias("provider"), F.lit(m).alias("model")) for p, m in MODELS]), F.pmod("doc_id", F.lit(len(MODELS))).cast("int"))
+    return table(spark, sf_dir, "documents").select(named.alias("m"), T.estimate_tokens(F.col("text")).cast("long").alias("input_tokens")).select("m.provider", "m.model", "input_tokens")
+
+
+def _priced(asked, catalog):
+    """Each asked model's quote, with its calls and tokens."""
+    used = asked.groupBy("provider", "model").agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"))
+    quoted = P.quotes(used.select("provider", "model"), catalog).withColumnsRenamed({"provider": "_p", "model": "_m"})
+    return used.join(quoted, F.col("provider").eqNullSafe(F.col("_p")) & (F.col("model") == F.col("_m"))).drop("_p", "_m")
+
+
 @query
 def price_quotes(spark, sf_dir):
-    return P.quotes(spark.createDataFrame(MODELS, "provider string, model string"), P.builtin_catalog(spark))
+    """What the documents' calls are priced at, model by model."""
+    return _priced(_asked(spark, sf_dir), P.builtin_catalog(spark))
 
 
 @query
@@ -372,13 +386,16 @@ def estimate_totals(spark, sf_dir):
 
 @query
 def catalog_quotes(spark, sf_dir):
-    """Quotes out of two external catalogs and overrides in the settings."""
-    router = spark.createDataFrame([('{"data": [{"id": "x-ai/grok-4.9", "pricing": {"prompt": "0.000002", "completion": "0.000004"}}, {"id": "bad", "pricing": {"prompt": "n/a", "completion": "1"}}]}',)], "value string")
-    lite = spark.createDataFrame([('{"sample_spec": {"input_cost_per_token": 1, "output_cost_per_token": 1}, "gpt-4o-mini": {"input_cost_per_token": 1.5e-7, "output_cost_per_token": 6e-7}, "half": {"input_cost_per_token": 1}}',)], "value string")
-    own = P.override_rows(spark, [("openai", "gpt-5", 1.0, 2.0), (None, "Claude-Opus-4-7", 3.0, 4.0)])
-    catalog = P.openrouter_rows(router).unionByName(P.litellm_rows(lite)).unionByName(own).unionByName(P.builtin_catalog(spark))
-    models = [("xai", "grok-4.9"), ("openai", "gpt-4o-mini"), ("openai", "gpt-5"), ("azure", "gpt-5"), ("anthropic", "claude-opus-4.7"), ("x", "half"), ("x", "sample_spec")]
-    return P.quotes(spark.createDataFrame(models, "provider string, model string"), catalog)
+    """Quotes out of two external catalogs and prices in the settings, all made of the documents: a model for each source, a provider
+    for each language. One catalog lacks a price for some sources, the other has an unreadable one for others."""
+    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("provider"), F.col("source").alias("model"), T.estimate_tokens(F.col("text")).cast("long").alias("input_tokens"))
+    sources = docs.groupBy("model").agg(F.count("*").alias("n")).withColumn("k", F.regexp_extract("model", "[0-9]+", 0).cast("int"))
+    item = F.struct(F.concat(F.lit("fr/"), "model").alias("id"), F.struct(F.when(F.col("k") % 4 == 1, "n/a").otherwise(F.concat("n", F.lit("e-6"))).alias("prompt"), F.concat("k", F.lit("e-6")).alias("completion")).alias("pricing"))
+    router = sources.groupBy((F.col("k") % 3).alias("part")).agg(F.to_json(F.struct(F.collect_list(item).alias("data"))).alias("value"))
+    costs = F.struct(F.concat("n", F.lit("e-7")).alias("input_cost_per_token"), F.when(F.col("k") % 3 > 0, F.concat("k", F.lit("e-7"))).alias("output_cost_per_token"))
+    lite = sources.groupBy((F.col("k") % 2).alias("part")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.upper("model"), costs)))).alias("value"))
+    own = P.override_rows(spark, [("de", "src4", 1.0, 2.0), (None, "Src-5", 3.0, 4.0)])
+    return _priced(docs, P.openrouter_rows(router).unionByName(P.litellm_rows(lite)).unionByName(own).unionByName(P.builtin_catalog(spark)))
 
 
 @query

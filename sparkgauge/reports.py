@@ -25,7 +25,11 @@ SORTS = {"score_high": [F.desc_nulls_last, "score"], "score_low": [F.asc_nulls_l
 def run_summaries(spark: SparkSession, root: str) -> DataFrame:
     """A row a run, best weighted score first, ties by path; with its place, its label and its judges' label. Runs of older
     forms lack some fields."""
-    rows = spark.read.schema(SUMMARY).option("multiLine", True).json(f"{root}/*/*/summary.json").withColumn("_path", F.regexp_replace("_metadata.file_path", "/summary\\.json$", ""))
+    return board(spark.read.schema(SUMMARY).option("multiLine", True).json(f"{root}/*/*/summary.json").withColumn("_path", F.regexp_replace("_metadata.file_path", "/summary\\.json$", "")))
+
+
+def board(rows: DataFrame) -> DataFrame:
+    """run_summaries out of summaries with their _path."""
     rows = display_labels(rows).withColumn("judges_label", T.judges_label(F.col("judges"), F.col("scoring_aggregate")))
     return rows.orderBy(F.coalesce("frequency_weighted_egoscore", F.lit(0.0)).desc(), "_path")
 
@@ -36,8 +40,13 @@ def details(spark: SparkSession, root: str) -> DataFrame:
     parts = {}
     for name, schema in LINES.items():
         rows = spark.read.schema(schema).json(f"{root}/*/*/{name}.jsonl").withColumn("run", F.regexp_replace("_metadata.file_path", "/[^/]+$", "")).withColumn("_line", F.monotonically_increasing_id())
-        parts[name] = last_by_id(rows, ["run", "task_id"], "_line").drop("_line")
-    summary = spark.read.schema("model string").option("multiLine", True).json(f"{root}/*/*/summary.json").withColumn("run", F.regexp_replace("_metadata.file_path", "/[^/]+$", ""))
+        parts[name] = rows
+    return details_of(parts, spark.read.schema("model string").option("multiLine", True).json(f"{root}/*/*/summary.json").withColumn("run", F.regexp_replace("_metadata.file_path", "/[^/]+$", "")))
+
+
+def details_of(lines: dict[str, DataFrame], summary: DataFrame) -> DataFrame:
+    """`details` out of the runs' lines, each with its run and its place among them (_line), and (run, model) of the ended ones."""
+    parts = {name: last_by_id(rows, ["run", "task_id"], "_line").drop("_line") for name, rows in lines.items()}
     rows = parts["tasks"].join(summary, "run")
     for name in ("responses", "scores", "rationales"):
         rows = rows.join(parts[name], ["run", "task_id"], "left")
