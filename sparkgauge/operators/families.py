@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -206,7 +205,7 @@ def best_of_duplicates(rows: DataFrame, key: str, seed: int) -> DataFrame:
 
 def sample(rows: DataFrame, key: str, target_n: int, cap: int = 5, long_tail: float = 0.20, seed: int = 42) -> DataFrame:
     """The family-aware sample of rows (key, family_id, family_size, family_importance, specificity, difficulty,
-    dup_group, dup_size). Three passes as top-k lists: one row of each recurring family by importance; the long
+    dup_group, dup_size). Three passes: one row of each recurring family by importance; the long
     tail's quota from families of at most two; then the rest by how much of the family is in, up to `cap`."""
     rows = cut(rows, "tasks")  # read several times below
     target = min(target_n, rows.count())
@@ -215,15 +214,16 @@ def sample(rows: DataFrame, key: str, target_n: int, cap: int = 5, long_tail: fl
     imp, size = F.coalesce("family_importance", F.lit(0.0)), F.col("family_size")
     fam = best.groupBy("family_id").agg(F.count("*").alias("n"), F.max(imp).alias("imp"), F.max(F.coalesce(size, F.lit(1))).alias("smax"), F.min(F.coalesce(size, F.lit(1))).alias("smin"), F.max(size).alias("known"))
     fam = cut(fam.withColumn("osize", F.coalesce("known", "n")), "families")
-    # At most `target` families are taken in each pass, so top-k lists do; they come to the driver as at most that many ids.
-    first_pass = [r.family_id for r in fam.where(F.col("smax") >= 2).orderBy(F.desc("imp"), F.desc("osize"), "family_id").limit(target if cap > 0 else 0).collect()]
-    once = F.col("family_id").isin(first_pass) if first_pass else F.lit(False)
-    fit = fam.withColumn("a", once.cast("int")).where((F.col("smax") <= 2) & (F.col("a") < cap) & (F.col("n") > F.col("a")))
-    second = [r.family_id for r in fit.orderBy("smin", F.desc("imp"), "family_id").limit(max(0, min(quota, target - len(first_pass)))).collect()]
-    taken = Counter(first_pass + second)
-    left_over = target - len(first_pass) - len(second)
-    chosen = rows.sparkSession.createDataFrame(list(taken.items()), "of string, ab int")
-    fam = fam.join(F.broadcast(chosen), F.col("family_id") == F.col("of"), "left").select("family_id", F.coalesce("ab", F.lit(0)).alias("ab"))
+    # Each pass takes families by place over ranges of its order, so a target may be of any size.
+    taken = lambda rows, order, n: cut(row_numbers(rows, order, name="_place").where(F.col("_place") < n).select("family_id"), "pass")
+    first_pass = taken(fam.where(F.col("smax") >= 2).select("family_id", "imp", "osize"), [F.desc("imp"), F.desc("osize"), F.col("family_id")], target if cap > 0 else 0)
+    n_first = first_pass.count()
+    once = fam.join(first_pass.select(F.col("family_id").alias("of"), F.lit(1).alias("a")), F.col("family_id") == F.col("of"), "left").withColumn("a", F.coalesce("a", F.lit(0)))
+    fit = once.where((F.col("smax") <= 2) & (F.col("a") < cap) & (F.col("n") > F.col("a"))).select("family_id", "smin", "imp")
+    second = taken(fit, [F.col("smin"), F.desc("imp"), F.col("family_id")], max(0, min(quota, target - n_first)))
+    left_over = target - n_first - second.count()
+    chosen = first_pass.unionByName(second).groupBy(F.col("family_id").alias("of")).agg(F.count("*").alias("ab"))
+    fam = fam.join(chosen, F.col("family_id") == F.col("of"), "left").select("family_id", F.coalesce("ab", F.lit(0)).alias("ab"))
     # A family gives at most two rows by rank (the passes above), and to the fill at most cap others by importance: its first few by
     # both orders are all that can be taken.
     ranks = rank_columns(key, seed)
@@ -233,5 +233,5 @@ def sample(rows: DataFrame, key: str, target_n: int, cap: int = 5, long_tail: fl
     first = j.where("rn <= ab").select(key, "family_id")
     left = j.where("rn > ab").withColumn("rest", F.row_number().over(Window.partitionBy("family_id").orderBy(imp.desc(), *ranks))).where(F.col("rest") <= cap - F.col("ab"))
     order = [F.col("ab"), imp.desc(), *ranks]
-    fill = left.orderBy(*order).limit(max(left_over, 0))
+    fill = row_numbers(left.select(key, "family_id", "ab", "family_importance", "specificity", "difficulty", "dup_size"), [*order, F.col(key)], name="_place").where(F.col("_place") < max(left_over, 0))
     return first.unionByName(fill.select(key, "family_id"))

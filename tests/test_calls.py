@@ -262,3 +262,15 @@ def test_a_stopped_evaluation_goes_on(spark, tmp_path, server, monkeypatch):
     assert ws.calls().where(F.col("scope").startswith("p_cand") | F.col("scope").contains("cand")).count() == 15
     build.evaluate(ws, settings, candidate, judges)  # a finished run isn't gone on with
     assert len(server.asked) - before == 30 and len(list(ws.root.glob("runs/*/*/summary.json"))) == 2
+
+
+def test_catalog_files_price_calls(spark, tmp_path):
+    (tmp_path / "router.json").write_text('{"data": [{"id": "p/m", "pricing": {"prompt": "0.000002", "completion": "0.000004"}}]}')
+    (tmp_path / "lite.json").write_text('{"other": {"input_cost_per_token": 1e-6, "output_cost_per_token": 3e-6}}')
+    base = {"providers": {"p": {"api_key_env": "X"}, "free": {}}, "judges": {"default": {"provider": "p", "model": "m"}}}
+    s = S.parse(base | {"pricing": {"catalogs": [{"form": "openrouter", "path": str(tmp_path / "router.json")}, {"form": "litellm", "path": str(tmp_path / "lite.json")}], "models": [{"provider": "p", "model": "own", "input_per_1m": 1, "output_per_1m": 2}]}})
+    got = build.call_prices(spark, s, [S.Model("p", "m"), S.Model("p", "other"), S.Model("p", "own"), S.Model("free", "m"), S.Model("p", "who")])
+    assert got == {("p", "m"): (0.002, 0.004), ("p", "other"): (0.001, 0.003), ("p", "own"): (0.001, 0.002), ("p", "who"): (0.0, 0.0)}
+    for bad in ({"form": "x", "path": "y"}, {"form": "litellm"}):
+        with pytest.raises(S.SettingsError):
+            S.parse(base | {"pricing": {"catalogs": [bad]}})
