@@ -16,7 +16,8 @@
 5. Links give components by hooking roots (graph.py).
 
 Null and blank texts: no shingles, linked with nothing. Under five words: the whole sequence is the one shingle. Ties
-and repeated rows: rows with the same doc_id are of one class or linked by it; every row is returned. Rows without
+and repeated rows: a row's component is that of its text, so rows of one doc_id with different texts may be in different
+ones (each named by its smallest doc_id); every row is returned. Rows without
 doc_id: linked with nothing, component_id null; the stage keeps them. Empty table: no rows. Long texts: whole. Other columns of
 the table are carried through the stage unread, whatever their names.
 """
@@ -353,7 +354,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
         return rows
 
-    # Rows with one doc_id are one document to their links.
+    # A row belongs to its text's component: a doc_id that two texts share doesn't join their components.
     named = _placed(docs).select("doc_id", F.col("n").alias("n_shingles"), F.least(F.coalesce("component", "doc_id"), "doc_id").alias("component_id"))
     return named.unionByName(map_texts(docs.where("doc_id IS NULL"), start, "doc_id long,n_shingles long,component_id long"))
 

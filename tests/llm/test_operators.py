@@ -633,3 +633,9 @@ def test_quality_stage_keeps_columns(spark):
     model = (np.zeros(3 * line_quality.N_OWN), np.ones(3 * line_quality.N_OWN), np.zeros((2, 2)))
     out = line_quality.keep_good(docs, model)
     assert out.columns == docs.columns and out.where(F.col("label") == "x").count() == 2
+
+
+def test_rows_of_one_id_go_with_their_texts(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen fourteen"
+    rows = ngram_join.near_duplicates(table(spark, [a, a, b, b], [1, 5, 5, 7])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(1, 1), (5, 1), (5, 5), (7, 5)]
