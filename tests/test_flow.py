@@ -82,15 +82,17 @@ def test_annotations_of_failing_models(spark):
     assert len(got) == 10 and not any(r.ok for r in got) and {r.family for r in got} == {"Translate language support"}
 
 
-def test_density_finds_blobs():
+def test_density_finds_blobs(spark):
     rnd = np.random.default_rng(3)
     x = np.concatenate([rnd.normal(c, 0.05, (40, 2)) for c in ((0, 0), (4, 0), (0, 4))] + [rnd.uniform(-10, 14, (12, 2))])
-    raw = density.clusters(x, 5)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    raw = np.array([r.cluster for r in density.clusters(rows, "k", "v", 5).orderBy("k").collect()])
     parts = [set(raw[i * 40 : (i + 1) * 40].tolist()) - {-1} for i in range(3)]
     assert all(len(p) == 1 for p in parts) and len(set.union(*parts)) == 3
-    edges = density.spanning_tree(x[:30], 4)
-    assert len(edges) == 29 and (np.diff(edges[:, 2]) >= 0).all()
-    assert density.numbered([7, -1, 2, 7, -1, -1], list("abcdbe")) == [0, 2, 1, 0, 2, 3]
+    a, b, d = density.local_tree(np.arange(30), x[:30], np.zeros(30, np.int64), 1e-9)
+    assert len(d) == 29 and len(set(a.tolist()) | set(b.tolist())) == 30 and (a < b).all()
+    raw = spark.createDataFrame(list(zip(range(6), [7, -1, 2, 7, -1, -1], "abcdbe", strict=True)), "k long, cluster int, signature string")
+    assert [r.group_id for r in density.numbered(raw, "k").orderBy("k").collect()] == [0, 2, 1, 0, 2, 3]
 
 
 def export(folder):
