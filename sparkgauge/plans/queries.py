@@ -105,7 +105,7 @@ def hashed_embeddings(spark, sf_dir):
 
 @query
 def near_duplicate_pairs(spark, sf_dir):
-    vecs = V.embedded(table(spark, sf_dir, "documents"), "doc_id", "text")
+    vecs = cut(V.embedded(table(spark, sf_dir, "documents"), "doc_id", "text"), "vectors")  # read several times
     return V.cosine_pairs(vecs, "doc_id", "vec", 0.90).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
