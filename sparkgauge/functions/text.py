@@ -74,8 +74,11 @@ def title_case(word: Column) -> Column:
 
 
 def label(text: Column) -> Column:
-    word = F.get(F.filter(long_tokens(text), lambda x: ~x.isin(*LABEL_STOP)), F.lit(0))
-    return F.when(word.isNull(), "General").otherwise(title_case(F.replace(word, F.lit("_"), F.lit(" "))))
+    """The first long token that isn't a stop word, or General; the search ends at it, whatever the text's length."""
+    part = "[a-zA-Z0-9_+-]"
+    first = f"(?<!{part})[0-9_+-]*(?!(?i:{'|'.join(LABEL_STOP)})(?!{part}))([a-zA-Z]{part}{{2,}})"
+    word = F.lower(F.regexp_extract(text, first, 1))
+    return F.when(F.coalesce(word, F.lit("")) == "", "General").otherwise(title_case(F.replace(word, F.lit("_"), F.lit(" "))))
 
 
 def family_label(text: Column, of: Column, fallback: bool = False) -> Column:
@@ -153,11 +156,18 @@ def parse_score(raw: Column) -> Column:
 def skills(raw: Column, text: Column) -> Column:
     """Distinct skills of a comma text (first spelling, 80 characters, at most eight); null: two that the text suggests."""
     given = F.when(raw.isNull(), F.array(F.concat(F.lower(label(text)), F.lit(" reasoning")), F.lit("instruction following"))).otherwise(F.split(raw, ","))
-    cleaned = F.filter(F.transform(given, clean_text), lambda x: x != "")
-    lows = F.transform(cleaned, F.lower)
-    once = F.filter(cleaned, lambda x, i: F.array_position(lows, F.lower(x)) == i + 1)
-    out = F.transform(F.slice(once, 1, 8), lambda x: F.substring(x, 1, 80))
-    return F.when(F.size(out) == 0, F.array(F.lit("instruction following"))).otherwise(out)
+
+    def add(found, x):
+        known = F.exists(found, lambda y: F.lower(y) == F.lower(x))
+        return F.when((x == "") | known, found).otherwise(F.concat(found, F.array(x)))
+
+    def step(found, x):  # the inner fold binds the cleaned text, so that it is made once
+        return F.when(F.size(found) >= 8, found).otherwise(F.aggregate(F.array(clean_text(x)), found, add))
+
+    def shown(found):
+        return F.when(F.size(found) == 0, F.array(F.lit("instruction following"))).otherwise(F.transform(found, lambda x: F.substring(x, 1, 80)))
+
+    return F.aggregate(given, F.array().cast("array<string>"), step, shown)
 
 
 def category_description(of_domain: Column, of_skills: Column) -> Column:
