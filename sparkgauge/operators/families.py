@@ -93,6 +93,7 @@ def top_values(rows: DataFrame, by: str, value: str, order: str, limit: int) ->
 
 def label_payload(annotated: DataFrame, key: str) -> DataFrame:
     """label, count, domains, skills (a model's input for the canonical map): the three most frequent domains and six skills."""
+    annotated = cut(annotated.select(key, "family", "domain", "skills"), "labelled")  # read three times below, made of whole texts
     counts = annotated.groupBy(F.col("family").alias("label")).agg(F.count("*").alias("count"))
     domains = top_values(annotated, "family", "domain", key, 3).select(F.col("family").alias("l1"), F.col("values").alias("domains"))
     one = annotated.select(key, "family", F.posexplode("skills").alias("i", "skill")).withColumn("at", F.struct(key, "i"))
