@@ -123,7 +123,8 @@ def vector_neighbours(spark, sf_dir):
 def family_importance(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     groups = V.near_duplicate_groups(docs, "doc_id", "text").select("doc_id", F.col("root").alias("dup_group"))
-    return A.family_importance(A.annotate(docs.select("doc_id", "text"), "text").join(groups, "doc_id"), "doc_id", "dup_group")
+    rows = cut(A.annotate(docs.select("doc_id", "text"), "text").drop("text").join(groups, "doc_id"), "annotated")  # read twice
+    return A.family_importance(rows, "doc_id", "dup_group")
 
 
 @query
