@@ -47,6 +47,12 @@ def word_count(text: Column) -> Column:
     return F.when(c == "", 0).otherwise(F.size(F.split(c, " "))).cast("long")
 
 
+def has_words(text: Column, least: int) -> Column:
+    """Whether word_count is `least` or more; the search ends at that word, whatever the text's length."""
+    space, word = r"[\s\x1c-\x1f]", r"[^\s\x1c-\x1f]"
+    return F.coalesce(text, F.lit("")).rlike(f"(?U)^{space}*+(?:{word}++{space}++){{{least - 1}}}{word}")
+
+
 def obvious_nontask(text: Column) -> Column:
     plain = F.trim(F.regexp_replace(F.lower(collapse(text)), r"[^\p{L}\p{N}_\s']", ""))
     return (F.coalesce(text, F.lit("")) == "") | plain.isin(*ACKS) | plain.rlike(PING)
@@ -99,12 +105,11 @@ def domain(text: Column, offline: bool = False) -> Column:
 
 
 def difficulty(text: Column) -> Column:
-    n = word_count(text)
-    return F.when(n < 8, "easy").when((n > 60) | (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) >= 2), "hard").otherwise("medium")
+    return F.when(~has_words(text, 8), "easy").when(has_words(text, 61) | text.rlike(r"\n[^\n]*+\n"), "hard").otherwise("medium")
 
 
 def specificity(text: Column) -> Column:
-    return F.when(any_of(F.lower(text), NARROW_TERMS), "narrow").when(word_count(text) < 5, "one_off").otherwise("generalizable")
+    return F.when(any_of(F.lower(text), NARROW_TERMS), "narrow").when(~has_words(text, 5), "one_off").otherwise("generalizable")
 
 
 def clean_text(value: Column) -> Column:

@@ -177,3 +177,16 @@ def test_small_text_functions(spark):
     df = spark.createDataFrame([("9", "NOTHING"), ("7.9", "yes"), (None, "x" * 200)], "s string, t string")
     got = df.select(T.parse_score(F.col("s")).alias("p"), T.keeps_yes_no(F.col("t")).alias("k"), T.preview(F.col("t")).alias("v")).collect()
     assert [r.p for r in got] == [9, 5, 5] and [r.k for r in got] == [False, True, True] and len(got[2].v) == 140
+
+
+def test_classes_end_at_the_words_they_need(spark):
+    """Difficulty and specificity as whole counts of words give them, without counting whole texts."""
+    spaces = [" ", "  ", "\n", "\t\u00a0", "\u2003", "\x1c", "\x1f\x0b", "\u0085"]
+    texts = [None, "", " ", "\n\n", "a\nb\nc", "one\r\ntwo"]
+    texts += [s * lead + s.join(["w\u00e9-1"] * n) + s * trail for s in spaces for n in (1, 4, 5, 7, 8, 60, 61) for lead, trail in ((0, 0), (1, 1))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    t, n = F.col("t"), T.word_count(F.col("t"))
+    hard = (n > 60) | (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) >= 2)
+    got = rows.select(T.difficulty(t).alias("d"), T.specificity(t).alias("s"), F.when(n < 8, "easy").when(hard, "hard").otherwise("medium").alias("dd"), F.when(n < 5, "one_off").otherwise("generalizable").alias("ss"))
+    assert "split(" not in rows.select(T.difficulty(t), T.specificity(t))._jdf.queryExecution().toString()
+    assert all(r.d == r.dd and r.s == r.ss for r in got.collect())
