@@ -7,9 +7,13 @@ clusters with the most excess of mass; never the cluster of all points.
 All of it is joins, counts and bounded groups. Equal vectors are one point with a weight. Distances are whole multiples of a
 unit (10^-9 for unit vectors), so that ties are ties; edges are in order of distance, then of their ends' first members.
 
-1. Core distances by counting: each round, blocks of points meet in pairs and count distances into 2048 bins of the range that
-   a point has left; three rounds leave one value. Nothing of size `least` is kept.
-2. Each pair of blocks finds the spanning tree of its own points. An edge that is the longest of a cycle there is so in the whole
+Points are packed in blocks, once, as files of the shared folder; tasks read from there what they compare, so vectors are neither
+shuffled nor copied.
+
+1. Core distances by counting: a task goes through all blocks for a block of its own and counts distances into 2048 bins of the range
+   that a point has left; three rounds leave one value. Nothing of size `least` is kept. Products in single precision place most pairs;
+   those too near to an edge of a bin are measured.
+2. Each pair of spans of blocks, about the root of points / SPREAD spans, finds the spanning tree of its own points. An edge that is the longest of a cycle there is so in the whole
    graph, so the trees' edges together contain the whole tree.
 3. What condensing needs of the dendrogram is, for each point, the edge at which its part first has `least` points, and the edges that join two
    such parts. Edges in order are halved again and again: the left half is contracted (graph.py) to give the right half its nodes,
@@ -24,9 +28,12 @@ Steps 1 and 2 compare all distinct vectors in blocks: the work is quadratic in t
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +43,8 @@ from ..storage import cut, discard
 from . import vectors as V
 
 BLOCK, CHUNK = 2048, 1 << 16
+#: Spans are about the root of points / SPREAD, so the edges that they leave grow with the power 1.5 of the points; pairs of a product, or measured, at a time.
+SPREAD, PRODUCT = 500, 1 << 19
 #: Distances are under BINS ** ROUNDS units.
 BINS, ROUNDS = 2048, 3
 NOISE = -1
@@ -61,53 +70,99 @@ def points(rows: DataFrame, key: str, vec: str) -> DataFrame:
     return cut(row_numbers(distinct, ["first"], name="id"), "points")
 
 
-def _met(rows: DataFrame, blocks: int, twice: bool) -> DataFrame:
-    """Rows copied to all pairs i <= j of their block with others; `twice`: with itself, too, though it meets others."""
-    home = F.pmod("id", F.lit(blocks)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    met = rows.withColumn("home", home).withColumn("other", other)
-    if blocks > 1 and not twice:
-        met = met.where("home <> other")
-    return met.withColumn("i", F.least("home", "other")).withColumn("j", F.greatest("home", "other")).drop("other")
-
-
-def _counted(unit: float, width: int):
-    """Each point's distances to the other block by bin: (id, bin, n)."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = frame.i.iloc[0], frame.j.iloc[0]
-        sides = [(frame[frame.home == i], frame[frame.home == j])] + ([(frame[frame.home == j], frame[frame.home == i])] if i != j else [])
-        out = []
-        for mine, theirs in sides:
-            if mine.empty or theirs.empty:
-                continue
-            to, w = np.stack(theirs.x.to_list()), theirs.weight.to_numpy()
-            for who, x, low in zip(mine.id, mine.x, mine.low, strict=True):
-                bins = (distances(to, x, unit) - low) // width
-                ok = (bins >= 0) & (bins < BINS)
-                many = np.bincount(bins[ok], w[ok], BINS).astype(np.int64)
-                hit = np.flatnonzero(many)
-                out.append((np.full(len(hit), who), hit, many[hit]))
-        return pd.DataFrame({c: np.concatenate([o[p] for o in out]) if out else [] for p, c in enumerate(("id", "bin", "n"))}).astype("int64")
-
-    return run
+class Packed:
+    """Points (id, x and more numbers) in files by block of ids; tasks read blocks by number."""
+
+    def __init__(self, pts: DataFrame, block: int, *more: str) -> None:
+        self.n, self.block, self.more = pts.count(), block, more
+        self.blocks = -(-self.n // block)
+
+        def pack(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("id")
+            x = np.array(frame.x.to_list(), float)
+            return pd.DataFrame([(frame.block.iloc[0], x.shape[1], *[v.tobytes() for v in (frame.id.to_numpy(), x, *[frame[c].to_numpy() for c in more])])], columns=["block", "width", *names])
+
+        names = ["id", "x", *more]
+        by = pts.select((F.col("id") / block).cast("int").alias("block"), "id", "x", *[F.col(c).cast("long").alias(c) for c in more])
+        self.table = cut(by.groupBy("block").applyInPandas(pack, "block int, width int, " + ", ".join(f"{c} binary" for c in names)), "blocks", ["block"])
+        self.path = self.table._sparkgauge_path
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
+
+    def read(self, numbers) -> list[np.ndarray]:
+        """id, x and the other numbers of blocks together."""
+        fs, root = arrow_fs.FileSystem.from_uri(self.path)
+        parts = [r for k in numbers for r in pq.read_table(f"{root}/block={k}", filesystem=fs, partitioning=None).to_pylist()]
+        out = [np.frombuffer(b"".join(p[c] for p in parts), np.int64) for c in ("id", *self.more)]
+        x = np.concatenate([np.frombuffer(p["x"]).reshape(-1, p["width"]) for p in parts])
+        return [out[0], x, *out[1:]]
+
+
+def _measured(many: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, low: np.ndarray, p: np.ndarray, q: np.ndarray, unit: float, width: int) -> None:
+    """Count pairs (place in x, place in y) by their distances."""
+    for i in range(0, len(p), PRODUCT // 8):
+        a, b = p[i : i + PRODUCT // 8], q[i : i + PRODUCT // 8]
+        bins = (distances(y[b], x[a], unit) - low[a]) // width
+        ok = (bins >= 0) & (bins < BINS)
+        np.add.at(many, (a[ok], bins[ok]), w[b[ok]])
+
+
+def counted(many: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, low: np.ndarray, unit: float, width: int) -> None:
+    """Add to many (rows of x by bin) the weights of y's rows by distance: whole bins of `width` units from low on.
+
+    A product in single precision, with the squared lengths as two more coordinates, is a squared distance up to `off`, in
+    lengths of the longest vector."""
+    longest = math.sqrt(max((x * x).sum(1).max(), (y * y).sum(1).max())) or 1.0
+    u, v, its = x / longest, y / longest, unit / longest
+    off = np.float32((x.shape[1] + 8) * 2.0**-21)
+    left = np.concatenate([u, (u * u).sum(1, keepdims=True), np.ones((len(u), 1))], 1).astype(np.float32)
+    right = np.concatenate([-2 * v, np.ones((len(v), 1)), (v * v).sum(1, keepdims=True)], 1).astype(np.float32).T
+    first, step, ones = width == BINS ** (ROUNDS - 1), max(1, PRODUCT // len(y)), bool((w == 1).all())
+    for at in range(0, len(x), step):
+        square = left[at : at + step] @ right
+        rows = len(square)
+        if first:
+            scale = np.float32(1 / (its * width))
+            nearest = np.maximum(np.sqrt(np.maximum(square - off, 0)) * scale - np.float32(1e-3), 0).astype(np.int32)
+            farthest = (np.sqrt(np.maximum(square, 0) + off) * scale + np.float32(1e-3)).astype(np.int32)
+            open_ = (nearest != farthest) | (farthest >= BINS)
+            nearest += np.arange(rows, dtype=np.int32)[:, None] * BINS
+            nearest[open_] = rows * BINS
+            found = np.bincount(nearest.ravel(), None if ones else np.broadcast_to(w, square.shape).ravel(), rows * BINS + 1)[:-1]
+            many[at : at + step] += found.reshape(rows, BINS).astype(np.int64)
+        else:
+            some = low[at : at + step, None]
+            nearest, farthest = (np.maximum(some - 1, 0) * its) ** 2, ((some + BINS * width + 1) * its) ** 2
+            open_ = (square >= (nearest * (1 - 1e-6)).astype(np.float32) - off) & (square <= (farthest * (1 + 1e-6)).astype(np.float32) + off)
+        p, q = np.nonzero(open_)
+        _measured(many, x, y, w, low, p + at, q, unit, width)
 
 
 def core_distances(pts: DataFrame, least: int, unit: float, block: int = BLOCK) -> DataFrame:
     """id, x, weight, core: the distance within which `least` other rows lie (all, if there are fewer)."""
-    n, total = pts.agg(F.count("*"), F.sum("weight")).first()
-    need, blocks = min(least + 1, total), -(-n // block)
-    at = cut(pts.select("id", "x", "weight", F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("below")), "core")
-    for k in reversed(range(ROUNDS)):
-        width = BINS**k
-        counts = _met(at.select("id", "x", "weight", "low"), blocks, True).groupBy("i", "j").applyInPandas(_counted(unit, width), "id long, bin long, n long").groupBy("id", "bin").agg(F.sum("n").alias("n"))
-        up_to = F.expr("sum(n) OVER (PARTITION BY id ORDER BY bin)")
-        told = counts.join(at.select(F.col("id").alias("of"), "below"), F.col("id") == F.col("of")).withColumn("up_to", F.col("below") + up_to)
-        found = told.groupBy(F.col("id").alias("of")).agg(F.min(F.when(F.col("up_to") >= need, F.col("bin"))).alias("bin"), F.max(F.when(F.col("up_to") < need, F.col("up_to"))).alias("passed"))
-        moved = cut(at.join(found, F.col("id") == F.col("of")).select("id", "x", "weight", (F.col("low") + F.col("bin") * width).alias("low"), F.coalesce("passed", "below").alias("below")), "core")
-        discard(at)
-        at = moved
-    return at.select("id", "x", "weight", F.col("low").alias("core"))
+    need = min(least + 1, pts.agg(F.sum("weight")).first()[0])
+    packed = Packed(pts, block, "weight")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for k in (k for frame in frames for k in frame.id):
+            ids, x, _ = packed.read([k])
+            low, below = np.zeros((2, len(ids)), np.int64)
+            for width in (BINS**r for r in reversed(range(ROUNDS))):
+                many = np.zeros((len(ids), BINS), np.int64)
+                for j in range(packed.blocks):
+                    _, y, w = packed.read([j])
+                    counted(many, x, y, w, low, unit, width)
+                up_to = below[:, None] + many.cumsum(1)
+                at = (up_to >= need).argmax(1)
+                below = np.where(at > 0, up_to[np.arange(len(at)), at - 1], below)
+                low = low + at * width
+            yield pd.DataFrame({"of": ids, "core": low})
+
+    spark = pts.sparkSession
+    found = cut(spark.range(0, packed.blocks, 1, packed.blocks).mapInPandas(run, "of long, core long"), "core")
+    discard(packed.table)
+    return pts.join(found, F.col("id") == F.col("of")).select("id", "x", "weight", "core")
 
 
 def local_tree(ids: np.ndarray, x: np.ndarray, core: np.ndarray, unit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,14 +185,20 @@ def local_tree(ids: np.ndarray, x: np.ndarray, core: np.ndarray, unit: float) ->
 
 def tree_edges(cored: DataFrame, unit: float, block: int = BLOCK) -> DataFrame:
     """a, b, d: edges that contain the minimum spanning tree."""
-    n = cored.count()
-
-    def tree(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("id")
-        a, b, d = local_tree(frame.id.to_numpy(), np.stack(frame.x.to_list()), frame.core.to_numpy(), unit)
-        return pd.DataFrame({"a": a, "b": b, "d": d}).astype("int64")
-
-    return _met(cored, -(-n // block), False).groupBy("i", "j").applyInPandas(tree, "a long, b long, d long").distinct()
+    packed = Packed(cored, block, "core")
+    spans = max(1, min(packed.blocks, math.ceil(math.sqrt(packed.n / SPREAD))))
+    edge = [packed.blocks * i // spans for i in range(spans + 1)]
+
+    def tree(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for i, j in zip(frame.i, frame.j, strict=True):
+                a, b, d = local_tree(*packed.read([*range(edge[i], edge[i + 1]), *range(edge[j], edge[j + 1])]), unit)
+                yield pd.DataFrame({"a": a, "b": b, "d": d}).astype("int64")
+
+    pairs = cored.sparkSession.range(spans * spans).select((F.col("id") / spans).cast("int").alias("i"), (F.col("id") % spans).cast("int").alias("j")).where("i < j" if spans > 1 else "i = j")
+    found = cut(pairs.repartition(spans * spans // 2 + 1).mapInPandas(tree, "a long, b long, d long"), "trees")
+    discard(packed.table)
+    return found.distinct()
 
 
 FOUND = "kind string, id long, rank long, d long, leaf long, to long, other_leaf long, other_to long"

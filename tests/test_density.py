@@ -118,3 +118,32 @@ def test_few_rows_and_one_cluster_go_by_signature(spark):
     assert got.where("group_id = 0").count() == 4 and got.agg(F.max("group_id")).first()[0] == 1
     lost = spark.createDataFrame([(i, "alpha", None) for i in range(4)], "k long, t string, v array<double>")
     assert {r.group_id for r in density.density_groups(lost, "k", "t", "v").collect()} == {0}
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-6, 3e20])
+def test_counts_are_those_of_measured_distances(scale):
+    rnd = np.random.default_rng(5)
+    x, y = rnd.normal(size=(2, 300, 8))
+    y[:40], y[40:80] = x[:40], x[:40] + 1e-7  # equal and nearly equal ones
+    y[80:120] = x[0] + np.eye(8)[0] * np.arange(40)[:, None] * density.BINS**2 * 1e-9  # at edges of bins
+    x, y, w = x * scale, y * scale, rnd.integers(1, 4, 300)
+    unit = 1e-9 * max(scale, 1.0) * 4
+    d = np.array([density.distances(y, v, unit) for v in x])
+    low = np.zeros(300, np.int64)
+    for width in (density.BINS**2, density.BINS, 1):
+        got, want = np.zeros((2, 300, density.BINS), np.int64)
+        density.counted(got, x, y, w, low, unit, width)
+        bins = (d - low[:, None]) // width
+        i, j = np.nonzero((bins >= 0) & (bins < density.BINS))
+        np.add.at(want, (i, bins[i, j]), w[j])
+        assert (got == want).all()
+        low = low + want.argmax(1) * width
+
+
+def test_vectors_are_not_copied(spark):
+    """Tasks read packed blocks: neither step shuffles vectors, whatever the number of blocks."""
+    x, least = shape("blobs")
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    cored = density.core_distances(density.points(rows, "k", "v"), least, 1e-9, 10)
+    for found in (cored, density.tree_edges(cored, 1e-9, 10)):
+        assert "InPandas" not in found._jdf.queryExecution().toString()
