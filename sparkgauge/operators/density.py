@@ -10,11 +10,14 @@ unit (10^-9 for unit vectors), so that ties are ties; edges are in order of dist
 Points are packed in blocks, once, as files of the shared folder; tasks read from there what they compare, so vectors are neither
 shuffled nor copied.
 
-1. Core distances by counting: a task goes through all blocks for a block of its own and counts distances into 2048 bins of the range
-   that a point has left; three rounds leave one value. Nothing of size `least` is kept. Products in single precision place most pairs;
-   those too near to an edge of a bin are measured.
-2. Each pair of spans of blocks, about the root of points / SPREAD spans, finds the spanning tree of its own points. An edge that is the longest of a cycle there is so in the whole
-   graph, so the trees' edges together contain the whole tree.
+1. Core distances by rank: a sample of rows brackets a point's distance, one pass over all blocks counts what lies below and gathers what lies
+   within (products in single precision), and the few pairs too near to the rank that is sought are measured. A point whose bracket
+   misses, or holds too much, is counted: distances go into 2048 bins of the range that it has left, three rounds leave one value.
+2. The least edge of a point is its core distance, to the first point within it that has no greater one. These edges are in the spanning tree, and few
+   points have none: the parts that the edges make are about as many as the tree has peaks of density. Of two parts, the least edge between them
+   follows in one more pass, which leaves out pairs of one part and pairs that are no shorter than what is known.
+   For a table of one block, or more than PARTS parts, each pair of spans of blocks, about the root of points / SPREAD spans, finds
+   the spanning tree of its own points. An edge that is the longest of a cycle in a part of the graph is so in the whole, so the edges together contain the whole tree.
 3. What condensing needs of the dendrogram is, for each point, the edge at which its part first has `least` points, and the edges that join two
    such parts. Edges in order are halved again and again: the left half is contracted (graph.py) to give the right half its nodes,
    parts that stay small to the end of the left half point to their root, and the two halves are independent from then on. Halves
@@ -22,7 +25,7 @@ shuffled nor copied.
 4. Parts of `least` points are few (at most points / least begin, and as many edges join two), 50 as `density_groups` sets `least`:
    the tree of these is walked on the driver, with sums by cluster from the executors.
 
-Steps 1 and 2 compare all distinct vectors in blocks: the work is quadratic in them, memory isn't.
+Step 1 compares all distinct vectors in blocks, step 2 those of different parts: the work is quadratic in them, memory isn't.
 """
 
 from __future__ import annotations
@@ -42,7 +45,9 @@ from ..ranks import row_numbers
 from ..storage import cut, discard
 from . import vectors as V
 
-BLOCK, CHUNK = 2048, 1 << 16
+BLOCK, CHUNK = 4096, 1 << 16
+#: Rows of the sample, and how many deviations of a rank in it make a bracket's half; pairs in brackets that a task gathers at a time; most parts that are compared with each other.
+DRAWN, SURE, GATHERED, PARTS = 8192, 4.0, 1 << 23, 1024
 #: Spans are about the root of points / SPREAD, so the edges that they leave grow with the power 1.5 of the points; pairs of a product, or measured, at a time.
 SPREAD, PRODUCT = 500, 1 << 19
 #: Distances are under BINS ** ROUNDS units.
@@ -55,10 +60,13 @@ def distances(x: np.ndarray, to: np.ndarray, unit: float) -> np.ndarray:
     return np.rint(np.sqrt(((x - to) ** 2).sum(1)) / unit).astype(np.int64)
 
 
+def longest_of(pts: DataFrame) -> float:
+    return pts.agg(F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)))).first()[0] or 0.0
+
+
 def unit_of(pts: DataFrame) -> float:
     """The unit of distance: 10^-9, or the power of ten that the longest vector needs."""
-    longest = pts.agg(F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)))).first()[0] or 0.0
-    unit = 1e-9
+    longest, unit = longest_of(pts), 1e-9
     while 2 * longest >= unit * (BINS**ROUNDS - 1):
         unit *= 10
     return unit
@@ -99,6 +107,19 @@ class Packed:
         return [out[0], x, *out[1:]]
 
 
+def sides(x: np.ndarray, longest: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of products in single precision, with the squared lengths as two more coordinates: a product is a squared
+    distance up to `off_of`, in lengths of the longest vector."""
+    u = x / longest
+    square = (u * u).sum(1, keepdims=True)
+    one = np.ones_like(square)
+    return np.concatenate([u, square, one], 1).astype(np.float32), np.ascontiguousarray(np.concatenate([-2 * u, one, square], 1).astype(np.float32).T)
+
+
+def off_of(x: np.ndarray) -> np.float32:
+    return np.float32((x.shape[1] + 8) * 2.0**-21)
+
+
 def _measured(many: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, low: np.ndarray, p: np.ndarray, q: np.ndarray, unit: float, width: int) -> None:
     """Count pairs (place in x, place in y) by their distances."""
     for i in range(0, len(p), PRODUCT // 8):
@@ -109,15 +130,10 @@ def _measured(many: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, low
 
 
 def counted(many: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, low: np.ndarray, unit: float, width: int) -> None:
-    """Add to many (rows of x by bin) the weights of y's rows by distance: whole bins of `width` units from low on.
-
-    A product in single precision, with the squared lengths as two more coordinates, is a squared distance up to `off`, in
-    lengths of the longest vector."""
+    """Add to many (rows of x by bin) the weights of y's rows by distance: whole bins of `width` units from low on."""
     longest = math.sqrt(max((x * x).sum(1).max(), (y * y).sum(1).max())) or 1.0
-    u, v, its = x / longest, y / longest, unit / longest
-    off = np.float32((x.shape[1] + 8) * 2.0**-21)
-    left = np.concatenate([u, (u * u).sum(1, keepdims=True), np.ones((len(u), 1))], 1).astype(np.float32)
-    right = np.concatenate([-2 * v, np.ones((len(v), 1)), (v * v).sum(1, keepdims=True)], 1).astype(np.float32).T
+    off, its = off_of(x), unit / longest
+    left, right = sides(x, longest)[0], sides(y, longest)[1]
     first, step, ones = width == BINS ** (ROUNDS - 1), max(1, PRODUCT // len(y)), bool((w == 1).all())
     for at in range(0, len(x), step):
         square = left[at : at + step] @ right
@@ -139,25 +155,112 @@ def counted(many: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, low:
         _measured(many, x, y, w, low, p + at, q, unit, width)
 
 
+def core_by_counts(x: np.ndarray, packed: Packed, need: int, unit: float) -> np.ndarray:
+    """Of each row of x, the distance within which points of weight `need` lie."""
+    low, below = np.zeros((2, len(x)), np.int64)
+    for width in (BINS**r for r in reversed(range(ROUNDS))):
+        many = np.zeros((len(x), BINS), np.int64)
+        for j in range(packed.blocks):
+            _, y, w = packed.read([j])
+            counted(many, x, y, w, low, unit, width)
+        up_to = below[:, None] + many.cumsum(1)
+        at = (up_to >= need).argmax(1)
+        below = np.where(at > 0, up_to[np.arange(len(at)), at - 1], below)
+        low = low + at * width
+    return low
+
+
+def _brackets(left: np.ndarray, drawn: np.ndarray, low: int, high: int, slack: np.float32) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of each row at two ranks of the sample, `slack` apart from them."""
+    least, most = np.full((2, len(left)), [[-np.inf], [np.inf]], np.float32)
+    step = max(1, PRODUCT // max(1, drawn.shape[1]))
+    ranks = [k for k in (low, high) if 0 <= k < drawn.shape[1]]
+    for at in range(0, len(left) if ranks else 0, step):
+        found = np.partition(left[at : at + step] @ drawn, ranks, 1)
+        for k, out, by in ((low, least, -slack), (high, most, slack)):
+            if k in ranks:
+                out[at : at + step] = found[:, k] + by
+    return least, most
+
+
+def core_by_rank(x: np.ndarray, packed: Packed, need: int, unit: float, longest: float, drawn: np.ndarray, low: int, high: int, most: int) -> np.ndarray:
+    """As core_by_counts. drawn: columns of a sample of rows; low, high: ranks in it that bracket the one sought; a row gathers about `most` pairs at most."""
+    off, left = off_of(x), sides(x, longest)[0]
+    least, greatest = _brackets(left, drawn, low, high, 3 * off)
+    rows, below, many, gathered = len(x), np.zeros(len(x), np.int64), np.zeros(len(x), np.int64), []
+    upto = greatest.copy()
+    for j in range(packed.blocks):
+        ids, y, w = packed.read([j])
+        right, heavy, step = sides(y, longest)[1], np.flatnonzero(w > 1), max(1, PRODUCT // len(y))
+        for at in range(0, rows, step):
+            square = left[at : at + step] @ right
+            under = square < least[at : at + step, None]
+            below[at : at + step] += np.count_nonzero(under, axis=1)
+            if len(heavy):
+                below[at : at + step] += (under[:, heavy] @ (w[heavy] - 1.0)).astype(np.int64)
+            found = np.flatnonzero((square <= upto[at : at + step, None]) & ~under)
+            p, q = np.divmod(found, len(y))
+            many[at : at + step] += np.bincount(p, minlength=len(square))
+            gathered.append(((p + at).astype(np.uint16), ids[q].astype(np.int32), square.ravel()[found], w[q].astype(np.int32)))
+        upto[many > most] = -np.inf  # counted later
+    of, ids, square, w = (np.concatenate(v) for v in zip(*gathered, strict=True))
+    del gathered
+    order = np.argsort(of, kind="stable")
+    ids, square, w, edge = ids[order], square[order], w[order], np.concatenate([[0], many.cumsum()])
+    out, still, taken = np.full(rows, -1, np.int64), np.zeros(rows, np.int64), [(np.zeros(0, np.int64),) * 3]
+    for k in np.flatnonzero((many > 0) & (many <= most) & (below < need)):
+        mine = slice(edge[k], edge[k + 1])
+        order = np.argsort(square[mine])
+        some, up_to = square[mine][order], w[mine][order].cumsum(dtype=np.int64)
+        if up_to[-1] < need - below[k]:
+            continue
+        value = some[np.searchsorted(up_to, need - below[k])]
+        # The rank sought is within off of this, so what is as far again from it is on its side whatever its error.
+        if value - 2 * off < least[k] or value + 2 * off > greatest[k]:
+            continue
+        i, end = np.searchsorted(some, value - 2 * off), np.searchsorted(some, value + 2 * off, "right")
+        still[k] = need - below[k] - (up_to[i - 1] if i else 0)
+        near = order[i:end]
+        taken.append((np.full(len(near), k), ids[mine][near], w[mine][near]))
+    del ids, square, w, order
+    of, ids, w = (np.concatenate(v) for v in zip(*taken, strict=True))
+    d, order = np.zeros(len(of), np.int64), np.argsort(ids, kind="stable")
+    at = np.searchsorted(ids[order], np.arange(packed.blocks + 1) * packed.block)
+    for j in np.flatnonzero(np.diff(at)):
+        y = packed.read([j])[1]
+        for i in range(at[j], at[j + 1], PRODUCT // 8):
+            some = order[i : min(at[j + 1], i + PRODUCT // 8)]
+            d[some] = distances(x[of[some]], y[ids[some] - j * packed.block], unit)
+    order = np.lexsort((d, of))
+    up_to, done = w[order].cumsum(dtype=np.int64), np.flatnonzero(still)
+    start = np.searchsorted(of[order], done)
+    before = np.where(start > 0, up_to[start - 1], 0)
+    out[done] = d[order[np.searchsorted(up_to, before + still[done])]]
+    missed = np.flatnonzero(out < 0)
+    if len(missed):
+        out[missed] = core_by_counts(x[missed], packed, need, unit)
+    return out
+
+
 def core_distances(pts: DataFrame, least: int, unit: float, block: int = BLOCK) -> DataFrame:
     """id, x, weight, core: the distance within which `least` other rows lie (all, if there are fewer)."""
-    need = min(least + 1, pts.agg(F.sum("weight")).first()[0])
-    packed = Packed(pts, block, "weight")
+    total, longest = pts.agg(F.sum("weight")).first()[0], longest_of(pts) or 1.0
+    need, packed = min(least + 1, total), Packed(pts, block, "weight")
+    copies = F.floor(F.col("weight") * (DRAWN / total) + F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / (1 << 30)).cast("int")
+    sample = pts.select("x", copies.alias("n")).where("n > 0").toPandas()  # about DRAWN at most
+    drawn = sides(np.repeat(np.array(sample.x.to_list(), float), sample.n, 0), longest)[1] if len(sample) else np.zeros((1, 0), np.float32)
+    of, share = drawn.shape[1], need / total
+    half = SURE * math.sqrt(of * share * (1 - share)) + 2
+    low, high = math.floor(of * share - half), math.ceil(of * share + half)
+    wide = max(1, math.ceil(packed.n * min(1.0, 2 * half / max(of, 1))))  # pairs that a row gathers
+    most_rows = max(1, min(block, GATHERED // wide, 1 << 16))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for k in (k for frame in frames for k in frame.id):
             ids, x, _ = packed.read([k])
-            low, below = np.zeros((2, len(ids)), np.int64)
-            for width in (BINS**r for r in reversed(range(ROUNDS))):
-                many = np.zeros((len(ids), BINS), np.int64)
-                for j in range(packed.blocks):
-                    _, y, w = packed.read([j])
-                    counted(many, x, y, w, low, unit, width)
-                up_to = below[:, None] + many.cumsum(1)
-                at = (up_to >= need).argmax(1)
-                below = np.where(at > 0, up_to[np.arange(len(at)), at - 1], below)
-                low = low + at * width
-            yield pd.DataFrame({"of": ids, "core": low})
+            for i in range(0, len(ids), step := -(-len(ids) // -(-len(ids) // most_rows))):
+                part = slice(i, i + step)
+                yield pd.DataFrame({"of": ids[part], "core": core_by_rank(x[part], packed, need, unit, longest, drawn, low, high, 2 * wide)})
 
     spark = pts.sparkSession
     found = cut(spark.range(0, packed.blocks, 1, packed.blocks).mapInPandas(run, "of long, core long"), "core")
@@ -183,19 +286,120 @@ def local_tree(ids: np.ndarray, x: np.ndarray, core: np.ndarray, unit: float) ->
     return ids[(e >> bits) & mask], ids[e & mask], e >> 2 * bits
 
 
+def least_edges(packed: Packed, k: int, unit: float, longest: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, d): edges of block k's points whose least edge is their core distance. Of such edges the least is that to the first point."""
+    ids, x, core = packed.read([k])
+    left, off, its = sides(x, longest)[0], off_of(x), unit / longest
+    most = (((core + 1) * its) ** 2 * (1 + 1e-6)).astype(np.float32) + off
+    to, live = np.full(len(ids), -1, np.int64), np.arange(len(ids))
+    for j in range(packed.blocks):
+        others, y, their = packed.read([j])
+        right, step = sides(y, longest)[1], max(1, PRODUCT // len(others))
+        for at in range(0, len(live), step):
+            some = live[at : at + step]
+            may = (left[some] @ right <= most[some, None]) & (their <= core[some, None])
+            if j == k:
+                may[np.arange(len(some)), some] = False
+            open_ = np.arange(len(some))
+            while len(open_):
+                q = may[open_].argmax(1)
+                open_, q = open_[found := may[open_, q]], q[found]
+                fits = distances(x[some[open_]], y[q], unit) <= core[some[open_]]
+                to[some[open_[fits]]] = others[q[fits]]
+                may[open_, q] = False
+                open_ = open_[~fits]
+        live = live[to[live] < 0]
+        if not len(live):
+            break
+    has = to >= 0
+    return np.minimum(ids, to)[has], np.maximum(ids, to)[has], core[has]
+
+
+def edges_between(packed: Packed, k: int, parts: int, unit: float, longest: float) -> list[tuple[int, int, int]]:
+    """(a, b, d): the least edges between each two parts, of those from block k to itself and the later ones. packed: points in order of their parts (core, part, of)."""
+    _, x, core, part, ids = packed.read([k])
+    left, off, its = sides(x, longest)[0], 2 * off_of(x), unit / longest
+    best = np.full((parts, parts), np.inf)  # the squared length of the best edge, not less
+    edge: dict[tuple[int, int], tuple[int, int, int]] = {}
+    square = lambda v: (v * its) ** 2
+    for j in range(k, packed.blocks):
+        _, y, their, other, others = packed.read([j])
+        if part[0] == part[-1] == other[0] == other[-1]:
+            continue
+        right, step = sides(y, longest)[1], max(1, PRODUCT // len(y))
+        mine, his = square(core).astype(np.float32), square(their).astype(np.float32)
+        starts = np.flatnonzero(np.diff(other, prepend=-1))
+        for at in range(0, len(x), step):
+            own = part[at : at + step]
+            reach = np.maximum(np.maximum(left[at : at + step] @ right, mine[at : at + step, None]), his)
+            nearest = np.minimum.reduceat(reach, starts, axis=1)  # of each row to each part of the other block
+            for c in np.unique(own):
+                rows = np.flatnonzero(own == c)
+                for s, d in enumerate(other[starts]):
+                    if c == d:
+                        continue
+                    pair = (min(c, d), max(c, d))
+                    bound = min(float(nearest[rows, s].min()), best[pair]) + 2 * float(off)
+                    close = rows[nearest[rows, s] <= bound]
+                    if not len(close):
+                        continue
+                    end = starts[s + 1] if s + 1 < len(starts) else len(y)
+                    p, q = np.nonzero(reach[close, starts[s] : end] <= bound)
+                    p, q = close[p] + at, q + starts[s]
+                    for i in range(0, len(p), PRODUCT // 8):
+                        e, f = p[i : i + PRODUCT // 8], q[i : i + PRODUCT // 8]
+                        w = np.maximum(np.maximum(distances(x[e], y[f], unit), core[e]), their[f])
+                        a, b = np.minimum(ids[e], others[f]), np.maximum(ids[e], others[f])
+                        o = np.lexsort((b, a, w))[0]
+                        edge[pair] = min(edge.get(pair, (1 << 62,)), (int(w[o]), int(a[o]), int(b[o])))
+                    best[pair] = square(edge[pair][0] + 1) * (1 + 1e-6)
+    return [(a, b, d) for d, a, b in edge.values()]
+
+
 def tree_edges(cored: DataFrame, unit: float, block: int = BLOCK) -> DataFrame:
     """a, b, d: edges that contain the minimum spanning tree."""
-    packed = Packed(cored, block, "core")
+    packed, longest = Packed(cored, block, "core"), longest_of(cored) or 1.0
+    if packed.blocks == 1:
+        return _trees_of_spans(packed, unit)
+    spark, edges = cored.sparkSession, "a long, b long, d long"
+
+    def least(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for k in (k for frame in frames for k in frame.id):
+            yield pd.DataFrame(dict(zip("abd", least_edges(packed, k, unit, longest), strict=True))).astype("int64")
+
+    firm = cut(spark.range(0, packed.blocks, 1, packed.blocks).mapInPandas(least, edges), "least").distinct()
+    root = roots(firm).select(F.col("id").alias("of"), "root")
+    placed = cut(cored.join(root, F.col("id") == F.col("of"), "left").select("id", "x", "core", F.coalesce("root", "id").alias("root")), "placed")
+    heads = [r.root for r in placed.select("root").distinct().limit(PARTS + 1).collect()]
+    if len(heads) > PARTS:
+        return _trees_of_spans(packed, unit)
+    discard(packed.table)
+    if len(heads) == 1:
+        return firm
+    numbers = spark.createDataFrame([(r, i) for i, r in enumerate(sorted(heads))], "root long, part long")
+    ordered = row_numbers(placed.join(F.broadcast(numbers), "root").select("part", F.col("id").alias("of"), "x", "core"), ["part", "of"], name="id")
+    by_part = Packed(cut(ordered, "ordered"), block, "core", "part", "of")
+
+    def between(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for k in (k for frame in frames for k in frame.id):
+            yield pd.DataFrame(edges_between(by_part, k, len(heads), unit, longest), columns=["a", "b", "d"]).astype("int64")
+
+    found = cut(spark.range(0, by_part.blocks, 1, by_part.blocks).mapInPandas(between, edges), "between")
+    discard(by_part.table)
+    return firm.unionByName(found).distinct()
+
+
+def _trees_of_spans(packed: Packed, unit: float) -> DataFrame:
     spans = max(1, min(packed.blocks, math.ceil(math.sqrt(packed.n / SPREAD))))
     edge = [packed.blocks * i // spans for i in range(spans + 1)]
 
     def tree(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for i, j in zip(frame.i, frame.j, strict=True):
-                a, b, d = local_tree(*packed.read([*range(edge[i], edge[i + 1]), *range(edge[j], edge[j + 1])]), unit)
+                a, b, d = local_tree(*packed.read([*range(edge[i], edge[i + 1]), *(range(edge[j], edge[j + 1]) if i < j else ())]), unit)
                 yield pd.DataFrame({"a": a, "b": b, "d": d}).astype("int64")
 
-    pairs = cored.sparkSession.range(spans * spans).select((F.col("id") / spans).cast("int").alias("i"), (F.col("id") % spans).cast("int").alias("j")).where("i < j" if spans > 1 else "i = j")
+    pairs = packed.table.sparkSession.range(spans * spans).select((F.col("id") / spans).cast("int").alias("i"), (F.col("id") % spans).cast("int").alias("j")).where("i < j" if spans > 1 else "i = j")
     found = cut(pairs.repartition(spans * spans // 2 + 1).mapInPandas(tree, "a long, b long, d long"), "trees")
     discard(packed.table)
     return found.distinct()
@@ -381,10 +585,11 @@ def numbered(raw: DataFrame, key: str) -> DataFrame:
 def density_groups(rows: DataFrame, key: str, text: str, vec: str) -> DataFrame:
     """key, group_id: density clusters of the vectors, rows in none by signature; groups by signature alone for under three
     rows, or where all rows are in one cluster or none. A cluster has a fiftieth of the rows at least, so fifty begin at most."""
-    n = rows.count()
+    read = cut(V.signatures(rows, key, text, vec), "read")  # texts are read once, and vectors made once
+    n = read.count()
     if n >= 3:
-        raw = cut(clusters(rows, key, vec, max(3, n // 50)), "clusters")
+        raw = cut(clusters(read, key, vec, max(3, n // 50)), "clusters")
         if raw.select("cluster").distinct().limit(2).count() > 1:
-            signed = V.signatures(rows, key, text).withColumnRenamed(key, "_k")
+            signed = read.select(F.col(key).alias("_k"), "signature")
             return numbered(raw.join(signed, F.col(key) == F.col("_k")).select(key, "cluster", "signature"), key)
-    return V.signature_groups(rows, key, text).select(key, "group_id")
+    return V.numbered_signatures(read.select(key, "signature"), key).select(key, "group_id")

@@ -147,3 +147,81 @@ def test_vectors_are_not_copied(spark):
     cored = density.core_distances(density.points(rows, "k", "v"), least, 1e-9, 10)
     for found in (cored, density.tree_edges(cored, 1e-9, 10)):
         assert "InPandas" not in found._jdf.queryExecution().toString()
+
+
+class Blocks:
+    """Packed points that lie in memory."""
+
+    def __init__(self, block, *columns):
+        self.n, self.block, self.columns = len(columns[0]), block, columns
+        self.blocks = -(-self.n // block)
+
+    def read(self, numbers):
+        at = np.concatenate([np.arange(k * self.block, min((k + 1) * self.block, self.n)) for k in numbers])
+        return [c[at] for c in self.columns]
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-6, 3e20])
+@pytest.mark.parametrize("case", ["brackets", "misses", "too many", "no sample"])
+def test_core_distances_by_rank_are_those_by_counts(scale, case, monkeypatch):
+    """Brackets of a sample only decide what is measured; where they miss or hold too much, points are counted."""
+    rnd = np.random.default_rng(7)
+    x = rnd.normal(size=(700, 6))
+    x[600:650] = x[0] + rnd.normal(size=(50, 6)) * 1e-8  # nearer to each other than single precision tells
+    x[650:] = x[1] + np.eye(6)[rnd.integers(0, 6, 50)] * 0.25  # equally far from a point
+    x, w, need = x * scale, np.where(rnd.random(700) < 0.1, rnd.integers(1, 40, 700), 1), 60
+    unit, longest = 1e-9 * max(scale, 1.0) * 8, float(np.sqrt((x * x).sum(1).max()))
+    want = []
+    for v in x:
+        d = density.distances(x, v, unit)
+        order = np.argsort(d, kind="stable")
+        want.append(d[order][np.searchsorted(w[order].cumsum(), need)])
+    drawn = np.repeat(x, w, 0)[::3] if case != "no sample" else x[:0]
+    rank = len(drawn) * need / w.sum()
+    low, high = {"misses": (5, 8), "no sample": (-2, 2)}.get(case, (int(rank - 12), int(rank + 12)))
+    counts = []
+    plainly = density.core_by_counts
+    monkeypatch.setattr(density, "core_by_counts", lambda rows, *more: counts.append(len(rows)) or plainly(rows, *more))
+    packed = Blocks(150, np.arange(700), x, w)
+    right = density.sides(drawn, longest)[1]
+    got = density.core_by_rank(x, packed, need, unit, longest, right, low, high, {"too many": 2, "no sample": 700}.get(case, 300))
+    assert got.tolist() == want
+    assert sum(counts) > 400 if case in ("misses", "too many") else sum(counts) < 80
+
+
+@pytest.mark.parametrize(("name", "parts"), [("blobs", 1024), ("nested", 1024), ("duplicates", 1024), ("chain", 1024), ("nested", 1)])
+def test_edges_hold_the_tree_and_few_more(spark, name, parts, monkeypatch):
+    """One edge a point, and one for two parts that these leave; trees of spans only for too many parts."""
+    x, least = shape(name)
+    monkeypatch.setattr(density, "PARTS", parts)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    cored = density.cut(density.core_distances(density.points(rows, "k", "v"), least, 1e-9, 16), "cored")
+    found = {(r.a, r.b, r.d) for r in density.tree_edges(cored, 1e-9, 16).collect()}
+    pts = cored.orderBy("id").collect()
+    n, core = len(pts), np.array([p.core for p in pts])
+    a, b, d = density.local_tree(np.arange(n), np.array([p.x for p in pts]), core, 1e-9)
+    assert set(zip(a.tolist(), b.tolist(), d.tolist(), strict=True)) <= found
+    assert len(found) < 2 * n
+
+
+def test_a_point_takes_one_edge_however_many_blocks(spark):
+    """Edges don't grow with the pairs of blocks: for a table of one dense part they are the tree's."""
+    x = np.random.default_rng(3).normal(size=(2100, 2)) * 0.1
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "k long, v array<double>")
+    cored = density.cut(density.core_distances(density.points(rows, "k", "v"), 300, 1e-9, 300), "cored")
+    assert density.tree_edges(cored, 1e-9, 300).count() <= 2110
+
+
+def test_texts_are_read_once(spark):
+    """Vectors and signatures are kept from one reading, whatever reads them later."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        seen.add(1)
+        return text
+
+    x, _ = shape("blobs")
+    rows = spark.createDataFrame([(i, "alpha beta beta" if i % 2 else None, v.tolist()) for i, v in enumerate(x)], "k long, t string, v array<double>").withColumn("t", told("t"))
+    got = density.density_groups(rows, "k", "t", "v")
+    assert got.count() == len(x) and got.select("group_id").distinct().count() > 2 and seen.value == len(x)
